@@ -65,15 +65,86 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*columns)
 
 
+def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vademecum.llm import warc
+
+    rows = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SHARD_DIMENSIONS = ["source", "lang", "n_chars"]
+
+
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vademecum.llm import hilbert
+
+    text = F.coalesce("text", F.lit(""))
+    docs = _table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", *SHARD_DIMENSIONS, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    placed = hilbert.shards(rows, SHARD_DIMENSIONS, 8, ties=("text_crc32",))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
+def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vademecum.llm import licences
+
+    rows = licences.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licences", " ").alias("licences"), "unknown_notices")
+
+
+def op9_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vademecum.llm import impact_topk
+
+    rows = impact_topk.quantised(_table(spark, sf_dir, "embeddings"))
+    return impact_topk.top_k(rows, rows.where("id % 50 = 0"), 5)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.id AS query_id, c.id AS vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.id <> c.id AND len(q.v) = len(c.v) WHERE q.id % 50 = 0)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST(1 + ((('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+"""
+
+
+def op10_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vademecum.llm import near_duplicates
+
+    return near_duplicates.groups(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op2_warc_zstd": op2_warc_zstd,
+        "op3_hilbert_shards": op3_hilbert_shards,
         "op4_simple8b": op4_simple8b,
         "op5_toxicity_crf": op5_toxicity_crf,
         "op6_minimum_bin_slack": op6_minimum_bin_slack,
         "op7_quality_rules": op7_quality_rules,
+        "op8_license_rules": op8_license_rules,
+        "op9_impact_topk": op9_impact_topk,
+        "op10_odd_sketches": op10_odd_sketches,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from vademecum.llm import licences
+
+    return {"op2_warc_zstd": OP2_SQL, "op8_license_rules": licences.oracle(), "op9_impact_topk": OP9_SQL}
