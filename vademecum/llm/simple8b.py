@@ -201,7 +201,7 @@ def read_id_files(spark: SparkSession, folder: str) -> DataFrame:
             raw = ids.astype("<u4")
             for k in range(0, len(table), 512):
                 rows = slice(k, k + 512)
-                size, begin = sizes[rows], bounds[k : k + 512]
+                size, begin = sizes[rows], bounds[:-1][rows]
                 own = [raw[b : b + s] for b, s in zip(begin, size, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(own).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
