@@ -38,16 +38,15 @@ BANDS = SAMPLES // ROWS
 SKETCH_BITS = 512
 NEAR = 0.5
 CHUNK = 1024
-_memo = WordHashes()
 _random = np.random.default_rng(20)
 _FACTORS = _random.integers(0, 1 << 62, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _random.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 _SLOTS = np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], memo: WordHashes) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text."""
-    words, offsets = hash_words(texts, _memo, lower=True)
+    words, offsets = hash_words(texts, memo, lower=True)
     windows = window_hashes(words, SHINGLE)
     out = []
     for begin, end in zip(offsets[:-1], offsets[1:], strict=True):
@@ -105,9 +104,10 @@ def features(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (two 64-bit sums over the set), bands and sketch of every row; null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
         for batch in slices(batches):
             keys, bands, sketches, sizes = [], [], [], []
-            for own in shingle_sets(column_of(batch, "text")):
+            for own in shingle_sets(column_of(batch, "text"), memo):
                 sizes.append(len(own))
                 if not len(own):
                     keys.append(None), bands.append(None), sketches.append(None)
@@ -182,8 +182,9 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The full sets (sorted hashes as bytes) of the documents with these ids; one row per id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
         for batch in slices(batches):
-            own = [s.tobytes() for s in shingle_sets(column_of(batch, "text"))]
+            own = [s.tobytes() for s in shingle_sets(column_of(batch, "text"), memo)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["id", "shingles"])
 
     wanted = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")

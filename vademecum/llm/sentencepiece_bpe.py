@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from vademecum.llm.shared import column_of, slices
-from vademecum.llm.words import MEMO_ENTRIES
 
 MARK = "▁"
+#: Cuts that a worker remembers before it starts anew.
+MEMO_ENTRIES = 600_000
 UNKNOWN_SURFACE = " ⁇ "
 
 

@@ -10,8 +10,8 @@ from __future__ import annotations
 import json
 import re
 
-from vademecum.llm.words import MEMO_ENTRIES
-
+#: Cuts that a worker remembers before it starts anew.
+MEMO_ENTRIES = 400_000
 #: The characters with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
 
