@@ -21,7 +21,7 @@ def embed(rows: DataFrame) -> DataFrame:
 
 def job_ingest(spark: SparkSession, a: argparse.Namespace) -> None:
     """Pages to chunks; artifacts are written before the coverage gate may fail."""
-    run = ingest.Ingestion(tables.read_pages(spark, a.pages), a.toc_first, a.toc_last)
+    run = ingest.Ingestion(tables.read_pages(spark, a.pages), a.toc_first, a.toc_last, keep=lambda df: tables.rewritten(df, "ingest"))
     tables.write_artifacts(ingest.monographs(run.sections), run.chunks, run.report, a.out)
     gate = ingest.coverage_gate(spark.read.schema(run.report.schema).json(f"{a.out}/report"), a.max_missing).first()
     if not gate["passed"]:

@@ -6,6 +6,8 @@ exchange moves lines by (book, entry); tables of contents and page numbers are s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -233,20 +235,24 @@ def toc_counters(lines: DataFrame) -> DataFrame:
 
 
 class Ingestion:
-    """All tables of one run over (book_id, page_idx, raw_text); nothing runs until a table is used."""
+    """All tables of one run over (book_id, page_idx, raw_text); nothing runs until a table is used.
+
+    ``keep`` is applied to the tables that several others are made from; pass a function that writes and rereads them
+    to cut lineage.
+    """
 
-    def __init__(self, pages: DataFrame, toc_first: int, toc_last: int) -> None:
-        toc_pages, body = split_toc(clean_pages(pages), toc_first, toc_last)
+    def __init__(self, pages: DataFrame, toc_first: int, toc_last: int, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+        toc_pages, body = split_toc(keep(clean_pages(pages)), toc_first, toc_last)
         self.toc_lines = toc_lines(toc_pages)
         self.entries = toc_entries(self.toc_lines)
         self.pages = numbered_pages(body)
         self.anchored = anchors(self.entries, self.pages)
-        self.located = locate(self.anchored, self.pages)
+        self.located = keep(locate(self.anchored, self.pages))
         self.spans = monograph_spans(self.located)
         self.lines = monograph_lines(self.spans, self.pages)
-        self.section_lines = section_lines(self.lines)
-        self.sections = sections(self.section_lines)
+        self.section_lines = keep(section_lines(self.lines))
+        self.sections = keep(sections(self.section_lines))
         self.species_groups = species_groups(self.section_lines)
-        self.groups = self.species_groups.unionByName(prose_groups(self.sections))
+        self.groups = keep(self.species_groups.unionByName(prose_groups(self.sections)))
         self.chunks = chunks(self.groups)
         self.report = parse_report(self.located, self.sections)

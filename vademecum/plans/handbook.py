@@ -21,4 +21,4 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingestion(spark: SparkSession, sf_dir: str) -> Ingestion:
-    return Ingestion(pages(spark, sf_dir), 0, 0)
+    return Ingestion(pages(spark, sf_dir).persist(), 0, 0, keep=lambda df: df.persist())

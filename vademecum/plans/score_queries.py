@@ -1,0 +1,198 @@
+"""Queries of similarity search and evaluation over the embeddings table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vademecum.functions import vectors
+from vademecum.operators import evaluation as E
+from vademecum.operators import retrieval as R
+from vademecum.plans.registry import query, table
+from vademecum.plans.text_queries import norm_sql
+
+_V = f"""v AS (SELECT vec_id, label, 'k' || vec_id AS logical_key, ['doses', 'indications', 'monitoring'][CAST(label % 3 + 1 AS INT)] AS section_type, 'drug ' || label AS drug_name,
+  CASE WHEN vec_id % 3 = 0 THEN ['dog'] WHEN vec_id % 3 = 1 THEN ['cat', 'dog'] ELSE ['all'] END AS species, {norm_sql('CAST(embedding AS DOUBLE[])')} AS vector,
+  {norm_sql('CAST(embedding[1:32] AS DOUBLE[])')} AS half FROM embeddings)"""
+_Q = "q AS (SELECT vec_id AS query_id, label AS query_label, vector AS query_vector, half AS query_half, CASE WHEN vec_id % 100 = 0 THEN 'dog' ELSE 'cat' END AS want_species FROM v WHERE vec_id % 50 = 0)"
+_P = "p AS (SELECT q.query_id, q.query_label, v.vec_id, v.label, v.logical_key, v.section_type, v.drug_name, v.species, q.want_species, round(list_dot_product(q.query_vector, v.vector), 6) AS score FROM q, v)"
+_RK = "rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, logical_key) AS INT) AS rank FROM p)"
+_WITH = f"WITH {_V}, {_Q}, {_P}, {_RK}"
+
+
+def corpus(spark, sf_dir):
+    names = F.array(*map(F.lit, ("doses", "indications", "monitoring")))
+    species = F.expr("CASE WHEN vec_id % 3 = 0 THEN array('dog') WHEN vec_id % 3 = 1 THEN array('cat', 'dog') ELSE array('all') END")
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", F.concat(F.lit("k"), F.col("vec_id").cast("string")).alias("logical_key"), F.get(names, F.col("label") % 3).alias("section_type"),
+        F.concat(F.lit("drug "), F.col("label").cast("string")).alias("drug_name"), species.alias("species"), vectors.normalized(F.col("embedding")).alias("vector"),
+        vectors.normalized(F.col("embedding"), 32).alias("half"),
+    )
+
+
+def queries(rows):
+    want = F.when(F.col("vec_id") % 100 == 0, "dog").otherwise("cat")
+    return rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("vector").alias("query_vector"), F.col("half").alias("query_half"), want.alias("want_species"))
+
+
+def pairs(spark, sf_dir):
+    rows = corpus(spark, sf_dir)
+    return R.scored(queries(rows), rows).withColumn("score", F.round("score", 6))
+
+
+def relevant(spark, sf_dir):
+    rows = corpus(spark, sf_dir)
+    q = queries(rows).select("query_id", "query_label")
+    return q.join(rows.select("vec_id", "label", "logical_key"), (F.col("label") == F.col("query_label")) & (F.col("vec_id") != F.col("query_id"))).select("query_id", "logical_key")
+
+
+def two_models(spark, sf_dir):
+    """Scores of the full vectors and of their first half, without a query's own vector."""
+    rows = corpus(spark, sf_dir)
+    q = queries(rows)
+    full = R.scored(q, rows).withColumn("model", F.lit("full")).withColumn("position", F.lit(1))
+    half = R.scored(q.withColumn("query_vector", F.col("query_half")), rows.withColumn("vector", F.col("half"))).withColumn("model", F.lit("half")).withColumn("position", F.lit(2))
+    both = full.unionByName(half).where("vec_id <> query_id")
+    return both.select("model", "position", "query_id", "query_label", "logical_key", F.round("score", 6).alias("score"))
+
+
+def model_metrics(spark, sf_dir):
+    truth = relevant(spark, sf_dir)
+    ranked = R.ranked(two_models(spark, sf_dir), ["model", "query_id"])
+    by = ["model", "query_id"]
+    base = queries(corpus(spark, sf_dir)).select("query_id", F.concat(F.lit("flow "), (F.col("query_label") % 2).cast("string")).alias("flow"))
+    models = spark.createDataFrame([("full", 1), ("half", 2)], "model string, position int")
+    n = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
+    cases = base.join(models, F.lit(True)).join(n, "query_id", "left").withColumn("n_relevant", F.coalesce("n_relevant", F.lit(0)))
+    return E.query_metrics(cases, E.relevant_ranks(ranked, truth, by), by)
+
+
+_M2 = f"""WITH {_V}, {_Q}, s AS (
+  SELECT 'full' AS model, 1 AS position, q.query_id, q.query_label, v.vec_id, v.label, v.logical_key, round(list_dot_product(q.query_vector, v.vector), 6) AS score FROM q, v WHERE v.vec_id <> q.query_id
+  UNION ALL SELECT 'half', 2, q.query_id, q.query_label, v.vec_id, v.label, v.logical_key, round(list_dot_product(q.query_half, v.half), 6) FROM q, v WHERE v.vec_id <> q.query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY model, query_id ORDER BY score DESC, logical_key) AS rank FROM s),
+m AS (SELECT model, any_value(position) AS position, query_id, 'flow ' || (any_value(query_label) % 2) AS flow, count(*) FILTER (label = query_label) AS n_relevant,
+  """ + ", ".join(
+    [f"coalesce(count(*) FILTER (label = query_label AND rank <= {k}) / nullif(count(*) FILTER (label = query_label), 0), 0.0) AS \"recall@{k}\"" for k in E.KS]
+    + [f"CAST(count(*) FILTER (label = query_label AND rank <= {k}) > 0 AS INT)::DOUBLE AS \"hit_rate@{k}\"" for k in E.KS]
+) + ", coalesce(1.0 / min(rank) FILTER (label = query_label), 0.0)::DOUBLE AS mrr FROM r GROUP BY model, query_id)"
+_COLS = [f'"{m}"' for m in E.metric_names()]
+_R6 = ", ".join(f"round({c}, 6) AS {c}" for c in _COLS)
+_A6 = ", ".join(f"round(avg({c}), 6) AS {c}" for c in _COLS)
+
+
+def rounded(df, *keep):
+    return df.select(*keep, *[F.round(f"`{m}`", 6).alias(m) for m in E.metric_names()])
+
+
+_FILTER = "v.section_type = 'doses' AND list_contains(v.species, q.want_species)"
+_T1 = f"WITH {_V}, {_Q}, p AS (SELECT q.query_id, v.logical_key, round(list_dot_product(q.query_vector, v.vector), 6) AS score FROM q JOIN v ON {_FILTER}), rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, logical_key) AS INT) AS rank FROM p)"
+
+
+def filtered(spark, sf_dir):
+    rows = corpus(spark, sf_dir)
+    on = R.metadata_filter(F.lit(None), F.lit("doses"), F.col("want_species"))
+    return R.scored(queries(rows), rows, on).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_V}, {_Q} SELECT q.query_id, v.vec_id FROM q JOIN v ON {_FILTER}")
+def p12_metadata_filter(spark, sf_dir):
+    return filtered(spark, sf_dir).select("query_id", "vec_id")
+
+
+@query(f"{_T1} SELECT query_id, rank, logical_key, score FROM rk WHERE rank <= 5")
+def t1_filtered_topk(spark, sf_dir):
+    return R.ranked(filtered(spark, sf_dir), ["query_id"], 5).select("query_id", "rank", "logical_key", "score")
+
+
+@query(f"{_WITH} SELECT query_id, rank, printf('[%.3f] %s / %s / p.%d', score, drug_name, section_type, vec_id) AS citation FROM rk WHERE rank <= 3")
+def p16_citation(spark, sf_dir):
+    hits = R.ranked(pairs(spark, sf_dir), ["query_id"], 3).withColumn("book_page", F.col("vec_id").cast("int")).withColumn("text", F.col("logical_key"))
+    return R.citation(hits).select("query_id", "rank", "citation")
+
+
+@query(f"{_WITH} SELECT query_id, vec_id, score FROM p WHERE vec_id % 10 = 0")
+def x5_cosine(spark, sf_dir):
+    return pairs(spark, sf_dir).where("vec_id % 10 = 0").select("query_id", "vec_id", "score")
+
+
+@query(f"{_WITH} SELECT query_id, logical_key, score FROM p")
+def j15_all_pairs(spark, sf_dir):
+    return pairs(spark, sf_dir).select("query_id", "logical_key", "score")
+
+
+@query(f"{_WITH} SELECT query_id, logical_key, rank FROM rk")
+def w6_rank_keys(spark, sf_dir):
+    return R.ranked(pairs(spark, sf_dir), ["query_id"]).select("query_id", "logical_key", "rank")
+
+
+@query(f"{_WITH} SELECT query_id, logical_key, rank, score FROM rk WHERE rank <= 10")
+def h3_block_topk(spark, sf_dir):
+    rows = corpus(spark, sf_dir)
+    return R.block_top_k(queries(rows), rows, 10).select("query_id", "logical_key", "rank", "score")
+
+
+@query(f"{_WITH} SELECT query_id, logical_key, rank FROM rk WHERE label = query_label AND vec_id <> query_id")
+def j13_relevant_ranks(spark, sf_dir):
+    return E.relevant_ranks(R.ranked(pairs(spark, sf_dir), ["query_id"]), relevant(spark, sf_dir), ["query_id"]).select("query_id", "logical_key", "rank")
+
+
+@query(f"{_WITH} SELECT query_id, min(rank)::BIGINT AS rank FROM rk WHERE label = query_label AND vec_id <> query_id GROUP BY query_id")
+def a11_first_rank_by_counting(spark, sf_dir):
+    return E.best_rank_by_counting(pairs(spark, sf_dir).select("query_id", "logical_key", "score"), relevant(spark, sf_dir))
+
+
+@query(f"{_M2} SELECT model, query_id, n_relevant, {_R6} FROM m")
+def a10_query_metrics(spark, sf_dir):
+    return rounded(model_metrics(spark, sf_dir), "model", "query_id", "n_relevant")
+
+
+@query(f"{_M2} SELECT model, {_A6} FROM m GROUP BY model")
+def a12_mean_metrics(spark, sf_dir):
+    return rounded(E.mean_metrics(model_metrics(spark, sf_dir), ["model"]), "model")
+
+
+@query(f"{_M2} SELECT model, {_A6} FROM m GROUP BY model")
+def a13_scorecard(spark, sf_dir):
+    means = E.mean_metrics(model_metrics(spark, sf_dir), ["model"])
+    return rounded(E.scorecard(E.long_form(means, ["model"])), "model")
+
+
+@query(f"{_M2}, a AS (SELECT model, any_value(position) AS position, avg(\"recall@5\") AS r, avg(mrr) AS mrr FROM m GROUP BY model) SELECT arg_max(model, (r, mrr, -position)) AS winner FROM a")
+def a14_winner(spark, sf_dir):
+    return E.winner(E.mean_metrics(model_metrics(spark, sf_dir), ["model", "position"]))
+
+
+@query(f"{_M2} SELECT model, flow, CAST(grouping(model) * 2 + grouping(flow) AS BIGINT) AS level, {_A6} FROM m GROUP BY ROLLUP (model, flow)")
+def a15_flow_breakdown(spark, sf_dir):
+    return rounded(E.by_flow(model_metrics(spark, sf_dir)), "model", "flow", "level")
+
+
+@query(f"{_WITH}, rr AS (SELECT query_id, logical_key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vec_id % 7 DESC, rank) AS INT) AS new_rank FROM rk WHERE rank <= 20) SELECT * FROM rr WHERE new_rank <= 5")
+def t3_rerank(spark, sf_dir):
+    hits = R.ranked(pairs(spark, sf_dir), ["query_id"], 20).withColumn("rerank_score", (F.col("vec_id") % 7).cast("double"))
+    return R.rerank(hits, ["query_id"], 5).select("query_id", "logical_key", "new_rank")
+
+
+@query(
+    f"""{_WITH}, rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY label = query_label DESC, rank) AS new_rank FROM rk WHERE rank <= 20 AND vec_id <> query_id),
+    b AS (SELECT query_id, count(*) FILTER (label = query_label AND rank <= 6) AS n FROM rr GROUP BY 1), a AS (SELECT query_id, count(*) FILTER (label = query_label AND new_rank <= 5) AS n FROM rr GROUP BY 1)
+    SELECT query_id, a.n - b.n AS lift FROM a JOIN b USING (query_id)"""
+)
+def a16_rerank_lift(spark, sf_dir):
+    hits = R.ranked(pairs(spark, sf_dir), ["query_id"], 20).where("vec_id <> query_id").withColumn("good", F.col("label") == F.col("query_label"))
+    before = hits.groupBy("query_id").agg(F.count_if(F.col("good") & (F.col("rank") <= 6)).alias("b"))
+    after = R.rerank(hits.withColumn("rerank_score", F.col("good").cast("double")), ["query_id"], 5).groupBy("query_id").agg(F.count_if("good").alias("a"))
+    return before.join(after, "query_id").select("query_id", (F.col("a") - F.col("b")).alias("lift"))
+
+
+@query(f"{_WITH}, t AS (SELECT query_id, count(*) AS n FROM rk WHERE rank <= 10 AND label = query_label AND vec_id <> query_id GROUP BY 1) SELECT q.query_id, coalesce(t.n, 0) AS common FROM q LEFT JOIN t USING (query_id)")
+def o4_topk_intersect(spark, sf_dir):
+    top = R.ranked(pairs(spark, sf_dir), ["query_id"], 10).select("query_id", "logical_key")
+    common = top.intersect(relevant(spark, sf_dir)).groupBy("query_id").agg(F.count(F.lit(1)).alias("common"))
+    return queries(corpus(spark, sf_dir)).select("query_id").join(common, "query_id", "left").select("query_id", F.coalesce("common", F.lit(0)).alias("common"))
+
+
+@query(f"{_M2} SELECT model, {_A6} FROM m GROUP BY model")
+def g3_benchmark(spark, sf_dir):
+    """The whole benchmark: two models scored, ranked, averaged and put into a scorecard."""
+    return a13_scorecard(spark, sf_dir)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -29,8 +30,11 @@ def read_pages(spark: SparkSession, path: str, form: str = "parquet") -> DataFra
 
 
 def _read(spark: SparkSession, path: str, schema: str, form: str) -> DataFrame:
+    """``form``: json (a record per line), json_array (one array per file) or any format of Spark."""
     reader = spark.read.schema(schema)
-    return reader.option("mode", "FAILFAST").option("multiLine", True).json(path) if form == "json" else reader.format(form).load(path)
+    if form.startswith("json"):
+        return reader.option("mode", "FAILFAST").option("multiLine", form == "json_array").json(path)
+    return reader.format(form).load(path)
 
 
 def checked_sections(rows: DataFrame, column: str) -> DataFrame:
@@ -117,3 +121,21 @@ class VectorTable:
         counted = self.spark.createDataFrame(report.collect(), report.schema)
         self.replace(table)
         return counted
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; a local temporary one if a local session has none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="vademecum-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def rewritten(df: DataFrame, label: str) -> DataFrame:
+    """Cuts lineage: writes to the shared folder and reads back."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
