@@ -1,17 +1,35 @@
-"""The derived handbook as DataFrames for the registered queries."""
+"""The derived handbook as DataFrames for the registered queries.
+
+The tables that many queries start from are written to the shared folder once per session and input, and read from
+there; that also keeps the plans of the queries short.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vademecum.operators.ingest import Ingestion
+from vademecum.operators import ingest
 from vademecum.plans.registry import table
 from vademecum.plans.sql import HANDBOOK
+from vademecum.sources.tables import rewritten
+
+_made: dict[tuple[str, str, str], Any] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], Any]) -> Any:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(HANDBOOK, part=table(spark, sf_dir, "part"), lineitem=table(spark, sf_dir, "lineitem"))
+    made = lambda: rewritten(spark.sql(HANDBOOK, part=table(spark, sf_dir, "part"), lineitem=table(spark, sf_dir, "lineitem")), "handbook")
+    return _once(spark, sf_dir, "lines", made)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +38,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).groupBy("book_id", "page_idx").agg(joined.alias("raw_text"))
 
 
-def ingestion(spark: SparkSession, sf_dir: str) -> Ingestion:
-    return Ingestion(pages(spark, sf_dir).persist(), 0, 0, keep=lambda df: df.persist())
+def ingestion(spark: SparkSession, sf_dir: str) -> ingest.Ingestion:
+    made = lambda: ingest.Ingestion(pages(spark, sf_dir), 0, 0, keep=lambda df: rewritten(df, "ingest"))
+    return _once(spark, sf_dir, "ingestion", made)
+
+
+def whole_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks without splitting any text, so that SQL can number the same groups."""
+    made = lambda: rewritten(ingest.chunks(ingestion(spark, sf_dir).groups, max_chars=1 << 30), "chunks")
+    return _once(spark, sf_dir, "chunks", made)

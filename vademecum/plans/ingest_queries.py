@@ -136,7 +136,7 @@ def a21_ingestion_counters(spark, sf_dir):
 
 @query(handbook_sql("SELECT book_id, mono_ord, logical_key, sha256(logical_key || '::' || text) AS content_hash FROM ck"))
 def w5_chunk_ordinals(spark, sf_dir):
-    rows = I.chunks(run(spark, sf_dir).groups, max_chars=1 << 30)  # no text is split, so that SQL can number the groups
+    rows = handbook.whole_chunks(spark, sf_dir)
     return rows.select("book_id", "mono_ord", "logical_key", "content_hash")
 
 

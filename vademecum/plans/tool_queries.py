@@ -8,11 +8,10 @@ from vademecum import vocabulary as V
 from vademecum.functions import identity, text
 from vademecum.operators import dosing as D
 from vademecum.operators import evaluation as E
-from vademecum.operators import ingest as I
 from vademecum.operators import names as N
 from vademecum.operators import reports as P
 from vademecum.operators import retrieval as R
-from vademecum.plans import handbook
+from vademecum.plans.handbook import whole_chunks as chunks
 from vademecum.plans import sql as S
 from vademecum.plans.registry import query, table
 from vademecum.plans.score_queries import _Q, _V, corpus as vector_corpus, queries as vector_queries
@@ -22,11 +21,6 @@ _NAME = "p_name || ' ' || translate(CAST(p_partkey AS STRING), '0123456789', 'ab
 _REQ = f"req AS (SELECT p_partkey AS request_id, p_size, {_NAME} AS canonical, lag({_NAME}) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS prev, lead({_NAME}) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS next FROM part)"
 
 
-def chunks(spark, sf_dir):
-    """The handbook's chunks without splitting, as in the SQL."""
-    return I.chunks(handbook.ingestion(spark, sf_dir).groups, max_chars=1 << 30).persist()
-
-
 def requests(spark, sf_dir):
     return table(spark, sf_dir, "part").selectExpr(
         "p_partkey AS request_id", "p_size", f"{_NAME} AS canonical", f"lag({_NAME}) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS prev",
