@@ -150,3 +150,10 @@ def u1_hash_embedder(spark, sf_dir):
     digest = F.sha2(F.col("text"), 256)
     byte = lambda i: F.conv(F.substring(digest, 2 * i + 1, F.lit(2)), 16, 10)
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), byte), ",").alias("h"))
+
+
+@query(f"WITH {_BASE} SELECT count(*) AS n FROM base")
+def g2_embed(spark, sf_dir):
+    """The embedding job over all chunks; the saved vectors are counted."""
+    rows = tables.cached_embeddings(keyed_corpus(spark, sf_dir), "Hash/32", tables.scratch(spark, "cache"), embed)
+    return rows.where("size(vector) = 8").agg(F.count(F.lit(1)).alias("n"))

@@ -196,3 +196,21 @@ def o4_topk_intersect(spark, sf_dir):
 def g3_benchmark(spark, sf_dir):
     """The whole benchmark: two models scored, ranked, averaged and put into a scorecard."""
     return a13_scorecard(spark, sf_dir)
+
+
+@query(f"{_M2} SELECT model, {_A6} FROM m GROUP BY model")
+def s7_scorecard(spark, sf_dir):
+    """Writes the scorecard as JSON and reads it back."""
+    from vademecum.sources import tables
+
+    folder = tables.scratch(spark, "scorecard")
+    card = E.scorecard(E.long_form(E.mean_metrics(model_metrics(spark, sf_dir), ["model"]), ["model"]))
+    tables.write_scorecard(card, folder)
+    return rounded(spark.read.schema(card.schema).json(f"{folder}/scorecard"), "model")
+
+
+@query(f"{_WITH}, rr AS (SELECT query_id, logical_key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY -rank DESC, rank) AS INT) AS new_rank FROM (SELECT *, 21 - rank AS back FROM rk WHERE rank <= 20)) SELECT query_id, logical_key, new_rank FROM rr WHERE new_rank <= 20")
+def u2_pair_scorer(spark, sf_dir):
+    """The reranking seam with a scorer that keeps the first order."""
+    hits = R.ranked(pairs(spark, sf_dir), ["query_id"], 20).withColumn("rerank_score", -F.col("rank").cast("double"))
+    return R.rerank(hits, ["query_id"], 20).select("query_id", "logical_key", "new_rank")
