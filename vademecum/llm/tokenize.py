@@ -1,19 +1,41 @@
 """Token ids by the tokenizers library, as little-endian 32-bit bytes.
 
-Byte-level and word-end BPE tokenizers cut a text at white space before they merge anything, so the ids of a text are
-those of its cuts (a run of white space with the word after it) one after the other. Each cut is encoded by the
-library once per worker and then looked up; a tokenizer that doesn't cut like that gets whole texts.
+Byte-level and word-end BPE tokenizers part a text at white space before they merge anything, so the ids of a text are
+those of its cuts one after the other: words, with the white space before them where the tokenizer keeps it. Each cut is
+encoded by the library once per worker and then looked up. Cuts that aren't known yet are encoded many at a time, as one
+text, whose ids are parted again at tokens that begin (or end) a word. A tokenizer that doesn't part like that gets
+whole texts.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from itertools import chain
 
-#: Cuts that a worker remembers before it starts anew.
-MEMO_ENTRIES = 400_000
-#: The characters with the Unicode property White_Space.
+import numpy as np
+
+#: Cuts that a worker remembers before it starts anew, and cuts that are encoded as one text.
+MEMO_ENTRIES, JOINED = 400_000, 500
+#: ASCII marks but for the apostrophe.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The characters with the Unicode property White_Space, and those that only str.split() parts at.
 WHITE = "\t-\r \x85\xa0  -     　"
+ONLY_SPLIT = "\x1c-\x1f"
+
+#: Letters that stay letters when they are composed or lower-cased.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+class Memo(dict):
+    """Ids by cut. A cut that isn't known is noted and stands for itself until it is learned."""
+
+    def __init__(self) -> None:
+        self.new: set[str] = set()
+
+    def __missing__(self, cut: str) -> str:
+        self.new.add(cut)
+        return cut
 
 
 class TokenBytes:
@@ -35,25 +57,112 @@ class TokenBytes:
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         normalizer, splitter = json.dumps(config.get("normalizer")), json.dumps(config.get("pre_tokenizer"))
-        drops_white = "Replace" in normalizer and "\\\\s+" in normalizer
         byte_level = '"ByteLevel"' in splitter and '"add_prefix_space": true' not in splitter
-        if drops_white and byte_level:
-            self.cuts = re.compile(f"[^{WHITE}]+")
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values()) + 1
+        self.edge = np.zeros(size, bool)
+        self.memo = Memo()
+        self.spaced = Memo()  # ids of a word with one space before it, by the word
+        if byte_level and "Replace" in normalizer and "\\\\s+" in normalizer and config["model"].get("end_of_word_suffix"):
+            self.parts = self._words
+            self.lower = "Lowercase" in normalizer
+            self.edge[[i for t, i in vocabulary.items() if t.endswith(config["model"]["end_of_word_suffix"])]] = True
         elif byte_level and '"Split"' not in splitter and config.get("normalizer") is None:
-            self.cuts = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+            self.parts = self._runs
+            self.edge[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         else:
-            self.cuts = re.compile("(?s).+")
-        self.memo: dict[str, bytes] = {}
+            self.parts = lambda text: ([text], ())
+        self.odd = re.compile(f"[{ONLY_SPLIT}]")
+        self.words = re.compile(f"[^{WHITE}]+")
+        self.runs = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+
+    def _words(self, text: str) -> tuple[list[str], tuple]:
+        """The cuts of a tokenizer that drops white space. Texts of Latin-1 letters are lower-cased first if the
+        tokenizer does that; other letters are left to it, since composing may come before."""
+        if self.lower:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return (self.words.findall(text) if self.odd.search(text) else text.split()), ()
+
+    def _runs(self, text: str) -> tuple[list[str], list[list[str]]]:
+        """The cuts of a tokenizer that keeps white space: other cuts, and per line the words after its first, each
+        with one space before it. Texts with uneven white space have other cuts only."""
+        double = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+        if double or text[-1] in " \n" or len(text.split()) != text.count(" ") + text.count("\n") + (text[0] not in " \n"):
+            return self.runs.findall(text), []
+        lines = [line.split(" ") for line in text.split("\n")]
+        heads = ["\n" + words[0] for words in lines]
+        heads[0] = lines[0][0]
+        return heads, [words[1:] for words in lines]
+
+    def _alone(self, cuts: list[str]) -> dict[str, bytes]:
+        found = {}
+        for start in range(0, len(cuts), 2000):
+            part = cuts[start : start + 2000]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                found[c] = np.array(e.ids, "<u4").tobytes()
+        return found
+
+    def _together(self, cuts: list[str], joiner: str, begins: bool) -> list[bytes] | None:
+        """The ids of some cuts encoded as one text; None if the ids don't part into as many cuts."""
+        ids = np.array(self.tokenizer.encode_batch_fast([joiner.join(cuts)], add_special_tokens=False)[0].ids, "<u4")
+        edges = np.flatnonzero(self.edge[ids])
+        if len(edges) != len(cuts) or not len(ids):
+            return None
+        bounds = np.append(edges, len(ids)) if begins else np.concatenate([[0], edges + 1])
+        if bounds[0] != 0 or bounds[-1] != len(ids):
+            return None
+        raw, at = ids.tobytes(), (4 * bounds).tolist()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _learn(self) -> None:
+        """Encodes the cuts that were met and aren't known. Letters with marks after them are two tokens' places in
+        either kind of tokenizer, so such a cut is put together from its letters and its marks."""
+        made = []
+        for memo in (self.memo, self.spaced):
+            for cut in list(memo.new):
+                letters = cut.rstrip(MARKS)
+                if len(letters) < len(cut) and LETTERS.fullmatch(letters):
+                    made.append((memo, cut, letters, cut[len(letters) :]))
+                    memo.new.discard(cut)
+                    memo.new.add(letters)
+                    self.memo.new.add(cut[len(letters) :])
+        new = [c for c in self.memo.new if c not in self.memo]
+        if self.parts == self._words:
+            plain = [c for c in new if LETTERS.fullmatch(c)]
+            self._joined(plain, plain, " ", False, self.memo)
+        self.memo.update(self._alone([c for c in new if c not in self.memo]))
+        words = [w for w in self.spaced.new if w not in self.spaced]
+        self._joined(words, [" " + w for w in words], "", True, self.spaced)
+        left = [w for w in words if w not in self.spaced]
+        alone = self._alone([" " + w for w in left])
+        self.spaced.update({w: alone[" " + w] for w in left})
+        for memo, cut, letters, marks in made:
+            memo[cut] = memo[letters] + self.memo[marks]
+        self.memo.new.clear()
+        self.spaced.new.clear()
+
+    def _joined(self, keys: list[str], cuts: list[str], joiner: str, begins: bool, memo: dict[str, bytes]) -> None:
+        for start in range(0, len(keys), JOINED):
+            found = self._together(cuts[start : start + JOINED], joiner, begins)
+            if found:
+                memo.update(zip(keys[start : start + JOINED], found, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none) without special tokens, four bytes each."""
-        memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
+        memo, spaced = self.memo, self.spaced
+        if len(memo) + len(spaced) > MEMO_ENTRIES:
             memo.clear()
-        cut = [self.cuts.findall(t) if t else [] for t in texts]
-        missing = list({c for cuts in cut for c in cuts if c not in memo})
-        for start in range(0, len(missing), 2000):
-            part = missing[start : start + 2000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[c] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-        return [b"".join(map(memo.__getitem__, cuts)) for cuts in cut]
+            spaced.clear()
+        found: list[tuple[list, list[list]]] = []
+        for text in texts:
+            heads, lines = self.parts(text) if text else ((), ())
+            found.append((list(map(memo.__getitem__, heads)), [list(map(spaced.__getitem__, words)) for words in lines]))
+        if memo.new or spaced.new:
+            self._learn()
+            learned = lambda m, cuts: [c if type(c) is bytes else m[c] for c in cuts]
+            found = [(learned(memo, heads), [learned(spaced, words) for words in lines]) for heads, lines in found]
+        return [b"".join(chain.from_iterable((h, *words) for h, words in zip(heads, lines, strict=True)) if lines else heads) for heads, lines in found]
