@@ -6,17 +6,20 @@ more of the labelled toxic documents than of the clean ones; in toxic documents,
 toxic. The field is trained on these labelled words. Its features are the evidence for the whole word and for its
 beginnings, the word's form, and the state before; a word never sees its document's label, language or source.
 
-Forward-backward marginals give each word its probability of being toxic. A document's score is the probability that
-any of its words is toxic, with the words taken as independent given the marginals. Runs of words over one half make the
-offending spans, as character offsets in the text. A null or empty text has no words and scores 0.
+Forward-backward marginals give each word its probability of being toxic. A document's weight is the sum of its words'
+evidence times these probabilities, and its score is a logistic function of the weight that is fitted to the labels of
+a bounded sample of documents. Runs of words over one half make the
+offending spans, as character offsets in the text. A null or empty text has no words and the score of no evidence.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +27,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vademecum.llm.shared import column_of, fields, looked_up, sampled_labels, slices
-from vademecum.llm.words import MEMO_ENTRIES, SPACES
+from vademecum.llm.words import MEMO_ENTRIES
 
-#: About how many labelled rows are used at most: for the evidence, and of each label to train the field.
+#: About how many labelled rows are used at most: for the evidence, and of each label to train the field
+#: and to calibrate its scores.
 LABELLED = 60_000
-TRAINED = 250
+TRAINED, CALIBRATED = 250, 1500
 #: Evidence kept at most; it must be shown by LEAST toxic documents and LEAST_SHARE of them more.
-LEXICON, LEAST, LEAST_SHARE = 20_000, 4, 0.005
+LEXICON, LEAST, LEAST_SHARE = 20_000, 4, 0.03
+#: Clean documents that are added to a key's count, and the least log odds of evidence.
+PRIOR, STRONG = 1.0, 3.0
 THRESHOLD = 0.7
 N_FEATURES = 5
+#: Word scores that a worker remembers before it starts anew.
+EMISSIONS = 300_000
 _edges = ".,;:!?#*$%&|<>()[]{}\"'`~^_-+=/\\"
-_word = re.compile(f"[^{SPACES}]+")
+_word = re.compile(r"\S+")  # the words of str.split()
 
 
 def keys_of(word: str) -> list[str]:
@@ -51,6 +59,7 @@ class Field:
     weights: np.ndarray
     moves: np.ndarray  # 2 x 2 log scores, from row to column
     start: np.ndarray
+    curve: tuple[float, float] = (-6.0, 4.0)  # of the score: intercept, and slope on log(1 + weight)
 
     def features(self, word: str) -> tuple[float, ...]:
         keys = keys_of(word)
@@ -61,15 +70,49 @@ class Field:
 
 
 class Emissions(dict):
-    """Toxic-state score of each word, remembered per worker."""
+    """Toxic-state score and evidence of each word, remembered per worker."""
 
     def __init__(self, field: Field) -> None:
-        self.field = field
+        self.field, self.weights = field, field.weights.tolist()
 
-    def __missing__(self, word: str) -> float:
-        value = self[word] = float(np.dot(self.field.weights, self.field.features(word)))
+    def __missing__(self, word: str) -> tuple[float, float]:
+        features = self.field.features(word)
+        value = self[word] = (sum(w * x for w, x in zip(self.weights, features, strict=True)), features[1])
         return value
 
+    def weigh(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words of some texts: marginals end to end, offsets of the texts, and the weight of each text."""
+        if len(self) > EMISSIONS:
+            self.clear()
+        sizes = np.array([len(w) for w in words])
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        both = np.array(list(map(self.__getitem__, chain.from_iterable(words)))).reshape(-1, 2)
+        first = np.zeros(len(both), bool)
+        first[offsets[:-1][sizes > 0]] = True
+        p = marginals(both[:, 0], first, self.field.moves, self.field.start)
+        text = np.repeat(np.arange(len(words)), sizes)
+        return p, offsets, np.bincount(text, p * both[:, 1], minlength=len(words))
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        a, b = self.field.curve
+        return 1 / (1 + np.exp(-(a + b * np.log1p(weights))))
+
+
+def calibrated(field: Field, weights: np.ndarray, labels: np.ndarray, share: float) -> Field:
+    """The field with its score curve fitted to labelled weights by Newton steps; ``share`` is the part of toxic
+    documents among all labelled ones. Without both labels the default curve stays."""
+    if len(set(labels.tolist())) < 2:
+        return field
+    x = np.stack([np.ones(len(weights)), np.log1p(weights)], 1)
+    part = np.where(labels == 1, share / max(1, (labels == 1).sum()), (1 - share) / max(1, (labels == 0).sum())) * len(labels)
+    w = np.array(field.curve)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        gradient = x.T @ (part * (labels - p)) - 0.05 * w
+        curvature = (x * (part * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
+        w = w + np.clip(np.linalg.solve(curvature, gradient), -2, 2)
+    return Field(field.lexicon, field.weights, field.moves, field.start, (float(w[0]), max(0.0, float(w[1]))))
+
 
 def _steps(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, start: np.ndarray) -> np.ndarray:
     """For each word the 2 x 2 matrix that carries the states before it to its own, (n, 2, 2), largest entry 1. A
@@ -201,15 +244,12 @@ def evidence(known: DataFrame) -> dict[str, float]:
         yield pa.RecordBatch.from_pydict({"key": pa.array([""]), "clean": pa.array([total[0]]), "toxic": pa.array([total[1]])})
 
     counts = known.mapInArrow(run, "key string, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    totals = counts.where(F.col("key") == "").select(F.col("toxic").alias("_all"))
-    least = LEAST + LEAST_SHARE * F.coalesce(F.col("_all"), F.lit(0))
-    shown = counts.join(F.broadcast(totals), F.lit(True), "left")  # one row
-    enough = shown.where((F.col("toxic") >= least) & (F.col("toxic") * 2 > F.col("clean")) | (F.col("key") == "")).drop("_all")
+    enough = counts.where((F.col("toxic") >= LEAST) & (F.col("toxic") * 2 > F.col("clean")) | (F.col("key") == ""))
     rows = enough.orderBy((F.col("key") == "").desc(), (F.col("toxic") / (F.col("clean") + 1)).desc(), "key").limit(LEXICON + 1).collect()
     by = {r["key"]: (r["clean"], r["toxic"]) for r in rows}
     clean, toxic = by.pop("", (0, 0))
-    odds = {k: float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))) for k, (c, t) in by.items()}
-    return {k: min(v, 8.0) for k, v in odds.items() if v > 2.5}
+    odds = {k: float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + PRIOR) / (clean + 1))) for k, (c, t) in by.items() if t >= LEAST + LEAST_SHARE * toxic}
+    return {k: min(v, 8.0) for k, v in odds.items() if v > STRONG}
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: str = "true") -> Field:
@@ -217,12 +257,22 @@ def fit(docs: DataFrame, labels: DataFrame, where: str = "true") -> Field:
     ids, toxic = sampled_labels(labels, "toxic", LABELLED, where)
     lexicon = evidence(_labelled(docs, ids, toxic))
     spread = np.random.default_rng(1)
-    chosen = np.sort(np.concatenate([spread.permutation(np.flatnonzero(toxic == k))[:TRAINED] for k in (0, 1)])).astype(np.int64)
-    rows = _labelled(docs, ids[chosen], toxic[chosen]).collect()  # at most 2 * TRAINED documents
-    texts = [(r["text"] or "").split() for r in rows]
-    strong = {k: v for k, v in lexicon.items() if v > 3.0}
-    tags = [np.array([int(r["label"] == 1 and any(k in strong for k in keys_of(w))) for w in words], np.int64) for r, words in zip(rows, texts, strict=True)]
-    return train(texts, tags, lexicon)
+    chosen = np.sort(np.concatenate([spread.permutation(np.flatnonzero(toxic == k))[:CALIBRATED] for k in (0, 1)])).astype(np.int64)
+    rows = _labelled(docs, ids[chosen], toxic[chosen]).collect()  # at most 2 * CALIBRATED documents
+    rows.sort(key=lambda r: (hash_of(r["text"]), r["label"]))
+    first = [r for k in (0, 1) for r in [r for r in rows if r["label"] == k][:TRAINED]]
+    texts = [(r["text"] or "").split() for r in first]
+    tags = [np.array([int(r["label"] == 1 and any(k in lexicon for k in keys_of(w))) for w in words], np.int64) for r, words in zip(first, texts, strict=True)]
+    field = train(texts, tags, lexicon)
+    memo, weights = Emissions(field), []
+    for k in range(0, len(rows), 100):
+        weights.append(memo.weigh([(r["text"] or "").split() for r in rows[k : k + 100]])[2])
+    labels_of = np.array([r["label"] for r in rows], np.int64)
+    return calibrated(field, np.concatenate([*weights, np.zeros(0)]), labels_of, float((toxic == 1).mean()) if len(toxic) else 0.0)
+
+
+def hash_of(text: str | None) -> int:
+    return zlib.crc32((text or "").encode("utf-8", "surrogatepass"))
 
 
 def score(docs: DataFrame, field: Field, keep: list[str]) -> DataFrame:
@@ -233,19 +283,10 @@ def score(docs: DataFrame, field: Field, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Emissions(shared.value)
         for batch in slices(batches, 256):
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
             texts = [t or "" for t in column_of(batch, "text")]
-            words = [_word.findall(t) for t in texts]
-            sizes = np.array([len(w) for w in words])
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            emitted = np.fromiter((memo[w] for own in words for w in own), np.float64, int(offsets[-1]))
-            first = np.zeros(len(emitted), bool)
-            first[offsets[:-1][sizes > 0]] = True
-            p = marginals(emitted, first, shared.value.moves, shared.value.start)
-            text = np.repeat(np.arange(len(texts)), sizes)
-            none = np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(texts))
-            total = np.clip(-np.expm1(none), 0.0, 1.0)
+            p, offsets, weights = memo.weigh([t.split() for t in texts])
+            total = memo.scores(weights)
+            text = np.repeat(np.arange(len(texts)), np.diff(offsets))
             hot = np.bincount(text[p > 0.5], minlength=len(texts))
             spans = [_spans(texts[i], p[offsets[i] : offsets[i + 1]]) if hot[i] else [] for i in range(len(texts))]
             kept = [batch.column(batch.schema.get_field_index(k)) for k in keep]
