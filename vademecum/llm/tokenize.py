@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Cuts that a worker remembers before it starts anew, and cuts that are encoded as one text.
-MEMO_ENTRIES, JOINED = 400_000, 500
+MEMO_ENTRIES, JOINED = 300_000, 500
 #: ASCII marks but for the apostrophe.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The characters with the Unicode property White_Space, and those that only str.split() parts at.

@@ -40,7 +40,7 @@ PRIOR, STRONG = 1.0, 3.0
 THRESHOLD = 0.7
 N_FEATURES = 5
 #: Word scores that a worker remembers before it starts anew.
-EMISSIONS = 300_000
+EMISSIONS = 150_000
 _edges = ".,;:!?#*$%&|<>()[]{}\"'`~^_-+=/\\"
 _word = re.compile(r"\S+")  # the words of str.split()
 
@@ -86,7 +86,7 @@ class Emissions(dict):
             self.clear()
         sizes = np.array([len(w) for w in words])
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        both = np.array(list(map(self.__getitem__, chain.from_iterable(words)))).reshape(-1, 2)
+        both = np.fromiter(chain.from_iterable(map(self.__getitem__, chain.from_iterable(words))), np.float64, 2 * int(offsets[-1])).reshape(-1, 2)
         first = np.zeros(len(both), bool)
         first[offsets[:-1][sizes > 0]] = True
         p = marginals(both[:, 0], first, self.field.moves, self.field.start)
@@ -238,7 +238,7 @@ def evidence(known: DataFrame) -> dict[str, float]:
                 total[kind] += 1
                 for key in {k for w in set((text or "").split()) for k in keys_of(w)}:
                     counts[key][kind] += 1
-            if len(counts) > MEMO_ENTRIES:
+            if len(counts) > MEMO_ENTRIES // 2:
                 yield flush()
         yield flush()
         yield pa.RecordBatch.from_pydict({"key": pa.array([""]), "clean": pa.array([total[0]]), "toxic": pa.array([total[1]])})

@@ -11,7 +11,7 @@ import xxhash
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Entries a worker keeps in a memo before starting it anew; bounds memory, never changes results.
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 150_000
 
 
 class WordHashes(dict):
