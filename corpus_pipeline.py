@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vademecum.llm import bin_packing, near_duplicates, quality, toxicity
 from vademecum.llm.queries import tokenizer_path
-from vademecum.llm.shared import written
+from vademecum.llm.shared import text_batches, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
@@ -37,12 +38,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates; rows without doc_id stay."""
+    text_batches(spark)
     dropped = near_duplicates.groups(docs).where("NOT kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the remaining documents into sequences."""
+    text_batches(spark)
     return bin_packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
