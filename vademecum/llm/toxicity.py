@@ -33,7 +33,8 @@ from vademecum.llm.words import MEMO_ENTRIES
 #: and to calibrate its scores.
 LABELLED = 60_000
 TRAINED, CALIBRATED = 250, 1500
-#: Evidence kept at most; it must be shown by LEAST toxic documents and LEAST_SHARE of them more.
+#: Evidence kept at most; LEAST toxic documents must show it, and more the more there are (up to LEAST_SHARE of them),
+#: so that words which chance or copies put into toxic documents don't count.
 LEXICON, LEAST, LEAST_SHARE = 20_000, 4, 0.03
 #: Clean documents that are added to a key's count, and the least log odds of evidence.
 PRIOR, STRONG = 1.0, 3.0
@@ -248,7 +249,7 @@ def evidence(known: DataFrame) -> dict[str, float]:
     rows = enough.orderBy((F.col("key") == "").desc(), (F.col("toxic") / (F.col("clean") + 1)).desc(), "key").limit(LEXICON + 1).collect()
     by = {r["key"]: (r["clean"], r["toxic"]) for r in rows}
     clean, toxic = by.pop("", (0, 0))
-    odds = {k: float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + PRIOR) / (clean + 1))) for k, (c, t) in by.items() if t >= LEAST + LEAST_SHARE * toxic}
+    odds = {k: float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + PRIOR) / (clean + 1))) for k, (c, t) in by.items() if t >= LEAST + LEAST_SHARE * toxic * toxic / (toxic + 1000)}
     return {k: min(v, 8.0) for k, v in odds.items() if v > STRONG}
 
 
