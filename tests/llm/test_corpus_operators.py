@@ -201,6 +201,30 @@ def test_index_stops_early_only_on_proof():
             assert [(-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True)] == order
 
 
+class Fetched:
+    """Vectors that count the rows fetched whole."""
+
+    def __init__(self, vectors):
+        self.vectors, self.shape, self.rows = vectors, vectors.shape, 0
+
+    def __getitem__(self, rows):
+        self.rows += len(rows)
+        return self.vectors[rows]
+
+
+def test_index_fetches_only_rows_still_possible():
+    rng = np.random.default_rng(10)
+    vectors = np.floor(256 * (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(2000, 64)))).astype(np.int64)
+    index = impact_topk.ImpactIndex(np.arange(2000), vectors)
+    index.vectors = Fetched(vectors)
+    for i in range(20):
+        index.vectors.rows = 0
+        ids, scores = index.top(vectors[i], i, 5)
+        order = sorted((-int(vectors[j] @ vectors[i]), j) for j in range(2000) if j != i)[:5]
+        assert [(-s, j) for s, j in zip(scores.tolist(), ids.tolist(), strict=True)] == order
+        assert index.vectors.rows <= 200
+
+
 def test_top_k_query_equals_sql(spark, sf_dir):
     assert_same(queries.queries()["op9_impact_topk"](spark, sf_dir), connect(sf_dir), queries.oracle_sql()["op9_impact_topk"])
 

@@ -6,9 +6,9 @@ dimension run from the highest impact (weight times component) downwards. A post
 run between two impact levels. For a query, the segments of all dimensions are processed level by level, highest impacts
 first, each adding its impacts to the vectors' partial scores. Impacts are counted above the lowest of their dimension,
 so they are never negative: a vector's score lies between its partial score and that plus, for every dimension not yet
-met, the level reached. Processing stops only when that proves all but a few vectors out of the top k, or when all is
-processed; the vectors left are then scored exactly from their full vectors. The result is exact, ties go to the smaller
-id.
+met, the highest impact that the dimension has left. Processing stops only when that proves all but a few vectors out of
+the top k, or at impact 0, when all is processed; only the vectors that are still possible are then scored exactly from
+their full vectors. The result is exact, ties go to the smaller id.
 
 Query blocks meet index blocks through an equi-join on the pair of block numbers; each pair gives at most k rows per
 query, and the k best over all pairs are taken by a window per query. Vectors that are null or empty, or hold a null or
@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 from vademecum.llm.shared import slices
 
 INDEX_ROWS, QUERY_ROWS = 8192, 2048
-#: Impact levels as shares of the block's highest impact for the query.
-LEVELS = (0.75, 0.6, 0.5, 0.4, 0.3)
+#: Impact levels as shares of the block's highest impact for the query; at the last one all postings that add anything are
+#: processed.
+LEVELS = (0.5, 0.25, 0.12, 0.07, 0.045, 0.03, 0.015, 0.0)
+#: No more postings are processed once at most so many rows for each of the k wanted are still possible.
+FEW = 32
 
 
 class ImpactIndex:
@@ -42,45 +45,46 @@ class ImpactIndex:
 
     def top(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows whose id isn't ``query_id``."""
-        n, dims = self.vectors.shape
-        lowest = np.where(query >= 0, self.values[:, 0], self.values[:, -1])
-        highest = np.where(query >= 0, self.values[:, -1], self.values[:, 0])
-        most = query * (highest - lowest)  # per dimension, >= 0
-        partial, met = np.zeros(n, np.int64), np.zeros(n, np.int32)
+        left = self.possible(query, query_id, k)
+        scores = self.vectors[left] @ query
+        best = np.lexsort((self.ids[left], -scores))[:k]
+        return self.ids[left][best], scores[best]
+
+    def possible(self, query: np.ndarray, query_id: int, k: int) -> np.ndarray:
+        """The rows other than ``query_id`` that the bounds can't prove out of the k best."""
+        n, dims = len(self.ids), len(self.values)
+        own = self.ids == query_id
+        if n <= k:
+            return np.flatnonzero(~own)
+        up = query >= 0
+        lowest = np.where(up, self.values[:, 0], self.values[:, -1])
+        rest = query * (np.where(up, self.values[:, -1], self.values[:, 0]) - lowest)  # most that an open posting adds, >= 0
+        partial, open_ = np.zeros(n, np.int64), np.ones((dims, n), np.float32)
         done = np.zeros(dims, np.int64)  # postings processed per dimension
-        left = np.arange(n)
+        highest = int(rest.max())
         for share in LEVELS:
-            if n <= 4 * k:
-                break
-            level = int(most.max() * share)
-            for d in np.flatnonzero(most > level):
+            level = int(highest * share)
+            for d in np.flatnonzero(rest > level):
                 # postings of dimension d with an impact over the level, beyond those already processed
                 bound = level // abs(int(query[d]))  # impact > level  <=>  distance from the lowest > bound
                 if query[d] > 0:
                     upto = n - int(np.searchsorted(self.values[d], lowest[d] + bound, side="right"))
-                    part = slice(n - upto, n - done[d])
+                    part, after = slice(n - upto, n - done[d]), n - upto - 1
                 else:
                     upto = int(np.searchsorted(self.values[d], lowest[d] - bound, side="left"))
-                    part = slice(done[d], upto)
-                if upto <= done[d]:
-                    continue
+                    part, after = slice(done[d], upto), upto
                 rows = self.rows[d, part]
                 partial[rows] += query[d] * (self.values[d, part] - lowest[d])
-                met[rows] += 1
+                open_[d, rows] = 0
                 done[d] = upto
-            own = self.ids == query_id
-            sure = np.where(own, -1, partial)
-            proof = np.partition(sure, n - k)[n - k]
-            most_left = np.minimum(level * (dims - met), np.minimum(most, level).sum())
+                rest[d] = query[d] * (self.values[d, after] - lowest[d])
+            proof = np.partition(np.where(own, -1, partial), n - k)[n - k]
+            # the sums are of float32: rounded up by more than their error
+            most_left = np.ceil((rest.astype(np.float32) @ open_).astype(np.float64) * (1 + 1e-6 * (dims + 1))).astype(np.int64)
             left = np.flatnonzero((partial + most_left >= proof) & ~own)
-            if len(left) <= n // 4:
+            if len(left) <= FEW * k:
                 break
-        else:
-            left = np.arange(n)
-        left = left[self.ids[left] != query_id]
-        scores = self.vectors[left] @ query
-        best = np.lexsort((self.ids[left], -scores))[:k]
-        return self.ids[left][best], scores[best]
+        return left
 
 
 def quantised(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
