@@ -259,6 +259,18 @@ def test_toxicity_finds_planted_words(spark):
             assert all(w[:4] in ("vile", "nast", "grim") for w in r.text[s.begin : s.end].split())
 
 
+def test_licence_notices_with_any_gap(spark):
+    notices = {
+        "This work is in the public{}domain.": "Public-Domain",
+        "Released into the public{}domain.": "Public-Domain",
+        "All rights{}reserved.": "All-Rights-Reserved",
+    }
+    gaps = [" ", "\n", "\r\n", "  ", "\t", " \n  ", "-"]
+    rows = [(i, n.format(g), name) for i, (g, (n, name)) in enumerate((g, x) for g in gaps for x in notices.items())]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()
+    assert [(r.text, r.licences) for r in got if r.licences != [r["name"]]] == []
+
+
 def test_licences(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n"
     rows = [(1, mit), (2, "text\nReleased under the MIT License.\nAll rights reserved."), (3, None), (4, ""), (5, "licence of nothing"), (6, "See the GNU General Public License for more details."), (7, "Licensed under the Apache License, Version 2.0.\nLicensed under the Apache License, Version 2.0.")]

@@ -98,6 +98,8 @@ RULES = [
 ]
 #: Every known sentence has one of these letter runs.
 HINT = "licen|copyright|permission|redistribut|warranty|public domain|free software|liable|cc0|rights reserved"
+#: The same in a text as it is, where any gap can part the words of a sentence.
+RAW_HINT = HINT.replace(" ", "[^a-z0-9]+")
 _WRAP = ("([^.!?:;|\\s])[ \\t]*\\r?\\n[ \\t]*([a-z])", "$1 $2")
 _END = ("([.!?:;|])[ \\t]+", "$1\n")
 
@@ -139,7 +141,7 @@ def matched(ids: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds sentence_ids (array), licences (array) and unknown_notices (how many identifiers no rule took)."""
     empty = F.array().cast("array<string>")
-    hinted = F.lower(F.col(text)).rlike(HINT)
+    hinted = F.lower(F.col(text)).rlike(RAW_HINT)
     rows = docs.withColumn("sentence_ids", F.when(hinted, sentence_ids(F.col(text))).otherwise(empty))
     found = F.when(F.size("sentence_ids") > 0, matched(F.col("sentence_ids")))
     rows = rows.withColumn("_match", found)
