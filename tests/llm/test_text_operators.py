@@ -259,6 +259,18 @@ def test_toxicity_finds_planted_words(spark):
             assert all(w[:4] in ("vile", "nast", "grim") for w in r.text[s.begin : s.end].split())
 
 
+def test_evidence_depends_on_rates_not_on_size(spark):
+    def found(toxic, clean, t, c):
+        rows = [(f"{k} t{k} {'grebnax' if k < t else ''}", 1) for k in range(toxic)] + [(f"{k} c{k} {'grebnax' if k < c else ''}", 0) for k in range(clean)]
+        rows += [("copied zweeble", 1)] * 60
+        return toxicity.evidence(spark.createDataFrame(rows, "text string, label long"))
+
+    for toxic, clean, t, c in ((1500, 6000, 25, 0), (150, 600, 12, 0), (100, 5000, 60, 130)):
+        keys = found(toxic, clean, t, c)
+        assert "grebnax" in keys and "zweeble" not in keys
+    assert "grebnax" not in found(300, 600, 3, 0)
+
+
 def test_licence_notices_with_any_gap(spark):
     notices = {
         "This work is in the public{}domain.": "Public-Domain",

@@ -33,9 +33,9 @@ from vademecum.llm.words import MEMO_ENTRIES
 #: and to calibrate its scores.
 LABELLED = 60_000
 TRAINED, CALIBRATED = 250, 1500
-#: Evidence kept at most; LEAST toxic documents must show it, and more the more there are (up to LEAST_SHARE of them),
-#: so that words which chance or copies put into toxic documents don't count.
-LEXICON, LEAST, LEAST_SHARE = 20_000, 4, 0.03
+#: Evidence kept at most; LEAST toxic texts must show it, and with both labels dealt at random a key's texts would be as
+#: often toxic with a probability of CHANCE at most. Equal texts count once, so copies don't make evidence.
+LEXICON, LEAST, CHANCE = 20_000, 4, 1e-5
 #: Clean documents that are added to a key's count, and the least log odds of evidence.
 PRIOR, STRONG = 1.0, 3.0
 THRESHOLD = 0.7
@@ -221,6 +221,16 @@ def _labelled(docs: DataFrame, ids: np.ndarray, values: np.ndarray) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, "text string, label long")
 
 
+def by_chance(c: int, t: int, clean: int, toxic: int) -> float:
+    """Chernoff's bound on the probability that ``t`` or more of c + t texts are toxic where ``toxic`` of clean + toxic
+    are; 1 where their share isn't over the common one."""
+    share, own = (toxic + 1) / (clean + toxic + 2), t / max(1, c + t)
+    if own <= share:
+        return 1.0
+    distance = own * np.log(own / share) + (0.0 if c == 0 else (1 - own) * np.log((1 - own) / (1 - share)))
+    return float(np.exp(-(c + t) * distance))
+
+
 def evidence(known: DataFrame) -> dict[str, float]:
     """Log odds of the keys that the labelled toxic documents show far more often than the clean ones."""
 
@@ -244,12 +254,12 @@ def evidence(known: DataFrame) -> dict[str, float]:
         yield flush()
         yield pa.RecordBatch.from_pydict({"key": pa.array([""]), "clean": pa.array([total[0]]), "toxic": pa.array([total[1]])})
 
-    counts = known.mapInArrow(run, "key string, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    enough = counts.where((F.col("toxic") >= LEAST) & (F.col("toxic") * 2 > F.col("clean")) | (F.col("key") == ""))
+    counts = known.dropDuplicates(["text", "label"]).mapInArrow(run, "key string, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    enough = counts.where((F.col("toxic") >= LEAST) | (F.col("key") == ""))
     rows = enough.orderBy((F.col("key") == "").desc(), (F.col("toxic") / (F.col("clean") + 1)).desc(), "key").limit(LEXICON + 1).collect()
     by = {r["key"]: (r["clean"], r["toxic"]) for r in rows}
     clean, toxic = by.pop("", (0, 0))
-    odds = {k: float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + PRIOR) / (clean + 1))) for k, (c, t) in by.items() if t >= LEAST + LEAST_SHARE * toxic * toxic / (toxic + 1000)}
+    odds = {k: float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + PRIOR) / (clean + 1))) for k, (c, t) in by.items() if by_chance(c, t, clean, toxic) <= CHANCE}
     return {k: min(v, 8.0) for k, v in odds.items() if v > STRONG}
 
 
