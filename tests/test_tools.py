@@ -80,6 +80,18 @@ def test_block_top_k_equals_window(spark):
     assert sorted(plain.select(*pick).collect()) == sorted(retrieval.block_top_k(queries, corpus, 5).select(*pick).collect())
 
 
+def test_block_top_k_takes_any_number_of_queries(spark):
+    rng = np.random.default_rng(4)
+    n = 20_500
+    corpus = spark.createDataFrame([(f"k{i}", [float(x) for x in rng.normal(size=3)]) for i in range(30)], "logical_key string, vector array<double>")
+    queries = spark.range(n).select(F.col("id").alias("query_id"), F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("query_vector"))
+    got = retrieval.block_top_k(queries, corpus, 2)
+    plain = retrieval.ranked(retrieval.scored(queries, corpus).withColumn("score", F.round("score", 6)), ["query_id"], 2)
+    pick = ["query_id", "logical_key", "rank"]
+    assert got.count() == 2 * n
+    assert got.select(*pick).exceptAll(plain.select(*pick)).count() == 0
+
+
 def test_metrics_by_hand(spark):
     ranks = spark.createDataFrame([(1, "k1", 1), (1, "x", 2), (1, "k2", 3), (1, "y", 4)], "query_id bigint, logical_key string, rank int")
     relevant = spark.createDataFrame([(1, k) for k in ("k1", "k2", "k3")], "query_id bigint, logical_key string")

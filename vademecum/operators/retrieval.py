@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,34 +47,47 @@ def ranked(pairs: DataFrame, by: list[str], most: int | Column | None = None, di
 
 
 def block_top_k(queries: DataFrame, corpus: DataFrame, k: int, keep_relevant: bool = False) -> DataFrame:
-    """query_id, logical_key, score of the k best rows per query without forming pairs in Spark.
+    """query_id, logical_key, score of the k best rows per query without forming pairs of rows in Spark.
 
-    Every task multiplies its share of the corpus with all queries by matrix blocks and sends k rows per query on; a
-    window over these takes the final k. The query set is stated by the caller and its size is checked.
+    Queries and corpus are dealt to hashed blocks of bounded size. Every pair of blocks meets by an equi-join, is
+    multiplied as matrices in one task and sends k rows per query on; a window over these takes the final k.
     """
-    rows = queries.select("query_id", "query_vector").collect() if queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES else None
-    if rows is None:
-        raise ValueError("too many queries for one pass; search them in parts")
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    matrix = np.array([r["query_vector"] for r in rows], np.float64)
-    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, q = shared.value
-        for pdf in batches:
-            if not len(pdf) or not len(query_ids):
-                continue
-            score = np.round(q @ np.stack(pdf["vector"]).astype(np.float64).T, 6)
-            keys = pdf["logical_key"].to_numpy()
-            order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(keys)), score.shape), -score), axis=1)[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(query_ids, order.shape[1]), "logical_key": keys[order.ravel()], "score": np.take_along_axis(score, order, 1).ravel()})
-
-    local = corpus.select("logical_key", "vector").mapInPandas(run, "query_id bigint, logical_key string, score double")
-    return ranked(local, ["query_id"], k)
-
-
-#: Queries that one pass of block_top_k takes at most (64 dimensions: about 10 MB per worker).
-MOST_QUERIES = 20_000
+    left, n_left = _blocks(corpus.select("logical_key", "vector"), CORPUS_ROWS, "x")
+    right, n_right = _blocks(queries.select("query_id", "query_vector"), QUERY_ROWS, "y")
+    left = left.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
+    right = right.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
+    pairs = left.join(right, ["x", "y"]).select("x_rows", "y_rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, asked = (batch.column(c).slice(i, 1).flatten() for c in (0, 1))
+                keys = np.array(rows.field("logical_key").to_pylist(), object)
+                ids = np.array(asked.field("query_id").to_pylist(), np.int64)
+                v, q = _matrix(rows.field("vector")), _matrix(asked.field("query_vector"))
+                place = np.argsort(np.argsort(keys, kind="stable"))
+                for start in range(0, len(ids), 64):
+                    score = np.round(q[start : start + 64] @ v.T, 6)
+                    order = np.lexsort((np.broadcast_to(place, score.shape), -score), axis=1)[:, :k]
+                    found = [np.repeat(ids[start : start + 64], order.shape[1]), keys[order.ravel()], np.take_along_axis(score, order, 1).ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1], pa.string()), pa.array(found[2])], ["query_id", "logical_key", "score"])
+
+    return ranked(pairs.mapInArrow(run, "query_id bigint, logical_key string, score double"), ["query_id"], k)
+
+
+#: Rows of a block of block_top_k, about.
+CORPUS_ROWS, QUERY_ROWS = 8192, 2048
+
+
+def _blocks(rows: DataFrame, most: int, name: str) -> tuple[DataFrame, int]:
+    """One row per block of about ``most`` rows, and the number of blocks."""
+    blocks = max(1, -(-rows.count() // most))
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).cast("int"))
+    return dealt.groupBy(name).agg(F.collect_list(F.struct(*rows.columns)).alias(f"{name}_rows")), blocks
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
 
 def rerank(hits: DataFrame, by: list[str], most: int | Column) -> DataFrame:
