@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vademecum.operators import dosing, evaluation, loading, names, reports, retrieval
+from vademecum.plans import registry
 from vademecum.sources import tables
 from vademecum.streaming.upserts import stream_into
 
@@ -164,3 +165,15 @@ def test_fingerprint_ignores_order(spark):
     rows = loading.keyed(chunks(spark, "a", "b", "c"))
     mark = lambda df: loading.fingerprint(df).first().fingerprint
     assert mark(rows) == mark(rows.orderBy(F.desc("text"))) != mark(loading.keyed(chunks(spark, "a", "b", "d")))
+
+
+def test_whole_queries_leave_no_row_out(spark, sf_dir):
+    found = registry.load_all()[0]
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id")
+    scored = found["x5_cosine_whole"](spark, sf_dir)
+    assert scored.count() == vectors.count() * vectors.where("vec_id % 50 = 0").count()
+    assert vectors.join(scored, "vec_id", "left_anti").count() == 0
+    fetched = found["p13_exact_section_fetch_whole"](spark, sf_dir)
+    assert fetched.where("request_id % 10 <> 0").count() > 0
+    doses = found["p13_exact_section_fetch"](spark, sf_dir)
+    assert doses.join(fetched.where("request_id % 10 = 0"), "logical_key", "left_anti").count() == 0

@@ -115,6 +115,12 @@ def x5_cosine(spark, sf_dir):
     return pairs(spark, sf_dir).where("vec_id % 10 = 0").select("query_id", "vec_id", "score")
 
 
+@query(f"{_WITH} SELECT query_id, vec_id, score FROM p")
+def x5_cosine_whole(spark, sf_dir):
+    """x5_cosine for every vector."""
+    return pairs(spark, sf_dir).select("query_id", "vec_id", "score")
+
+
 @query(f"{_WITH} SELECT query_id, logical_key, score FROM p")
 def j15_all_pairs(spark, sf_dir):
     return pairs(spark, sf_dir).select("query_id", "logical_key", "score")

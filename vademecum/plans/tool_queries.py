@@ -72,6 +72,12 @@ def p13_exact_section_fetch(spark, sf_dir):
     return P.fetch_sections(some, chunks(spark, sf_dir), ["doses"]).select("logical_key", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query(handbook_sql("SELECT r.request_id, c.logical_key, md5(c.text) AS text_md5 FROM req r JOIN ck c ON c.drug_name = r.canonical WHERE c.section_type = 'doses'", _REQ))
+def p13_exact_section_fetch_whole(spark, sf_dir):
+    """p13_exact_section_fetch for every request."""
+    return P.fetch_sections(requests(spark, sf_dir), chunks(spark, sf_dir), ["doses"]).select("request_id", "logical_key", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query(handbook_sql("SELECT r.request_id, c.logical_key, CAST(row_number() OVER (PARTITION BY r.request_id ORDER BY c.section_type DESC, c.logical_key) AS INT) AS place FROM req r JOIN ck c ON c.drug_name = r.canonical WHERE " + _FETCH, _REQ))
 def o1_section_union(spark, sf_dir):
     """Two sections of a drug one after the other, by the section's rank and then the key's order."""
