@@ -1,173 +1,231 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences, each is normalised, and sentences known from licence texts get their identifiers. The
+A text is normalised: letters are lower-cased and everything but a-z, 0-9 and the full stops inside numbers is a gap
+between words, so line breaks, comment marks, wrapping and case don't matter. Sentences known from licence texts, which
+are normalised the same way, are found between gaps, longer ones first, and stand for their identifiers. The
 identifiers of a document, in order, are matched against ordered licence rules: a rule that finds its run of
 identifiers names a licence and takes these identifiers away, so a general rule never claims what a special one has.
 Identifiers that no rule takes are reported as unknown notices.
 
 All of it is expressions on one row: no shuffle, no Python. Texts without a word that licence sentences share are
-answered at once. A null or empty text has no sentences and no licences.
-
-A line break before a small letter is a wrapped line if no end mark stands before it; other line breaks, and white space
-after an end mark, part sentences. Letters are lower-cased and everything but a-z, 0-9, full stop and plus is a gap.
+answered at once. A null or empty text has no identifiers and no licences; a very long one is scanned whole; repeated
+sentences count each time and repeated rows are alike; an empty table stays empty. Extra columns are kept; those named
+sentence_ids, licences or unknown_notices are replaced.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Normalised sentences of licence notices and texts, by identifier.
+from vademecum.llm.shared import free_prefix
+
+#: Sentences of licence notices and texts, by identifier; <...> is filled in below.
 SENTENCES = {
-    "mit.short": ["released under the mit license", "licensed under the mit license", "this project is licensed under the mit license", "distributed under the mit license"],
+    "mit.short": ["Released under the MIT License.", "Licensed under the MIT License.", "Distributed under the MIT License."],
     "mit.grant": [
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ],
+    "mit.keep": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "mit.as.is": ["The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."],
+    "mit.liable": [
+        "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+    ],
+    "isc.grant": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ],
-    "mit.keep": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
-    "as.is.software": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
-    "no.liability": [
-        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "0bsd.grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "isc.as.is": ["The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness."],
+    "isc.liable": [
+        "In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software.",
     ],
-    "isc.grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
-    "apache2.short": ["licensed under the apache license version 2.0", "released under the apache license version 2.0", "this project is licensed under the apache license version 2.0"],
-    "apache2.grant": ["licensed under the apache license version 2.0 the license"],
-    "apache2.comply": ["you may not use this file except in compliance with the license"],
-    "apache2.copy": ["you may obtain a copy of the license at", "you may obtain a copy of the license at http www.apache.org licenses license 2.0", "http www.apache.org licenses license 2.0"],
-    "apache2.as.is": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
-    "apache2.see": ["see the license for the specific language governing permissions and limitations under the license"],
-    "gpl3.short": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3", "licensed under the gpl version 3", "licensed under the gplv3"],
-    "gpl2.short": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2", "released under the gnu general public license version 2", "licensed under the gpl version 2", "licensed under the gplv2"],
-    "agpl3.short": ["this work is licensed under the gnu affero general public license version 3", "licensed under the gnu affero general public license version 3"],
-    "lgpl3.short": ["this work is licensed under the gnu lesser general public license version 3", "licensed under the gnu lesser general public license version 3"],
-    "lgpl21.short": ["this work is licensed under the gnu lesser general public license version 2.1", "licensed under the gnu lesser general public license version 2.1"],
-    "gpl.free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
-    "gpl2.free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
-    "gpl.hope": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
-    "gpl.see": ["see the gnu general public license for more details"],
-    "gpl.copy": ["you should have received a copy of the gnu general public license along with this program", "you should have received a copy of the gnu general public license along with this program if not see http www.gnu.org licenses", "you should have received a copy of the gnu general public license along with this program if not see https www.gnu.org licenses"],
-    "bsd3.short": ["licensed under the bsd 3 clause license", "released under the bsd 3 clause license"],
-    "bsd2.short": ["licensed under the bsd 2 clause license", "released under the bsd 2 clause license"],
-    "bsd.grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "bsd.source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
-    "bsd.binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
-    "bsd.endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "mpl2.short": ["this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license version 2.0", "licensed under the mozilla public license 2.0"],
-    "ccby4.short": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
-    "ccbysa4.short": ["licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"],
-    "ccbync4.short": ["licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
-    "ccbynd4.short": ["licensed under cc by nd 4.0"],
-    "ccbyncsa4.short": ["licensed under cc by nc sa 4.0"],
-    "cc0.short": ["released under cc0 1.0", "licensed under cc0 1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
-    "public.domain": ["this work is in the public domain", "released into the public domain", "this is free and unencumbered software released into the public domain"],
-    "reserved": ["all rights reserved"],
+    "apache2.short": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License, Version 2.0.", "Licensed under the Apache License 2.0."],
+    "apache2.grant": ["Licensed under the Apache License, Version 2.0 (the \"License\")"],
+    "apache2.comply": ["you may not use this file except in compliance with the License."],
+    "apache2.copy": [
+        "You may obtain a copy of the License at", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
+    ],
+    "apache2.as.is": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
+    "apache2.see": ["See the License for the specific language governing permissions and limitations under the License."],
+    "gpl3.short": ["Licensed under the GNU General Public License version 3.", "Released under the GNU General Public License version 3.", "Licensed under the GPL version 3.", "Licensed under the GPLv3."],
+    "gpl2.short": ["Licensed under the GNU General Public License version 2.", "Released under the GNU General Public License version 2.", "Licensed under the GPL version 2.", "Licensed under the GPLv2."],
+    "agpl3.short": ["Licensed under the GNU Affero General Public License version 3."],
+    "lgpl3.short": ["Licensed under the GNU Lesser General Public License version 3."],
+    "lgpl21.short": ["Licensed under the GNU Lesser General Public License version 2.1."],
+    "gpl2.only": ["it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."],
+    "gnu.hope": ["This <subject> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
+    "bsd3.short": ["Licensed under the BSD 3-Clause License.", "Released under the BSD 3-Clause License."],
+    "bsd2.short": ["Licensed under the BSD 2-Clause License.", "Released under the BSD 2-Clause License."],
+    "bsd.grant": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "bsd.source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
+    "bsd.binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "bsd.endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "bsd.as.is": ["This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed."],
+    "bsd.liable": [
+        "In no event shall the copyright <holder> or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage.",
+    ],
+    "mpl2.short": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "Licensed under the Mozilla Public License 2.0."],
+    "mpl2.copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "ccby4.short": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "ccbysa4.short": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "ccbync4.short": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "ccbynd4.short": ["Licensed under CC BY-ND 4.0."],
+    "ccbyncsa4.short": ["Licensed under CC BY-NC-SA 4.0."],
+    "cc0.short": ["Released under CC0 1.0.", "Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "public.domain": ["This work is in the public domain.", "This is free and unencumbered software released into the public domain.", "Released into the public domain."],
+    "reserved": ["All rights reserved."],
 }
-#: Ordered rules; a run of identifiers and the licence it means.
+#: What the gaps of the sentences above stand for, and the licences of the GNU notices: identifier, name
+#: and version in the notice, and licence.
+SUBJECTS, HOLDERS = ["program", "library", "software", "file", "package"], ["holder", "holders", "owner"]
+GNU = [
+    ("gpl2", "General", "2", "GPL-2.0-or-later"), ("gpl3", "General", "3", "GPL-3.0-or-later"), ("agpl3", "Affero General", "3", "AGPL-3.0-or-later"),
+    ("lgpl21", "Lesser General", "2.1", "LGPL-2.1-or-later"), ("lgpl3", "Lesser General", "3", "LGPL-3.0-or-later"),
+]
+GNU_FREE = "This <subject> is free software; you can redistribute it and/or modify it under the terms of the GNU <name> Public License as published by the Free Software Foundation, either version <version> of the License, or (at your option) any later version."
+GNU_SEE = "See the GNU <name> Public License for more details."
+GNU_COPY = "You should have received a copy of the GNU <name> Public License along with this <subject>"
+for _id, _name, _version, _ in GNU:
+    SENTENCES[f"{_id}.free"] = [GNU_FREE.replace("<name>", _name).replace("<version>", _version)]
+for _name in dict.fromkeys(n for _, n, _, _ in GNU):
+    _id = "gnu." + _name.split()[0].lower()
+    SENTENCES[f"{_id}.see"], SENTENCES[f"{_id}.copy"] = [GNU_SEE.replace("<name>", _name)], [GNU_COPY.replace("<name>", _name)]
+
+#: Ordered rules; a run of identifiers and the licence it means. In brackets: may be missing.
 RULES = [
-    (["mit.grant", "mit.keep", "as.is.software", "no.liability"], "MIT"),
-    (["mit.grant", "mit.keep", "as.is.software"], "MIT"),
-    (["mit.grant", "mit.keep"], "MIT"),
-    (["isc.grant"], "ISC"),
-    (["apache2.grant", "apache2.comply", "apache2.copy", "apache2.as.is", "apache2.see"], "Apache-2.0"),
-    (["apache2.grant", "apache2.comply", "apache2.copy", "apache2.copy", "apache2.as.is", "apache2.see"], "Apache-2.0"),
-    (["apache2.grant", "apache2.comply"], "Apache-2.0"),
-    (["bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse"], "BSD-3-Clause"),
-    (["bsd.grant", "bsd.source", "bsd.binary"], "BSD-2-Clause"),
-    (["gpl.free", "gpl.hope", "gpl.see", "gpl.copy"], "GPL-3.0-or-later"),
-    (["gpl.free"], "GPL-3.0-or-later"),
-    (["gpl2.free", "gpl.hope", "gpl.see", "gpl.copy"], "GPL-2.0-or-later"),
-    (["gpl2.free"], "GPL-2.0-or-later"),
-    (["mit.short"], "MIT"),
-    (["apache2.short"], "Apache-2.0"),
-    (["apache2.grant"], "Apache-2.0"),
-    (["agpl3.short"], "AGPL-3.0-only"),
-    (["lgpl3.short"], "LGPL-3.0-only"),
-    (["lgpl21.short"], "LGPL-2.1-only"),
-    (["gpl3.short"], "GPL-3.0-only"),
-    (["gpl2.short"], "GPL-2.0-only"),
-    (["bsd3.short"], "BSD-3-Clause"),
-    (["bsd2.short"], "BSD-2-Clause"),
-    (["mpl2.short"], "MPL-2.0"),
-    (["ccbyncsa4.short"], "CC-BY-NC-SA-4.0"),
-    (["ccbysa4.short"], "CC-BY-SA-4.0"),
-    (["ccbync4.short"], "CC-BY-NC-4.0"),
-    (["ccbynd4.short"], "CC-BY-ND-4.0"),
-    (["ccby4.short"], "CC-BY-4.0"),
-    (["cc0.short"], "CC0-1.0"),
-    (["public.domain"], "Public-Domain"),
-    (["reserved"], "All-Rights-Reserved"),
+    ("mit.grant mit.keep [mit.as.is] [mit.liable]", "MIT"),
+    ("isc.grant [isc.as.is] [isc.liable]", "ISC"),
+    ("0bsd.grant [isc.as.is] [isc.liable]", "0BSD"),
+    ("apache2.grant [apache2.comply] [apache2.copy] [apache2.as.is] [apache2.see]", "Apache-2.0"),
+    ("[reserved] bsd.grant bsd.source bsd.binary bsd.endorse [bsd.as.is] [bsd.liable]", "BSD-3-Clause"),
+    ("[reserved] bsd.grant bsd.source bsd.binary [bsd.as.is] [bsd.liable]", "BSD-2-Clause"),
+    *((f"{i}.free [gnu.hope] [gnu.{n.split()[0].lower()}.see] [gnu.{n.split()[0].lower()}.copy]", licence) for i, n, _, licence in GNU),
+    ("gpl2.only [gnu.hope] [gnu.general.see] [gnu.general.copy]", "GPL-2.0-only"),
+    ("mpl2.short [mpl2.copy]", "MPL-2.0"),
+    ("mit.short", "MIT"),
+    ("apache2.short", "Apache-2.0"),
+    ("agpl3.short", "AGPL-3.0-only"),
+    ("lgpl3.short", "LGPL-3.0-only"),
+    ("lgpl21.short", "LGPL-2.1-only"),
+    ("gpl3.short", "GPL-3.0-only"),
+    ("gpl2.short", "GPL-2.0-only"),
+    ("bsd3.short", "BSD-3-Clause"),
+    ("bsd2.short", "BSD-2-Clause"),
+    ("ccbyncsa4.short", "CC-BY-NC-SA-4.0"),
+    ("ccbysa4.short", "CC-BY-SA-4.0"),
+    ("ccbync4.short", "CC-BY-NC-4.0"),
+    ("ccbynd4.short", "CC-BY-ND-4.0"),
+    ("ccby4.short", "CC-BY-4.0"),
+    ("cc0.short", "CC0-1.0"),
+    ("public.domain", "Public-Domain"),
+    ("reserved", "All-Rights-Reserved"),
 ]
-#: Every known sentence has one of these letter runs.
-HINT = "licen|copyright|permission|redistribut|warranty|public domain|free software|liable|cc0|rights reserved"
-#: The same in a text as it is, where any gap can part the words of a sentence.
-RAW_HINT = HINT.replace(" ", "[^a-z0-9]+")
-_WRAP = ("([^.!?:;|\\s])[ \\t]*\\r?\\n[ \\t]*([a-z])", "$1 $2")
-_END = ("([.!?:;|])[ \\t]+", "$1\n")
+#: Every known sentence has one of these, with any gap between words.
+HINT = "licen[cs]|copyright|permission|redistribut|warrant|unencumbered|mpl|public[^a-z0-9]+domain|gnu|liable|cc0|rights[^a-z0-9]+reserved"
+#: Normalising, in order: pattern and what stands for it. Words end up with two blanks between them, so that
+#: neighbouring sentences don't share the blank that parts them.
+STEPS = [("[^a-z0-9.]+", " "), ("([a-z])\\.+", "$1 "), ("\\.+( |$)", " "), ("(^| )\\.+", " "), (" +", "  ")]
+
+
+def plain(text: str) -> str:
+    """A normalised text, as ``normalised`` makes it."""
+    text = text.lower()
+    for pattern, to in STEPS:
+        text = re.sub(pattern, to.replace("$1", "\\1"), text)
+    return text.strip(" ")
+
+
+def _filled(sentence: str) -> list[str]:
+    subjects = [sentence.replace("<subject>", s) for s in SUBJECTS] if "<subject>" in sentence else [sentence]
+    return [s.replace("<holder>", h) for s in subjects for h in HOLDERS] if "<holder>" in sentence else subjects
+
+
+#: (normalised sentence, identifier), longer sentences first.
+KNOWN = sorted({(plain(f), name) for name, texts in SENTENCES.items() for t in texts for f in _filled(t)}, key=lambda k: (-len(k[0]), k))
+
+
+def _runs(rule: str) -> list[str]:
+    """The marked runs that a rule allows, longest first."""
+    runs = [""]
+    for part in rule.split():
+        name = f"<{part.strip('[]')}>"
+        runs = [r + name for r in runs] + (runs if part.startswith("[") else [])
+    return sorted(set(runs), key=lambda r: (-r.count("<"), r))
+
+
+#: (marked run, licence) in the order of the rules.
+ALLOWED = [(run, licence) for rule, licence in RULES for run in _runs(rule)]
 
 
-def _marked(run: list[str]) -> str:
-    return "".join(f"<{x}>" for x in run)
+def normalised(text: Column) -> Column:
+    """A blank, the words of the text with two blanks between them, and a blank."""
+    out = F.lower(text)
+    for pattern, to in STEPS:
+        out = F.regexp_replace(out, pattern, to)
+    return F.concat(F.lit(" "), F.trim(out), F.lit(" "))
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text."""
-    cut = F.split(F.regexp_replace(F.regexp_replace(text, *_WRAP), *_END), "\n")
-    plain = F.transform(cut, lambda s: F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9.+]+", " "), "^[ .]+|[ .]+$", ""))
-    return F.filter(plain, lambda s: F.length(s) > 0)
+def _table(rows: list[tuple[str, str]]) -> Column:
+    return F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rows])
 
 
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*[F.lit(x) for name, texts in SENTENCES.items() for t in texts for x in (t, name)])
-    hinted = F.filter(sentences(text), lambda s: s.rlike(HINT) | s.rlike("^(http www.apache|you may|unless required|this source code form)"))
-    return F.filter(F.transform(hinted, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    table = _table([(f" {s} ", f" <{name}> ") for s, name in KNOWN])
+    marked = F.aggregate(table, normalised(text), lambda t, r: F.replace(t, r["a"], r["b"]))
+    return F.regexp_extract_all(marked, F.lit("<([a-z0-9.]+)>"), F.lit(1))
 
 
 def matched(ids: Column) -> Column:
     """Struct of ``licences`` (in rule order, each once) and ``rest`` (marked identifiers that no rule took)."""
-    rules = F.array(*[F.struct(F.lit(_marked(run)).alias("run"), F.lit(name).alias("name")) for run, name in RULES])
     marked = F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     start = F.struct(marked.alias("rest"), F.array().cast("array<string>").alias("licences"))
 
     def apply(state: Column, rule: Column) -> Column:
-        hit = F.contains(state["rest"], rule["run"])
+        hit = F.contains(state["rest"], rule["a"])
         return F.struct(
-            F.when(hit, F.replace(state["rest"], rule["run"], F.lit("|"))).otherwise(state["rest"]).alias("rest"),
-            F.when(hit, F.array_union(state["licences"], F.array(rule["name"]))).otherwise(state["licences"]).alias("licences"),
+            F.when(hit, F.replace(state["rest"], rule["a"], F.lit("|"))).otherwise(state["rest"]).alias("rest"),
+            F.when(hit, F.array_union(state["licences"], F.array(rule["b"]))).otherwise(state["licences"]).alias("licences"),
         )
 
-    return F.aggregate(rules, start, apply)
+    return F.aggregate(_table(ALLOWED), start, apply)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds sentence_ids (array), licences (array) and unknown_notices (how many identifiers no rule took)."""
     empty = F.array().cast("array<string>")
-    hinted = F.lower(F.col(text)).rlike(RAW_HINT)
+    hinted = F.lower(F.col(text)).rlike(HINT)
+    match = free_prefix(docs.columns) + "match"
     rows = docs.withColumn("sentence_ids", F.when(hinted, sentence_ids(F.col(text))).otherwise(empty))
-    found = F.when(F.size("sentence_ids") > 0, matched(F.col("sentence_ids")))
-    rows = rows.withColumn("_match", found)
-    rest = F.coalesce(F.col("_match.rest"), F.lit(""))
-    rows = rows.withColumn("licences", F.coalesce(F.col("_match.licences"), empty))
-    return rows.withColumn("unknown_notices", F.length(rest) - F.length(F.replace(rest, F.lit("<"), F.lit("")))).drop("_match")
+    rows = rows.withColumn(match, F.when(F.size("sentence_ids") > 0, matched(F.col("sentence_ids"))))
+    rest = F.coalesce(F.col(match)["rest"], F.lit(""))
+    rows = rows.withColumn("licences", F.coalesce(F.col(match)["licences"], empty))
+    return rows.withColumn("unknown_notices", F.length(rest) - F.length(F.replace(rest, F.lit("<"), F.lit("")))).drop(match)
 
 
 def oracle() -> str:
     """The scan's columns for ``documents`` as DuckDB SQL."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    known = "MAP {" + ", ".join(f"{quoted(t)}: {quoted(n)}" for n, texts in SENTENCES.items() for t in texts) + "}"
-    hint = f"(regexp_matches(s, '{HINT}') OR regexp_matches(s, '^(http www.apache|you may|unless required|this source code form)'))"
-    cut = "regexp_replace(regexp_replace(text, '([^.!?:;|\\s])[ \\t]*\\r?\\n[ \\t]*([a-z])', '\\1 \\2', 'g'), '([.!?:;|])[ \\t]+', '\\1' || chr(10), 'g')"
-    plain = "regexp_replace(regexp_replace(lower(s), '[^a-z0-9.+]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')"
-    steps = [
-        f"known AS (SELECT {known} AS m)",
-        f"s0 AS (SELECT doc_id, list_filter(list_transform(list_filter(list_transform(string_split(CASE WHEN regexp_matches(lower(text), '{HINT}') THEN {cut} ELSE '' END, chr(10)), lambda s: {plain}), lambda s: {hint}), lambda s: m[s]), lambda i: i IS NOT NULL) AS ids FROM documents, known)",
-        "r0 AS (SELECT doc_id, ids, list_aggregate(list_transform(ids, lambda i: '<' || i || '>'), 'string_agg', '') AS rest, ''::VARCHAR AS found FROM s0)",
-    ]
-    for k, (run, name) in enumerate(RULES):
-        mark, label = quoted(_marked(run)), quoted(name)
+    norm = "lower(text)"
+    for pattern, to in STEPS:
+        norm = f"regexp_replace({norm}, {quoted(pattern)}, {quoted(to.replace('$1', chr(92) + '1'))}, 'g')"
+    steps = [f"n0 AS (SELECT doc_id, CASE WHEN regexp_matches(lower(text), {quoted(HINT)}) THEN ' ' || trim({norm}, ' ') || ' ' ELSE '' END AS t FROM documents)"]
+    for k in range(0, len(KNOWN), 10):  # ten sentences a step
+        t = "t"
+        for s, name in KNOWN[k : k + 10]:
+            t = f"replace({t}, {quoted(f' {s} ')}, {quoted(f' <{name}> ')})"
+        steps.append(f"n{k // 10 + 1} AS (SELECT doc_id, {t} AS t FROM n{k // 10})")
+    steps.append(f"s0 AS (SELECT doc_id, regexp_extract_all(t, '<([a-z0-9.]+)>', 1) AS ids FROM n{-(-len(KNOWN) // 10)})")
+    steps.append("r0 AS (SELECT doc_id, ids, coalesce(list_aggregate(list_transform(ids, lambda i: '<' || i || '>'), 'string_agg', ''), '') AS rest, ''::VARCHAR AS found FROM s0)")
+    for k, (run, name) in enumerate(ALLOWED):
+        mark, label = quoted(run), quoted(name)
         steps.append(
             f"r{k + 1} AS (SELECT doc_id, ids, replace(rest, {mark}, '|') AS rest, CASE WHEN contains(rest, {mark}) AND NOT list_contains(string_split(found, ' '), {label}) THEN trim(found || ' ' || {label}) ELSE found END AS found FROM r{k})"
         )
     return (
         "WITH " + ", ".join(steps) + " SELECT doc_id, coalesce(list_aggregate(ids, 'string_agg', ' '), '') AS sentence_ids, coalesce(found, '') AS licences, "
-        f"CAST(coalesce(length(rest) - length(replace(rest, '<', '')), 0) AS INT) AS unknown_notices FROM r{len(RULES)}"
+        f"CAST(coalesce(length(rest) - length(replace(rest, '<', '')), 0) AS INT) AS unknown_notices FROM r{len(ALLOWED)}"
     )
