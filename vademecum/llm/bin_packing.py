@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vademecum.llm.shared import column_of, ranked_by_unit, slices, written
-from vademecum.llm.tokenize import TokenBytes
+from vademecum.llm.tokenize import TokenIds, with_end
 
 UNITS = 256
 
@@ -94,17 +94,16 @@ def placements(steps: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, tupl
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every text's ids (null: empty) with ``end_id`` appended; only
     longer documents are cut, into pieces of ``capacity`` ids. A document without any id has no piece."""
-    ends = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = TokenBytes.open(tokenizer)
+        model = TokenIds.open(tokenizer)
         for batch in slices(batches):
-            rows = []
-            for doc_id, raw in zip(column_of(batch, "doc_id"), model.encode(column_of(batch, "text")), strict=True):
-                raw += ends
-                for piece, start in enumerate(range(0, len(raw) // 4, capacity)):
-                    own = raw[4 * start : 4 * (start + capacity)]
-                    rows.append((doc_id, piece, start, len(own) // 4, zlib.crc32(own)))
+            ids, offsets = with_end(*model.encode(column_of(batch, "text")), end_id)
+            raw, rows = memoryview(ids.astype("<u4").tobytes()), []
+            for doc_id, begin, end in zip(column_of(batch, "doc_id"), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                for piece, start in enumerate(range(begin, end, capacity)):
+                    stop = min(start + capacity, end)
+                    rows.append((doc_id, piece, start - begin, stop - start, zlib.crc32(raw[4 * start : 4 * stop])))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -27,7 +27,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vademecum.llm import sentencepiece_bpe as sp
 
     model = tokenizer_path("piece_bpe_32k.model")
-    both = sp.decode(sp.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    both = sp.encode_and_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -39,7 +39,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vademecum.llm import simple8b
 
-    rows = simple8b.id_files(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    rows = simple8b.id_files(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, with_ids=False)
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -99,7 +99,7 @@ def op9_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vademecum.llm import impact_topk
 
     rows = impact_topk.quantised(_table(spark, sf_dir, "embeddings"))
-    return impact_topk.top_k(rows, rows.where("id % 50 = 0"), 5)
+    return impact_topk.top_k(rows, rows.where("id % 50 = 0"), 5).select("query_id", "rank", "vec_id", "score")
 
 
 OP9_SQL = """

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vademecum.llm.shared import column_of, new_folder, slices
-from vademecum.llm.tokenize import TokenBytes
+from vademecum.llm.tokenize import TokenIds, with_end
 
 #: Bits of an id and ids in a word for the selectors 1 to 15.
 WIDTHS = [0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
@@ -159,45 +159,39 @@ def parse_file(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return table, unpack(words, escapes, table["word"].astype(np.int64), table["escape"].astype(np.int64), sizes)
 
 
-def _write(folder: str, name: str, raw: bytes) -> None:
-    """Writes under another name first, so that a repeated task leaves one whole file."""
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    draft = f"{path}/_{name}-{uuid.uuid4().hex[:8]}"
-    with store.open_output_stream(draft) as out:
-        out.write(raw)
-    store.move(draft, f"{path}/{name}")
-
-
 def write_id_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = None, partitions: int | None = None) -> DataFrame:
     """Tokenises ``text`` (null: empty), appends ``end_id`` and writes the ids; returns a row per file (file, docs, ids).
 
     The texts are shuffled once, by ranges of doc_id; each task writes its range in order. Running the returned frame
-    writes the files, and running it again writes the same ones.
+    writes the files. Names are new in every attempt of a task, so only the files in the returned rows of a finished job
+    count.
     """
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ends = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part, number = TokenBytes.open(tokenizer), TaskContext.get().partitionId(), 0
-        doc_ids, parts, held = [], [], 0
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        name = f"{TaskContext.get().partitionId():06d}"
+        attempt = uuid.uuid4().hex[:10]
+        model, number = TokenIds.open(tokenizer), 0
+        doc_ids, parts, sizes = [], [], []
 
         def flush() -> pa.RecordBatch:
-            name = f"ids-{part:06d}-{number:06d}.s8b"
-            sizes = [len(p) // 4 for p in parts]
-            _write(folder, name, file_bytes(doc_ids, sizes, np.frombuffer(b"".join(parts), "<u4")))
-            return pa.RecordBatch.from_pydict({"file": [name], "docs": [len(doc_ids)], "ids": [sum(sizes)]})
+            file = f"ids-{name}-{number:06d}-{attempt}.s8b"
+            with store.open_output_stream(f"{path}/{file}", compression=None) as out:
+                out.write(file_bytes(doc_ids, sizes, np.concatenate(parts).astype(np.uint64)))
+            return pa.RecordBatch.from_pydict({"file": [file], "docs": [len(doc_ids)], "ids": [sum(sizes)]})
 
         for batch in slices(batches):
-            for doc_id, raw in zip(column_of(batch, "doc_id"), model.encode(column_of(batch, "text")), strict=True):
-                doc_ids.append(doc_id)
-                parts.append(raw + ends)
-                held += len(raw) + 4
-                if held >= FILE_BYTES:
-                    yield flush()
-                    number, doc_ids, parts, held = number + 1, [], [], 0
+            ids, offsets = with_end(*model.encode(column_of(batch, "text")), end_id)
+            doc_ids += column_of(batch, "doc_id")
+            parts.append(ids)
+            sizes += np.diff(offsets).tolist()
+            if 4 * sum(map(len, parts)) >= FILE_BYTES:
+                yield flush()
+                number, doc_ids, parts, sizes = number + 1, [], [], []
         if doc_ids:
             yield flush()
 
@@ -206,8 +200,9 @@ def write_id_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | N
     return ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie).mapInArrow(run, "file string, docs long, ids long")
 
 
-def read_id_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Reads the files back: doc_id, start (ids of all documents before it), n_tokens, ids (array<int>), ids_crc32."""
+def read_id_files(spark: SparkSession, folder: str, files: DataFrame | None = None, with_ids: bool = True) -> DataFrame:
+    """Reads all files of a folder, or those in ``files``: file, doc_id, in_file (ids before it in its file), n_tokens,
+    ids (array<int>; not without ``with_ids``), ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
@@ -219,21 +214,23 @@ def read_id_files(spark: SparkSession, folder: str) -> DataFrame:
                 rows = slice(k, k + 512)
                 size, begin = sizes[rows], bounds[:-1][rows]
                 own = [raw[b : b + s] for b, s in zip(begin, size, strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(own).astype(np.int32)))
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(own).view(np.int32)))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([batch.column(0)[0].as_py()] * len(own), pa.string()),
                         pa.array(table["doc_id"][rows].astype(np.int64), mask=table["known"][rows] == 0),
                         pa.array(begin.astype(np.int64)),
                         pa.array(size),
-                        lists,
-                        pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()),
+                        *lists,
+                        pa.array([zlib.crc32(x) for x in own], pa.int64()),
                     ],
-                    ["file", "doc_id", "in_file", "n_tokens", "ids", "ids_crc32"],
+                    ["file", "doc_id", "in_file", "n_tokens", *(["ids"] if with_ids else []), "ids_crc32"],
                 )
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return raw.mapInArrow(run, "file string, doc_id long, in_file long, n_tokens long, ids array<int>, ids_crc32 long")
+    if files is not None:
+        raw = raw.join(files.select("file"), "file", "left_semi").select("file", "content")
+    return raw.mapInArrow(run, f"file string, doc_id long, in_file long, n_tokens long, {'ids array<int>, ' if with_ids else ''}ids_crc32 long")
 
 
 def with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
@@ -243,8 +240,9 @@ def with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.join(starts, "file", "left").withColumn("start", F.col("_base") + F.col("in_file")).drop("_base", "in_file", "file")
 
 
-def id_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, folder: str | None = None) -> DataFrame:
-    """Writes the ids of all documents and reads the files back: doc_id, start, n_tokens, ids, ids_crc32."""
+def id_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, folder: str | None = None, with_ids: bool = True) -> DataFrame:
+    """Writes the ids of all documents and reads the files back: doc_id, start, n_tokens, ids (not without
+    ``with_ids``), ids_crc32."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-ids")
     jvm = spark.sparkContext._jvm
@@ -253,4 +251,4 @@ def id_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, folder:
     manifest = f"{folder}/_files"
     write_id_files(docs, folder, tokenizer, end_id).write.parquet(manifest)
     files = spark.read.schema("file string, docs long, ids long").parquet(manifest)
-    return with_starts(read_id_files(spark, folder), files)
+    return with_starts(read_id_files(spark, folder, files, with_ids), files)

@@ -1,50 +1,38 @@
-"""Token ids by the tokenizers library, as little-endian 32-bit bytes.
+"""Token ids by the tokenizers library.
 
 Byte-level and word-end BPE tokenizers part a text at white space before they merge anything, so the ids of a text are
-those of its cuts one after the other: words, with the white space before them where the tokenizer keeps it. Each cut is
-encoded by the library once per worker and then looked up. Cuts that aren't known yet are encoded many at a time, as one
-text, whose ids are parted again at tokens that begin (or end) a word. A tokenizer that doesn't part like that gets
-whole texts.
+those of its cuts one after the other: words, with the white space before them where the tokenizer keeps it. Each
+different cut is encoded by the library once per worker and then looked up. New cuts are encoded many at a time, as one
+text in which the tokenizer's own special token parts them; its id parts their ids again.
+
+Texts that hold the string of an added token (these become its id, as in the library) and texts with uneven white
+space, and all texts of a tokenizer that doesn't part like that, go to the library whole. Null texts count as empty.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from itertools import chain
 
 import numpy as np
 
-#: Cuts that a worker remembers before it starts anew, and cuts that are encoded as one text.
-MEMO_ENTRIES, JOINED = 300_000, 500
-#: ASCII marks but for the apostrophe.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: The characters with the Unicode property White_Space, and those that only str.split() parts at.
-WHITE = "\t-\r \x85\xa0  -     　"
-ONLY_SPLIT = "\x1c-\x1f"
-
-#: Letters that stay letters when they are composed or lower-cased.
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-
+from vademecum.llm.cuts import CutMemo, Runs, joined
 
-class Memo(dict):
-    """Ids by cut. A cut that isn't known is noted and stands for itself until it is learned."""
+#: Cuts that are encoded as one text, and characters up to which they are.
+JOINED, JOINED_CHARS = 500, 20_000
+#: The characters at which str.split() parts but regular expressions of the tokenizers don't.
+ONLY_SPLIT = re.compile("[\x1c-\x1f]")
+#: White space other than a space and a line break.
+OTHER_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 
-    def __init__(self) -> None:
-        self.new: set[str] = set()
 
-    def __missing__(self, cut: str) -> str:
-        self.new.add(cut)
-        return cut
-
-
-class TokenBytes:
+class TokenIds:
     """Encodes batches of texts with one tokenizer file. One instance per worker and file."""
 
-    _open: dict[str, TokenBytes] = {}
+    _open: dict[str, TokenIds] = {}
 
     @classmethod
-    def open(cls, path: str) -> TokenBytes:
+    def open(cls, path: str) -> TokenIds:
         if path not in cls._open:
             cls._open[path] = cls(path)
         return cls._open[path]
@@ -53,116 +41,106 @@ class TokenBytes:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
+        added = config.get("added_tokens") or []
+        self.added = [t["content"] for t in added]
+        plain = [t for t in added if not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"])]
+        self.separator, self.separator_id = (plain[0]["content"], plain[0]["id"]) if plain else (None, -1)
         normalizer, splitter = json.dumps(config.get("normalizer")), json.dumps(config.get("pre_tokenizer"))
         byte_level = '"ByteLevel"' in splitter and '"add_prefix_space": true' not in splitter
-        vocabulary = self.tokenizer.get_vocab()
-        size = max(vocabulary.values()) + 1
-        self.edge = np.zeros(size, bool)
-        self.memo = Memo()
-        self.spaced = Memo()  # ids of a word with one space before it, by the word
-        if byte_level and "Replace" in normalizer and "\\\\s+" in normalizer and config["model"].get("end_of_word_suffix"):
-            self.parts = self._words
-            self.lower = "Lowercase" in normalizer
-            self.edge[[i for t, i in vocabulary.items() if t.endswith(config["model"]["end_of_word_suffix"])]] = True
-        elif byte_level and '"Split"' not in splitter and config.get("normalizer") is None:
-            self.parts = self._runs
-            self.edge[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
-        else:
-            self.parts = lambda text: ([text], ())
-        self.odd = re.compile(f"[{ONLY_SPLIT}]")
-        self.words = re.compile(f"[^{WHITE}]+")
-        self.runs = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-
-    def _words(self, text: str) -> tuple[list[str], tuple]:
-        """The cuts of a tokenizer that drops white space. Texts of Latin-1 letters are lower-cased first if the
-        tokenizer does that; other letters are left to it, since composing may come before."""
-        if self.lower:
-            try:
-                text.encode("latin-1")
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        return (self.words.findall(text) if self.odd.search(text) else text.split()), ()
-
-    def _runs(self, text: str) -> tuple[list[str], list[list[str]]]:
-        """The cuts of a tokenizer that keeps white space: other cuts, and per line the words after its first, each
-        with one space before it. Texts with uneven white space have other cuts only."""
-        double = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
-        if double or text[-1] in " \n" or len(text.split()) != text.count(" ") + text.count("\n") + (text[0] not in " \n"):
-            return self.runs.findall(text), []
-        lines = [line.split(" ") for line in text.split("\n")]
-        heads = ["\n" + words[0] for words in lines]
-        heads[0] = lines[0][0]
-        return heads, [words[1:] for words in lines]
-
-    def _alone(self, cuts: list[str]) -> dict[str, bytes]:
-        found = {}
-        for start in range(0, len(cuts), 2000):
-            part = cuts[start : start + 2000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                found[c] = np.array(e.ids, "<u4").tobytes()
-        return found
-
-    def _together(self, cuts: list[str], joiner: str, begins: bool) -> list[bytes] | None:
-        """The ids of some cuts encoded as one text; None if the ids don't part into as many cuts."""
-        ids = np.array(self.tokenizer.encode_batch_fast([joiner.join(cuts)], add_special_tokens=False)[0].ids, "<u4")
-        edges = np.flatnonzero(self.edge[ids])
-        if len(edges) != len(cuts) or not len(ids):
-            return None
-        bounds = np.append(edges, len(ids)) if begins else np.concatenate([[0], edges + 1])
-        if bounds[0] != 0 or bounds[-1] != len(ids):
+        self.cuts, self.front = None, 0
+        if self.separator and byte_level and "Replace" in normalizer and "\\\\s+" in normalizer and config["model"].get("end_of_word_suffix"):
+            self.cuts = self._words
+            self.memo = CutMemo(self._encoded)
+        elif self.separator and byte_level and '"Split"' not in splitter and config.get("normalizer") is None:
+            self.cuts = self._spaced
+            self.front = len(self._whole(["\n"])[0])
+            vocabulary = self.tokenizer.get_vocab()
+            self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+            self.memo = CutMemo(self._after_white)
+
+    @staticmethod
+    def _words(text: str) -> list[str] | None:
+        """The cuts of a tokenizer that drops white space."""
+        return None if ONLY_SPLIT.search(text) else text.split()
+
+    @staticmethod
+    def _spaced(text: str) -> list[str] | None:
+        """The cuts of a tokenizer that keeps white space, for a text whose words are parted by one space or line break
+        each: words, of which those that begin a line (the first too) have the line break before them."""
+        if not text:
+            return []
+        if any(map(text.__contains__, OTHER_WHITE)):
             return None
-        raw, at = ids.tobytes(), (4 * bounds).tolist()
-        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-    def _learn(self) -> None:
-        """Encodes the cuts that were met and aren't known. Letters with marks after them are two tokens' places in
-        either kind of tokenizer, so such a cut is put together from its letters and its marks."""
-        made = []
-        for memo in (self.memo, self.spaced):
-            for cut in list(memo.new):
-                letters = cut.rstrip(MARKS)
-                if len(letters) < len(cut) and LETTERS.fullmatch(letters):
-                    made.append((memo, cut, letters, cut[len(letters) :]))
-                    memo.new.discard(cut)
-                    memo.new.add(letters)
-                    self.memo.new.add(cut[len(letters) :])
-        new = [c for c in self.memo.new if c not in self.memo]
-        if self.parts == self._words:
-            plain = [c for c in new if LETTERS.fullmatch(c)]
-            self._joined(plain, plain, " ", False, self.memo)
-        self.memo.update(self._alone([c for c in new if c not in self.memo]))
-        words = [w for w in self.spaced.new if w not in self.spaced]
-        self._joined(words, [" " + w for w in words], "", True, self.spaced)
-        left = [w for w in words if w not in self.spaced]
-        alone = self._alone([" " + w for w in left])
-        self.spaced.update({w: alone[" " + w] for w in left})
-        for memo, cut, letters, marks in made:
-            memo[cut] = memo[letters] + self.memo[marks]
-        self.memo.new.clear()
-        self.spaced.new.clear()
-
-    def _joined(self, keys: list[str], cuts: list[str], joiner: str, begins: bool, memo: dict[str, bytes]) -> None:
-        for start in range(0, len(keys), JOINED):
-            found = self._together(cuts[start : start + JOINED], joiner, begins)
-            if found:
-                memo.update(zip(keys[start : start + JOINED], found, strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text (null: none) without special tokens, four bytes each."""
-        memo, spaced = self.memo, self.spaced
-        if len(memo) + len(spaced) > MEMO_ENTRIES:
-            memo.clear()
-            spaced.clear()
-        found: list[tuple[list, list[list]]] = []
-        for text in texts:
-            heads, lines = self.parts(text) if text else ((), ())
-            found.append((list(map(memo.__getitem__, heads)), [list(map(spaced.__getitem__, words)) for words in lines]))
-        if memo.new or spaced.new:
-            self._learn()
-            learned = lambda m, cuts: [c if type(c) is bytes else m[c] for c in cuts]
-            found = [(learned(memo, heads), [learned(spaced, words) for words in lines]) for heads, lines in found]
-        return [b"".join(chain.from_iterable((h, *words) for h, words in zip(heads, lines, strict=True)) if lines else heads) for heads, lines in found]
+        cuts = ("\n" + text.replace("\n", " \n")).split(" ")
+        return cuts if len(text.split()) == len(cuts) and "\n" not in cuts else None
+
+    def _whole(self, texts: list[str]) -> Runs:
+        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([*found, np.zeros(0, np.int32)]), np.append(0, np.cumsum([len(x) for x in found])).astype(np.int64)
+
+    def _encoded(self, cuts: list[str]) -> Runs:
+        """The ids of some cuts, none of which holds an added token's string, and how many each has."""
+        groups, start, chars = [], 0, 0
+        for k, cut in enumerate(cuts):
+            chars += len(cut)
+            if k + 1 - start == JOINED or chars > JOINED_CHARS:
+                groups.append(self.separator.join(cuts[start : k + 1]) + self.separator)
+                start, chars = k + 1, 0
+        if start < len(cuts):
+            groups.append(self.separator.join(cuts[start:]) + self.separator)
+        ids = np.concatenate([self._whole([g])[0] for g in groups] or [np.zeros(0, np.int32)])
+        ends = np.flatnonzero(ids == self.separator_id)
+        return ids[ids != self.separator_id], np.diff(ends, prepend=-1) - 1
+
+    def _after_white(self, cuts: list[str]) -> Runs:
+        """The same for cuts with their white space: those that begin with a line break, and words after a space. Of
+        these every one begins with a token for its space, the only one, so that a text of many needs no separators."""
+        lines = np.array([c[:1] == "\n" for c in cuts])
+        words = [cuts[k] for k in np.flatnonzero(~lines).tolist()]
+        found, numbers = [], []
+        for start in range(0, len(words), JOINED):
+            part = words[start : start + JOINED]
+            ids = self._whole([" " + " ".join(part)])[0]
+            begin = np.flatnonzero(self.begins[ids])
+            if len(begin) == len(part) and begin[0] == 0:
+                sizes = np.diff(begin, append=len(ids))
+            else:
+                ids, sizes = self._encoded([" " + w for w in part])
+            found.append(ids), numbers.append(sizes)
+        heads = self._encoded([cuts[k] for k in np.flatnonzero(lines).tolist()])
+        sizes = np.zeros(len(cuts), np.int64)
+        sizes[lines], sizes[~lines] = heads[1], np.concatenate([*numbers, np.zeros(0, np.int64)])
+        ids = np.zeros(int(sizes.sum()), np.int32)
+        own = np.repeat(lines, sizes)
+        ids[own], ids[~own] = heads[0], np.concatenate([*found, np.zeros(0, np.int32)])
+        return ids, sizes
+
+    def encode(self, texts: list[str | None]) -> Runs:
+        """All ids of the texts end to end, without special tokens, and the offsets of the texts."""
+        known = [t or "" for t in texts]
+        cuts = [None if self.cuts is None or any(map(t.__contains__, self.added)) else self.cuts(t) for t in known]
+        odd = [k for k, own in enumerate(cuts) if own is None]
+        if len(odd) == len(cuts):
+            return self._whole(known)
+        ids, offsets = self.memo.encode([own or [] for own in cuts])
+        if self.front:  # the line break in front of each text isn't its own
+            begin = offsets[:-1][np.diff(offsets) > 0]
+            mask = np.ones(len(ids), bool)
+            mask[(begin[:, None] + np.arange(self.front)).ravel()] = False
+            ids, offsets = ids[mask], np.append(0, np.cumsum(np.maximum(np.diff(offsets) - self.front, 0)))
+        if not odd:
+            return ids, offsets
+        other, other_offsets = self._whole([known[k] for k in odd])
+        place = {k: i for i, k in enumerate(odd)}
+        parts = [(other[other_offsets[place[k]] : other_offsets[place[k] + 1]] if k in place else ids[offsets[k] : offsets[k + 1]]) for k in range(len(known))]
+        return joined([(p, np.array([0, len(p)])) for p in parts])
+
+
+def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int | None) -> Runs:
+    """The runs with ``end_id`` after each, if it is given."""
+    if end_id is None:
+        return ids, offsets
+    return np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
