@@ -9,7 +9,8 @@ Everything is DataFrame expressions. The curve is a walk through small tables, m
 of one cell are ordered by a hash of doc_id, and the hash's top bits split a cell into parts, so that a cell with a large
 share of the rows is ranked by many tasks. Counts of the parts, not rows, are summed across tasks.
 
-Null metadata is quantised below all values. Rows equal in doc_id and text take neighbouring places.
+Null metadata is quantised below all values, and an all-null column takes no part. Rows equal in doc_id and text take
+neighbouring places. Texts are never moved, so their length doesn't matter; an empty table has no shards.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vademecum.llm.shared import free_prefix, written
+
 BITS = 4
 PARTS = 256
 
@@ -56,47 +59,71 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0)), F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("s")), step)["h"]
 
 
-def sort_key(column: Column, kind: str) -> Column:
-    """A number in the order of the column: numbers as they are, strings by their first six bytes."""
-    if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return column.cast("double")
+def string_cuts(df: DataFrame, name: str, cells: int) -> list[str]:
+    """The values at which the next of ``cells`` equally heavy cells of a string column starts, by the whole values and
+    the counts of all rows that aren't null.
+
+    Distinct values are counted, dealt by ranges and written; sums of the ranges and running sums within each give every
+    value's place. Only values that start a cell, fewer than ``cells``, reach the driver.
+    """
+    counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = written(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "values")
+    parts = dealt.groupBy("part").agg(F.sum("n").alias("m"))  # a row per partition
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"), F.sum("m").over(Window.partitionBy()).alias("total"))
+    inside = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(parts), "part")
+    rank = F.col("base") + F.col("before")
+    cell = F.floor((2 * rank + F.col("n")) * cells / (2 * F.col("total")))  # of the middle of a value's run
+    chosen = placed.groupBy(cell.alias("cell")).agg(F.min("value").alias("value")).where("cell > 0")
+    return sorted(r["value"] for r in chosen.collect())
 
 
 def quantised(df: DataFrame, dims: list[str], bits: int = BITS) -> list[Column]:
-    """Cells 0 to 2**bits - 1 of each column by its quantiles; at most 2**bits cuts per column reach the driver."""
+    """Cells 0 to 2**bits - 1 of each column by its quantiles over all rows; fewer than 2**bits cuts per column reach the
+    driver. Strings are compared whole, other columns as numbers; null is in cell 0."""
     kinds = dict(df.dtypes)
-    keys = [sort_key(F.col(c), kinds[c]) for c in dims]
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    found = df.agg(*[F.percentile_approx(k, shares, 10_000).alias(f"q{i}") for i, k in enumerate(keys)]).first()
+    numbers = [c for c in dims if kinds[c] != "string"]
+    aggregates = [F.percentile_approx(F.col(c).cast("double"), shares, 10_000).alias(f"q{i}") for i, c in enumerate(numbers)]
+    found = df.agg(*aggregates).first() if aggregates else []
+    cuts = {c: sorted(set(found[i] or [])) for i, c in enumerate(numbers)}
+    cuts |= {c: string_cuts(df, c, 1 << bits) for c in dims if c not in cuts}
     out = []
-    for i, key in enumerate(keys):
-        cuts = sorted(set(found[f"q{i}"] or []))
-        out.append(F.coalesce(sum(((key >= F.lit(c)).cast("int") for c in cuts), F.lit(0)), F.lit(0)).cast("int"))
+    for c in dims:
+        key = F.col(c) if kinds[c] == "string" else F.col(c).cast("double")
+        out.append(F.coalesce(sum(((key >= F.lit(x)).cast("int") for x in cuts[c]), F.lit(0)), F.lit(0)).cast("int"))
     return out
 
 
 def shards(df: DataFrame, dims: list[str], n_shards: int, key: str = "doc_id", ties: tuple[str, ...] = (), bits: int = BITS) -> DataFrame:
-    """Adds hilbert (place on the curve), shard (0 to n_shards - 1) and slot (gapless from 0 in each shard).
+    """Adds hilbert (place on the curve), shard (0 to n_shards - 1) and slot (gapless from 0 in each shard); columns of
+    these names are replaced, all others stay.
 
-    Shards differ by one row at most. Only the columns of ``df`` are moved, once, by (cell, part).
+    Shards differ by one row at most. Only the columns of ``df`` are moved, once, by (cell, part). Rows with a null key
+    are spread by their ``ties``.
     """
-    placed = df.withColumn("hilbert", hilbert_index(quantised(df, dims, bits), bits)).withColumn("_spread", F.xxhash64(key))
-    placed = placed.withColumn("_part", F.pmod(F.shiftright("_spread", 40), F.lit(PARTS)).cast("int"))
-    counts = placed.groupBy("hilbert", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    cells = counts.groupBy("hilbert").agg(F.sum("_n").alias("_m"))  # at most 2 ** (bits * dims) rows
-    before = Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0))).withColumn("_total", F.sum("_m").over(Window.partitionBy()))
-    inside = Window.partitionBy("hilbert").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(cells, "hilbert")
-    starts = starts.select("hilbert", "_part", (F.col("_before") + F.col("_inside")).alias("_start"), "_total")
-    order = Window.partitionBy("hilbert", "_part").orderBy("_spread", key, *ties)
-    ranked = placed.withColumn("_row", F.row_number().over(order) - 1).join(starts, ["hilbert", "_part"])
-    rank = F.col("_start") + F.col("_row")
-    ranked = ranked.withColumn("_rank", rank)
-    shard = F.expr(f"CAST((_rank * {n_shards}) DIV _total AS INT)")
-    out = ranked.withColumn("shard", shard).withColumn("slot", F.expr(f"_rank - (CAST(shard AS BIGINT) * _total + {n_shards - 1}) DIV {n_shards}"))
-    return out.select(*df.columns, "hilbert", "shard", "slot")
+    new = ["hilbert", "shard", "slot"]
+    kept = [c for c in df.columns if c not in new]
+    p = free_prefix(df.columns)
+    spread, part, count, cell, total, start, row = (p + x for x in ("spread", "part", "count", "cell", "total", "start", "row"))
+    at = [cell, part]
+    placed = df.withColumn(cell, hilbert_index(quantised(df, dims, bits), bits)).withColumn(spread, F.xxhash64(F.coalesce(F.col(key), F.xxhash64(*dims, *ties))))
+    placed = placed.withColumn(part, F.pmod(F.shiftright(spread, 40), F.lit(PARTS)).cast("int"))
+    counts = placed.groupBy(*at).agg(F.count(F.lit(1)).alias(count))
+    cells = counts.groupBy(cell).agg(F.sum(count).alias(total))  # at most 2 ** (bits * dims) rows
+    before = Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(cell, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(start), F.sum(total).over(Window.partitionBy()).alias(total))
+    inside = Window.partitionBy(cell).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn(row, F.coalesce(F.sum(count).over(inside), F.lit(0))).join(cells, cell)
+    starts = starts.select(*at, (F.col(start) + F.col(row)).alias(start), total)
+    order = Window.partitionBy(*at).orderBy(spread, key, *ties)
+    ranked = placed.withColumn(row, F.row_number().over(order) - 1).join(starts, at)
+    ranked = ranked.withColumn(row, F.col(start) + F.col(row))
+    shard = F.expr(f"CAST((`{row}` * {n_shards}) DIV `{total}` AS INT)")
+    ranked = ranked.select(*kept, F.col(cell).alias("hilbert"), shard.alias("shard"), row, total)
+    slot = F.expr(f"`{row}` - (CAST(shard AS BIGINT) * `{total}` + {n_shards - 1}) DIV {n_shards}")
+    return ranked.select(*kept, "hilbert", "shard", slot.alias("slot"))
 
 
 def manifest(sharded: DataFrame, dims: list[str]) -> DataFrame:

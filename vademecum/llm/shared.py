@@ -129,3 +129,11 @@ def looked_up(ids: list[int | None], known: np.ndarray, values: np.ndarray) -> n
 def fields(df: DataFrame, names: list[str]) -> str:
     """The schema of some columns as DDL."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
+
+
+def free_prefix(columns: list[str]) -> str:
+    """A start of names that no column has."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
