@@ -1,15 +1,20 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Two states, clean and toxic, over the words of a text. The labels say only whether a document is toxic, so words are
-labelled first: a word, or a word beginning of four or five letters, is taken as toxic evidence if it is found in many
-more of the labelled toxic documents than of the clean ones; in toxic documents, words with such evidence are labelled
-toxic. The field is trained on these labelled words. Its features are the evidence for the whole word and for its
-beginnings, the word's form, and the state before; a word never sees its document's label, language or source.
-
-Forward-backward marginals give each word its probability of being toxic. A document's weight is the sum of its words'
-evidence times these probabilities, and its score is a logistic function of the weight that is fitted to the labels of
-a bounded sample of documents. Runs of words over one half make the
-offending spans, as character offsets in the text. A null or empty text has no words and the score of no evidence.
+Two states, clean and toxic, over the words of a text. A word's features are hashed into SLOTS cells: the word without
+marks at its ends, its beginnings of three to seven letters, its last letters, its form, and the words before and after
+it. The field also weighs the state before and the first state; a word never sees its document's label, language or
+source.
+
+The labels say only whether a document is toxic, so the words of a bounded sample are labelled first: words of clean
+documents are clean, and a word of a toxic document is toxic if it, or one of its beginnings, is found in so many more of
+the labelled toxic documents than of the clean ones that chance is ruled out. The field is trained on these labelled
+words and then decides alone: forward-backward marginals give each word its probability of being toxic, and a
+document's score is a logistic function of their sum and of the number of words, fitted to labelled documents. Runs of
+words over one half make the offending spans, as character offsets in the text.
+
+A null or empty text has no words and the score of no toxic word. Rows without a doc_id are scored and never labelled.
+Extra columns are kept as asked for in ``keep``; a kept column named as a new one (score, predicted, spans) is replaced
+by the new one. Repeated rows score alike. Without labels of both kinds no document is predicted toxic.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
@@ -26,93 +31,117 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vademecum.llm.shared import column_of, fields, looked_up, sampled_labels, slices
+from vademecum.llm.cuts import CutMemo
+from vademecum.llm.shared import column_of, fields, looked_up, sampled_labels, slices, written
 from vademecum.llm.words import MEMO_ENTRIES
 
-#: About how many labelled rows are used at most: for the evidence, and of each label to train the field
-#: and to calibrate its scores.
+#: About how many labelled rows are used at most: for the labelling of words, and of each label to train the field and to
+#: calibrate its scores. Texts of more than TRAINED_CHARS characters don't train the field.
 LABELLED = 60_000
-TRAINED, CALIBRATED = 250, 1500
-#: Evidence kept at most; LEAST toxic texts must show it, and with both labels dealt at random a key's texts would be as
-#: often toxic with a probability of CHANCE at most. Equal texts count once, so copies don't make evidence.
-LEXICON, LEAST, CHANCE = 20_000, 4, 1e-5
-#: Clean documents that are added to a key's count, and the least log odds of evidence.
-PRIOR, STRONG = 1.0, 3.0
+TRAINED, CALIBRATED, TRAINED_CHARS = 300, 2000, 20_000
+#: A key needs LEAST toxic texts, and with both labels dealt at random its texts would be as often toxic with a
+#: probability of CHANCE at most. Equal texts count once, so copies don't make evidence.
+LEAST, CHANCE = 4, 1e-5
+#: Clean documents that are added to a key's count, and the least log odds of a toxic key.
+PRIOR, STRONG = 1.0, 1.5
 THRESHOLD = 0.7
-N_FEATURES = 5
-#: Word scores that a worker remembers before it starts anew.
-EMISSIONS = 150_000
+SLOTS = 1 << 16
+BEGINNINGS = (3, 4, 5, 6, 7)
+#: Feature cells of a word: its own, and for the word after and before it.
+OWN, NEXT = 4 + len(BEGINNINGS), 2
+#: Words that a worker remembers.
+EMISSIONS = 250_000
 _edges = ".,;:!?#*$%&|<>()[]{}\"'`~^_-+=/\\"
 _word = re.compile(r"\S+")  # the words of str.split()
 
 
 def keys_of(word: str) -> list[str]:
-    """The lower-cased word without marks at its ends, and its beginnings of four and five letters."""
+    """The lower-cased word without marks at its ends, and its beginnings."""
     bare = word.lower().strip(_edges)
-    return [bare, *(f"{bare[:k]}*" for k in (4, 5) if len(bare) > k)] if bare else []
+    return [bare, *(f"{bare[:k]}*" for k in BEGINNINGS if len(bare) > k)] if bare else []
+
+
+def slots_of(word: str) -> list[int]:
+    """Feature cells of a word: OWN of its own, NEXT for the word after it, NEXT for the word before it. SLOTS: none."""
+    bare = word.lower().strip(_edges)
+    crc = lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass")) % SLOTS
+    form = f"f{word.isupper():d}{any(map(str.isdigit, word)):d}{word[-1:].isalnum():d}{min(len(bare), 4)}"
+    own = [crc("w" + bare), crc("e" + bare[-3:]), crc(form), crc("b")]
+    own += [crc(f"{k}{bare[:k]}") if len(bare) >= k else SLOTS for k in BEGINNINGS]
+    return own + [crc("p" + bare), crc("q" + bare[:4]), crc("n" + bare), crc("m" + bare[:4])]
 
 
 @dataclass(frozen=True)
 class Field:
-    """A trained field: evidence by key, feature weights of the toxic state, and transition and start scores."""
+    """A trained field: weights of the feature cells, transition and start scores, and the curve of the score."""
 
-    lexicon: dict[str, float]
-    weights: np.ndarray
+    weights: np.ndarray  # SLOTS + 1, the last one 0
     moves: np.ndarray  # 2 x 2 log scores, from row to column
     start: np.ndarray
-    curve: tuple[float, float] = (-6.0, 4.0)  # of the score: intercept, and slope on log(1 + weight)
+    curve: tuple[float, float, float] = (-6.0, 4.0, 0.0)  # intercept, and slopes on the logs of toxic words and words
+
+
+def document_terms(toxic: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Of the sums of marginals and the numbers of words: what the score is linear in."""
+    return np.stack([np.ones(len(toxic)), np.log(toxic + 0.05), np.log(words + 1.0)], 1)
+
 
-    def features(self, word: str) -> tuple[float, ...]:
-        keys = keys_of(word)
-        found = [self.lexicon.get(k, 0.0) for k in keys]
-        whole = found[0] if found else 0.0
-        begin = max(found[1:], default=0.0)
-        return (1.0, max(whole, begin), float(whole > 0), float(begin > 0), float(word.isupper()))
+def chained(emitted: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Toxic-state scores of words end to end from (own, for the next, for the one before) scores."""
+    scores = emitted[:, 0].copy()
+    inner = np.flatnonzero(~first)
+    scores[inner] += emitted[inner - 1, 1]
+    scores[inner - 1] += emitted[inner, 2]
+    return scores
 
 
-class Emissions(dict):
-    """Toxic-state score and evidence of each word, remembered per worker."""
+class Emissions:
+    """Scores of the words of a worker's texts by a field."""
 
     def __init__(self, field: Field) -> None:
-        self.field, self.weights = field, field.weights.tolist()
+        self.field = field
+        self.memo = CutMemo(self._emitted, EMISSIONS, np.float64)
 
-    def __missing__(self, word: str) -> tuple[float, float]:
-        features = self.field.features(word)
-        value = self[word] = (sum(w * x for w, x in zip(self.weights, features, strict=True)), features[1])
-        return value
+    def _emitted(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        cells = np.fromiter(chain.from_iterable(map(slots_of, words)), np.int64, len(words) * (OWN + 2 * NEXT)).reshape(len(words), -1)
+        w = self.field.weights[cells]
+        sums = [w[:, :OWN].sum(axis=1), w[:, OWN : OWN + NEXT].sum(axis=1), w[:, OWN + NEXT :].sum(axis=1)]
+        return np.stack(sums, 1).ravel(), np.full(len(words), 3)
 
     def weigh(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the words of some texts: marginals end to end, offsets of the texts, and the weight of each text."""
-        if len(self) > EMISSIONS:
-            self.clear()
-        sizes = np.array([len(w) for w in words])
+        """Of the words of some texts: marginals end to end, offsets of the texts, and the score of each text."""
+        sizes = np.array([len(w) for w in words], np.int64)
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        both = np.fromiter(chain.from_iterable(map(self.__getitem__, chain.from_iterable(words))), np.float64, 2 * int(offsets[-1])).reshape(-1, 2)
-        first = np.zeros(len(both), bool)
+        at = self.memo.places(list(chain.from_iterable(words)))
+        emitted = self.memo.ids[self.memo.starts[at][:, None] + np.arange(3)]
+        first = np.zeros(len(at), bool)
         first[offsets[:-1][sizes > 0]] = True
-        p = marginals(both[:, 0], first, self.field.moves, self.field.start)
-        text = np.repeat(np.arange(len(words)), sizes)
-        return p, offsets, np.bincount(text, p * both[:, 1], minlength=len(words))
+        p = marginals(chained(emitted, first), first, self.field.moves, self.field.start)
+        toxic = np.bincount(np.repeat(np.arange(len(words)), sizes), p, minlength=len(words))
+        return p, offsets, toxic
 
-    def scores(self, weights: np.ndarray) -> np.ndarray:
-        a, b = self.field.curve
-        return 1 / (1 + np.exp(-(a + b * np.log1p(weights))))
+    def scores(self, toxic: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(document_terms(toxic, np.diff(offsets)) @ np.array(self.field.curve))))
 
 
-def calibrated(field: Field, weights: np.ndarray, labels: np.ndarray, share: float) -> Field:
-    """The field with its score curve fitted to labelled weights by Newton steps; ``share`` is the part of toxic
-    documents among all labelled ones. Without both labels the default curve stays."""
+def calibrated(field: Field, toxic: np.ndarray, words: np.ndarray, labels: np.ndarray, share: float) -> Field:
+    """The field with its score curve fitted by Newton steps to the sums of marginals and numbers of words of labelled
+    documents; ``share`` is the part of toxic documents among all labelled ones. Without both labels the default curve
+    stays."""
     if len(set(labels.tolist())) < 2:
         return field
-    x = np.stack([np.ones(len(weights)), np.log1p(weights)], 1)
+    x = document_terms(toxic, words)
     part = np.where(labels == 1, share / max(1, (labels == 1).sum()), (1 - share) / max(1, (labels == 0).sum())) * len(labels)
+    loss = lambda w: float((part * np.logaddexp(0, np.where(labels == 1, -1, 1) * (x @ w))).sum() + 0.05 * w @ w)
     w = np.array(field.curve)
-    for _ in range(30):
+    for _ in range(60):
         p = 1 / (1 + np.exp(-(x @ w)))
-        gradient = x.T @ (part * (labels - p)) - 0.05 * w
-        curvature = (x * (part * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
-        w = w + np.clip(np.linalg.solve(curvature, gradient), -2, 2)
-    return Field(field.lexicon, field.weights, field.moves, field.start, (float(w[0]), max(0.0, float(w[1]))))
+        gradient = x.T @ (part * (p - labels)) + 0.1 * w
+        step = np.linalg.solve((x * (part * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), gradient)
+        while np.abs(step).max() > 1e-6 and loss(w - step) > loss(w):
+            step = step / 2
+        w = w - step
+    return replace(field, curve=(float(w[0]), max(0.0, float(w[1])), float(w[2])))
 
 
 def _steps(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -177,35 +206,43 @@ def marginals(scores: np.ndarray, first: np.ndarray, moves: np.ndarray, start: n
     return toxic, joint / joint.sum(axis=(1, 2), keepdims=True)
 
 
-def train(texts: list[list[str]], tags: list[np.ndarray], lexicon: dict[str, float], rounds: int = 50) -> Field:
+def train(texts: list[list[str]], tags: list[np.ndarray], rounds: int = 40) -> Field:
     """Fits weights, moves and start by gradient steps (adaptive step sizes, small L2 penalty) on labelled words."""
-    field = Field(lexicon, np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(2))
-    memo: dict[str, tuple[float, ...]] = {}
-    flat = [w for words in texts for w in words]
-    x = np.array([memo.setdefault(w, field.features(w)) for w in flat]).reshape(-1, N_FEATURES)
-    y = np.concatenate([*tags, np.zeros(0, np.int64)]).astype(np.int64)
+    index: dict[str, int] = {}
+    flat = np.array([index.setdefault(w, len(index)) for words in texts for w in words], np.int64)
+    if not len(flat) or not sum(t.sum() for t in tags):
+        return Field(np.append(np.zeros(SLOTS), 0.0), np.array([[0.0, -10.0], [0.0, -10.0]]), np.array([0.0, -10.0]))
+    cells = np.array([slots_of(w) for w in index])
+    y = np.concatenate(tags).astype(np.int64)
     first = np.zeros(len(flat), bool)
     first[np.cumsum([0, *map(len, texts)])[:-1][[len(t) > 0 for t in texts]]] = True
     inner = np.flatnonzero(~first)
+    parts = (slice(0, OWN), slice(OWN, OWN + NEXT), slice(OWN + NEXT, None))
     seen_moves = np.zeros((2, 2))
     np.add.at(seen_moves, (y[inner - 1], y[inner]), 1)
     seen_start = np.bincount(y[first], minlength=2)
-    p = np.zeros(N_FEATURES + 6)
+    p = np.zeros(SLOTS + 1 + 6)
     mean, square = np.zeros(len(p)), np.zeros(len(p))
-    if not len(flat):
-        p[0] = -10.0
-    for step in range(1, rounds + 1 if len(flat) else 1):
-        w, moves, start = p[:N_FEATURES], p[N_FEATURES : N_FEATURES + 4].reshape(2, 2), p[N_FEATURES + 4 :]
-        toxic, joint = marginals(x @ w, first, moves, start, pairs=True)
+    for step in range(1, rounds + 1):
+        w, moves, start = p[: SLOTS + 1], p[SLOTS + 1 : SLOTS + 5].reshape(2, 2), p[SLOTS + 5 :]
+        by_word = np.stack([w[cells[:, part]].sum(axis=1) for part in parts], 1)
+        toxic, joint = marginals(chained(by_word[flat], first), first, moves, start, pairs=True)
+        off = y - toxic
+        pulls = (off, np.append(off[1:] * ~first[1:], 0.0), np.append(0.0, off[:-1] * ~first[1:]))
+        pull = np.zeros(SLOTS + 1)
+        for own, part in zip(pulls, parts, strict=True):
+            by = np.bincount(flat, own, minlength=len(index))
+            pull += np.bincount(cells[:, part].ravel(), np.repeat(by, cells[:, part].shape[1]), minlength=SLOTS + 1)
         gradient = np.concatenate([
-            x.T @ (y - toxic),
+            pull,
             (seen_moves - joint[inner].sum(axis=0)).reshape(-1),
             seen_start - np.array([(1 - toxic[first]).sum(), toxic[first].sum()]),
-        ]) / max(1, y.sum()) - 1e-3 * p
+        ]) / y.sum() - 1e-4 * p
+        gradient[SLOTS] = 0
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
-        p = p + 0.4 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    return Field(lexicon, p[:N_FEATURES], p[N_FEATURES : N_FEATURES + 4].reshape(2, 2), p[N_FEATURES + 4 :])
+        p = p + 0.25 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
+    return Field(p[: SLOTS + 1], p[SLOTS + 1 : SLOTS + 5].reshape(2, 2), p[SLOTS + 5 :])
 
 
 def _labelled(docs: DataFrame, ids: np.ndarray, values: np.ndarray) -> DataFrame:
@@ -221,18 +258,12 @@ def _labelled(docs: DataFrame, ids: np.ndarray, values: np.ndarray) -> DataFrame
     return docs.select("doc_id", "text").mapInArrow(run, "text string, label long")
 
 
-def by_chance(c: int, t: int, clean: int, toxic: int) -> float:
-    """Chernoff's bound on the probability that ``t`` or more of c + t texts are toxic where ``toxic`` of clean + toxic
-    are; 1 where their share isn't over the common one."""
-    share, own = (toxic + 1) / (clean + toxic + 2), t / max(1, c + t)
-    if own <= share:
-        return 1.0
-    distance = own * np.log(own / share) + (0.0 if c == 0 else (1 - own) * np.log((1 - own) / (1 - share)))
-    return float(np.exp(-(c + t) * distance))
-
+def toxic_keys(known: DataFrame) -> set[str]:
+    """The keys that the labelled toxic texts (text, label) show far more often than the clean ones, and more often than
+    chance would: Chernoff's bound on the probability that so many of a key's texts are toxic is CHANCE at most.
 
-def evidence(known: DataFrame) -> dict[str, float]:
-    """Log odds of the keys that the labelled toxic documents show far more often than the clean ones."""
+    Only keys that pass are collected; each is in LEAST toxic texts of the bounded sample or more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -240,71 +271,92 @@ def evidence(known: DataFrame) -> dict[str, float]:
         def flush() -> pa.RecordBatch:
             names, both = list(counts), list(counts.values())
             counts.clear()
-            return pa.RecordBatch.from_pydict({"key": pa.array(names, pa.string()), "clean": pa.array([b[0] for b in both], pa.int64()), "toxic": pa.array([b[1] for b in both], pa.int64())})
+            return pa.RecordBatch.from_pydict({"key": pa.array(names, pa.string()), "c": pa.array([b[0] for b in both], pa.int64()), "t": pa.array([b[1] for b in both], pa.int64())})
 
-        total = [0, 0]
-        for batch in slices(batches):
+        for batch in slices(batches, 128):
             for text, label in zip(column_of(batch, "text"), column_of(batch, "label"), strict=True):
-                kind = int(label == 1)
-                total[kind] += 1
                 for key in {k for w in set((text or "").split()) for k in keys_of(w)}:
-                    counts[key][kind] += 1
-            if len(counts) > MEMO_ENTRIES // 2:
+                    counts[key][int(label == 1)] += 1
+            if len(counts) > MEMO_ENTRIES:
                 yield flush()
         yield flush()
-        yield pa.RecordBatch.from_pydict({"key": pa.array([""]), "clean": pa.array([total[0]]), "toxic": pa.array([total[1]])})
 
-    counts = known.dropDuplicates(["text", "label"]).mapInArrow(run, "key string, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    enough = counts.where((F.col("toxic") >= LEAST) | (F.col("key") == ""))
-    rows = enough.orderBy((F.col("key") == "").desc(), (F.col("toxic") / (F.col("clean") + 1)).desc(), "key").limit(LEXICON + 1).collect()
-    by = {r["key"]: (r["clean"], r["toxic"]) for r in rows}
-    clean, toxic = by.pop("", (0, 0))
-    odds = {k: float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + PRIOR) / (clean + 1))) for k, (c, t) in by.items() if by_chance(c, t, clean, toxic) <= CHANCE}
-    return {k: min(v, 8.0) for k, v in odds.items() if v > STRONG}
+    once = known.dropDuplicates(["text", "label"])
+    total = {r["label"]: r["n"] for r in once.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic = total.pop(1, 0)
+    clean = sum(total.values())
+    counts = once.mapInArrow(run, "key string, c long, t long").groupBy("key").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    share, own = (toxic + 1) / (clean + toxic + 2), F.col("t") / (F.col("c") + F.col("t"))
+    distance = own * F.log(own / share) + F.when(F.col("c") > 0, (1 - own) * F.log((1 - own) / (1 - share))).otherwise(0.0)
+    odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + PRIOR) / (clean + 1))
+    passed = counts.where(F.col("t") >= LEAST).where((own > share) & ((F.col("c") + F.col("t")) * distance >= float(-np.log(CHANCE))) & (odds > STRONG))
+    return {r["key"] for r in passed.select("key").collect()}
+
+
+def tagged(words: list[str], label: int, keys: set[str]) -> np.ndarray:
+    """1 for the toxic words of a labelled text."""
+    return np.array([int(label == 1 and any(k in keys for k in keys_of(w))) for w in words], np.int64)
+
+
+def _weighed(known: DataFrame, field: Field) -> DataFrame:
+    """label, toxic (the sum of marginals) and words of labelled texts."""
+    shared = known.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Emissions(shared.value)
+        for batch in slices(batches, 128):
+            _, offsets, toxic = memo.weigh([(t or "").split() for t in column_of(batch, "text")])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(toxic), pa.array(np.diff(offsets))], ["label", "toxic", "words"])
+
+    return known.select("text", "label").mapInArrow(run, "label long, toxic double, words long")
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: str = "true") -> Field:
-    """A field trained on a bounded sample of the rows of ``labels`` that meet ``where``."""
-    ids, toxic = sampled_labels(labels, "toxic", LABELLED, where)
-    lexicon = evidence(_labelled(docs, ids, toxic))
-    spread = np.random.default_rng(1)
-    chosen = np.sort(np.concatenate([spread.permutation(np.flatnonzero(toxic == k))[:CALIBRATED] for k in (0, 1)])).astype(np.int64)
-    rows = _labelled(docs, ids[chosen], toxic[chosen]).collect()  # at most 2 * CALIBRATED documents
-    rows.sort(key=lambda r: (hash_of(r["text"]), r["label"]))
-    first = [r for k in (0, 1) for r in [r for r in rows if r["label"] == k][:TRAINED]]
-    texts = [(r["text"] or "").split() for r in first]
-    tags = [np.array([int(r["label"] == 1 and any(k in lexicon for k in keys_of(w))) for w in words], np.int64) for r, words in zip(first, texts, strict=True)]
-    field = train(texts, tags, lexicon)
-    memo, weights = Emissions(field), []
-    for k in range(0, len(rows), 100):
-        weights.append(memo.weigh([(r["text"] or "").split() for r in rows[k : k + 100]])[2])
-    labels_of = np.array([r["label"] for r in rows], np.int64)
-    return calibrated(field, np.concatenate([*weights, np.zeros(0)]), labels_of, float((toxic == 1).mean()) if len(toxic) else 0.0)
-
-
-def hash_of(text: str | None) -> int:
-    return zlib.crc32((text or "").encode("utf-8", "surrogatepass"))
-
-
-def score(docs: DataFrame, field: Field, keep: list[str]) -> DataFrame:
+    """A field trained on a bounded sample of the rows of ``labels`` that meet ``where``.
+
+    About LABELLED labelled texts are written once to the shared folder; of these, 2 * TRAINED bounded texts and the
+    numbers of 2 * CALIBRATED texts reach the driver.
+    """
+    ids, values = sampled_labels(labels, "toxic", LABELLED, where)
+    known = written(_labelled(docs, ids, values), "labelled")
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    keys = toxic_keys(known)
+
+    def some(rows: DataFrame, most: int) -> DataFrame:
+        """About ``most`` rows of each label, by a hash of the text."""
+        share = F.when(F.col("label") == 1, most / max(1, counts.get(1, 0))).otherwise(most / max(1, counts.get(0, 0)))
+        return rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+
+    short = known.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAINED_CHARS)
+    rows = sorted((r["text"] or "", r["label"]) for r in some(short, TRAINED).dropDuplicates(["text", "label"]).collect())
+    field = train([t.split() for t, _ in rows], [tagged(t.split(), label, keys) for t, label in rows])
+    found = sorted(map(tuple, _weighed(some(known, CALIBRATED), field).collect()))
+    label, toxic, words = (np.array(c, float) for c in zip(*found, strict=True)) if found else (np.zeros(0),) * 3
+    return calibrated(field, toxic, words, label, counts.get(1, 0) / max(1, sum(counts.values())))
+
+
+def score(docs: DataFrame, field: Field, keep: list[str], prefix: str = "") -> DataFrame:
     """The columns ``keep`` with score (0 to 1), predicted (1 if score >= THRESHOLD, else 0) and spans
-    (array<struct<begin int, end int>>, character offsets)."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)  # the lexicon has at most LEXICON keys
+    (array<struct<begin int, end int>>, character offsets), whose names start with ``prefix``. Kept columns of these
+    names are replaced."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)  # SLOTS numbers
+    names = [f"{prefix}{n}" for n in ("score", "predicted", "spans")]
+    keep = [k for k in keep if k not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Emissions(shared.value)
         for batch in slices(batches, 256):
             texts = [t or "" for t in column_of(batch, "text")]
-            p, offsets, weights = memo.weigh([t.split() for t in texts])
-            total = memo.scores(weights)
-            text = np.repeat(np.arange(len(texts)), np.diff(offsets))
-            hot = np.bincount(text[p > 0.5], minlength=len(texts))
+            p, offsets, toxic = memo.weigh([t.split() for t in texts])
+            total = memo.scores(toxic, offsets)
+            hot = np.bincount(np.repeat(np.arange(len(texts)), np.diff(offsets))[p > 0.5], minlength=len(texts))
             spans = [_spans(texts[i], p[offsets[i] : offsets[i + 1]]) if hot[i] else [] for i in range(len(texts))]
             kept = [batch.column(batch.schema.get_field_index(k)) for k in keep]
             new = [pa.array(total), pa.array((total >= THRESHOLD).astype(np.int32)), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))]
-            yield pa.RecordBatch.from_arrays([*kept, *new], [*keep, "score", "predicted", "spans"])
+            yield pa.RecordBatch.from_arrays([*kept, *new], [*keep, *names])
 
-    schema = fields(docs, keep) + ", score double, predicted int, spans array<struct<begin: int, end: int>>"
+    types = ("double", "int", "array<struct<begin: int, end: int>>")
+    schema = ", ".join([*([fields(docs, keep)] if keep else []), *(f"`{n}` {t}" for n, t in zip(names, types, strict=True))])
     return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, schema)
 
 
