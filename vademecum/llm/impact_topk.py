@@ -1,18 +1,23 @@
 """Exact top-k inner products with an impact-ordered, score-at-a-time index.
 
 Vectors are quantised to floor(256 * x). The rows are hashed into blocks of bounded size, and each block is an index of
-its own: per dimension, the vectors in the order of their component, so that for any query weight the postings of a
-dimension run from the highest impact (weight times component) downwards. A posting segment is the part of a dimension's
+its own: per dimension, the postings (row, component) in the order of falling magnitude, so that for any query weight
+the impacts (weight times component) of a dimension fall along its run. A posting segment is the part of a dimension's
 run between two impact levels. For a query, the segments of all dimensions are processed level by level, highest impacts
-first, each adding its impacts to the vectors' partial scores. Impacts are counted above the lowest of their dimension,
-so they are never negative: a vector's score lies between its partial score and that plus, for every dimension not yet
-met, the highest impact that the dimension has left. Processing stops only when that proves all but a few vectors out of
-the top k, or at impact 0, when all is processed; only the vectors that are still possible are then scored exactly from
+first, each moving its rows' bounds from the best that is possible to what their impacts really are.
+
+With s the ratio of the lengths of query and rows, q.v = (|q|^2 / s + s |v|^2) / 2 - |q - s v|^2 / (2 s). A row's bound
+starts with the first term, which needs its length only, and every posting met takes its own part of the second one off;
+postings not met can only take more. The rows that lead so far are scored exactly, and the k-th best of them is a proven
+floor: rows whose bound is below it are out. Processing stops only when that proves all but a
+few rows out, or at impact 0, when everything is processed; only the rows that are still possible are then scored from
 their full vectors. The result is exact, ties go to the smaller id.
 
-Query blocks meet index blocks through an equi-join on the pair of block numbers; each pair gives at most k rows per
-query, and the k best over all pairs are taken by a window per query. Vectors that are null or empty, or hold a null or
-non-finite component, take no part; vectors of different lengths are never compared.
+Blocks and queries meet in one exchange: every query is sent to every block, a task builds a block's index once and
+answers the queries one after the other; each block gives at most k rows per query, and the k best over all blocks are
+taken by a window per query. Vectors that are null or empty, or hold a null or non-finite component, take no part; nor
+do rows without an id; vectors of different lengths are never compared. Scores are 64-bit integers. Rows that repeat an
+id are candidates each, but never of a query with that id. Extra columns are left behind. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -24,112 +29,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vademecum.llm.shared import slices
-
-INDEX_ROWS, QUERY_ROWS = 8192, 2048
-#: Impact levels as shares of the block's highest impact for the query; at the last one all postings that add anything are
-#: processed.
-LEVELS = (0.5, 0.25, 0.12, 0.07, 0.045, 0.03, 0.015, 0.0)
-#: No more postings are processed once at most so many rows for each of the k wanted are still possible.
-FEW = 32
+#: Rows of an index block, about.
+INDEX_ROWS = 8192
+#: Impact levels as shares of the block's highest impact for the query; at the last one all postings are processed.
+LEVELS = (0.2, 0.1, 0.06, 0.04, 0.028, 0.02, 0.01, 0.0)
+#: No more postings are processed once at most so many rows for each of the k wanted are still possible, and as many
+#: leading rows are scored for the floor.
+FEW, LEADING = 32, 3
 
 
 class ImpactIndex:
-    """The postings of one block: ids (ascending), integer vectors, and per dimension the rows by component."""
+    """The postings of one block: ids (ascending), integer vectors, and per dimension the rows by magnitude."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
-        self.rows = np.argsort(self.vectors, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.values = np.take_along_axis(self.vectors.T, self.rows, axis=1)
-
-    def top(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows whose id isn't ``query_id``."""
-        left = self.possible(query, query_id, k)
+        size = np.abs(self.vectors).T
+        by_size = np.argsort(-size, axis=1, kind="stable")
+        self.rows = by_size.astype(np.int32).ravel()
+        self.values = np.take_along_axis(self.vectors.T, by_size, axis=1).astype(np.float64).ravel()
+        self.falling = -np.take_along_axis(size, by_size, axis=1)
+        self.norms = (self.vectors.astype(np.float64) ** 2).sum(axis=1)
+
+    def top(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Ids and scores of the k best rows whose id isn't ``query_id``; postings processed and rows rescored."""
+        left, postings = self.possible(query, query_id, k)
         scores = self.vectors[left] @ query
         best = np.lexsort((self.ids[left], -scores))[:k]
-        return self.ids[left][best], scores[best]
-
-    def possible(self, query: np.ndarray, query_id: int, k: int) -> np.ndarray:
-        """The rows other than ``query_id`` that the bounds can't prove out of the k best."""
-        n, dims = len(self.ids), len(self.values)
-        own = self.ids == query_id
-        if n <= k:
-            return np.flatnonzero(~own)
-        up = query >= 0
-        lowest = np.where(up, self.values[:, 0], self.values[:, -1])
-        rest = query * (np.where(up, self.values[:, -1], self.values[:, 0]) - lowest)  # most that an open posting adds, >= 0
-        partial, open_ = np.zeros(n, np.int64), np.ones((dims, n), np.float32)
-        done = np.zeros(dims, np.int64)  # postings processed per dimension
-        highest = int(rest.max())
+        return self.ids[left][best], scores[best], postings, len(left)
+
+    def possible(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, int]:
+        """The rows other than ``query_id`` that the bounds can't prove out of the k best, and the postings processed."""
+        n, dims = len(self.ids), len(self.falling)
+        open_ = self.ids != query_id
+        if n <= LEADING * k:
+            return np.flatnonzero(open_), 0
+        weight, q = np.abs(query), query.astype(np.float64)
+        used = np.flatnonzero((weight > 0) & (self.falling[:, 0] < 0)).tolist()
+        highest = int((weight * -self.falling[:, 0]).max())
+        asked = float(q @ q)
+        scale = np.sqrt(asked / max(float(np.median(self.norms)), 1.0)) or 1.0
+        most = (asked / scale + scale * self.norms) / 2  # of q.v, by |q - scale * v| >= 0
+        slack = 1e-9 * (most + most.max())  # more than the rounding of the sums
+        done = np.zeros(dims, np.int64)
+        left = np.flatnonzero(open_)
         for share in LEVELS:
             level = int(highest * share)
-            for d in np.flatnonzero(rest > level):
-                # postings of dimension d with an impact over the level, beyond those already processed
-                bound = level // abs(int(query[d]))  # impact > level  <=>  distance from the lowest > bound
-                if query[d] > 0:
-                    upto = n - int(np.searchsorted(self.values[d], lowest[d] + bound, side="right"))
-                    part, after = slice(n - upto, n - done[d]), n - upto - 1
-                else:
-                    upto = int(np.searchsorted(self.values[d], lowest[d] - bound, side="left"))
-                    part, after = slice(done[d], upto), upto
-                rows = self.rows[d, part]
-                partial[rows] += query[d] * (self.values[d, part] - lowest[d])
-                open_[d, rows] = 0
+            rows, taken = [], []
+            for d in used:
+                upto = int(np.searchsorted(self.falling[d], -(level // int(weight[d])), side="left"))  # impact > level
+                segment = slice(d * n + int(done[d]), d * n + upto)
+                rows.append(self.rows[segment])
+                taken.append((q[d] - scale * self.values[segment]) ** 2)
                 done[d] = upto
-                rest[d] = query[d] * (self.values[d, after] - lowest[d])
-            proof = np.partition(np.where(own, -1, partial), n - k)[n - k]
-            # the sums are of float32: rounded up by more than their error
-            most_left = np.ceil((rest.astype(np.float32) @ open_).astype(np.float64) * (1 + 1e-6 * (dims + 1))).astype(np.int64)
-            left = np.flatnonzero((partial + most_left >= proof) & ~own)
+            if rows:
+                most -= np.bincount(np.concatenate(rows), np.concatenate(taken), n) / (2 * scale)
+            lead = np.argpartition(np.where(open_, -most, np.inf), LEADING * k)[: LEADING * k]
+            exact = np.sort(self.vectors[lead[open_[lead]]] @ query)
+            if len(exact) >= k:
+                left = np.flatnonzero(open_ & (most + slack >= exact[-k]))
             if len(left) <= FEW * k:
                 break
-        return left
+        return left, int(done.sum())
 
 
 def quantised(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """id and v (floor(256 * x) as array<int>) of the rows that take part."""
+    """id and v (floor(256 * x) as array<long>) of the rows that take part."""
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = df.where(F.col(vec_id).isNotNull() & (F.size(embedding) > 0) & ~bad)
-    whole = F.transform(embedding, lambda x: F.floor(x.cast("double") * 256).cast("int"))
+    whole = F.transform(embedding, lambda x: F.floor(x.cast("double") * 256).cast("long"))
     return usable.select(F.col(vec_id).cast("long").alias("id"), whole.alias("v"))
 
 
-def _packed(rows: DataFrame, most: int, name: str) -> DataFrame:
-    """One row per block: (dims, block) and the block's ids and vectors. Blocks are bounded: about ``most`` rows."""
-    blocks = max(1, -(-rows.count() // most))
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")).withColumn("dims", F.size("v"))
-    return dealt.groupBy("dims", name).agg(F.collect_list(F.struct("id", "v")).alias(f"{name}_rows")), blocks
-
-
 def top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id and score of the k best rows of ``corpus`` for every row of ``queries`` (both: id, v).
+    """query_id, rank, vec_id and score of the k best rows of ``corpus`` for every row of ``queries`` (both: id, v), and
+    postings and rescored: what answering the query took in the block of the row.
 
-    Rows with the query's own id are no candidates. A query without any candidate has no rows.
+    Rows with the query's own id are no candidates. A query without any candidate has no rows. Repeated queries are
+    answered once each, with shared ranks.
     """
-    left, n_left = _packed(corpus, INDEX_ROWS, "x")
-    right, n_right = _packed(queries, QUERY_ROWS, "y")
-    left = left.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
-    right = right.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
-    pairs = left.join(right, ["dims", "x", "y"]).select("x_rows", "y_rows")
+    blocks = max(1, -(-corpus.count() // INDEX_ROWS))
+    left = corpus.select(F.size("v").alias("dims"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    right = queries.select("id", "v").dropDuplicates(["id", "v"]).select(F.size("v").alias("dims"), every, F.lit(1).alias("kind"), "id", "v")
+    met = left.unionByName(right).repartition("dims", "block").sortWithinPartitions("dims", "block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            (ids, vectors), (query_ids, queries) = (_arrays(batch.column(c)) for c in (0, 1))
-            index = ImpactIndex(ids, vectors)
-            found = [index.top(q, int(i), k) for i, q in zip(query_ids, queries, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(query_ids, [len(f[0]) for f in found])), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))],
-                ["query_id", "vec_id", "score"],
-            )
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+        block, waiting, index = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            cuts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if start == end:
+                    continue
+                own, kind = tuple(keys[start, :2].tolist()), keys[start, 2]
+                part = batch.slice(start, end - start)
+                ids = part.column(3).to_numpy()
+                vectors = part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                if own != block:
+                    block, waiting, index = own, [], None
+                if kind == 0:
+                    waiting.append((ids, vectors))
+                    continue
+                if waiting:
+                    index = ImpactIndex(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
+                    waiting = []
+                if index is None:
+                    continue
+                found = [index.top(q, int(i), k) for i, q in zip(ids, vectors, strict=True)]
+                sizes = [len(f[0]) for f in found]
+                columns = [np.repeat(ids, sizes), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]
+                columns += [np.repeat([f[i] for f in found], sizes).astype(np.int64) for i in (2, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score", "postings", "rescored"])
+
+    found = met.mapInArrow(run, "query_id long, vec_id long, score long, postings long, rescored long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    rows = column.values.slice(column.offsets[0].as_py(), column.offsets[-1].as_py() - column.offsets[0].as_py())
-    ids = rows.field("id").to_numpy(zero_copy_only=False).astype(np.int64)
-    vectors = rows.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return ids, vectors.reshape(len(ids), -1)
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score", "postings", "rescored")
