@@ -49,11 +49,16 @@ def family(rng, size, words, edits, first):
         yield first + i, " ".join(own)
 
 
-def test_groups_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("crowd", [5, 4096])
+def test_groups_equal_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(near_duplicates, "CHUNK", 16)  # so that large buckets are cut into blocks here too
+    monkeypatch.setattr(near_duplicates, "CROWD", crowd)  # and parted
+    monkeypatch.setattr(near_duplicates, "FEW_IDS", crowd * 100)
     rng = random.Random(4)
     rows = [(1000 + i, " ".join(f"w{rng.randrange(500)}" for _ in range(40))) for i in range(60)]
     rows += [*family(rng, 70, 120, 8, 0), *family(rng, 40, 60, 3, 200), *family(rng, 30, 300, 25, 300)]
+    passage = " ".join(f"p{k}" for k in range(90))  # many texts share it and little else
+    rows += [(2000 + i, passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(60))) for i in range(60)]
     rows += [(400 + i, "exact copy of one short text here") for i in range(20)] + [(500, "two words"), (501, "Two WORDS"), (502, "two words more")]
     rows += [(600, ""), (601, None), (602, " \n ")]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
@@ -167,6 +172,56 @@ def test_shard_query_prunes(spark, sf_dir):
     assert sum(r.rows for r in shown) == docs.count()
 
 
+def plain_cells(values):
+    """Cells of string values by the middle of each value's run in the order of all."""
+    known = sorted(v.encode() for v in values if v is not None)
+    firsts, at = {}, 0
+    for value, n in sorted(collections.Counter(known).items()):
+        firsts.setdefault((2 * at + n) * 16 // (2 * len(known)), value)
+        at += n
+    cuts = [v for cell, v in firsts.items() if cell > 0]
+    return {v: sum(v.encode() >= c for c in cuts) if v is not None else 0 for v in set(values)}
+
+
+def test_shard_query_equals_brute_force(spark, sf_dir):
+    import zlib
+
+    import xxhash
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    source, lang = (plain_cells([r[c] for r in docs]) for c in ("source", "lang"))
+    chars = sorted(r.n_chars for r in docs)
+    cuts = sorted({chars[-(-k * len(chars) // 16) - 1] for k in range(1, 16)})
+    places, following = hilbert.curve_tables(3)
+    keyed = []
+    for r in docs:
+        cells, state, h = (source[r.source], lang[r.lang], sum(r.n_chars >= c for c in cuts)), 0, 0
+        for bit in (3, 2, 1, 0):
+            corner = sum((c >> bit & 1) << k for k, c in enumerate(cells))
+            h, state = h * 8 + places[state * 8 + corner], following[state * 8 + corner]
+        spread = xxhash.xxh64_intdigest(r.doc_id.to_bytes(8, "little", signed=True), 42)
+        spread -= (spread >> 63) << 64
+        keyed.append((h, (spread >> 40) % 256, spread, r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())))
+    want, slots = set(), collections.Counter()
+    for rank, (h, _, _, doc_id, size, crc) in enumerate(sorted(keyed)):
+        shard = rank * 8 // len(keyed)
+        want.add((doc_id, size, crc, "rows", shard, slots[shard], None, h))
+        slots[shard] += 1
+    got = queries.op3_hilbert_shards(spark, sf_dir).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+def test_strings_with_a_long_common_beginning_are_told_apart(spark):
+    rows = [(i, f"https://example.org/common_crawl_{i % 20:02d}", i * 7919 % 1000) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, _part int").repartition(3)
+    out = hilbert.shards(df.withColumn("slot", F.lit("x")), ["source", "_part"], 8)
+    assert out.columns == ["doc_id", "source", "_part", "hilbert", "shard", "slot"]
+    assert {(r.doc_id, r.source, r["_part"]) for r in out.collect()} == set(rows)
+    assert max(r.n for r in out.groupBy("shard").agg(F.countDistinct("source").alias("n")).collect()) <= 12
+    nulls = spark.createDataFrame([(None, None, 5)] * 40 + [(None, "a", None)] * 40, df.schema)
+    assert sorted((r.shard, r.slot) for r in hilbert.shards(nulls, ["source", "_part"], 8).collect()) == [(s, k) for s in range(8) for k in range(10)]
+
+
 def brute_top(rows, k):
     usable = [(i, [int(np.floor(256 * np.float64(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
@@ -182,21 +237,48 @@ def test_top_k_equals_brute_force(spark):
     centres = rng.normal(size=(6, 16))
     rows = [(i, [float(np.float32(x)) for x in (lambda v: v / np.linalg.norm(v))(centres[i % 6] + rng.normal(size=16) * 0.4)]) for i in range(1500)]
     rows += [(2000 + i, rows[3][1]) for i in range(400)]  # many equal vectors
-    rows += [(5000, None), (5050, []), (5100, [1.0, None]), (5150, [float("nan")] * 16), (None, rows[0][1]), (5200, [0.0] * 16), (5250, [1.0, -1.0]), (5251, [0.5, 0.5])]
+    rows += [(5000, None), (5050, []), (5100, [1.0, None]), (5150, [float("nan")] * 16), (None, rows[0][1]), (5200, [0.0] * 16), (5250, [1.0, -1.0]), (5251, [0.5, 0.5]), (5300, [1e8] + [0.5] * 15), (5301, [-1e8] + [0.25] * 15)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     usable = impact_topk.quantised(df)
-    got = [tuple(r) for r in impact_topk.top_k(usable, usable.where("id % 50 = 0"), 5).collect()]
+    got = [tuple(r)[:4] for r in impact_topk.top_k(usable, usable.where("id % 50 = 0"), 5).collect()]
     assert sorted(got) == sorted(brute_top(rows, 5))
     assert impact_topk.top_k(usable.limit(0), usable.limit(0), 5).count() == 0
 
 
+def test_small_blocks_give_the_same_rows(spark, monkeypatch):
+    monkeypatch.setattr(impact_topk, "INDEX_ROWS", 60)
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(700)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, id string, block int")
+    usable = impact_topk.quantised(df)
+    out = impact_topk.top_k(usable, usable.where("id % 50 = 0"), 5)
+    assert sorted(tuple(r)[:4] for r in out.collect()) == sorted(brute_top([(i, [float(np.float32(x)) for x in v]) for i, v in rows], 5))
+
+
+def test_clustered_queries_stop_on_proof():
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(20, 32))
+    vectors = centres[np.arange(4000) % 20] + rng.normal(size=(4000, 32)) * 0.25
+    vectors = np.floor(256 * vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.int64)
+    index = impact_topk.ImpactIndex(np.arange(4000), vectors)
+    work = []
+    for i in range(0, 4000, 97):
+        ids, scores, postings, rescored = index.top(vectors[i], i, 5)
+        order = sorted((-int(s), j) for j, s in enumerate(vectors @ vectors[i]) if j != i)[:5]
+        assert [(-s, j) for s, j in zip(scores.tolist(), ids.tolist(), strict=True)] == order
+        work.append((postings, rescored))
+    stopped = [p for p, r in work if p < 4000 * 32 and r <= 160]
+    assert len(stopped) > 0.8 * len(work)
+    assert np.median([r for _, r in work]) <= 160
+
+
 def test_index_stops_early_only_on_proof():
     rng = np.random.default_rng(9)
     for scale in (1, 40, 256):
         vectors = rng.integers(-scale, scale + 1, (500, 12))
         index = impact_topk.ImpactIndex(rng.permutation(500), vectors)
         for q in rng.integers(-scale, scale + 1, (20, 12)):
-            ids, scores = index.top(q, 3, 5)
+            ids, scores, _, _ = index.top(q, 3, 5)
             order = sorted((-int(index.vectors[i] @ q), int(index.ids[i])) for i in range(500) if index.ids[i] != 3)[:5]
             assert [(-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True)] == order
 
@@ -219,10 +301,10 @@ def test_index_fetches_only_rows_still_possible():
     index.vectors = Fetched(vectors)
     for i in range(20):
         index.vectors.rows = 0
-        ids, scores = index.top(vectors[i], i, 5)
+        ids, scores, _, _ = index.top(vectors[i], i, 5)
         order = sorted((-int(vectors[j] @ vectors[i]), j) for j in range(2000) if j != i)[:5]
         assert [(-s, j) for s, j in zip(scores.tolist(), ids.tolist(), strict=True)] == order
-        assert index.vectors.rows <= 200
+        assert index.vectors.rows <= 160 + 16 * len(impact_topk.LEVELS)
 
 
 def test_top_k_query_equals_sql(spark, sf_dir):

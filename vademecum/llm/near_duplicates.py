@@ -7,16 +7,21 @@ component is what links join, and one document of each stays.
 1. Each text gives 128 MinHash values, from them 32 band keys of four values and an odd sketch: a 512-bit map in which
    every MinHash value flips one bit. The bits in which two maps differ tell how many MinHash values differ, most
    precisely where similarities are high. Documents with equal sets are one representative from here on.
-2. Two representatives meet if they share a band key (a pair at 0.75 misses all 32 with probability 5e-6). Within a
-   bucket, only pairs whose sketches estimate at least ``NEAR`` count (five standard errors below 0.75). Only
-   representatives with such a partner are looked at further, and only their sets are gathered.
-3. Star round: every member is compared with the smallest member of its bucket on the full sets; these links give first
-   components. That joins most copies without ever listing the pairs of a group.
-4. Block round: buckets that still hold several components are compared on the full sets, member by member, in blocks
-   of bounded size, skipping pairs already joined; a block returns the links of a spanning forest, not its pairs.
-
-A group of copies is thus never expanded into pairs, and no bucket is collected whole: its members are dealt to chunks
-and each task holds two chunks.
+2. Two representatives meet if they share a band key (a pair at 0.75 misses all 32 with probability 5e-6). Only pairs
+   whose sketches estimate at least ``NEAR`` count (five standard errors below 0.75). Every member of a bucket is first
+   compared with its hub, the smallest member; only members unlike their hub are compared with the rest of the bucket.
+   Representatives with a partner are looked at further, and only their sets are gathered.
+3. Star round: members are compared with their hub on the full sets. That joins most copies without ever listing the
+   pairs of a group.
+4. Block round: in buckets that still hold several components, the members outside the largest one are compared with all
+   others on the full sets, skipping pairs already joined; a block returns the links of a spanning forest.
+
+A group of copies is thus never expanded into pairs, and no bucket is collected whole: members are dealt to chunks of
+bounded numbers and sizes, and each task holds two chunks. Where more than ``CROWD`` members of a bucket are unlike its
+hub (they share a passage, not their texts), the bucket is parted by a second band, which a pair at 0.75 that shares the
+first one misses with probability 8e-6.
+
+Nulls, empty texts, repeated rows and rows without an id: see ``groups``. Columns other than doc_id and text don't matter.
 """
 
 from __future__ import annotations
@@ -37,7 +42,10 @@ SAMPLES, ROWS = 128, 4
 BANDS = SAMPLES // ROWS
 SKETCH_BITS = 512
 NEAR = 0.5
-CHUNK = 1024
+#: Members of a chunk, shingles of its sets, and members unlike their hub from which a bucket is parted.
+CHUNK, CHUNK_SHINGLES, CROWD = 512, 2_000_000, 4096
+#: Ids up to which they are sent to all tasks, 8 bytes each, so that texts stay where they are.
+FEW_IDS = 500_000
 _random = np.random.default_rng(20)
 _FACTORS = _random.integers(0, 1 << 62, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _random.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -133,14 +141,25 @@ def _bucket_members(reps: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Deals the members of each bucket to chunks of about CHUNK and every pair of chunks to a block.
+    """Sends the members of each bucket (key, id, size, rest) to the blocks (x, y) in which each of its members meets
+    each of those with ``rest``, but for buckets without any; role 1 is that of the latter.
 
-    A row is repeated once per block, so a bucket of n members costs n * n / CHUNK rows at most.
+    Both are dealt to chunks of about CHUNK members and CHUNK_SHINGLES shingles, so of n members and f with rest,
+    n * f / CHUNK rows of either role are made.
     """
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    dealt = members.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    return dealt.select("*", other).select("*", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y")).drop("other", "chunks")
+    chunks = lambda n, size: F.greatest(F.ceil(n / CHUNK), F.ceil(size / CHUNK_SHINGLES)).cast("int")
+    rest = F.col("rest").cast("int")
+    sizes = members.groupBy("key").agg(
+        chunks(F.count(F.lit(1)), F.sum("size")).alias("chunks"), F.sum(rest).alias("f"), F.sum(rest * F.col("size")).alias("rest_size"), F.count(F.lit(1)).alias("n"),
+    )
+    sizes = sizes.where("f > 0 AND n > 1").select("key", "chunks", chunks(F.col("f"), F.col("rest_size")).alias("rest_chunks"))
+    dealt = members.join(sizes, "key")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = [c for c in members.columns if c != "rest"]
+    every = dealt.select(*kept, place("chunks").alias("x"), each("rest_chunks").alias("y"), F.lit(0).alias("role"))
+    asking = dealt.where("rest").select(*kept, place("rest_chunks").alias("y"), each("chunks").alias("x"), F.lit(1).alias("role"))
+    return every.unionByName(asking)
 
 
 def _by_block(rows: DataFrame) -> DataFrame:
@@ -152,32 +171,54 @@ def _sketches(rows: list[tuple], at: int) -> np.ndarray:
     return np.frombuffer(b"".join(r[at] for r in rows), np.uint64).reshape(len(rows), -1)
 
 
-def _partners(members: DataFrame) -> DataFrame:
-    """The ids that have a partner in some bucket whose sketch estimates at least NEAR."""
+def _near_hubs(members: DataFrame, reps: DataFrame, hub: str = "hub") -> DataFrame:
+    """The members (but for hubs) with near: whether their sketch and the hub's estimate at least NEAR."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(estimated(a, b) >= NEAR)], [*batch.schema.names[2:], "near"])
+
+    rows = members.where(F.col("id") != F.col(hub))
+    own = rows.join(reps.select("id", F.col("sketch").alias("_own")), "id")
+    both = own.join(reps.select(F.col("id").alias(hub), F.col("sketch").alias("_hub")), hub).select("_own", "_hub", *members.columns)
+    return both.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in members.schema) + ", near boolean")
+
+
+def _partners(unlike: DataFrame) -> DataFrame:
+    """The ids that have a partner in some bucket of ``unlike`` (key, id, size, rest, sketch): a member and one with
+    ``rest`` whose sketches estimate at least NEAR."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: set[int] = set()
-        for (_, x, y), rows in key_groups(batches, ["key", "x", "y"]):
-            if x != y and len({r[3] for r in rows}) < 2:
+        for _, rows in key_groups(batches, ["key", "x", "y"]):
+            every, asking = ([r for r in rows if r[3] == role] for role in (0, 1))
+            if not every or not asking:
                 continue
-            words, chunk = _sketches(rows, 5), np.array([r[3] for r in rows])
-            for k in range(len(rows)):
-                rest = slice(k + 1, None)
-                near = estimated(words[rest], words[k]) >= NEAR
-                if x != y:
-                    near &= chunk[rest] != chunk[k]
+            words, ids = _sketches(every, 5), np.array([r[4] for r in every])
+            for r in asking:
+                near = (estimated(words, np.frombuffer(r[5], np.uint64)) >= NEAR) & (ids != r[4])
                 if near.any():
-                    found.add(rows[k][4])
-                    found.update(rows[k + 1 + i][4] for i in np.flatnonzero(near))
+                    found.add(r[4])
+                    found.update(ids[near].tolist())
             if len(found) > 100_000:
                 yield pa.RecordBatch.from_pydict({"id": pa.array(sorted(found), pa.int64())})
                 found.clear()
         yield pa.RecordBatch.from_pydict({"id": pa.array(sorted(found), pa.int64())})
 
-    rows = _by_block(_blocks(members)).select("key", "x", "y", "chunk", "id", "sketch")
+    rows = _by_block(_blocks(unlike)).select("key", "x", "y", "role", "id", "sketch")
     return rows.mapInArrow(run, "id long").distinct()
 
 
+def _parted(marked: DataFrame, reps: DataFrame) -> DataFrame:
+    """The buckets (key, id, rest) with at most CROWD members that are unlike their hub, and the others parted by the
+    members' other bands."""
+    crowded = marked.groupBy("key").agg(F.count_if("rest").alias("f")).where(F.col("f") > CROWD).select("key")
+    small = marked.join(crowded, "key", "left_anti")
+    large = marked.join(crowded, "key").join(reps.select("id", "bands"), "id").select("key", "id", "rest", F.explode("bands").alias("band")).where("band <> key")
+    return small.unionByName(large.select(F.xxhash64("key", "band").alias("key"), "id", "rest"))
+
+
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The full sets (sorted hashes as bytes) of the documents with these ids; one row per id."""
 
@@ -187,12 +228,13 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             own = [s.tobytes() for s in shingle_sets(column_of(batch, "text"), memo)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["id", "shingles"])
 
-    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+    few = ids.count() <= FEW_IDS
+    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
     return wanted.mapInArrow(run, "id long, shingles binary")
 
 
-def _star_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between members and their bucket's hub, confirmed on the full sets."""
+def _star_links(near: DataFrame, sets: DataFrame, hub: str = "hub") -> DataFrame:
+    """Links (a, b) between members and their hub, confirmed on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
@@ -200,7 +242,7 @@ def _star_links(members: DataFrame, sets: DataFrame) -> DataFrame:
             good = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(left, right, strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = near.select(F.col(hub).alias("a"), F.col("id").alias("b")).distinct()
     right = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
     both = right.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
@@ -209,30 +251,38 @@ def _star_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 def _block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links that join the components in each block, confirmed on the full sets; a spanning forest of each block.
 
-    ``members`` has key, n, id, sketch and component.
+    ``members`` has key, id, size, rest, sketch and component.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, x, y), rows in key_groups(batches, ["key", "x", "y"]):
-            component = np.array([r[6] for r in rows])
-            if len(set(component.tolist())) < 2:
+        for _, rows in key_groups(batches, ["key", "x", "y"]):
+            every, asking = ([r for r in rows if r[3] == role] for role in (0, 1))
+            if not every or not asking:
                 continue
-            words, chunk = _sketches(rows, 5), np.array([r[3] for r in rows])
-            full = [np.frombuffer(r[7], np.uint64) for r in rows]
+            # components as they are in this block: of all rows, since joining two changes both roles
+            component = np.array([r[6] for r in every + asking])
+            words, full = _sketches(every, 5), [np.frombuffer(r[7], np.uint64) for r in every]
             a, b = [], []
-            for k in range(len(rows)):
-                rest = np.arange(k + 1, len(rows))
-                near = (component[rest] != component[k]) & (estimated(words[rest], words[k]) >= NEAR)
-                if x != y:
-                    near &= chunk[rest] != chunk[k]
-                for j in rest[near]:
-                    if component[j] != component[k] and linked(full[k], full[j]):
-                        a.append(rows[k][4]), b.append(rows[j][4])
+            for k, r in enumerate(asking, len(every)):
+                own = np.frombuffer(r[7], np.uint64)
+                near = estimated(words, np.frombuffer(r[5], np.uint64)) >= NEAR
+                for j in np.flatnonzero(near & (component[: len(every)] != component[k])):
+                    if component[j] != component[k] and linked(own, full[j]):
+                        a.append(r[4]), b.append(every[j][4])
                         component[component == component[j]] = component[k]
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     rows = _by_block(_blocks(members).join(sets, "id"))
-    return rows.select("key", "x", "y", "chunk", "id", "sketch", "component", "shingles").mapInArrow(run, "a long, b long")
+    return rows.select("key", "x", "y", "role", "id", "sketch", "component", "shingles").mapInArrow(run, "a long, b long")
+
+
+def _still_open(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The members (key, id) with their component, of buckets that hold several components, and rest: whether a member
+    is outside the bucket's most frequent component."""
+    tagged = members.select("key", "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    counts = tagged.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    main = counts.groupBy("key").agg(F.max(F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return tagged.join(main.select("key", F.col("main.component").alias("_main")), "key").select("key", "id", "component", (F.col("component") != F.col("_main")).alias("rest"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -244,19 +294,24 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     rows = written(features(docs), "features")
     known = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    reps = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r")).select("set_key", F.col("r.doc_id").alias("id"), "r.bands", "r.sketch")
-    reps = written(reps, "representatives")
-    bucketed = _bucket_members(reps)
-    members = written(bucketed.join(reps.select("id", "sketch"), "id"), "members")
-    involved = _partners(members)
+    reps = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "sketch", "n_shingles")).alias("r"))
+    reps = written(reps.select("set_key", F.col("r.doc_id").alias("id"), "r.bands", "r.sketch", F.col("r.n_shingles").alias("size")), "representatives")
+    sized = reps.select("id", "sketch", "size")
+    starred = written(_near_hubs(_bucket_members(reps), reps), "starred")
+    near = starred.where("near")
+    # members unlike their hub meet the rest of their bucket; the only pair of a bucket of two is done
+    unlike = starred.where("NOT near AND n > 2").select("key", "hub").distinct()
+    marked = starred.join(unlike.select("key"), "key", "left_semi").select("key", "id", (~F.col("near")).alias("rest"))
+    marked = _parted(marked.unionByName(unlike.select("key", F.col("hub").alias("id"), F.lit(False).alias("rest"))), reps)
+    involved = _partners(marked.join(sized, "id")).union(near.select("id")).union(near.select("hub")).distinct()
     sets = written(_sets(docs, involved).dropDuplicates(["id"]), "sets")
-    members = members.join(sets.select("id"), "id", "left_semi")
-    first = written(_star_links(members, sets), "links")
-    label = components(first)
-    tagged = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_members = written(tagged.join(mixed, "key", "left_semi"), "open")
-    final = components(first.union(_block_links(open_members, sets)))
+    hubs = starred.select("key", F.col("hub").alias("id")).distinct()
+    members = written(starred.select("key", "id").unionByName(hubs).join(sets.select("id"), "id", "left_semi"), "members")
+    links = written(_star_links(near, sets), "links")
+    label = components(links)
+    marked = _still_open(members, label)
+    parted = _parted(marked.select("key", "id", "rest"), reps).join(sized, "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    final = components(links.union(_block_links(written(parted, "open"), sets)))
     by_set = reps.select("set_key", "id").join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("_component"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
     component = F.coalesce("_component", "doc_id")
