@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows it is given; ``run`` writes each stage's rows as Parquet to
 the shared folder and rereads them. The first three return the columns of ``documents``; the last returns the packed
-token pieces. Rows without a doc_id keep the defined results of the operators: a null id is never labelled.
+token pieces. Rows without a doc_id keep the defined results of the operators: a null id is never labelled. Extra
+columns stay as they are, whatever their names: the stages' own columns have names that no column begins with.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vademecum.llm import bin_packing, near_duplicates, quality, toxicity
 from vademecum.llm.queries import tokenizer_path
-from vademecum.llm.shared import text_batches, written
+from vademecum.llm.shared import free_prefix, text_batches, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,15 +26,15 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject."""
-    ratios, cut = quality.fit(docs, _labels(spark, sf_dir))
-    judged = quality.with_base(quality.measures(docs, ratios, docs.columns))
-    return judged.where((~judged["base_failed"]) & (judged["log_ratio"] >= cut)).select(*docs.columns)
+    prefix = free_prefix(docs.columns)
+    return quality.judge(docs, _labels(spark, sf_dir), docs.columns, prefix).where(f"`{prefix}kept`").select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents predicted toxic."""
     field = toxicity.fit(docs, _labels(spark, sf_dir))
-    return toxicity.score(docs, field, docs.columns).where("predicted = 0").select(*docs.columns)
+    prefix = free_prefix(docs.columns)
+    return toxicity.score(docs, field, docs.columns, prefix).where(f"`{prefix}predicted` = 0").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
