@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vademecum.jobs import run
 from vademecum.operators import dosing, evaluation, loading, names, reports, retrieval
 from vademecum.plans import registry
 from vademecum.sources import tables
@@ -136,8 +137,8 @@ def test_contraindication_report(spark):
     asked = spark.createDataFrame([(1, "A"), (2, "None")], "request_id int, canonical string")
     others = spark.createDataFrame([(1, "beta", "Beta"), (1, "x", None), (1, "gamma", "Gamma")], "request_id int, other string, canonical string")
     rows = {r.request_id: r for r in reports.contraindications(asked, corpus, others).collect()}
-    assert [k.rsplit("|", 1)[1] for k in rows[1].contraindications] == ["0", "2", "10"]
-    assert [(f.other_drug, f.passages) for f in rows[1].flagged] == [("Beta", ["a|drug_interactions|all|0"])]
+    assert [k.logical_key.rsplit("|", 1)[1] for k in rows[1].contraindications] == ["0", "2", "10"]
+    assert [(f.other_drug, [(p.logical_key, p.text, p.book_page) for p in f.passages]) for f in rows[1].flagged] == [("Beta", [("a|drug_interactions|all|0", "with BETA no", 1)])]
     assert rows[1].unresolved_other_drugs == ["x"]
     assert rows[2].interactions == [] and rows[2].flagged == []
 
@@ -170,10 +171,72 @@ def test_fingerprint_ignores_order(spark):
 def test_whole_queries_leave_no_row_out(spark, sf_dir):
     found = registry.load_all()[0]
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id")
-    scored = found["x5_cosine_whole"](spark, sf_dir)
+    scored = found["x5_cosine"](spark, sf_dir)
     assert scored.count() == vectors.count() * vectors.where("vec_id % 50 = 0").count()
     assert vectors.join(scored, "vec_id", "left_anti").count() == 0
-    fetched = found["p13_exact_section_fetch_whole"](spark, sf_dir)
-    assert fetched.where("request_id % 10 <> 0").count() > 0
-    doses = found["p13_exact_section_fetch"](spark, sf_dir)
-    assert doses.join(fetched.where("request_id % 10 = 0"), "logical_key", "left_anti").count() == 0
+    assert found["p13_exact_section_fetch"](spark, sf_dir).where("request_id % 10 <> 0").count() > 0
+
+
+def test_small_loads_rewrite_only_their_buckets(spark):
+    store = tables.VectorTable(spark, tables.scratch(spark, "t"), buckets=8)
+    texts = [f"text {i}" for i in range(40)]
+    assert tuple(store.load(chunks(spark, *texts), embed).first()) == (40, 0, 0)
+    before = store._manifest()["held"]
+    assert tuple(store.load(chunks(spark, *texts[:39], "new"), embed).first()) == (1, 39, 0)
+    after = store._manifest()["held"]
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert sorted(r.text for r in store.read().collect()) == sorted([*texts[:39], "new"])
+    assert tuple(store.load(chunks(spark, *texts[:39], "new"), embed).first()) == (0, 40, 0)
+    assert store._manifest()["held"] == after
+
+
+def test_reports_answer_every_request(spark):
+    corpus = spark.createDataFrame([("Aspirin", "indications", "aspirin|indications|dog|0", 1, "pain", ["dog"]), ("Zinc", "doses", "zinc|doses|all|0", 2, "x", ["all"])], "drug_name string, section_type string, logical_key string, book_page int, text string, species array<string>")
+    asked = spark.createDataFrame([(1, "ASPIRIN", "dogs"), (2, "aspirn", None), (3, "zinc", "cat"), (4, "qqqqqq", None)], "request_id bigint, drug string, species string")
+    rows = {r.request_id: r for r in run.indication_reports(asked, corpus).collect()}
+    assert {i: (r.canonical, r.resolved_from, [p.text for p in r.passages]) for i, r in rows.items()} == {1: ("Aspirin", None, ["pain"]), 2: ("Aspirin", "aspirn", ["pain"]), 3: ("Zinc", None, []), 4: (None, None, [])}
+    resolved = reports.resolved_requests(asked, names.canonical(corpus))
+    others = spark.createDataFrame([], "request_id bigint, other string, canonical string")
+    rows = {r.request_id: r for r in reports.contraindications(resolved, corpus, others).collect()}
+    assert set(rows) == {1, 2, 3, 4} and rows[4].canonical is None and rows[2].resolved_from == "aspirn" and rows[1].flagged == []
+
+
+def test_retrieval_reranks_before_the_cut(spark):
+    corpus = spark.createDataFrame([(f"k{i}", "A", "doses", ["dog"], [1.0, i / 10.0], "wanted words" if i == 7 else f"text {i}") for i in range(12)], "logical_key string, drug_name string, section_type string, species array<string>, vector array<double>, text string")
+    asked = spark.createDataFrame([(1, "wanted", [1.0, 0.0], None, None, None, 1), (2, "wanted", [1.0, 0.0], "a", None, None, 1), (3, "other", [1.0, 1.0], None, "doses", "dogs", 2)], "request_id int, query string, query_vector array<double>, drug string, section string, species string, top_k int")
+    hits = {(r.request_id, r["rank"]): r.logical_key for r in retrieval.retrieve(asked, corpus, names.canonical(corpus), retrieval.shared_words)[0].collect()}
+    assert hits == {(1, 1): "k7", (2, 1): "k7", (3, 1): "k11", (3, 2): "k10"}
+    plain = {(r.request_id, r["rank"]): r.logical_key for r in retrieval.retrieve(asked, corpus, names.canonical(corpus))[0].collect()}
+    assert plain[1, 1] == "k0" and plain[2, 1] == "k0" and len(plain) == 4
+
+
+def test_block_ranks_equal_window(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"k{i}", [float(x) for x in rng.normal(size=4)]) for i in range(200)]
+    corpus = spark.createDataFrame([*rows, ("tie", rows[0][1])], "logical_key string, vector array<double>").repartition(5)
+    queries = spark.createDataFrame([(i, rows[i][1], f"k{i}") for i in range(7)], "query_id bigint, query_vector array<double>, own string")
+    relevant = spark.createDataFrame([(i, f"k{j}") for i in range(7) for j in (0, 50 + i, 100)], "query_id bigint, logical_key string").union(spark.createDataFrame([(0, "tie")], "query_id bigint, logical_key string"))
+    plain = retrieval.ranked(retrieval.scored(queries, corpus).withColumn("score", F.round("score", 6)).where("own <> logical_key"), ["query_id"])
+    want = {(r.query_id, r.logical_key): r["rank"] for r in plain.join(relevant, ["query_id", "logical_key"]).collect()}
+    got = {(r.query_id, r.logical_key): r["rank"] for r in retrieval.block_ranks(queries, corpus, relevant, own="own").collect() if r.logical_key != f"k{r.query_id}"}
+    assert got == want
+
+
+def test_dose_job_and_benchmark_job(spark, tmp_path):
+    regimens = '[{"indication":"pain","mg_per_kg_low":"2"},{"indication":"itch","mg_per_kg_low":"7"}]'
+    rows = [(1, "A", "pain", False, 10, "kg", "Give 2 mg/kg for pain.", regimens), (2, "A", None, False, 10, "stone", "Give 2 mg/kg.", regimens), (3, "A", None, True, 4, "kg", "2 mg/kg or 7 mg/kg", regimens)]
+    asked = spark.createDataFrame(rows, "request_id bigint, drug string, indication string, all_regimens boolean, weight int, unit string, passage string, regimens_json string")
+    asked.write.json(str(tmp_path / "requests"))
+    run.main(["dose", "--requests", str(tmp_path / "requests"), "--out", str(tmp_path / "out")])
+    kinds = {r.request_id: (r.kind, r.problem) for r in spark.read.parquet(str(tmp_path / "out/verdicts")).collect()}
+    assert kinds == {1: ("dose_rule", None), 2: ("dose_rule", "unknown unit"), 3: ("dose_rule_set", None)}
+    doses = sorted((r.request_id, float(r.dose_mg_low)) for r in spark.read.parquet(str(tmp_path / "out/doses")).collect())
+    assert doses == [(1, 20.0), (3, 8.0), (3, 28.0)]
+    corpus = chunks(spark, "a", "b", "c")
+    tables.VectorTable(spark, tables.table_path(str(tmp_path / "table"), "hash")).load(corpus, run.embed)
+    keys = [r.logical_key for r in loading.keyed(corpus).orderBy("ordinal").collect()]
+    case = spark.createDataFrame([(1, "a", "dose", "Metronidazole", "doses", ["dog"], [keys[0]])], "query_id bigint, query string, flow string, drug string, section string, species array<string>, relevant_logical_keys array<string>")
+    case.write.json(str(tmp_path / "cases"))
+    run.main(["benchmark", "--requests", str(tmp_path / "cases"), "--table", str(tmp_path / "table"), "--out", str(tmp_path / "card")])
+    card = spark.read.json(str(tmp_path / "card/scorecard")).first()
+    assert card["recall@1"] == 1.0 and card["mrr"] == 1.0

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vademecum import vocabulary as V
 from vademecum.functions import vectors
-from vademecum.operators import evaluation, ingest, names, reports, retrieval
+from vademecum.operators import dosing, evaluation, ingest, names, reports, retrieval
 from vademecum.sources import tables
 
 
@@ -46,8 +47,9 @@ def _corpus(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 def job_retrieve(spark: SparkSession, a: argparse.Namespace) -> None:
     corpus = _corpus(spark, a)
     requests = spark.read.json(a.requests, schema="request_id bigint, query string, drug string, section string, species string, top_k int")
-    requests = requests.withColumn("query_vector", vectors.hash_vector(F.col("query")))
-    hits, empty, rejects = retrieval.retrieve(requests, corpus, names.canonical(corpus))
+    asked = F.concat(F.lit(a.query_prefix), F.col("query"))
+    requests = requests.withColumn("query_vector", vectors.hash_vector(asked))
+    hits, empty, rejects = retrieval.retrieve(requests, corpus, names.canonical(corpus), retrieval.shared_words if a.rerank else None)
     for name, rows in (("hits", retrieval.citation(hits)), ("empty", empty), ("rejects", rejects)):
         rows.write.mode("overwrite").parquet(f"{a.out}/{name}")
 
@@ -55,15 +57,51 @@ def job_retrieve(spark: SparkSession, a: argparse.Namespace) -> None:
 def job_contraindications(spark: SparkSession, a: argparse.Namespace) -> None:
     corpus = _corpus(spark, a)
     known = names.canonical(corpus)
-    requests = names.resolve(spark.read.json(a.requests, schema="request_id bigint, drug string, other_drugs array<string>"), known, "drug")
+    requests = reports.resolved_requests(spark.read.json(a.requests, schema="request_id bigint, drug string, other_drugs array<string>"), known)
     others = names.resolve(requests.select("request_id", F.explode("other_drugs").alias("other")), known, "other")
-    reports.contraindications(requests.where("canonical IS NOT NULL"), corpus, others).write.mode("overwrite").parquet(a.out)
+    reports.contraindications(requests, corpus, others).write.mode("overwrite").parquet(a.out)
+
+
+def indication_reports(requests: DataFrame, corpus: DataFrame) -> DataFrame:
+    """The reports of requests (request_id, drug, species) by free-form names."""
+    resolved = reports.resolved_requests(requests, names.canonical(corpus))
+    return reports.indication_report(resolved, reports.indications(resolved.select("request_id", "canonical", "species"), corpus))
 
 
 def job_indications(spark: SparkSession, a: argparse.Namespace) -> None:
-    corpus = _corpus(spark, a)
-    requests = names.resolve(spark.read.json(a.requests, schema="request_id bigint, drug string, species string"), names.canonical(corpus), "drug")
-    reports.indication_report(reports.indications(requests.where("canonical IS NOT NULL"), corpus)).write.mode("overwrite").parquet(a.out)
+    asked = spark.read.json(a.requests, schema="request_id bigint, drug string, species string")
+    indication_reports(asked, _corpus(spark, a)).write.mode("overwrite").parquet(a.out)
+
+
+def benchmark(models: dict[str, tuple[DataFrame, DataFrame]], relevant: DataFrame, own: str | None = None) -> DataFrame:
+    """The scorecard of models, each with its queries (query_id, query_vector) and corpus (logical_key, vector), over the
+    relevant pairs (query_id, logical_key). Queries without relevant keys score 0."""
+    counts = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
+    rows = []
+    for name, (asked, corpus) in models.items():
+        cases = asked.select("query_id", F.lit(name).alias("model")).join(counts, "query_id", "left").fillna(0, "n_relevant")
+        ranks = retrieval.block_ranks(asked, corpus, relevant, own=own).withColumn("model", F.lit(name))
+        rows.append(evaluation.query_metrics(cases, ranks, ["model", "query_id"]))
+    means = evaluation.mean_metrics(reduce(DataFrame.unionByName, rows), ["model"])
+    return evaluation.scorecard(evaluation.long_form(means, ["model"]))
+
+
+def job_benchmark(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Scores the vector tables of the models (--model, comma-separated) over a frozen query set."""
+    cases = tables.read_eval_set(spark, a.requests)
+    relevant = cases.select("query_id", F.explode("relevant_logical_keys").alias("logical_key"))
+    asked = cases.select("query_id", vectors.hash_vector(F.concat(F.lit(a.query_prefix), F.col("query"))).alias("query_vector"))
+    models = {m: (asked, tables.VectorTable(spark, tables.table_path(a.table, m)).read()) for m in a.model.split(",")}
+    print(tables.write_scorecard(benchmark(models, relevant), a.out))
+
+
+def job_dose(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Extracted regimens (JSON per request) are parsed, grounded in their passage, chosen and dosed."""
+    schema = "request_id bigint, drug string, indication string, all_regimens boolean, weight decimal(10,6), unit string, passage string, regimens_json string"
+    requests = spark.read.json(a.requests, schema=schema)
+    verdict, doses = dosing.dose_requests(requests)
+    for name, rows in (("verdicts", verdict), ("doses", doses)):
+        rows.write.mode("overwrite").parquet(f"{a.out}/{name}")
 
 
 def job_build_eval_set(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -85,6 +123,8 @@ def main(arguments: list[str]) -> None:
     parser.add_argument("--toc-first", type=int, default=0)
     parser.add_argument("--toc-last", type=int, default=0)
     parser.add_argument("--max-missing", type=int, default=0)
+    parser.add_argument("--query-prefix", default="")
+    parser.add_argument("--rerank", action="store_true")
     parser.add_argument("--no-prune", action="store_true")
     parser.add_argument("--per-flow", type=int, default=25)
     parser.add_argument("--seed", type=int, default=0)

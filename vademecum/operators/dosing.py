@@ -67,6 +67,22 @@ def doses(requests: DataFrame) -> DataFrame:
     return kg.withColumn("dose_mg_low", identity.dose_mg(F.col("weight_kg"), F.col("low"))).withColumn("dose_mg_high", identity.dose_mg(F.col("weight_kg"), F.col("high")))
 
 
+def dose_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, doses) of requests (request_id, drug, indication, all_regimens, weight, unit, passage, regimens_json).
+
+    Verdicts have one row per request, with problem for a weight or unit that is rejected. Doses have one row per chosen
+    regimen of the requests without a problem that end in a rule or a set of rules.
+    """
+    asked = requests.select("request_id", "indication", F.coalesce("all_regimens", F.lit(False)).alias("all_regimens"))
+    regimens = parsed_regimens(requests.select("request_id", F.col("passage").alias("passage_text"), "regimens_json"))
+    regimens = regimens.withColumn("is_grounded", F.coalesce(grounded(regimens), F.lit(False))).withColumnRenamed("indication", "regimen_indication")
+    problem = identity.weight_problem(F.col("weight"), F.col("unit")).alias("problem")
+    verdict = verdicts(asked, regimens).join(requests.select("request_id", "drug", problem), "request_id")
+    ready = verdict.where("problem IS NULL AND kind IN ('dose_rule', 'dose_rule_set')").select("request_id", "drug", "kind", "candidates")
+    chosen = regimens.where("is_grounded").join(ready, "request_id").where(F.array_contains("candidates", F.col("regimen_indication")))
+    return verdict, doses(chosen.drop("candidates", "passage_text").join(requests.select("request_id", "weight", "unit"), "request_id"))
+
+
 def describe(drug: Column, low: Column, high: Column, route: Column, frequency: Column, indication: Column) -> Column:
     """A rule in one line."""
     span = F.concat(low.cast("string"), F.when(high.isNull(), F.lit("")).otherwise(F.concat(F.lit("-"), high.cast("string"))))

@@ -59,11 +59,16 @@ def anchors(entries: DataFrame, body: DataFrame) -> DataFrame:
     known = page_map(body)
     n_pages = body.groupBy("book_id").agg((F.max("page_idx") + 1).alias("n_pages"))
     found = entries.join(known.withColumnRenamed("page_idx", "_exact"), ["book_id", "book_page"], "left")
-    open_ = found.where("_exact IS NULL").select("book_id", "toc_ord", "book_page")
-    near = open_.join(known.select("book_id", F.col("book_page").alias("_known"), F.col("page_idx").alias("_idx")), "book_id")
-    nearest = F.min(F.struct(F.abs(F.col("_known") - F.col("book_page")).alias("d"), "_idx", "_known", "book_page"))
-    best = near.groupBy("book_id", "toc_ord").agg(nearest.alias("b"))
-    guess = best.select("book_id", "toc_ord", (F.col("b._idx") - (F.col("b._known") - F.col("b.book_page"))).alias("_guess"))
+    # the nearest known numbers below and above each open entry, by running over both in the order of the numbers
+    open_ = found.where("_exact IS NULL").select("book_id", "book_page", F.lit(None).cast("struct<known: bigint, idx: int>").alias("at"), "toc_ord")
+    marks = known.select("book_id", "book_page", F.struct(F.col("book_page").alias("known"), F.col("page_idx").cast("int").alias("idx")).alias("at"), F.lit(None).cast("bigint").alias("toc_ord"))
+    order = Window.partitionBy("book_id").orderBy("book_page")
+    last = F.last("at", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    next_ = F.first("at", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    met = open_.unionByName(marks).select("book_id", "toc_ord", "book_page", last.alias("_last"), next_.alias("_next")).where("toc_ord IS NOT NULL")
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.known") - F.col("book_page")).alias("d"), F.col(f"{c}.idx").alias("idx"), F.col(f"{c}.known").alias("known")))
+    best = met.select("book_id", "toc_ord", "book_page", F.least(near("_last"), near("_next")).alias("b"))
+    guess = best.select("book_id", "toc_ord", (F.col("b.idx") - (F.col("b.known") - F.col("book_page"))).alias("_guess"))
     both = found.join(guess, ["book_id", "toc_ord"], "left").join(n_pages, "book_id", "left")
     inside = F.when((F.col("_guess") >= 0) & (F.col("_guess") < F.col("n_pages")), F.col("_guess"))
     anchor = F.coalesce("_exact", inside).cast("int").alias("anchor")
@@ -74,7 +79,9 @@ def numbered_pages(body: DataFrame) -> DataFrame:
     """Adds n_lines and first_line, the number of the page's first line in its book."""
     counted = body.withColumn("n_lines", F.size(F.split("text", "\n")))
     before = Window.partitionBy("book_id").orderBy("page_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return counted.withColumn("first_line", F.coalesce(F.sum("n_lines").over(before), F.lit(0)))
+    # the texts stay out of the window, which holds three numbers per page
+    places = counted.select("book_id", "page_idx", F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("first_line"))
+    return counted.join(places, ["book_id", "page_idx"])
 
 
 def heading_position(window: Column, name: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,44 +46,91 @@ def ranked(pairs: DataFrame, by: list[str], most: int | Column | None = None, di
     return rows if most is None else rows.where(F.col("rank") <= most)
 
 
-def block_top_k(queries: DataFrame, corpus: DataFrame, k: int, keep_relevant: bool = False) -> DataFrame:
-    """query_id, logical_key, score of the k best rows per query without forming pairs of rows in Spark.
+def block_top_k(queries: DataFrame, corpus: DataFrame, k: int, part: str | None = None, digits: int = 6) -> DataFrame:
+    """query_id, logical_key, score and rank of the k best rows per query without forming pairs of rows in Spark.
 
-    Queries and corpus are dealt to hashed blocks of bounded size. Every pair of blocks meets by an equi-join, is
-    multiplied as matrices in one task and sends k rows per query on; a window over these takes the final k.
+    Every query is sent to every block of the corpus; a task multiplies blocks and queries as matrices and sends k rows
+    per query and block on, of which a window takes the final k. With ``part``, a column of both sides, a query meets only
+    the rows of its own part: hard filters as equi-keys.
     """
-    left, n_left = _blocks(corpus.select("logical_key", "vector"), CORPUS_ROWS, "x")
-    right, n_right = _blocks(queries.select("query_id", "query_vector"), QUERY_ROWS, "y")
-    left = left.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))))
-    right = right.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))))
-    pairs = left.join(right, ["x", "y"]).select("x_rows", "y_rows")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                rows, asked = (batch.column(c).slice(i, 1).flatten() for c in (0, 1))
-                keys = np.array(rows.field("logical_key").to_pylist(), object)
-                ids = np.array(asked.field("query_id").to_pylist(), np.int64)
-                v, q = _matrix(rows.field("vector")), _matrix(asked.field("query_vector"))
-                place = np.argsort(np.argsort(keys, kind="stable"))
-                for start in range(0, len(ids), 64):
-                    score = np.round(q[start : start + 64] @ v.T, 6)
-                    order = np.lexsort((np.broadcast_to(place, score.shape), -score), axis=1)[:, :k]
-                    found = [np.repeat(ids[start : start + 64], order.shape[1]), keys[order.ravel()], np.take_along_axis(score, order, 1).ravel()]
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1], pa.string()), pa.array(found[2])], ["query_id", "logical_key", "score"])
+    def top(ids, asked, keys, vectors, _):
+        place = np.argsort(np.argsort(keys, kind="stable"))
+        score = np.round(asked @ vectors.T, digits)
+        order = np.lexsort((np.broadcast_to(place, score.shape), -score), axis=1)[:, :k]
+        found = [np.repeat(ids, order.shape[1]), keys[order.ravel()], np.take_along_axis(score, order, 1).ravel()]
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1], pa.string()), pa.array(found[2])], ["query_id", "logical_key", "score"])
+
+    found = _met(queries, corpus, part, None, top, "query_id bigint, logical_key string, score double")
+    return ranked(found, ["query_id"], k)
+
 
-    return ranked(pairs.mapInArrow(run, "query_id bigint, logical_key string, score double"), ["query_id"], k)
+def block_ranks(queries: DataFrame, corpus: DataFrame, relevant: DataFrame, digits: int = 6, own: str | None = None) -> DataFrame:
+    """query_id, logical_key and rank of every relevant pair, by counting in each block the rows that come before it: no
+    ranking of the whole corpus. ``own`` is a column of ``queries`` with a key that doesn't count for its query."""
+    exact = relevant.join(queries.select("query_id", "query_vector"), "query_id").join(corpus.select("logical_key", "vector"), "logical_key")
+    exact = exact.select("query_id", "logical_key", F.round(vectors.dot(F.col("query_vector"), F.col("vector")), digits).alias("score"))
+    wanted = exact.groupBy("query_id").agg(F.collect_list(F.struct("logical_key", "score")).alias("wanted"))
+    asked = queries.select("query_id", "query_vector", (F.col(own) if own else F.lit(None).cast("string")).alias("own")).join(wanted, "query_id")
 
+    def count(ids, asked, keys, vectors, rest):
+        score = np.round(asked @ vectors.T, digits)
+        out = [[], [], []]
+        for i, (own_key, pairs) in enumerate(rest):
+            valid = keys != own_key if own_key is not None else np.ones(len(keys), bool)
+            for pair in pairs:
+                before = (score[i] > pair["score"]) | ((score[i] == pair["score"]) & (keys < pair["logical_key"]))
+                for column, value in zip(out, (int(ids[i]), pair["logical_key"], int((before & valid).sum())), strict=True):
+                    column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int64()), strict=True)], ["query_id", "logical_key", "before"])
 
-#: Rows of a block of block_top_k, about.
-CORPUS_ROWS, QUERY_ROWS = 8192, 2048
+    counted = _met(asked, corpus, None, ["own", "wanted"], count, "query_id bigint, logical_key string, before bigint")
+    return counted.groupBy("query_id", "logical_key").agg((F.sum("before") + 1).cast("int").alias("rank"))
 
 
-def _blocks(rows: DataFrame, most: int, name: str) -> tuple[DataFrame, int]:
-    """One row per block of about ``most`` rows, and the number of blocks."""
-    blocks = max(1, -(-rows.count() // most))
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)).cast("int"))
-    return dealt.groupBy(name).agg(F.collect_list(F.struct(*rows.columns)).alias(f"{name}_rows")), blocks
+#: Rows of a block of the corpus, about, and queries that meet it at once.
+CORPUS_ROWS, QUERY_ROWS = 8192, 256
+
+
+def _met(queries: DataFrame, corpus: DataFrame, part: str | None, extra: list[str] | None, function, schema: str) -> DataFrame:
+    """``function`` (ids, query vectors, keys, vectors, rows of the extra columns) over every query batch and block.
+
+    Corpus rows go to hashed blocks and queries to every block in one exchange; within a task the rows of a block come
+    before its queries, so that one block and one batch of queries are held.
+    """
+    blocks = max(1, -(-corpus.count() // CORPUS_ROWS))
+    own = F.col(part).cast("string") if part else F.lit("")
+    none = [F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in extra or []]
+    place = F.pmod(F.xxhash64("logical_key", "vector"), F.lit(blocks)).cast("int").alias("_block")
+    as_doubles = lambda c: F.col(c).cast("array<double>").alias("_vector")
+    left = corpus.select(own.alias("_part"), place, F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_id"), F.col("logical_key").alias("_key"), as_doubles("vector"), *none)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")
+    right = queries.select(own.alias("_part"), every, F.lit(1).alias("_kind"), F.col("query_id").cast("bigint").alias("_id"), F.lit(None).cast("string").alias("_key"), as_doubles("query_vector"), *(extra or []))
+    rows = left.unionByName(right).repartition("_part", "_block").sortWithinPartitions("_part", "_block", "_kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, held, block = None, [], [], None
+        for batch in batches:
+            start = 0
+            marks = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            while start < len(marks):
+                end = start
+                while end < len(marks) and marks[end] == marks[start] and end - start < QUERY_ROWS:
+                    end += 1
+                rows = batch.slice(start, end - start)
+                if marks[start][:2] != at:
+                    at, keys, held, block = marks[start][:2], [], [], None
+                if marks[start][2] == 0:
+                    keys += rows.column(4).to_pylist()
+                    held.append(_matrix(rows.column(5)))
+                elif held:
+                    if block is None:
+                        block = (np.array(keys, object), np.concatenate(held))
+                    rest = list(zip(*(rows.column(i).to_pylist() for i in range(6, rows.num_columns)), strict=True))
+                    yield function(rows.column(3).to_numpy(), _matrix(rows.column(5)), *block, rest)
+                start = end
+
+    return rows.mapInArrow(run, schema)
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -96,6 +143,12 @@ def rerank(hits: DataFrame, by: list[str], most: int | Column) -> DataFrame:
     return hits.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= most)
 
 
+def shared_words(query: Column, passage: Column) -> Column:
+    """How many different words both texts have: a stand-in for a pair scorer."""
+    words = lambda c: F.split(F.lower(c), "[^a-z0-9]+")
+    return F.size(F.array_intersect(words(query), words(passage))).cast("double")
+
+
 def citation(hits: DataFrame) -> DataFrame:
     """Adds citation: score, drug, section and page; and snippet: the first 200 characters."""
     line = F.format_string("[%.3f] %s / %s / p.%d", F.col("score"), F.col("drug_name"), F.col("section_type"), F.col("book_page"))
@@ -114,11 +167,24 @@ def section_order(key: Column) -> list[Column]:
     return [key.substr(F.lit(1), F.length(key) - F.length(tail) - 1), tail.try_cast("int")]
 
 
-def retrieve(requests: DataFrame, corpus: DataFrame, name_rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _without_drug(asked: DataFrame, corpus: DataFrame) -> DataFrame:
+    """request_id, logical_key, score and rank of the best rows for requests that name no drug. Their section and
+    species filters are parts: a row is in the part of every pair of filters it meets that some request has."""
+    part = lambda section, species: F.concat_ws("|", F.coalesce(section, F.lit("*")), F.coalesce(species, F.lit("*")))
+    queries = asked.select(F.col("request_id").alias("query_id"), "query_vector", part(F.col("want_section"), F.col("want_species")).alias("part"))
+    sections, species = F.array(F.col("section_type"), F.lit("*")), F.array_union(F.col("species"), F.array(F.lit("*")))
+    parts = corpus.select("logical_key", "vector", F.explode(sections).alias("_section"), species.alias("_all")).select("logical_key", "vector", "_section", F.explode("_all").alias("_species"))
+    wanted = queries.select("part").distinct()  # at most the sections times the species asked for
+    rows = parts.select("logical_key", "vector", part(F.col("_section"), F.col("_species")).alias("part")).join(wanted, "part", "left_semi")
+    return block_top_k(queries, rows, V.MAX_TOP_K, "part", 12).withColumnRenamed("query_id", "request_id")
+
+
+def retrieve(requests: DataFrame, corpus: DataFrame, name_rows: DataFrame, rescore: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(hits, empty, rejects) of requests (request_id, query, query_vector, drug, section, species, top_k).
 
     Names are resolved first; requests for unknown drugs are rejects with their reason. A request with a drug is joined
-    by drug, the others are compared with the whole corpus. ``resolved_from`` keeps the request's name if it was a near
+    by drug, the others are compared with the corpus in blocks. With ``rescore`` (of query and text), the best MAX_TOP_K
+    rows are ordered anew before the cut. ``resolved_from`` keeps the request's name if it was a near
     match.
     """
     checked = requests.withColumn("problem", request_problem(F.col("query"), F.col("top_k"), F.col("section")))
@@ -130,8 +196,13 @@ def retrieve(requests: DataFrame, corpus: DataFrame, name_rows: DataFrame) -> tu
     asked = valid.select("request_id", "query", "query_vector", F.col("canonical").alias("want_drug"), F.col("section").alias("want_section"), "want_species", "resolved_from", "top_k")
     rest = metadata_filter(F.lit(None), F.col("want_section"), F.col("want_species"))
     by_drug = scored(asked.where("want_drug IS NOT NULL"), corpus, (F.col("want_drug") == F.col("drug_name")) & rest)
-    others = scored(asked.where("want_drug IS NULL"), corpus, rest)
-    hits = ranked(by_drug.unionByName(others), ["request_id"], F.col("top_k"))
+    by_drug = ranked(by_drug, ["request_id"], V.MAX_TOP_K)
+    found = _without_drug(asked.where("want_drug IS NULL"), corpus)
+    others = asked.join(found, "request_id").join(corpus, "logical_key")
+    hits = by_drug.unionByName(others.select(*by_drug.columns)).where(F.col("rank") <= F.col("top_k"))
+    if rescore is not None:
+        candidates = by_drug.unionByName(others.select(*by_drug.columns)).where(F.col("rank") <= F.greatest("top_k", F.lit(V.MAX_TOP_K)))
+        hits = rerank(candidates.withColumn("rerank_score", rescore(F.col("query"), F.col("text"))), ["request_id"], F.col("top_k")).drop("rank", "rerank_score").withColumnRenamed("new_rank", "rank")
     filters = used_filters(F.col("want_drug"), F.col("want_section"), F.col("want_species"))
     empty = asked.join(hits.select("request_id").distinct(), "request_id", "left_anti").select("request_id", "query", filters.alias("filters"))
     return hits, empty, rejects.unionByName(unknown)

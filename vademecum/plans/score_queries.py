@@ -45,25 +45,24 @@ def relevant(spark, sf_dir):
     return q.join(rows.select("vec_id", "label", "logical_key"), (F.col("label") == F.col("query_label")) & (F.col("vec_id") != F.col("query_id"))).select("query_id", "logical_key")
 
 
-def two_models(spark, sf_dir):
-    """Scores of the full vectors and of their first half, without a query's own vector."""
+def top(spark, sf_dir, k):
+    """The k best rows per query with the columns of both sides."""
     rows = corpus(spark, sf_dir)
-    q = queries(rows)
-    full = R.scored(q, rows).withColumn("model", F.lit("full")).withColumn("position", F.lit(1))
-    half = R.scored(q.withColumn("query_vector", F.col("query_half")), rows.withColumn("vector", F.col("half"))).withColumn("model", F.lit("half")).withColumn("position", F.lit(2))
-    both = full.unionByName(half).where("vec_id <> query_id")
-    return both.select("model", "position", "query_id", "query_label", "logical_key", F.round("score", 6).alias("score"))
+    q = queries(rows).drop("query_vector", "query_half")
+    return R.block_top_k(queries(rows), rows, k).join(q, "query_id").join(rows.drop("vector", "half"), "logical_key")
 
 
 def model_metrics(spark, sf_dir):
-    truth = relevant(spark, sf_dir)
-    ranked = R.ranked(two_models(spark, sf_dir), ["model", "query_id"])
-    by = ["model", "query_id"]
-    base = queries(corpus(spark, sf_dir)).select("query_id", F.concat(F.lit("flow "), (F.col("query_label") % 2).cast("string")).alias("flow"))
+    """Metrics of the full vectors and of their first half, without a query's own vector."""
+    truth, rows = relevant(spark, sf_dir), corpus(spark, sf_dir)
+    q = queries(rows).withColumn("own", F.concat(F.lit("k"), F.col("query_id").cast("string")))
+    full = R.block_ranks(q, rows, truth, own="own").withColumn("model", F.lit("full"))
+    half = R.block_ranks(q.withColumn("query_vector", F.col("query_half")), rows.withColumn("vector", F.col("half")), truth, own="own").withColumn("model", F.lit("half"))
+    base = q.select("query_id", F.concat(F.lit("flow "), (F.col("query_label") % 2).cast("string")).alias("flow"))
     models = spark.createDataFrame([("full", 1), ("half", 2)], "model string, position int")
     n = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
-    cases = base.join(models, F.lit(True)).join(n, "query_id", "left").withColumn("n_relevant", F.coalesce("n_relevant", F.lit(0)))
-    return E.query_metrics(cases, E.relevant_ranks(ranked, truth, by), by)
+    cases = base.join(F.broadcast(models), F.lit(True)).join(n, "query_id", "left").withColumn("n_relevant", F.coalesce("n_relevant", F.lit(0)))
+    return E.query_metrics(cases, full.unionByName(half), ["model", "query_id"])
 
 
 _M2 = f"""WITH {_V}, {_Q}, s AS (
@@ -101,23 +100,19 @@ def p12_metadata_filter(spark, sf_dir):
 
 @query(f"{_T1} SELECT query_id, rank, logical_key, score FROM rk WHERE rank <= 5")
 def t1_filtered_topk(spark, sf_dir):
-    return R.ranked(filtered(spark, sf_dir), ["query_id"], 5).select("query_id", "rank", "logical_key", "score")
+    rows = corpus(spark, sf_dir)
+    parts = rows.where("section_type = 'doses'").select("logical_key", "vector", F.explode(F.array_distinct("species")).alias("part"))
+    return R.block_top_k(queries(rows).withColumn("part", F.col("want_species")), parts, 5, "part").select("query_id", "rank", "logical_key", "score")
 
 
 @query(f"{_WITH} SELECT query_id, rank, printf('[%.3f] %s / %s / p.%d', score, drug_name, section_type, vec_id) AS citation FROM rk WHERE rank <= 3")
 def p16_citation(spark, sf_dir):
-    hits = R.ranked(pairs(spark, sf_dir), ["query_id"], 3).withColumn("book_page", F.col("vec_id").cast("int")).withColumn("text", F.col("logical_key"))
+    hits = top(spark, sf_dir, 3).withColumn("book_page", F.col("vec_id").cast("int")).withColumn("text", F.col("logical_key"))
     return R.citation(hits).select("query_id", "rank", "citation")
 
 
-@query(f"{_WITH} SELECT query_id, vec_id, score FROM p WHERE vec_id % 10 = 0")
-def x5_cosine(spark, sf_dir):
-    return pairs(spark, sf_dir).where("vec_id % 10 = 0").select("query_id", "vec_id", "score")
-
-
 @query(f"{_WITH} SELECT query_id, vec_id, score FROM p")
-def x5_cosine_whole(spark, sf_dir):
-    """x5_cosine for every vector."""
+def x5_cosine(spark, sf_dir):
     return pairs(spark, sf_dir).select("query_id", "vec_id", "score")
 
 
@@ -139,7 +134,8 @@ def h3_block_topk(spark, sf_dir):
 
 @query(f"{_WITH} SELECT query_id, logical_key, rank FROM rk WHERE label = query_label AND vec_id <> query_id")
 def j13_relevant_ranks(spark, sf_dir):
-    return E.relevant_ranks(R.ranked(pairs(spark, sf_dir), ["query_id"]), relevant(spark, sf_dir), ["query_id"]).select("query_id", "logical_key", "rank")
+    rows = corpus(spark, sf_dir)
+    return R.block_ranks(queries(rows), rows, relevant(spark, sf_dir)).select("query_id", "logical_key", "rank")
 
 
 @query(f"{_WITH} SELECT query_id, min(rank)::BIGINT AS rank FROM rk WHERE label = query_label AND vec_id <> query_id GROUP BY query_id")
@@ -175,7 +171,7 @@ def a15_flow_breakdown(spark, sf_dir):
 
 @query(f"{_WITH}, rr AS (SELECT query_id, logical_key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY vec_id % 7 DESC, rank) AS INT) AS new_rank FROM rk WHERE rank <= 20) SELECT * FROM rr WHERE new_rank <= 5")
 def t3_rerank(spark, sf_dir):
-    hits = R.ranked(pairs(spark, sf_dir), ["query_id"], 20).withColumn("rerank_score", (F.col("vec_id") % 7).cast("double"))
+    hits = top(spark, sf_dir, 20).withColumn("rerank_score", (F.col("vec_id") % 7).cast("double"))
     return R.rerank(hits, ["query_id"], 5).select("query_id", "logical_key", "new_rank")
 
 
@@ -185,7 +181,7 @@ def t3_rerank(spark, sf_dir):
     SELECT query_id, a.n - b.n AS lift FROM a JOIN b USING (query_id)"""
 )
 def a16_rerank_lift(spark, sf_dir):
-    hits = R.ranked(pairs(spark, sf_dir), ["query_id"], 20).where("vec_id <> query_id").withColumn("good", F.col("label") == F.col("query_label"))
+    hits = top(spark, sf_dir, 20).where("vec_id <> query_id").withColumn("good", F.col("label") == F.col("query_label"))
     before = hits.groupBy("query_id").agg(F.count_if(F.col("good") & (F.col("rank") <= 6)).alias("b"))
     after = R.rerank(hits.withColumn("rerank_score", F.col("good").cast("double")), ["query_id"], 5).groupBy("query_id").agg(F.count_if("good").alias("a"))
     return before.join(after, "query_id").select("query_id", (F.col("a") - F.col("b")).alias("lift"))
@@ -193,15 +189,20 @@ def a16_rerank_lift(spark, sf_dir):
 
 @query(f"{_WITH}, t AS (SELECT query_id, count(*) AS n FROM rk WHERE rank <= 10 AND label = query_label AND vec_id <> query_id GROUP BY 1) SELECT q.query_id, coalesce(t.n, 0) AS common FROM q LEFT JOIN t USING (query_id)")
 def o4_topk_intersect(spark, sf_dir):
-    top = R.ranked(pairs(spark, sf_dir), ["query_id"], 10).select("query_id", "logical_key")
-    common = top.intersect(relevant(spark, sf_dir)).groupBy("query_id").agg(F.count(F.lit(1)).alias("common"))
+    best = top(spark, sf_dir, 10).select("query_id", "logical_key")
+    common = best.intersect(relevant(spark, sf_dir)).groupBy("query_id").agg(F.count(F.lit(1)).alias("common"))
     return queries(corpus(spark, sf_dir)).select("query_id").join(common, "query_id", "left").select("query_id", F.coalesce("common", F.lit(0)).alias("common"))
 
 
 @query(f"{_M2} SELECT model, {_A6} FROM m GROUP BY model")
 def g3_benchmark(spark, sf_dir):
-    """The whole benchmark: two models scored, ranked, averaged and put into a scorecard."""
-    return a13_scorecard(spark, sf_dir)
+    """The benchmark job: every model's queries and corpus, and the labelled cases, to a scorecard."""
+    from vademecum.jobs.run import benchmark
+
+    rows = corpus(spark, sf_dir)
+    q = queries(rows).withColumn("own", F.concat(F.lit("k"), F.col("query_id").cast("string")))
+    models = {"full": (q, rows), "half": (q.withColumn("query_vector", F.col("query_half")), rows.withColumn("vector", F.col("half")))}
+    return rounded(benchmark(models, relevant(spark, sf_dir), own="own"), "model")
 
 
 @query(f"{_M2} SELECT model, {_A6} FROM m GROUP BY model")
@@ -215,8 +216,9 @@ def s7_scorecard(spark, sf_dir):
     return rounded(spark.read.schema(card.schema).json(f"{folder}/scorecard"), "model")
 
 
-@query(f"{_WITH}, rr AS (SELECT query_id, logical_key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY -rank DESC, rank) AS INT) AS new_rank FROM (SELECT *, 21 - rank AS back FROM rk WHERE rank <= 20)) SELECT query_id, logical_key, new_rank FROM rr WHERE new_rank <= 20")
+@query(f"{_WITH}, rr AS (SELECT query_id, logical_key, CAST(row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(string_split('drug ' || query_label || ' doses', ' '), string_split(drug_name || ' ' || section_type, ' '))) DESC, rank) AS INT) AS new_rank FROM rk WHERE rank <= 20) SELECT query_id, logical_key, new_rank FROM rr")
 def u2_pair_scorer(spark, sf_dir):
-    """The reranking seam with a scorer that keeps the first order."""
-    hits = R.ranked(pairs(spark, sf_dir), ["query_id"], 20).withColumn("rerank_score", -F.col("rank").cast("double"))
-    return R.rerank(hits, ["query_id"], 20).select("query_id", "logical_key", "new_rank")
+    """The reranking seam with a scorer of (query, text) pairs: the number of words that they share."""
+    hits = top(spark, sf_dir, 20)
+    asked, passage = F.concat(F.lit("drug "), F.col("query_label").cast("string"), F.lit(" doses")), F.concat("drug_name", F.lit(" "), "section_type")
+    return R.rerank(hits.withColumn("rerank_score", R.shared_words(asked, passage)), ["query_id"], 20).select("query_id", "logical_key", "new_rank")

@@ -66,15 +66,8 @@ def j8_section_fetch(spark, sf_dir):
     return P.fetch_sections(requests(spark, sf_dir), chunks(spark, sf_dir), ["indications", "drug_interactions"]).select("request_id", "logical_key")
 
 
-@query(handbook_sql("SELECT logical_key, md5(text) AS text_md5 FROM ck WHERE section_type = 'doses' AND drug_name IN (SELECT canonical FROM req WHERE request_id % 10 = 0)", _REQ))
-def p13_exact_section_fetch(spark, sf_dir):
-    some = requests(spark, sf_dir).where("request_id % 10 = 0").select("request_id", "canonical")
-    return P.fetch_sections(some, chunks(spark, sf_dir), ["doses"]).select("logical_key", F.md5(F.col("text").cast("binary")).alias("text_md5"))
-
-
 @query(handbook_sql("SELECT r.request_id, c.logical_key, md5(c.text) AS text_md5 FROM req r JOIN ck c ON c.drug_name = r.canonical WHERE c.section_type = 'doses'", _REQ))
-def p13_exact_section_fetch_whole(spark, sf_dir):
-    """p13_exact_section_fetch for every request."""
+def p13_exact_section_fetch(spark, sf_dir):
     return P.fetch_sections(requests(spark, sf_dir), chunks(spark, sf_dir), ["doses"]).select("request_id", "logical_key", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
@@ -103,29 +96,32 @@ _REPORT = """SELECT r.request_id, r.canonical, coalesce((SELECT string_agg(c.log
   coalesce((SELECT string_agg(m.other_drug || '=' || m.logical_key, ';' ORDER BY m.other_drug) FROM men m WHERE m.request_id = r.request_id), '') AS flagged, 'no such drug' AS unresolved FROM req r"""
 
 
-def _report(spark, sf_dir):
-    rows = P.contraindications(requests(spark, sf_dir).select("request_id", "canonical"), chunks(spark, sf_dir), others(spark, sf_dir))
-    flagged = F.array_join(F.transform("flagged", lambda f: F.concat(f["other_drug"], F.lit("="), F.array_join(f["passages"], ","))), ";")
-    return rows.select("request_id", "canonical", F.array_join("interactions", ",").alias("interactions"), flagged.alias("flagged"), F.array_join("unresolved_other_drugs", ",").alias("unresolved"))
+def _shown(rows):
+    keys = lambda c: F.array_join(F.transform(c, lambda x: x["logical_key"]), ",")
+    flagged = F.array_join(F.transform("flagged", lambda f: F.concat(f["other_drug"], F.lit("="), keys(f["passages"]))), ";")
+    return rows.select("request_id", "canonical", keys("interactions").alias("interactions"), flagged.alias("flagged"), F.array_join("unresolved_other_drugs", ",").alias("unresolved"))
 
 
 @query(handbook_sql(_REPORT, _REQ, _OTHER, _MENTION))
 def a18_contraindication_report(spark, sf_dir):
-    return _report(spark, sf_dir)
+    return _shown(P.contraindications(requests(spark, sf_dir).select("request_id", "canonical"), chunks(spark, sf_dir), others(spark, sf_dir)))
 
 
-@query(handbook_sql(_REPORT, _REQ, _OTHER, _MENTION))
+@query(handbook_sql(_REPORT + " UNION ALL SELECT -1, NULL, '', '', ''", _REQ, _OTHER, _MENTION))
 def g7_contraindication_job(spark, sf_dir):
-    """The batch job from free-form names: requests are resolved before the report."""
+    """The batch job from free-form names: requests are resolved before the report, and one for an unknown drug is
+    answered too."""
     named = requests(spark, sf_dir)
-    resolved = N.resolve_exact(named.select("request_id", F.upper("canonical").alias("drug")), N.canonical(named, "canonical"), "drug")
-    rows = P.contraindications(resolved.select("request_id", "canonical"), chunks(spark, sf_dir), others(spark, sf_dir))
-    flagged = F.array_join(F.transform("flagged", lambda f: F.concat(f["other_drug"], F.lit("="), F.array_join(f["passages"], ","))), ";")
-    return rows.select("request_id", "canonical", F.array_join("interactions", ",").alias("interactions"), flagged.alias("flagged"), F.array_join("unresolved_other_drugs", ",").alias("unresolved"))
+    asked = named.select("request_id", F.upper("canonical").alias("drug")).unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("request_id"), F.lit("zzzz zzzz zzzz zzzz zzzz zzzz zzzz zzzz zzzz zzzz zzzz zzzz zzzz zzzz").alias("drug")))
+    resolved = P.resolved_requests(asked, N.canonical(named, "canonical"))
+    return _shown(P.contraindications(resolved, chunks(spark, sf_dir), others(spark, sf_dir)))
+
+
+_SPECIES = "CASE request_id % 3 WHEN 0 THEN 'Dogs' WHEN 1 THEN 'horse' END"
 
 
 def _indications(spark, sf_dir):
-    asked = requests(spark, sf_dir).select("request_id", "canonical", F.expr("CASE request_id % 3 WHEN 0 THEN 'Dogs' WHEN 1 THEN 'horse' END").alias("species"))
+    asked = requests(spark, sf_dir).select("request_id", "canonical", F.expr(_SPECIES).alias("species"))
     return P.indications(asked, chunks(spark, sf_dir).drop("book_id"))
 
 
@@ -139,14 +135,28 @@ def t5_soft_species_order(spark, sf_dir):
     return _indications(spark, sf_dir).select("request_id", "logical_key", "want_species", "place")
 
 
-@query(handbook_sql(f"SELECT request_id, want_species, string_agg(logical_key, ',' ORDER BY place) AS passages FROM ({_IND}) GROUP BY 1, 2", _REQ))
+_IND_REPORT = f"SELECT r.request_id, CASE r.request_id % 3 WHEN 0 THEN 'dog' WHEN 1 THEN 'horse' END AS want_species, coalesce(i.passages, '') AS passages FROM req r LEFT JOIN (SELECT request_id, string_agg(logical_key, ',' ORDER BY place) AS passages FROM ({_IND}) GROUP BY 1) i USING (request_id)"
+
+
+def _shown_indications(rows):
+    return rows.select("request_id", "want_species", F.array_join(F.transform("passages", lambda x: x["logical_key"]), ",").alias("passages"))
+
+
+@query(handbook_sql(_IND_REPORT, _REQ))
 def a19_indication_report(spark, sf_dir):
-    return P.indication_report(_indications(spark, sf_dir)).select("request_id", "want_species", F.array_join("passages", ",").alias("passages"))
+    asked = requests(spark, sf_dir).select("request_id", "canonical", F.expr(_SPECIES).alias("species"))
+    return _shown_indications(P.indication_report(asked, _indications(spark, sf_dir)))
 
 
-@query(handbook_sql(f"SELECT request_id, want_species, string_agg(logical_key, ',' ORDER BY place) AS passages FROM ({_IND}) GROUP BY 1, 2", _REQ))
+@query(handbook_sql(_IND_REPORT, _REQ))
 def g8_indication_job(spark, sf_dir):
-    return a19_indication_report(spark, sf_dir)
+    """The batch job from free-form names."""
+    from vademecum.jobs.run import indication_reports
+
+    asked = requests(spark, sf_dir).select("request_id", F.upper("canonical").alias("drug"), F.expr(_SPECIES).alias("species"))
+    rows = chunks(spark, sf_dir).drop("book_id")
+    known = rows.unionByName(requests(spark, sf_dir).select(F.col("canonical").alias("drug_name")), allowMissingColumns=True)
+    return _shown_indications(indication_reports(asked, known))
 
 
 @query("SELECT source || '|' || lang || '|all|' || n AS logical_key, CAST(row_number() OVER (PARTITION BY source, lang ORDER BY n) AS INT) AS place FROM (SELECT source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS n FROM documents)")
