@@ -1,9 +1,11 @@
 import difflib
+import hashlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vademecum import vocabulary as V
 from vademecum.jobs import run
 from vademecum.operators import dosing, evaluation, loading, names, reports, retrieval
 from vademecum.plans import registry
@@ -68,7 +70,45 @@ def test_pruned_similarity_equals_plain():
     words = ["abcd", "abce", "abcdef", "xyz", "aaaaaaaaaaaa", "bcda", ""]
     for query in words:
         for cutoff in (0.6, 0.85):
-            assert names.similar(query, words, 3, cutoff) == difflib.get_close_matches(query, words, n=3, cutoff=cutoff)
+            assert [n for _, n in names.similar(query, words, 3, cutoff)] == difflib.get_close_matches(query, words, n=3, cutoff=cutoff)
+
+
+@pytest.mark.parametrize("block", [7, 50_000])
+def test_fuzzy_queries_equal_difflib(spark, sf_dir, monkeypatch, block):
+    monkeypatch.setattr(names, "BLOCK_NAMES", block)
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name").collect()
+    norm = lambda n: " ".join(n.lower().split())
+    known = {}
+    for r in parts:
+        known[norm(r.p_name)] = max(known.get(norm(r.p_name), ""), r.p_name)
+    want, suggested = {}, {}
+    for r in parts:
+        query = {0: r.p_name, 1: r.p_name[:-1], 2: r.p_name[:5]}[r.p_partkey % 3]
+        exact = known.get(norm(query))
+        near = difflib.get_close_matches(norm(query), known, n=1, cutoff=V.MATCH_CUTOFF)
+        want[r.p_partkey] = (exact or (known[near[0]] if near else None), True if exact else False if near else None)
+        if not exact and not near:
+            suggested[r.p_partkey] = ",".join(known[n] for n in difflib.get_close_matches(norm(query), known, n=3, cutoff=V.SUGGEST_CUTOFF))
+    found = registry.load_all()[0]
+    assert {r.request_id: (r.canonical, r.exact) for r in found["j10_fuzzy_names"](spark, sf_dir).collect()} == want
+    assert {r.request_id: r.suggestions for r in found["t6_fuzzy_suggestions"](spark, sf_dir).collect()} == suggested
+
+
+def test_whole_ingestion_equals_its_steps(spark, sf_dir):
+    """g1_ingest on the supplied tables: its chunks are the plain pieces of the groups that other queries hold against SQL."""
+    from vademecum.operators.splitting import split_text
+    from vademecum.plans import handbook
+
+    want, ordinal = set(), {}
+    for r in sorted(handbook.ingestion(spark, sf_dir).groups.collect(), key=lambda r: (r.book_id, r.mono_ord, r.section_ord, r.group_ord)):
+        for piece in split_text(r.text, 1200) if len(r.text) > 1200 else [r.text.strip()]:
+            species = "+".join(r.species)
+            key = (r.book_id, r.mono_ord, r.section_type, species)
+            ordinal[key] = ordinal.get(key, -1) + 1
+            logical = f"{r.drug_name.lower()}|{r.section_type}|{species}|{ordinal[key]}"
+            want.add((*key, ordinal[key], hashlib.sha256(f"{logical}::{piece}".encode()).hexdigest()))
+    rows = registry.load_all()[0]["g1_ingest"](spark, sf_dir).collect()
+    assert {(r.book_id, r.mono_ord, r.section_type, r.species, r.ordinal, r.content_hash) for r in rows} == want and len(rows) == len(want)
 
 
 def test_block_top_k_equals_window(spark):

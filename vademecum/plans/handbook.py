@@ -27,15 +27,27 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], Any])
     return _made[key]
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = lambda: rewritten(spark.sql(HANDBOOK, part=table(spark, sf_dir, "part"), lineitem=table(spark, sf_dir, "lineitem")), "handbook")
-    return _once(spark, sf_dir, "lines", made)
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewritten(spark.sql(HANDBOOK, part=table(spark, sf_dir, "part"), lineitem=table(spark, sf_dir, "lineitem")), "handbook")
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pages(lines: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("line_idx", "txt")))
     joined = F.array_join(F.transform(ordered, lambda x: x["txt"]), "\n")
-    return lines(spark, sf_dir).groupBy("book_id", "page_idx").agg(joined.alias("raw_text"))
+    return lines.groupBy("book_id", "page_idx").agg(joined.alias("raw_text"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "lines", lambda: _lines(spark, sf_dir))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(lines(spark, sf_dir))
+
+
+def ingest_anew(spark: SparkSession, sf_dir: str) -> ingest.Ingestion:
+    """A run that shares nothing with others of the session."""
+    return ingest.Ingestion(_pages(_lines(spark, sf_dir)), 0, 0, keep=lambda df: rewritten(df, "ingest"))
 
 
 def ingestion(spark: SparkSession, sf_dir: str) -> ingest.Ingestion:
