@@ -155,11 +155,13 @@ def _blocks(members: DataFrame) -> DataFrame:
     sizes = sizes.where("f > 0 AND n > 1").select("key", "chunks", chunks(F.col("f"), F.col("rest_size")).alias("rest_chunks"))
     dealt = members.join(sizes, "key")
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = lambda x, y, role: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(role).alias("role"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    every = F.transform(upto("rest_chunks"), lambda y: at(place("chunks"), y, 0))
+    asking = F.transform(upto("chunks"), lambda x: at(x, place("rest_chunks"), 1))
     kept = [c for c in members.columns if c != "rest"]
-    every = dealt.select(*kept, place("chunks").alias("x"), each("rest_chunks").alias("y"), F.lit(0).alias("role"))
-    asking = dealt.where("rest").select(*kept, place("rest_chunks").alias("y"), each("chunks").alias("x"), F.lit(1).alias("role"))
-    return every.unionByName(asking)
+    dealt = dealt.select(*kept, F.explode(F.when(F.col("rest"), F.concat(every, asking)).otherwise(every)).alias("at"))
+    return dealt.select(*kept, "at.x", "at.y", "at.role")
 
 
 def _by_block(rows: DataFrame) -> DataFrame:
@@ -304,6 +306,7 @@ def groups(docs: DataFrame) -> DataFrame:
     marked = starred.join(unlike.select("key"), "key", "left_semi").select("key", "id", (~F.col("near")).alias("rest"))
     marked = _parted(marked.unionByName(unlike.select("key", F.col("hub").alias("id"), F.lit(False).alias("rest"))), reps)
     involved = _partners(marked.join(sized, "id")).union(near.select("id")).union(near.select("hub")).distinct()
+    involved = written(involved, "involved")
     sets = written(_sets(docs, involved).dropDuplicates(["id"]), "sets")
     hubs = starred.select("key", F.col("hub").alias("id")).distinct()
     members = written(starred.select("key", "id").unionByName(hubs).join(sets.select("id"), "id", "left_semi"), "members")
@@ -311,7 +314,8 @@ def groups(docs: DataFrame) -> DataFrame:
     label = components(links)
     marked = _still_open(members, label)
     parted = _parted(marked.select("key", "id", "rest"), reps).join(sized, "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    final = components(links.union(_block_links(written(parted, "open"), sets)))
+    stars = label.where("component <> id").select(F.col("component").alias("a"), F.col("id").alias("b"))
+    final = components(stars.union(_block_links(written(parted, "open"), sets)))
     by_set = reps.select("set_key", "id").join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("_component"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
     component = F.coalesce("_component", "doc_id")
