@@ -12,7 +12,7 @@ from itertools import chain, repeat
 import numpy as np
 
 #: Cuts that a worker remembers.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 350_000
 
 Runs = tuple[np.ndarray, np.ndarray]
 

@@ -50,7 +50,7 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 #: Feature cells of a word: its own, and for the word after and before it.
 OWN, NEXT = 4 + len(BEGINNINGS), 2
 #: Words that a worker remembers.
-EMISSIONS = 250_000
+EMISSIONS = 150_000
 _edges = ".,;:!?#*$%&|<>()[]{}\"'`~^_-+=/\\"
 _word = re.compile(r"\S+")  # the words of str.split()
 
