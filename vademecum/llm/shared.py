@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,10 +48,20 @@ def column_of(batch: pa.RecordBatch, name: str) -> list:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Cuts Arrow batches so that at most ``rows`` rows are turned into Python objects at once."""
+    """Cuts Arrow batches so that at most ``rows`` rows are turned into Python objects at once. After the last one, memory
+    that this worker has freed goes back to the system, since the worker lives on for other tasks."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of Arrow and, with glibc, of Python and numpy to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def key_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -71,6 +82,7 @@ def key_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[t
             rows.append(row)
     if rows:
         yield current, rows
+    give_back()
 
 
 def ranked_by_unit(df: DataFrame, group: list[str], unit: str, order: list, rank: str) -> DataFrame:
