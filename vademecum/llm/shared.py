@@ -138,6 +138,20 @@ def looked_up(ids: list[int | None], known: np.ndarray, values: np.ndarray) -> n
     return out
 
 
+def labelled_texts(docs: DataFrame, ids: np.ndarray, values: np.ndarray) -> DataFrame:
+    """text and label of the documents with these ids, written once to the shared folder: rows that go on to another
+    Python function would else take a second worker for each task, and an executor keeps its workers and their memory."""
+    shared = docs.sparkSession.sparkContext.broadcast((ids, values))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = looked_up(column_of(batch, "doc_id"), *shared.value)
+            rows = np.flatnonzero(label >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(rows)), pa.array(label[rows])], ["text", "label"])
+
+    return written(docs.select("doc_id", "text").mapInArrow(run, "text string, label long"), "labelled")
+
+
 def fields(df: DataFrame, names: list[str]) -> str:
     """The schema of some columns as DDL."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)

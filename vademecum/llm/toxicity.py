@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vademecum.llm.cuts import CutMemo
-from vademecum.llm.shared import column_of, fields, looked_up, sampled_labels, slices, written
+from vademecum.llm.shared import column_of, fields, labelled_texts, sampled_labels, slices
 from vademecum.llm.words import MEMO_ENTRIES
 
 #: About how many labelled rows are used at most: for the labelling of words, and of each label to train the field and to
@@ -245,19 +245,6 @@ def train(texts: list[list[str]], tags: list[np.ndarray], rounds: int = 40) -> F
     return Field(p[: SLOTS + 1], p[SLOTS + 1 : SLOTS + 5].reshape(2, 2), p[SLOTS + 5 :])
 
 
-def _labelled(docs: DataFrame, ids: np.ndarray, values: np.ndarray) -> DataFrame:
-    """text and label of the documents with these ids."""
-    shared = docs.sparkSession.sparkContext.broadcast((ids, values))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label = looked_up(column_of(batch, "doc_id"), *shared.value)
-            rows = np.flatnonzero(label >= 0)
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(rows)), pa.array(label[rows])], ["text", "label"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "text string, label long")
-
-
 def toxic_keys(known: DataFrame) -> set[str]:
     """The keys that the labelled toxic texts (text, label) show far more often than the clean ones, and more often than
     chance would: Chernoff's bound on the probability that so many of a key's texts are toxic is CHANCE at most.
@@ -318,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: str = "true") -> Field:
     numbers of 2 * CALIBRATED texts reach the driver.
     """
     ids, values = sampled_labels(labels, "toxic", LABELLED, where)
-    known = written(_labelled(docs, ids, values), "labelled")
+    known = labelled_texts(docs, ids, values)
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     keys = toxic_keys(known)
 
