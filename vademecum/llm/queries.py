@@ -148,6 +148,82 @@ def op10_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return near_duplicates.groups(_table(spark, sf_dir, "documents"))
 
+def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vademecum.llm import whitening
+
+    rows = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vademecum.llm import filter_audit
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    return filter_audit.audit(filter_audit.patterns(docs, labels))
+
+
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vademecum.llm import mixing
+
+    rows = mixing.sized(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixing.mixed(rows, mixing.plan(rows)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+OP12_SQL = """
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+l AS (SELECT doc_id, coalesce(max(CAST(quality = 1 AS INT)), 0) AS good, coalesce(max(CAST(toxic = 1 AS INT)), 0) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CAST(len(w) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) AS INT)
+    + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * coalesce(CAST(w.doc_id > first AS INT), 0) AS p
+  FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, p, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+x AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) x(k, b)),
+o AS (
+  SELECT a.k || b.k || c.k || d.k || e.k AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+  FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS own, list_sum(list_slice(bits, 1, step)) - bits[step] AS prev FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN p & CAST(prev + own AS BIGINT) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN p & CAST(prev AS BIGINT) = 0 AND p & own > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN p & CAST(prev AS BIGINT) > 0 AND p & own > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN p = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN p & CAST(prev AS BIGINT) = 0 AND p & own > 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN p & CAST(prev AS BIGINT) = 0 AND p & own > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+OP13_SQL = """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
+    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS key
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (
+  SELECT *, 3 * n / w AS full_at, row_number() OVER (ORDER BY 3 * n / w, source NULLS LAST) AS i,
+    (SELECT sum(n) FROM s) AS total FROM s),
+c AS (
+  SELECT *, coalesce(sum(3 * n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped, sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM o),
+v AS (SELECT arg_min(CAST(CAST(total - stopped AS BIGINT) AS DOUBLE) / CAST(CAST(open AS BIGINT) AS DOUBLE), i) AS level FROM c WHERE CAST(total - stopped AS DOUBLE) / CAST(open AS DOUBLE) <= full_at),
+t AS (SELECT source, n, CASE WHEN w * level > 3 * n THEN CAST(3 * n AS DOUBLE) ELSE w * level END AS target FROM s, v),
+b AS (SELECT *, CASE WHEN n > 0 THEN CAST(floor(target / n) AS BIGINT) ELSE 0 END AS times FROM t),
+g AS (SELECT source, key, sum(size) AS words FROM d GROUP BY 1, 2),
+r AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
+k AS (
+  SELECT r.source, r.key, CAST(b.target - b.times * b.n > 0 AND (r.before + r.words <= b.target - b.times * b.n
+    OR (r.before <= b.target - b.times * b.n AND r.before + r.words - (b.target - b.times * b.n) < (b.target - b.times * b.n) - r.before)) AS BIGINT) AS more
+  FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source)
+SELECT d.doc_id, d.size, b.n AS source_size, b.target, CAST(d.size * (b.times + k.more) AS BIGINT) AS taken, d.source, CAST(b.times + k.more AS BIGINT) AS copies
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.key = k.key
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
@@ -161,10 +237,13 @@ def queries() -> dict[str, Query]:
         "op8_license_rules": op8_license_rules,
         "op9_impact_topk": op9_impact_topk,
         "op10_odd_sketches": op10_odd_sketches,
+        "op11_block_whitening": op11_block_whitening,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_source_mix": op13_source_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from vademecum.llm import licences
 
-    return {"op2_warc_zstd": OP2_SQL, "op8_license_rules": licences.oracle(), "op9_impact_topk": OP9_SQL, "op10_odd_sketches": OP10_SQL}
+    return {"op2_warc_zstd": OP2_SQL, "op8_license_rules": licences.oracle(), "op9_impact_topk": OP9_SQL, "op10_odd_sketches": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_source_mix": OP13_SQL}
