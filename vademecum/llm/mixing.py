@@ -93,9 +93,10 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
         sums = level.groupBy("source", bucket).agg(F.sum("size").alias("words"), F.min("key").alias("low"), F.max("key").alias("high"))
         before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         sums = sums.withColumn("before", before)
-        met = sums.join(boundary, same(sums, boundary)).withColumn("start", F.col("base") + F.col("before"))
+        at = boundary.select("source", "budget", "base")
+        met = sums.join(at, same(sums, at)).withColumn("start", F.col("base") + F.col("before"))
         met = met.where("start <= budget AND budget < start + words")
-        boundary = written(met.select(boundary["source"], "budget", F.col("start").alias("base"), "words", "low", "high"), "boundary")
+        boundary = written(met.select(at["source"], "budget", F.col("start").alias("base"), "words", "low", "high"), "boundary")
         if boundary.where("low < high").isEmpty():
             break
         near = boundary.select("source", "low", "high")
