@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vademecum import vocabulary as V
 from vademecum.jobs import run
 from vademecum.operators import dosing, evaluation, loading, names, reports, retrieval
+from vademecum.operators.ranges import numbered
 from vademecum.plans import registry
 from vademecum.sources import tables
 from vademecum.streaming.upserts import stream_into
@@ -280,3 +281,73 @@ def test_dose_job_and_benchmark_job(spark, tmp_path):
     run.main(["benchmark", "--requests", str(tmp_path / "cases"), "--table", str(tmp_path / "table"), "--out", str(tmp_path / "card")])
     card = spark.read.json(str(tmp_path / "card/scorecard")).first()
     assert card["recall@1"] == 1.0 and card["mrr"] == 1.0
+
+
+def ranking_case(spark, n, queries=3):
+    """A corpus with ties and repeated vectors, queries, and plain rankings by numpy and Python's sort."""
+    rng = np.random.default_rng(6)
+    vectors = np.round(rng.normal(size=(n, 3)), 2)
+    vectors[n // 2 : n // 2 + n // 4] = vectors[0]
+    keys = [f"k{i * 7919 % n:06d}" for i in range(n)]
+    schema = "logical_key string, vector array<double>"
+    corpus = spark.createDataFrame(list(zip(keys, vectors.tolist(), strict=True)), schema).repartition(5)
+    asked = vectors[[1, 2, 0][:queries]]
+    frame = spark.createDataFrame([(i, v.tolist(), keys[i]) for i, v in enumerate(asked)], "query_id bigint, query_vector array<double>, own string")
+    plain = {}
+    for q, v in enumerate(asked):
+        score = np.round(vectors @ v, 6)
+        plain[q] = sorted(range(n), key=lambda i: (-score[i], keys[i]))
+    return corpus, frame, keys, plain
+
+
+def test_ranks_of_very_many_relevant_keys(spark):
+    """One query with 100,000 relevant keys, beyond a block, beside one with a few: no list of them is made anywhere."""
+    n = 120_000
+    corpus, asked, keys, plain = ranking_case(spark, n, 2)
+    relevant = corpus.select(F.lit(0).cast("bigint").alias("query_id"), "logical_key").where("logical_key >= 'k020000'").unionByName(spark.createDataFrame([(1, keys[i]) for i in (5, 60_001, 60_002, 119_999, 5)], "query_id bigint, logical_key string"))
+    got = retrieval.block_ranks(asked, corpus, relevant, own="own")
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    rank = {q: {keys[i]: r for r, i in enumerate((i for i in order if i != q), 1)} for q, order in plain.items()}
+    rows = got.where("logical_key <> 'k007919' OR query_id <> 1").toPandas()
+    assert len(rows) == got.select("query_id", "logical_key").distinct().count() == 100_000 + 4
+    assert all(rank[q].get(k, r) == r for q, k, r in rows[["query_id", "logical_key", "rank"]].itertuples(index=False))
+
+
+def test_places_in_blocks_equal_sorting(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "CORPUS_ROWS", 1500)
+    corpus, asked, keys, plain = ranking_case(spark, 6000)
+    relevant = spark.createDataFrame([(q, keys[i]) for q in range(3) for i in range(q + 3, 6000, 29)], "query_id bigint, logical_key string")
+    rank = {q: {keys[i]: r for r, i in enumerate((i for i in order if i != q), 1)} for q, order in plain.items()}
+    got = {(r.query_id, r.logical_key): r["rank"] for r in retrieval.block_ranks(asked, corpus, relevant, own="own").collect()}
+    assert got == {(q, keys[i]): rank[q][keys[i]] for q in range(3) for i in range(q + 3, 6000, 29)}
+    first = {r.query_id: r["rank"] for r in retrieval.first_ranks(asked, corpus, relevant, own="own").collect()}
+    assert first == {q: min(rank[q][keys[i]] for i in range(q + 3, 6000, 29)) for q in range(3)}
+
+
+def test_full_ranking_over_many_ranges(spark):
+    """One query whose ranking is cut into many ranges; a quarter of the rows have the same score."""
+    corpus, asked, keys, plain = ranking_case(spark, 30_000, 1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = retrieval.full_ranking(asked, corpus).orderBy("rank").toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert rows["logical_key"].tolist() == [keys[i] for i in plain[0]] and rows["rank"].tolist() == list(range(1, 30_001))
+
+
+def test_numbered_groups_with_nulls_and_clashing_names(spark):
+    rows = spark.createDataFrame([(g, i * 37 % 100, "x") for g in ("a", None, "b") for i in range(100)] + [("c", 1, "x"), ("c", 1, "x")], "g string, v int, _row string")
+    got = numbered(rows, ["g"], ["v"], "place", 0).collect()
+    assert all(r.place == r.v for r in got if r.g != "c") and sorted(r.place for r in got if r.g == "c") == [0, 1] and len(got) == 302
+    assert numbered(rows.limit(0), ["g"], ["v"], "place").count() == 0
+
+
+def test_filtered_pairs_equal_the_filter(spark):
+    chunks_ = [(i, f"d{i % 3}", ["doses", "uses"][i % 2], [["dog"], ["cat", "dog"], ["all"], []][i % 4]) for i in range(24)]
+    corpus = spark.createDataFrame(chunks_, "id int, drug_name string, section_type string, species array<string>")
+    wants = [(d, s, p) for d in (None, "d1") for s in (None, "uses") for p in (None, "dog")]
+    asked = spark.createDataFrame([(i, *w) for i, w in enumerate(wants)], "request_id int, want_drug string, want_section string, want_species string")
+    got = sorted((r.request_id, r.id) for r in retrieval.filtered_pairs(asked, corpus).collect())
+    assert got == sorted((q, i) for q, (d, s, p) in enumerate(wants) for i, drug, section, species in chunks_ if d in (None, drug) and s in (None, section) and (p is None or p in species))

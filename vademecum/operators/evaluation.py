@@ -29,15 +29,6 @@ def query_metrics(queries: DataFrame, ranks: DataFrame, by: list[str], ks: tuple
     return rows.select(*queries.columns, *recall, *hit, F.coalesce(1.0 / F.col("_first"), F.lit(0.0)).alias("mrr"))
 
 
-def best_rank_by_counting(scores: DataFrame, relevant: DataFrame) -> DataFrame:
-    """query_id and the rank of the first relevant key, by counting what beats the best relevant (score, key) pair:
-    no ranking of the whole corpus. ``scores`` has query_id, logical_key and score."""
-    own = scores.join(relevant, ["query_id", "logical_key"]).groupBy("query_id")
-    best = own.agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("logical_key").alias("k"))).alias("b"))
-    beats = (-F.col("score") < F.col("b.s")) | ((-F.col("score") == F.col("b.s")) & (F.col("logical_key") < F.col("b.k")))
-    return scores.join(best, "query_id").groupBy("query_id").agg((F.count_if(beats) + 1).alias("rank"))
-
-
 def mean_metrics(rows: DataFrame, by: list[str], ks: tuple[int, ...] = KS) -> DataFrame:
     return rows.groupBy(*by).agg(*[F.avg(f"`{m}`").alias(m) for m in metric_names(ks)])
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from vademecum import vocabulary as V
 from vademecum.functions import text, vectors
 from vademecum.operators import names as N
+from vademecum.operators.ranges import numbered
+from vademecum.sources.tables import rewritten
 
 
 def metadata_filter(drug: Column, section: Column, species: Column) -> Column:
@@ -23,6 +25,24 @@ def metadata_filter(drug: Column, section: Column, species: Column) -> Column:
     )
 
 
+def filtered_pairs(asked: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Every pair of a request (want_drug, want_section, want_species, each null for any) and a chunk that meets its
+    filters. Requests that name the same filters join on just these, each species of a chunk being a key of its own, so
+    every join has as many equal keys as filters; only requests without any filter meet all chunks, as a broadcast of
+    checked size or, beyond it, in Spark's own nested loop."""
+    wants = {"want_drug": "drug_name", "want_section": "section_type", "want_species": "_one"}
+    each = corpus.select("*", F.explode(F.array_distinct("species")).alias("_one"))
+    out = None
+    for mask in range(8):
+        own = [w for i, w in enumerate(wants) if mask >> i & 1]
+        rows = asked.where(" AND ".join(f"{w} IS {'NOT ' if w in own else ''}NULL" for w in wants))
+        side = each if "want_species" in own else corpus.withColumn("_one", F.lit(None).cast("string"))
+        on = [F.col(w) == F.col(wants[w]) for w in own]
+        part = (rows.join(side, on) if on else rows.join(side, F.lit(True))).drop("_one")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def request_problem(query: Column, top_k: Column, section: Column) -> Column:
     """Why a request is rejected; null if it is valid."""
     return (
@@ -59,37 +79,149 @@ def block_top_k(queries: DataFrame, corpus: DataFrame, k: int, part: str | None
         score = np.round(asked @ vectors.T, digits)
         order = np.lexsort((np.broadcast_to(place, score.shape), -score), axis=1)[:, :k]
         found = [np.repeat(ids, order.shape[1]), keys[order.ravel()], np.take_along_axis(score, order, 1).ravel()]
-        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1], pa.string()), pa.array(found[2])], ["query_id", "logical_key", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1], pa.string()), pa.array(found[2])], ["query_id", "logical_key", "score"])
 
     found = _met(queries, corpus, part, None, top, "query_id bigint, logical_key string, score double")
     return ranked(found, ["query_id"], k)
 
 
+def block_scores(queries: DataFrame, corpus: DataFrame, digits: int = 6) -> DataFrame:
+    """query_id, logical_key and score of every pair: products of blocks in place of a join of rows."""
+
+    def pairs(ids, asked, keys, vectors, _):
+        names = pa.array(keys, pa.string())
+        for start in range(0, len(ids), PAIR_QUERIES):
+            score = np.round(asked[start : start + PAIR_QUERIES] @ vectors.T, digits)
+            row, column = np.divmod(np.arange(score.size), len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[start + row]), names.take(pa.array(column)), pa.array(score.ravel())], ["query_id", "logical_key", "score"])
+
+    return _met(queries, corpus, None, None, pairs, "query_id bigint, logical_key string, score double")
+
+
+def full_ranking(queries: DataFrame, corpus: DataFrame, digits: int = 6, own: str | None = None) -> DataFrame:
+    """query_id, logical_key, score and rank of every pair: a query's ranking is cut into ranges of its scores, however long
+    it is. ``own`` is a column of ``queries`` with a key that doesn't count for its query."""
+    scores = block_scores(queries, corpus, digits)
+    if own:
+        mine = queries.select("query_id", F.col(own).alias("logical_key")).where("logical_key IS NOT NULL")
+        scores = scores.join(mine, ["query_id", "logical_key"], "left_anti")
+    return numbered(scores, ["query_id"], [F.col("score").desc(), F.col("logical_key")], "rank").withColumn("rank", F.col("rank").cast("int"))
+
+
+def pair_scores(queries: DataFrame, corpus: DataFrame, pairs: DataFrame, digits: int = 6) -> DataFrame:
+    """query_id, logical_key and score of given pairs, each once: joins by id and by key."""
+    rows = pairs.select("query_id", "logical_key").join(queries.select("query_id", "query_vector"), "query_id").join(corpus.select("logical_key", "vector"), "logical_key")
+    score = F.round(vectors.dot(F.col("query_vector"), F.col("vector")), digits)
+    return rows.groupBy("query_id", "logical_key").agg(F.max(score).alias("score"))
+
+
 def block_ranks(queries: DataFrame, corpus: DataFrame, relevant: DataFrame, digits: int = 6, own: str | None = None) -> DataFrame:
-    """query_id, logical_key and rank of every relevant pair, by counting in each block the rows that come before it: no
-    ranking of the whole corpus. ``own`` is a column of ``queries`` with a key that doesn't count for its query."""
-    exact = relevant.join(queries.select("query_id", "query_vector"), "query_id").join(corpus.select("logical_key", "vector"), "logical_key")
-    exact = exact.select("query_id", "logical_key", F.round(vectors.dot(F.col("query_vector"), F.col("vector")), digits).alias("score"))
-    wanted = exact.groupBy("query_id").agg(F.collect_list(F.struct("logical_key", "score")).alias("wanted"))
-    asked = queries.select("query_id", "query_vector", (F.col(own) if own else F.lit(None).cast("string")).alias("own")).join(wanted, "query_id")
-
-    def count(ids, asked, keys, vectors, rest):
-        score = np.round(asked @ vectors.T, digits)
-        out = [[], [], []]
-        for i, (own_key, pairs) in enumerate(rest):
-            valid = keys != own_key if own_key is not None else np.ones(len(keys), bool)
-            for pair in pairs:
-                before = (score[i] > pair["score"]) | ((score[i] == pair["score"]) & (keys < pair["logical_key"]))
-                for column, value in zip(out, (int(ids[i]), pair["logical_key"], int((before & valid).sum())), strict=True):
-                    column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.int64()), strict=True)], ["query_id", "logical_key", "before"])
-
-    counted = _met(asked, corpus, None, ["own", "wanted"], count, "query_id bigint, logical_key string, before bigint")
+    """query_id, logical_key and rank of every relevant pair. ``own`` is a column of ``queries`` with a key that doesn't
+    count for its query.
+
+    Relevant pairs go to every block as rows, behind their query's vector. A block sorts its scores once per query and
+    finds the place of each pair by binary search; the places add up over the blocks. A query with more pairs than a
+    block has rows would send more rows than it has scores: such queries are ranked by ranges of their scores instead.
+    """
+    pairs = relevant.select("query_id", "logical_key").distinct()
+    crowded = rewritten(pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CORPUS_ROWS).select("query_id"), "crowded")
+    if crowded.isEmpty():
+        return _places(queries, corpus, pair_scores(queries, corpus, pairs, digits), digits, own)
+    few = pairs.join(crowded, "query_id", "left_anti")
+    out = _places(queries, corpus, pair_scores(queries, corpus, few, digits), digits, own)
+    ranking = full_ranking(queries.join(crowded, "query_id", "left_semi"), corpus, digits, own)
+    return out.unionByName(ranking.select("query_id", "logical_key", "rank").join(pairs, ["query_id", "logical_key"], "left_semi"))
+
+
+def first_ranks(queries: DataFrame, corpus: DataFrame, relevant: DataFrame, digits: int = 6, own: str | None = None) -> DataFrame:
+    """query_id and the rank of its first relevant key: in every block the rows that beat its best relevant pair."""
+    scores = pair_scores(queries, corpus, relevant.select("query_id", "logical_key").distinct(), digits)
+    best = scores.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("logical_key").alias("k"))).alias("b"))
+    best = best.select("query_id", F.col("b.k").alias("logical_key"), (-F.col("b.s")).alias("score"))
+    return _places(queries, corpus, best, digits, own).select("query_id", "rank")
+
+
+class _Block:
+    """Rows of the corpus by key, and the order of their scores for one query at a time."""
+
+    def __init__(self, keys: list[str], held: list[np.ndarray], digits: int) -> None:
+        order = np.argsort(names := np.array(keys, object), kind="stable")
+        self.keys, self.vectors, self.digits, self.size = names[order], np.concatenate(held)[order], digits, len(keys) + 1
+
+    def ask(self, vector: np.ndarray, own: str | None) -> None:
+        score = np.round(self.vectors @ vector, self.digits)
+        self.levels, level = np.unique(-score, return_inverse=True)
+        self.order = level * self.size + np.arange(len(score))  # by score, then by key
+        kept = np.ones(len(score), bool)
+        if own is not None:
+            kept[np.searchsorted(self.keys, own, "left") : np.searchsorted(self.keys, own, "right")] = False
+        self.order[~kept] = np.iinfo(np.int64).max
+        self.sorted = np.sort(self.order)
+
+    def before(self, keys: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """How many rows come before each (key, score), the key's own row left out."""
+        level = np.searchsorted(self.levels, -scores)
+        known = level < len(self.levels)
+        known[known] = self.levels[level[known]] == -scores[known]
+        at = np.searchsorted(self.keys, keys)
+        place = level * self.size + np.where(known, at, 0)
+        count = np.searchsorted(self.sorted, place)
+        mine = at < len(self.keys)
+        mine[mine] = self.keys[at[mine]] == keys[mine]
+        count[mine] -= self.order[at[mine]] < place[mine]
+        return count
+
+
+def _places(queries: DataFrame, corpus: DataFrame, wanted: DataFrame, digits: int, own: str | None) -> DataFrame:
+    """query_id, logical_key and rank of wanted pairs (query_id, logical_key, score).
+
+    Corpus rows go to hashed blocks, vectors of queries with wanted pairs and the pairs to every block, in one exchange. In
+    a task the rows of a block come first, then each query before its pairs.
+    """
+    blocks = max(1, -(-corpus.count() // CORPUS_ROWS))
+    none = lambda kind: F.lit(None).cast(kind)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")
+    as_doubles = lambda c: F.col(c).cast("array<double>").alias("_vector")
+    place = F.pmod(F.xxhash64("logical_key", "vector"), F.lit(blocks)).cast("int").alias("_block")
+    row = lambda block, kind, id_, mark, *rest: (block, F.lit(kind).alias("_kind"), id_.cast("bigint").alias("_id"), F.lit(mark).alias("_mark"), *rest)
+    held = corpus.select(*row(place, 0, F.lit(0), 0, F.col("logical_key").alias("_key"), as_doubles("vector"), none("double").alias("_score")))
+    asked = queries.join(wanted.select("query_id").distinct(), "query_id", "left_semi")
+    mine = F.col(own) if own else none("string")
+    asked = asked.select(*row(every, 1, F.col("query_id"), 0, mine.alias("_key"), as_doubles("query_vector"), none("double").alias("_score")))
+    pairs = wanted.select(*row(every, 1, F.col("query_id"), 1, F.col("logical_key").alias("_key"), none("array<double>").alias("_vector"), F.col("score").alias("_score")))
+    order = ["_block", "_kind", "_id", "_mark"]
+    rows = held.unionByName(asked).unionByName(pairs).repartition("_block").sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, held, block = None, [], [], None
+        for batch in batches:
+            marks = np.stack([batch.column(i).to_numpy() for i in range(4)])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == end:
+                    continue
+                (own_block, kind, id_, mark), rows = marks[:, start].tolist(), batch.slice(start, end - start)
+                if own_block != at:
+                    at, keys, held, block = own_block, [], [], None
+                if kind == 0:
+                    keys += rows.column(4).to_pylist()
+                    held.append(_matrix(rows.column(5)))
+                    continue
+                if not held:
+                    continue
+                block = block or _Block(keys, held, digits)
+                if mark == 0:
+                    block.ask(_matrix(rows.column(5))[0], rows.column(4)[0].as_py())
+                else:
+                    count = block.before(np.array(rows.column(4).to_pylist(), object), rows.column(6).to_numpy())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(end - start, id_)), rows.column(4), pa.array(count.astype(np.int64))], ["query_id", "logical_key", "before"])
+
+    counted = rows.mapInArrow(run, "query_id bigint, logical_key string, before bigint")
     return counted.groupBy("query_id", "logical_key").agg((F.sum("before") + 1).cast("int").alias("rank"))
 
 
-#: Rows of a block of the corpus, about, and queries that meet it at once.
-CORPUS_ROWS, QUERY_ROWS = 8192, 256
+#: Rows of a block of the corpus, about, queries that meet it at once, and queries whose pairs make one Arrow batch.
+CORPUS_ROWS, QUERY_ROWS, PAIR_QUERIES = 8192, 256, 8
 
 
 def _met(queries: DataFrame, corpus: DataFrame, part: str | None, extra: list[str] | None, function, schema: str) -> DataFrame:
@@ -127,7 +259,7 @@ def _met(queries: DataFrame, corpus: DataFrame, part: str | None, extra: list[st
                     if block is None:
                         block = (np.array(keys, object), np.concatenate(held))
                     rest = list(zip(*(rows.column(i).to_pylist() for i in range(6, rows.num_columns)), strict=True))
-                    yield function(rows.column(3).to_numpy(), _matrix(rows.column(5)), *block, rest)
+                    yield from function(rows.column(3).to_numpy(), _matrix(rows.column(5)), *block, rest)
                 start = end
 
     return rows.mapInArrow(run, schema)

@@ -36,7 +36,7 @@ def queries(rows):
 
 def pairs(spark, sf_dir):
     rows = corpus(spark, sf_dir)
-    return R.scored(queries(rows), rows).withColumn("score", F.round("score", 6))
+    return R.block_scores(queries(rows), rows)
 
 
 def relevant(spark, sf_dir):
@@ -87,15 +87,11 @@ _FILTER = "v.section_type = 'doses' AND list_contains(v.species, q.want_species)
 _T1 = f"WITH {_V}, {_Q}, p AS (SELECT q.query_id, v.logical_key, round(list_dot_product(q.query_vector, v.vector), 6) AS score FROM q JOIN v ON {_FILTER}), rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, logical_key) AS INT) AS rank FROM p)"
 
 
-def filtered(spark, sf_dir):
-    rows = corpus(spark, sf_dir)
-    on = R.metadata_filter(F.lit(None), F.lit("doses"), F.col("want_species"))
-    return R.scored(queries(rows), rows, on).withColumn("score", F.round("score", 6))
-
-
 @query(f"WITH {_V}, {_Q} SELECT q.query_id, v.vec_id FROM q JOIN v ON {_FILTER}")
 def p12_metadata_filter(spark, sf_dir):
-    return filtered(spark, sf_dir).select("query_id", "vec_id")
+    rows = corpus(spark, sf_dir)
+    asked = queries(rows).select("query_id", F.lit(None).cast("string").alias("want_drug"), F.lit("doses").alias("want_section"), "want_species")
+    return R.filtered_pairs(asked, rows.select("vec_id", "drug_name", "section_type", "species")).select("query_id", "vec_id")
 
 
 @query(f"{_T1} SELECT query_id, rank, logical_key, score FROM rk WHERE rank <= 5")
@@ -113,7 +109,8 @@ def p16_citation(spark, sf_dir):
 
 @query(f"{_WITH} SELECT query_id, vec_id, score FROM p")
 def x5_cosine(spark, sf_dir):
-    return pairs(spark, sf_dir).select("query_id", "vec_id", "score")
+    vec_id = F.expr("CAST(substr(logical_key, 2) AS BIGINT)")
+    return pairs(spark, sf_dir).select("query_id", vec_id.alias("vec_id"), "score")
 
 
 @query(f"{_WITH} SELECT query_id, logical_key, score FROM p")
@@ -123,7 +120,8 @@ def j15_all_pairs(spark, sf_dir):
 
 @query(f"{_WITH} SELECT query_id, logical_key, rank FROM rk")
 def w6_rank_keys(spark, sf_dir):
-    return R.ranked(pairs(spark, sf_dir), ["query_id"]).select("query_id", "logical_key", "rank")
+    rows = corpus(spark, sf_dir)
+    return R.full_ranking(queries(rows), rows).select("query_id", "logical_key", "rank")
 
 
 @query(f"{_WITH} SELECT query_id, logical_key, rank, score FROM rk WHERE rank <= 10")
@@ -140,7 +138,8 @@ def j13_relevant_ranks(spark, sf_dir):
 
 @query(f"{_WITH} SELECT query_id, min(rank)::BIGINT AS rank FROM rk WHERE label = query_label AND vec_id <> query_id GROUP BY query_id")
 def a11_first_rank_by_counting(spark, sf_dir):
-    return E.best_rank_by_counting(pairs(spark, sf_dir).select("query_id", "logical_key", "score"), relevant(spark, sf_dir))
+    rows = corpus(spark, sf_dir)
+    return R.first_ranks(queries(rows), rows, relevant(spark, sf_dir)).select("query_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"{_M2} SELECT model, query_id, n_relevant, {_R6} FROM m")
