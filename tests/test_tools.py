@@ -11,6 +11,7 @@ from vademecum.operators import dosing, evaluation, loading, names, reports, ret
 from vademecum.operators.ranges import numbered
 from vademecum.plans import registry
 from vademecum.sources import tables
+from vademecum.sources.vector_table import VectorTable
 from vademecum.streaming.upserts import stream_into
 
 CHUNK = "drug_name string, section_type string, species array<string>, book_page int, text string, ordinal int"
@@ -25,7 +26,7 @@ def chunks(spark, *texts):
 
 
 def test_load_is_idempotent_and_prunes(spark):
-    store = tables.VectorTable(spark, tables.scratch(spark, "t"))
+    store = VectorTable(spark, tables.scratch(spark, "t"))
     report = lambda *t, **k: tuple(store.load(chunks(spark, *t), embed, **k).first())
     assert report("a", "b") == (2, 0, 0)
     assert report("a", "b") == (0, 2, 0)
@@ -36,7 +37,7 @@ def test_load_is_idempotent_and_prunes(spark):
 
 
 def test_load_guards(spark):
-    store = tables.VectorTable(spark, tables.scratch(spark, "t"))
+    store = VectorTable(spark, tables.scratch(spark, "t"))
     store.load(chunks(spark, "a"), embed)
     with pytest.raises(ValueError, match="one logical key"):
         store.load(chunks(spark, "a").union(chunks(spark, "b")), embed)
@@ -53,7 +54,7 @@ def test_stream_into(spark):
         stream_into(spark.readStream.schema(CHUNK).parquet(source), path, embed, marks).awaitTermination()
     chunks(spark, "a", "z").write.mode("append").parquet(source)
     stream_into(spark.readStream.schema(CHUNK).parquet(source), path, embed, marks).awaitTermination()
-    assert sorted(r.text for r in tables.VectorTable(spark, path).read().collect()) == ["a", "z"]
+    assert sorted(r.text for r in VectorTable(spark, path).read().collect()) == ["a", "z"]
 
 
 def test_fuzzy_names(spark):
@@ -218,19 +219,6 @@ def test_whole_queries_leave_no_row_out(spark, sf_dir):
     assert found["p13_exact_section_fetch"](spark, sf_dir).where("request_id % 10 <> 0").count() > 0
 
 
-def test_small_loads_rewrite_only_their_buckets(spark):
-    store = tables.VectorTable(spark, tables.scratch(spark, "t"), buckets=8)
-    texts = [f"text {i}" for i in range(40)]
-    assert tuple(store.load(chunks(spark, *texts), embed).first()) == (40, 0, 0)
-    before = store._manifest()["held"]
-    assert tuple(store.load(chunks(spark, *texts[:39], "new"), embed).first()) == (1, 39, 0)
-    after = store._manifest()["held"]
-    assert sum(before[b] != after[b] for b in before) == 1
-    assert sorted(r.text for r in store.read().collect()) == sorted([*texts[:39], "new"])
-    assert tuple(store.load(chunks(spark, *texts[:39], "new"), embed).first()) == (0, 40, 0)
-    assert store._manifest()["held"] == after
-
-
 def test_reports_answer_every_request(spark):
     corpus = spark.createDataFrame([("Aspirin", "indications", "aspirin|indications|dog|0", 1, "pain", ["dog"]), ("Zinc", "doses", "zinc|doses|all|0", 2, "x", ["all"])], "drug_name string, section_type string, logical_key string, book_page int, text string, species array<string>")
     asked = spark.createDataFrame([(1, "ASPIRIN", "dogs"), (2, "aspirn", None), (3, "zinc", "cat"), (4, "qqqqqq", None)], "request_id bigint, drug string, species string")
@@ -274,7 +262,7 @@ def test_dose_job_and_benchmark_job(spark, tmp_path):
     doses = sorted((r.request_id, float(r.dose_mg_low)) for r in spark.read.parquet(str(tmp_path / "out/doses")).collect())
     assert doses == [(1, 20.0), (3, 8.0), (3, 28.0)]
     corpus = chunks(spark, "a", "b", "c")
-    tables.VectorTable(spark, tables.table_path(str(tmp_path / "table"), "hash")).load(corpus, run.embed)
+    VectorTable(spark, tables.table_path(str(tmp_path / "table"), "hash")).load(corpus, run.embed)
     keys = [r.logical_key for r in loading.keyed(corpus).orderBy("ordinal").collect()]
     case = spark.createDataFrame([(1, "a", "dose", "Metronidazole", "doses", ["dog"], [keys[0]])], "query_id bigint, query string, flow string, drug string, section string, species array<string>, relevant_logical_keys array<string>")
     case.write.json(str(tmp_path / "cases"))

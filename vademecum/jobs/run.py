@@ -13,6 +13,7 @@ from vademecum import vocabulary as V
 from vademecum.functions import vectors
 from vademecum.operators import dosing, evaluation, ingest, names, reports, retrieval
 from vademecum.sources import tables
+from vademecum.sources.vector_table import VectorTable
 
 
 def embed(rows: DataFrame) -> DataFrame:
@@ -36,12 +37,12 @@ def job_embed(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def job_load(spark: SparkSession, a: argparse.Namespace) -> None:
-    table = tables.VectorTable(spark, tables.table_path(a.out, a.model))
+    table = VectorTable(spark, tables.table_path(a.out, a.model))
     table.load(tables.read_chunks(spark, a.chunks, a.form), embed, not a.no_prune).show()
 
 
 def _corpus(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
-    return tables.VectorTable(spark, tables.table_path(a.table, a.model)).read()
+    return VectorTable(spark, tables.table_path(a.table, a.model)).read()
 
 
 def job_retrieve(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -91,7 +92,7 @@ def job_benchmark(spark: SparkSession, a: argparse.Namespace) -> None:
     cases = tables.read_eval_set(spark, a.requests)
     relevant = cases.select("query_id", F.explode("relevant_logical_keys").alias("logical_key"))
     asked = cases.select("query_id", vectors.hash_vector(F.concat(F.lit(a.query_prefix), F.col("query"))).alias("query_vector"))
-    models = {m: (asked, tables.VectorTable(spark, tables.table_path(a.table, m)).read()) for m in a.model.split(",")}
+    models = {m: (asked, VectorTable(spark, tables.table_path(a.table, m)).read()) for m in a.model.split(",")}
     print(tables.write_scorecard(benchmark(models, relevant), a.out))
 
 

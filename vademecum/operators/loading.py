@@ -25,12 +25,12 @@ def duplicate_points(desired: DataFrame) -> DataFrame:
 
 
 def actions(desired: DataFrame, existing: DataFrame, prune: bool = True) -> DataFrame:
-    """point_id and action: upsert (new or changed), skip (same hash), prune (stored only; keep if not pruning)."""
+    """point_id and action: upsert (new or changed), skip (same hash), and if asked to prune: prune (stored only). Without
+    pruning rows that are only stored aren't answered."""
     new = desired.select("point_id", F.col("content_hash").alias("_new"), F.lit(True).alias("_wanted"))
     old = existing_hashes(existing).select("point_id", F.col("content_hash").alias("_old"), F.lit(True).alias("_stored"))
-    both = new.join(old, "point_id", "full")
-    gone = F.lit("prune" if prune else "keep")
-    action = F.when(F.col("_wanted").isNull(), gone).when(F.col("_new").eqNullSafe(F.col("_old")), "skip").otherwise("upsert")
+    both = new.join(old, "point_id", "full" if prune else "left")
+    action = F.when(F.col("_wanted").isNull(), "prune").when(F.col("_new").eqNullSafe(F.col("_old")), "skip").otherwise("upsert")
     return both.select("point_id", action.alias("action"))
 
 

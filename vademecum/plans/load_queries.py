@@ -10,6 +10,7 @@ from vademecum.operators import evaluation, loading
 from vademecum.plans.registry import query, table
 from vademecum.plans.text_queries import _CHUNK, _KEY, keyed_corpus, point_sql
 from vademecum.sources import tables
+from vademecum.sources.vector_table import VectorTable
 
 _BASE = f"base AS (SELECT doc_id, {point_sql('k')} AS point_id, sha256(k || '::' || text) AS content_hash, k AS logical_key, text, drug_name FROM (SELECT *, {_KEY} AS k FROM ({_CHUNK})))"
 _OLD = "old AS (SELECT doc_id, point_id, CASE WHEN doc_id % 11 = 0 THEN md5(content_hash) WHEN doc_id % 17 = 0 THEN NULL ELSE content_hash END AS content_hash, logical_key, drug_name FROM base WHERE doc_id % 7 <> 0)"
@@ -81,7 +82,7 @@ def _points(spark, sf_dir):
 @query(f"WITH {_BASE} SELECT point_id, content_hash, logical_key FROM base WHERE doc_id % 13 <> 0 UNION ALL SELECT point_id, content_hash, logical_key FROM base WHERE false")
 def s8_vector_table(spark, sf_dir):
     """Two loads into a new table: all documents, then most of them, so that the rest is pruned."""
-    store = tables.VectorTable(spark, tables.scratch(spark, "vectors"))
+    store = VectorTable(spark, tables.scratch(spark, "vectors"))
     rows = _points(spark, sf_dir)
     store.load(rows.drop("doc_id"), embed)
     store.load(rows.where("doc_id % 13 <> 0").drop("doc_id"), embed)
@@ -91,7 +92,7 @@ def s8_vector_table(spark, sf_dir):
 @query(f"WITH {_BASE} SELECT 0 AS upserted, count(*) FILTER (doc_id % 13 <> 0) AS skipped, count(*) FILTER (doc_id % 13 = 0) AS pruned FROM base")
 def g4_load(spark, sf_dir):
     """The report of a second load that drops some documents."""
-    store = tables.VectorTable(spark, tables.scratch(spark, "vectors"))
+    store = VectorTable(spark, tables.scratch(spark, "vectors"))
     rows = _points(spark, sf_dir)
     store.load(rows.drop("doc_id"), embed)
     return store.load(rows.where("doc_id % 13 <> 0").drop("doc_id"), embed).select(*[F.col(c).cast("bigint").alias(c) for c in ("upserted", "skipped", "pruned")])

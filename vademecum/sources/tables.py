@@ -1,12 +1,11 @@
 """Reading and writing the tables of the handbook jobs.
 
-Tables are Parquet or JSON folders with declared schemas; a malformed record fails the read. A vector table is a folder
-of versions and a pointer file, so readers always see one whole version.
+Tables are Parquet or JSON folders with declared schemas; a malformed record fails the read. Vector tables are in
+``vector_table``.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import tempfile
 import uuid
@@ -89,65 +88,6 @@ def write_scorecard(scorecard: DataFrame, folder: str) -> str:
     return "\n".join([*lines, *("| " + " | ".join(shown(r[n]) for n in names) + " |" for r in rows)])
 
 
-class VectorTable:
-    """A Parquet table of points, dealt to ``buckets`` by their id. A load rewrites only the buckets that it touches; a
-    manifest names the version that holds each bucket, so readers always see one whole state."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
-        self.spark, self.path, self.buckets = spark, path, buckets
-
-    def _manifest(self) -> dict:
-        """version, number of buckets, and of every bucket that has rows its version."""
-        if not _exists(self.spark, f"{self.path}/current"):
-            return {"version": 0, "buckets": self.buckets, "held": {}}
-        newest = self.spark.read.text(f"{self.path}/current").agg(F.max_by("value", F.get_json_object("value", "$.version").cast("int"))).first()[0]
-        return json.loads(newest)
-
-    def _rows(self, held: dict[str, str]) -> DataFrame:
-        """The rows of some buckets, each with its bucket."""
-        by_version: dict[str, list[str]] = {}
-        for bucket, version in held.items():
-            by_version.setdefault(version, []).append(bucket)
-        out = self.spark.createDataFrame([], f"{schemas.VECTORS}, bucket int")
-        for version, own in sorted(by_version.items()):
-            base = f"{self.path}/{version}"
-            rows = self.spark.read.schema(f"{schemas.VECTORS}, bucket int").option("basePath", base).parquet(*[f"{base}/bucket={b}" for b in sorted(own)])
-            out = out.unionByName(rows)
-        return out
-
-    def read(self) -> DataFrame:
-        return self._rows(self._manifest()["held"]).drop("bucket")
-
-    def load(self, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame], prune: bool = True) -> DataFrame:
-        """Brings the table in step with the chunks; returns the report. ``embed`` adds ``vector`` and only sees the rows
-        to be written. What to do is found once, from ids and hashes, and written; only touched buckets are read and
-        written again, a folder per bucket and section type."""
-        now = self._manifest()
-        n = now["buckets"]
-        bucket = F.pmod(F.xxhash64("point_id"), F.lit(n)).cast("int").alias("bucket")
-        desired, existing = loading.keyed(chunks), self._rows(now["held"])
-        loading.check(desired, existing, prune)
-        todo = rewritten(loading.actions(desired, existing, prune).select("*", bucket), "actions")
-        report = loading.load_report(todo)
-        touched = [str(r["bucket"]) for r in todo.where("action IN ('upsert', 'prune')").select("bucket").distinct().collect()]  # at most n
-        if touched:
-            version = f"v{now['version'] + 1:08d}-{uuid.uuid4().hex[:8]}"
-            changed = desired.join(todo.where("action = 'upsert'").select("point_id"), "point_id", "left_semi")
-            old = self._rows({b: v for b, v in now["held"].items() if b in touched}).drop("bucket")
-            rows = loading.merged(old, embed(changed), todo).select("*", bucket)
-            rows.repartition("bucket").write.partitionBy("bucket", "section_type").parquet(f"{self.path}/{version}")
-            left = {str(r["bucket"]) for r in self._written(version)}
-            held = {b: v for b, v in now["held"].items() if b not in touched} | {b: version for b in touched if b in left}
-            entry = json.dumps({"version": now["version"] + 1, "buckets": n, "held": held})
-            self.spark.createDataFrame([(entry,)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/current")
-        return report
-
-    def _written(self, version: str) -> list:
-        """The buckets that a version has rows in."""
-        rows = self.spark.read.schema(f"{schemas.VECTORS}, bucket int").option("basePath", f"{self.path}/{version}").parquet(f"{self.path}/{version}")
-        return rows.select("bucket").distinct().collect()
-
-
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder of ``spark.checkpoint.dir``; a local temporary one if a local session has none."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
