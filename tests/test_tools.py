@@ -68,16 +68,30 @@ def test_fuzzy_names(spark):
     assert rows[None].canonical is None
 
 
-def test_pruned_similarity_equals_plain():
-    words = ["abcd", "abce", "abcdef", "xyz", "aaaaaaaaaaaa", "bcda", ""]
-    for query in words:
-        for cutoff in (0.6, 0.85):
-            assert [n for _, n in names.similar(query, words, 3, cutoff)] == difflib.get_close_matches(query, words, n=3, cutoff=cutoff)
-
-
-@pytest.mark.parametrize("block", [7, 50_000])
-def test_fuzzy_queries_equal_difflib(spark, sf_dir, monkeypatch, block):
-    monkeypatch.setattr(names, "BLOCK_NAMES", block)
+def test_candidates_hold_every_close_name_and_few_others(spark):
+    """Names made of shared syllables, with misspelled, cut, swapped and odd queries, against difflib on all pairs."""
+    rng = np.random.default_rng(8)
+    syllables = ["met", "ro", "ni", "da", "zole", "clo", "pra", "mide", "pen", "cil", "lin", "a", "mox", "car", "pro", "fen", "keto", "xyl", "qu", "in"]
+    known = sorted({"".join(rng.choice(syllables, rng.integers(2, 6))) for _ in range(400)} | {"a", "ab", "abc", "zz", "été", "aaaaaaaaaaaa", "a" * 250, "ab" * 120})
+    asked = set()
+    for name in known[::4]:
+        i = int(rng.integers(0, len(name)))
+        asked |= {name[:i] + name[i + 1 :], name[:i] + "x" + name[i:], name[::-1], name[: len(name) // 2 + 1], " ".join([name[:3], name[3:]])}
+    asked |= {"", "b", "ba", "aaaa", "zzzz qqqq", "ab" * 110 + "x"}
+    names_, queries_ = spark.createDataFrame([(n, n.upper()) for n in known], "norm string, canonical string"), spark.createDataFrame([(q,) for q in asked], "norm string")
+    for cutoff, distance, share in ((V.MATCH_CUTOFF, names.MATCH_DISTANCE, 0.02), (V.SUGGEST_CUTOFF, names.SUGGEST_DISTANCE, 0.15)):
+        pairs = {(r.norm, r.other) for r in names.candidates(queries_, names_, cutoff, distance).collect()}
+        close = {(q, n) for q in asked for n in known if difflib.SequenceMatcher(None, n, q).ratio() >= cutoff}
+        assert close and close <= pairs
+        assert len(pairs) <= share * len(asked) * len(known)
+        print(cutoff, len(close), len(pairs), len(asked) * len(known))
+    found = {r.norm: [x["canonical"] for x in r.found] for r in names._closest(queries_.where("norm <> ''"), names_).collect()}
+    for q in asked - {""}:
+        want = difflib.get_close_matches(q, known, n=1, cutoff=V.MATCH_CUTOFF) or difflib.get_close_matches(q, known, n=3, cutoff=V.SUGGEST_CUTOFF)
+        assert found.get(q, []) == [n.upper() for n in want]
+
+
+def test_fuzzy_queries_equal_difflib(spark, sf_dir):
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name").collect()
     norm = lambda n: " ".join(n.lower().split())
     known = {}
