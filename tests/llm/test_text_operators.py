@@ -324,7 +324,7 @@ def test_toxic_keys_depend_on_rates_not_on_size(spark):
 def plain_score(field, text):
     """The score of a text by forward and backward sums over its words, one after the other."""
     words = text.split()
-    cells = [toxicity.slots_of(w) for w in words]
+    cells = toxicity.cells_of(words)
     w, own, more = field.weights, toxicity.OWN, toxicity.OWN + toxicity.NEXT
     emitted = np.zeros((len(words), 2))
     for i, c in enumerate(cells):

@@ -24,7 +24,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,14 +61,75 @@ def keys_of(word: str) -> list[str]:
     return [bare, *(f"{bare[:k]}*" for k in BEGINNINGS if len(bare) > k)] if bare else []
 
 
-def slots_of(word: str) -> list[int]:
-    """Feature cells of a word: OWN of its own, NEXT for the word after it, NEXT for the word before it. SLOTS: none."""
-    bare = word.lower().strip(_edges)
-    crc = lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass")) % SLOTS
-    form = f"f{word.isupper():d}{any(map(str.isdigit, word)):d}{word[-1:].isalnum():d}{min(len(bare), 4)}"
-    own = [crc("w" + bare), crc("e" + bare[-3:]), crc(form), crc("b")]
-    own += [crc(f"{k}{bare[:k]}") if len(bare) >= k else SLOTS for k in BEGINNINGS]
-    return own + [crc("p" + bare), crc("q" + bare[:4]), crc("n" + bare), crc("m" + bare[:4])]
+#: The check values of the marks that kinds of features start with; a value goes on from there over a word's bytes.
+_W, _E, _P, _Q, _N, _M = (zlib.crc32(c) for c in (b"w", b"e", b"p", b"q", b"n", b"m"))
+_BEGUN = [zlib.crc32(b"%d" % k) for k in BEGINNINGS]
+_FORMS = [[zlib.crc32(b"f%d%d%d%d" % (i >> 2, i >> 1 & 1, i & 1, n)) % SLOTS for n in range(5)] for i in range(8)]
+_BIAS = zlib.crc32(b"b") % SLOTS
+
+
+#: CRC-32 of one more byte: the next value is _BYTE[(value ^ byte) & 255] ^ value >> 8.
+_BYTE = np.array([zlib.crc32(bytes([i]), 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(256)], np.uint32)
+_LONGEST = 64
+
+
+def _from_mark(mark: int) -> np.ndarray:
+    """By length: what to add to the value of bytes on their own for the value on from a mark. The function is linear."""
+    return np.array([zlib.crc32(bytes(n), mark) ^ zlib.crc32(bytes(n)) for n in range(_LONGEST + 1)], np.uint32)
+
+
+_AFTER = {mark: _from_mark(mark) for mark in (_W, _E, _P, _Q, _N, _M)}
+
+
+def _run(columns: list[np.ndarray], mark: int) -> np.ndarray:
+    """The values of equally many bytes of many words on from a mark, all words side by side."""
+    value = np.full(len(columns[0]), mark ^ 0xFFFFFFFF, np.uint32)
+    for column in columns:
+        value = _BYTE[(value ^ column) & 255] ^ value >> np.uint32(8)
+    return value ^ np.uint32(0xFFFFFFFF)
+
+
+def _forms(words: list[str], sizes: np.ndarray) -> np.ndarray:
+    kind = np.array([4 * w.isupper() + 2 * (not w.isalpha() and any(map(str.isdigit, w))) + w[-1:].isalnum() for w in words], np.int64)
+    return np.array(_FORMS)[kind, np.minimum(sizes, 4)]
+
+
+def _ascii_cells(words: list[str], bare: list[str]) -> list[np.ndarray]:
+    """The columns of words of up to _LONGEST ASCII letters: the bytes of all words are run through side by side."""
+    raw = [b.encode() for b in bare]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+    alone = np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw))
+    joined = np.frombuffer(b"".join([*raw, bytes(8)]), np.uint8).astype(np.uint32)
+    starts = np.cumsum(sizes) - sizes
+    head = [joined[starts + k] for k in range(BEGINNINGS[-1])]
+    tail = [joined[np.maximum(starts + sizes - k, 0)] for k in (3, 2, 1)]
+    whole = lambda mark: alone ^ _AFTER[mark][sizes]
+    begun = lambda mark: np.where(sizes >= 4, _run(head[:4], mark), whole(mark))
+    cut = [np.where(sizes >= k, _run(head[:k], mark) & (SLOTS - 1), SLOTS) for k, mark in zip(BEGINNINGS, _BEGUN, strict=True)]
+    return [whole(_W), np.where(sizes >= 3, _run(tail, _E), whole(_E)), _forms(words, sizes), np.full(len(raw), _BIAS), *cut, whole(_P), begun(_Q), whole(_N), begun(_M)]
+
+
+def _other_cells(words: list[str], bare: list[str]) -> list[np.ndarray]:
+    sizes = np.fromiter(map(len, bare), np.int64, len(bare))
+    raw = lambda cut: [b[cut].encode("utf-8", "surrogatepass") for b in bare]
+    crc = lambda bytes_, mark: np.fromiter(map(zlib.crc32, bytes_, repeat(mark)), np.uint32, len(bytes_))
+    whole, four = raw(slice(None)), raw(slice(4))
+    cut = [np.where(sizes >= k, crc(four if k == 4 else raw(slice(k)), mark) & (SLOTS - 1), SLOTS) for k, mark in zip(BEGINNINGS, _BEGUN, strict=True)]
+    return [crc(whole, _W), crc(raw(slice(-3, None)), _E), _forms(words, sizes), np.full(len(bare), _BIAS), *cut, crc(whole, _P), crc(four, _Q), crc(whole, _N), crc(four, _M)]
+
+
+def cells_of(words: list[str]) -> np.ndarray:
+    """Feature cells of words, a row each: OWN of the word's own, NEXT for the word after it, NEXT for the word before it.
+    SLOTS: none. Most words of a corpus are met by a worker only once, so they are hashed by columns."""
+    bare = [w.lower().strip(_edges) for w in words]
+    out = np.empty((len(words), OWN + 2 * NEXT), np.int64)
+    plain = np.array([b.isascii() and len(b) <= _LONGEST for b in bare], bool)
+    for kind, columns in ((plain, _ascii_cells), (~plain, _other_cells)):
+        at = np.flatnonzero(kind)
+        if len(at):
+            for k, column in enumerate(columns([words[i] for i in at.tolist()], [bare[i] for i in at.tolist()])):
+                out[at, k] = column if 4 <= k < OWN else column.astype(np.int64) & (SLOTS - 1)
+    return out
 
 
 @dataclass(frozen=True)
@@ -103,8 +164,7 @@ class Emissions:
         self.memo = CutMemo(self._emitted, EMISSIONS, np.float64)
 
     def _emitted(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cells = np.fromiter(chain.from_iterable(map(slots_of, words)), np.int64, len(words) * (OWN + 2 * NEXT)).reshape(len(words), -1)
-        w = self.field.weights[cells]
+        w = self.field.weights[cells_of(words)]
         sums = [w[:, :OWN].sum(axis=1), w[:, OWN : OWN + NEXT].sum(axis=1), w[:, OWN + NEXT :].sum(axis=1)]
         return np.stack(sums, 1).ravel(), np.full(len(words), 3)
 
@@ -212,7 +272,7 @@ def train(texts: list[list[str]], tags: list[np.ndarray], rounds: int = 40) -> F
     flat = np.array([index.setdefault(w, len(index)) for words in texts for w in words], np.int64)
     if not len(flat) or not sum(t.sum() for t in tags):
         return Field(np.append(np.zeros(SLOTS), 0.0), np.array([[0.0, -10.0], [0.0, -10.0]]), np.array([0.0, -10.0]))
-    cells = np.array([slots_of(w) for w in index])
+    cells = cells_of(list(index))
     y = np.concatenate(tags).astype(np.int64)
     first = np.zeros(len(flat), bool)
     first[np.cumsum([0, *map(len, texts)])[:-1][[len(t) > 0 for t in texts]]] = True
