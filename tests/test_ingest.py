@@ -83,3 +83,44 @@ def test_split_long_keeps_columns(spark):
     rows = split_long(df, "text", 20).orderBy("id", "piece_ord").collect()
     assert [r.id for r in rows].count(1) == 3
     assert [(r.id, r.text) for r in rows if r.id != 1] == [(4, "short")]
+
+
+def plain_split(text, most, overlap, separators=("\n\n", "\n", " ", "")):
+    """The splitting rule over lists of parts, as it is worded."""
+    at = next(i for i, s in enumerate(separators) if s in text)
+    separator, finer = separators[at], separators[at + 1 :]
+    head, *rest = text.split(separator) if separator else [text[:1], *text[1:]]
+    parts = [p for p in [head, *(separator + r for r in rest)] if p]
+    out, run = [], []
+
+    def close():
+        if run:
+            out.append("".join(run).strip())
+
+    for part in parts:
+        if len(part) >= most:
+            close()
+            run = []
+            out += plain_split(part, most, overlap, finer) if finer else [part]
+            continue
+        if run and len("".join(run)) + len(part) > most:
+            close()
+            while run and (len("".join(run)) > overlap or len("".join(run)) + len(part) > most):
+                run = run[1:]
+        run = [*run, part]
+    close()
+    return [p for p in out if p]
+
+
+def test_splitting_equals_the_plain_rule_on_all_documents(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect() if r.text]
+    odd = ["\n\n" * 9, " \n \n\n x", "a\n\n\n\nb", "\n" + "y" * 70 + "\n\n" + " z" * 40, "\u2028 été \t" * 30, "x"]
+    for text in [*odd, *(t[:6000] for t in texts)]:
+        for most, overlap in ((1200, 0), (300, 60), (40, 13)):
+            pieces = split_text(text, most, overlap)
+            assert pieces == plain_split(text, most, overlap)
+            assert all(len(p) <= most for p in pieces)
+            if not overlap:
+                assert "".join("".join(pieces).split()) == "".join(text.split())
+    for text in sorted(texts, key=len)[-3:]:
+        assert split_text(text, 1200) == plain_split(text, 1200, 0)

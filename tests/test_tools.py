@@ -353,3 +353,34 @@ def test_filtered_pairs_equal_the_filter(spark):
     asked = spark.createDataFrame([(i, *w) for i, w in enumerate(wants)], "request_id int, want_drug string, want_section string, want_species string")
     got = sorted((r.request_id, r.id) for r in retrieval.filtered_pairs(asked, corpus).collect())
     assert got == sorted((q, i) for q, (d, s, p) in enumerate(wants) for i, drug, section, species in chunks_ if d in (None, drug) and s in (None, section) and (p is None or p in species))
+
+
+def test_only_new_texts_are_embedded(spark):
+    folder, seen = tables.scratch(spark, "cache"), []
+
+    def counting(rows):
+        seen.append(sorted(r.text for r in rows.collect()))
+        return embed(rows)
+
+    texts = lambda df: sorted((r.text, list(r.vector)) for r in df.collect())
+    corpus = lambda *t: loading.keyed(chunks(spark, *t))
+    assert texts(tables.cached_embeddings(corpus("a", "b", "c"), "m/1", folder, counting)) == [(t, [1.0, 0.0]) for t in "abc"]
+    tables.cached_embeddings(corpus("a", "b", "c"), "m/1", folder, counting)
+    assert texts(tables.cached_embeddings(corpus("a", "new", "c"), "m/1", folder, counting)) == [("a", [1.0, 0.0]), ("c", [1.0, 0.0]), ("new", [1.0, 0.0])]
+    tables.cached_embeddings(corpus("a", "b", "c"), "m/1", folder, counting)
+    tables.cached_embeddings(corpus("a"), "other", folder, counting)
+    assert seen == [["a", "b", "c"], ["new"], ["a"]]
+    assert tables.cached_embeddings(corpus("a").limit(0), "m/1", folder, counting).count() == 0
+
+
+def test_round_robin_sends_few_rows_on(spark):
+    """No window sorts all targets of a flow: both are cut by a constant before the exchange."""
+    rows = spark.range(5000).selectExpr("'f' AS flow", "concat('d', id) AS drug", "concat('s', id % 7) AS signature", "IF(id % 7 < 3, 'other', 'companion') AS bucket")
+    key = F.md5(F.col("drug").cast("binary"))
+    got = evaluation.round_robin(rows, ["flow"], "signature", key, ["drug"], 20)
+    assert got._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+    by = {}
+    for i in range(5000):
+        by.setdefault(f"s{i % 7}", []).append((hashlib.md5(f"d{i}".encode()).hexdigest(), f"d{i}"))
+    plain = sorted((turn, s, drug) for s, own in by.items() for turn, (_, drug) in enumerate(sorted(own)))[:20]
+    assert [(r.signature, r.drug) for r in got.orderBy("pick").collect()] == [(s, d) for _, s, d in plain]

@@ -69,11 +69,21 @@ def targets(corpus: DataFrame) -> DataFrame:
     return corpus.select(F.col("section_type").alias("section"), F.col("drug_name").alias("drug"), "species").distinct()
 
 
-def round_robin(rows: DataFrame, by: list[str], signature: str, shuffle_key: Column, tie: list[str]) -> DataFrame:
-    """Adds pick: the order in which a shuffled round-robin over the signatures takes the rows of each group."""
+def turns(rows: DataFrame, by: list[str], signature: str, shuffle_key: Column, tie: list[str], most: int) -> DataFrame:
+    """Adds _turn: the place of a row in its shuffled signature, up to ``most``. The bound is a constant, so every task
+    sends that many rows of a signature on at most (Spark's window group limit, for bounds below its threshold)."""
     within = Window.partitionBy(*by, signature).orderBy(shuffle_key, *tie)
-    turn = rows.withColumn("_turn", F.row_number().over(within))
-    return turn.withColumn("pick", F.row_number().over(Window.partitionBy(*by).orderBy("_turn", signature))).drop("_turn")
+    return rows.withColumn("_turn", F.row_number().over(within)).where(F.col("_turn") <= most)
+
+
+def picks(turned: DataFrame, by: list[str], signature: str, most: int) -> DataFrame:
+    """Adds pick: the order in which a round-robin over the signatures takes the rows, up to ``most``, bounded likewise."""
+    return turned.withColumn("pick", F.row_number().over(Window.partitionBy(*by).orderBy("_turn", signature))).where(F.col("pick") <= most)
+
+
+def round_robin(rows: DataFrame, by: list[str], signature: str, shuffle_key: Column, tie: list[str], most: int) -> DataFrame:
+    """Adds pick to the first ``most`` rows of each group that a shuffled round-robin over its signatures takes."""
+    return picks(turns(rows, by, signature, shuffle_key, tie, most), by, signature, most).drop("_turn")
 
 
 def sample_targets(rows: DataFrame, per_flow: int, other_fraction: float, shuffle_key: Column, tie: list[str]) -> DataFrame:
@@ -86,10 +96,16 @@ def sample_targets(rows: DataFrame, per_flow: int, other_fraction: float, shuffl
     quota = F.least("n_other", wanted) if per_flow > 0 and other_fraction > 0 else F.lit(0)
     counts = counts.withColumn("quota", quota.cast("int")).withColumn("main_room", F.lit(per_flow) - F.col("quota"))
     counts = counts.withColumn("fill", F.greatest(F.lit(0), F.col("main_room") - F.col("n_main")))
-    first = round_robin(other, ["flow"], "signature", shuffle_key, tie).join(counts.select("flow", "quota", "fill"), "flow")
-    picked = first.where("pick <= quota").withColumn("part", F.lit(0))
-    again = round_robin(first.where("pick > quota").drop("pick"), ["flow"], "signature", shuffle_key, tie).where("pick <= fill").withColumn("part", F.lit(2))
-    second = round_robin(main, ["flow"], "signature", shuffle_key, tie).join(counts.select("flow", "main_room"), "flow").where("pick <= main_room").withColumn("part", F.lit(1))
+    # a signature gives up to per_flow rows to the quota and as many to the fill, which goes on where the quota stopped
+    turned = turns(other, ["flow"], "signature", shuffle_key, tie, 2 * max(1, per_flow))
+    first = picks(turned, ["flow"], "signature", max(1, per_flow)).join(counts.select("flow", "quota"), "flow").where("pick <= quota")
+    picked = first.withColumn("part", F.lit(0))
+    taken = first.groupBy("flow", "signature").agg(F.max("_turn").alias("_taken"))
+    taken = taken.select(F.col("flow").alias("_flow"), F.col("signature").alias("_signature"), "_taken")
+    rest = turned.join(taken, (F.col("flow") == F.col("_flow")) & F.col("signature").eqNullSafe(F.col("_signature")), "left")
+    rest = rest.withColumn("_turn", F.col("_turn") - F.coalesce("_taken", F.lit(0))).where("_turn > 0").drop("_flow", "_signature", "_taken")
+    again = picks(rest, ["flow"], "signature", max(1, per_flow)).join(counts.select("flow", "fill"), "flow").where("pick <= fill").withColumn("part", F.lit(2))
+    second = round_robin(main, ["flow"], "signature", shuffle_key, tie, max(1, per_flow)).join(counts.select("flow", "main_room"), "flow").where("pick <= main_room").withColumn("part", F.lit(1))
     columns = [*rows.columns, "part", "pick"]
     return picked.select(*columns).unionByName(second.select(*columns)).unionByName(again.select(*columns))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,46 +11,58 @@ from vademecum.functions import text as T
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
-def _cut(text: str, separator: str) -> list[str]:
-    """Pieces that start with the separator, but for the first; no empty ones."""
-    if not separator:
-        return list(text)
-    head, *rest = text.split(separator)
-    return [p for p in [head, *(separator + r for r in rest)] if p]
-
-
-def _merged(pieces: list[str], most: int, overlap: int) -> Iterator[str]:
-    """Runs of pieces of at most ``most`` characters; a run starts with up to ``overlap`` characters of the last."""
-    run: list[str] = []
-    size = 0
-    for piece in pieces:
-        if run and size + len(piece) > most:
-            yield "".join(run).strip()
-            while run and (size > overlap or size + len(piece) > most):
-                size -= len(run.pop(0))
-        run.append(piece)
-        size += len(piece)
-    if run:
-        yield "".join(run).strip()
-
-
 def split_text(text: str, most: int, overlap: int = 0, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of at most ``most`` characters, cut at the first separator that the text has."""
-    at = next(i for i, s in enumerate(separators) if s in text)
-    separator, finer = separators[at], separators[at + 1 :]
+    """Pieces of at most ``most`` characters, cut at the first separator that the text has; a longer part of it at the
+    next. Neighbouring parts are joined while they fit, and a piece starts with up to ``overlap`` characters of the last.
+
+    Parts lie end to end, each from its separator on, so a piece is a pair of offsets: no part is copied before the end,
+    and every offset is looked at twice at most.
+    """
     out: list[str] = []
-    short: list[str] = []
-    for piece in _cut(text, separator):
-        if len(piece) < most:
-            short.append(piece)
-            continue
-        out += _merged(short, most, overlap)
-        short = []
-        out += split_text(piece, most, overlap, finer) if finer else [piece]
-    out += _merged(short, most, overlap)
+
+    def merge(starts: list[int], end: int) -> None:
+        """Pieces from parts that begin at ``starts``, the last of which ends at ``end``."""
+        first = 0
+        for k, start in enumerate(starts):
+            after = starts[k + 1] if k + 1 < len(starts) else end
+            if k > first and after - starts[first] > most:
+                out.append(text[starts[first] : start].strip())
+                while first < k and (start - starts[first] > overlap or after - starts[first] > most):
+                    first += 1
+        if starts:
+            out.append(text[starts[first] : end].strip())
+
+    def cut(start: int, end: int, level: int) -> None:
+        at = next(i for i in range(level, len(separators)) if text.find(separators[i], start, end) >= 0)
+        starts, short = _part_starts(text, start, end, separators[at]), []
+        for k, begin in enumerate(starts):
+            after = starts[k + 1] if k + 1 < len(starts) else end
+            if after - begin < most:
+                short.append(begin)
+                continue
+            merge(short, begin)
+            short = []
+            if at + 1 < len(separators):
+                cut(begin, after, at + 1)
+            else:
+                out.append(text[begin:after])
+        merge(short, end)
+
+    cut(0, len(text), 0)
     return [p for p in out if p]
 
 
+def _part_starts(text: str, start: int, end: int, separator: str) -> list[int]:
+    """Where the parts of a span begin: at its start, unless a separator does, and at every separator."""
+    if not separator:
+        return list(range(start, end))
+    found, at = [], text.find(separator, start, end)
+    while at >= 0:
+        found.append(at)
+        at = text.find(separator, at + len(separator), end)
+    return found if found and found[0] == start else [start, *found]
+
+
 def split_long(df: DataFrame, column: str, most: int, overlap: int = 0) -> DataFrame:
     """One row per piece of ``column``, with piece_ord from 0. Blank texts have no piece. Only texts over ``most``
     characters reach the Python helper."""

@@ -10,6 +10,7 @@ from vademecum.functions import identity, text, vectors
 from vademecum.plans import handbook
 from vademecum.plans import sql as S
 from vademecum.plans.registry import query, table
+from vademecum.sources.tables import rewritten
 
 H = S.HANDBOOK.format(part="part", lineitem="lineitem")
 
@@ -110,11 +111,21 @@ _CHUNK = "SELECT doc_id, source AS drug_name, lang AS section_type, text, CAST(r
 _KEY = "lower(drug_name) || '|' || section_type || '|cat+dog|' || ordinal"
 
 
+def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang and ordinal: the place of a document among those of its source and lang. Numbered by ranges,
+    without texts, and kept for the session."""
+    from vademecum.operators.ranges import numbered
+
+    made = lambda: rewritten(numbered(docs(spark, sf_dir).select("doc_id", "source", "lang"), ["source", "lang"], ["doc_id"], "ordinal", 0).withColumn("ordinal", F.col("ordinal").cast("int")), "ordinals")
+    return handbook._once(spark, sf_dir, "ordinals", made)
+
+
 def chunk_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks: source is the drug, lang the section, the place among these the ordinal."""
-    order = F.expr("CAST(row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS INT)")
+    """Documents as chunks: source is the drug, lang the section, the place among these the ordinal. Texts meet their
+    ordinal by doc_id."""
     species = F.array(F.lit("dog"), F.lit("cat"))
-    return docs(spark, sf_dir).select("doc_id", F.col("source").alias("drug_name"), F.col("lang").alias("section_type"), species.alias("species"), F.lit(1).alias("book_page"), "text", order.alias("ordinal"))
+    rows = docs(spark, sf_dir).join(ordinals(spark, sf_dir).select("doc_id", "ordinal"), "doc_id")
+    return rows.select("doc_id", F.col("source").alias("drug_name"), F.col("lang").alias("section_type"), species.alias("species"), F.lit(1).alias("book_page"), "text", "ordinal")
 
 
 def keyed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

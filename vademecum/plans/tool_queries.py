@@ -11,11 +11,13 @@ from vademecum.operators import evaluation as E
 from vademecum.operators import names as N
 from vademecum.operators import reports as P
 from vademecum.operators import retrieval as R
+from vademecum.operators.ranges import numbered
 from vademecum.plans.handbook import whole_chunks as chunks
 from vademecum.plans import sql as S
 from vademecum.plans.registry import query, table
 from vademecum.plans.score_queries import _Q, _V, corpus as vector_corpus, queries as vector_queries
 from vademecum.plans.sql import handbook_sql
+from vademecum.plans.text_queries import ordinals
 
 _NAME = "p_name || ' ' || translate(CAST(p_partkey AS STRING), '0123456789', 'abcdefghij')"
 _REQ = f"req AS (SELECT p_partkey AS request_id, p_size, {_NAME} AS canonical, lag({_NAME}) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS prev, lead({_NAME}) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS next FROM part)"
@@ -161,11 +163,9 @@ def g8_indication_job(spark, sf_dir):
 
 @query("SELECT source || '|' || lang || '|all|' || n AS logical_key, CAST(row_number() OVER (PARTITION BY source, lang ORDER BY n) AS INT) AS place FROM (SELECT source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS n FROM documents)")
 def t4_section_order(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").selectExpr("source", "lang", "concat(source, '|', lang, '|all|', CAST(row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS STRING)) AS logical_key")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("source", "lang").orderBy(*R.section_order(F.col("logical_key")))
-    return rows.select("logical_key", F.row_number().over(order).alias("place"))
+    rows = ordinals(spark, sf_dir).selectExpr("source", "lang", "concat(source, '|', lang, '|all|', CAST(ordinal AS STRING)) AS logical_key")
+    placed = numbered(rows, ["source", "lang"], R.section_order(F.col("logical_key")), "place")
+    return placed.select("logical_key", F.col("place").cast("int").alias("place"))
 
 
 # Labelled query sets
@@ -234,8 +234,8 @@ def _shuffle():
 
 @query(handbook_sql(f"SELECT flow, drug, signature, CAST(pick AS INT) AS pick FROM ({_rr('(SELECT * FROM fl WHERE flow IS NOT NULL)')}) WHERE pick <= 30", _TARGETS, _FLOW))
 def w7_round_robin(spark, sf_dir):
-    rows = E.round_robin(_flow_targets(chunks(spark, sf_dir)), ["flow"], "signature", _shuffle(), ["drug"])
-    return rows.where("pick <= 30").select("flow", "drug", "signature", "pick")
+    rows = E.round_robin(_flow_targets(chunks(spark, sf_dir)), ["flow"], "signature", _shuffle(), ["drug"], 30)
+    return rows.select("flow", "drug", "signature", "pick")
 
 
 @query(handbook_sql("SELECT flow, drug, signature, part, CAST(pick AS INT) AS pick FROM sm", _TARGETS, _FLOW, *_SAMPLED))

@@ -63,19 +63,42 @@ def write_artifacts(monographs: DataFrame, chunks: DataFrame, report: DataFrame,
     report.write.mode("overwrite").json(f"{folder}/report")
 
 
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if there is no such folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in system.listStatus(target)) if system.exists(target) else []
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
 def cached_embeddings(chunks: DataFrame, model: str, folder: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Vectors of the chunks: read if this model has embedded exactly this corpus before, else made and saved."""
+    """The chunks (with content_hash and text) with their vectors. The cache is addressed by content: vectors are saved by
+    content_hash for each model, and ``embed`` sees only chunks whose hash isn't saved yet, each once. A corpus that the
+    model has met exactly as it is, known by its fingerprint, isn't compared with the cache at all.
+
+    Every run that embeds adds one folder; only folders that were written whole are read. Vectors that two runs have made
+    side by side are taken once.
+    """
     spark = chunks.sparkSession
-    mark = loading.fingerprint(chunks).first()["fingerprint"]
-    path = f"{table_path(f'{folder}/model', model)}/corpus_hash={mark}"
-    if not _exists(spark, f"{path}/_SUCCESS"):
-        embed(chunks).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    base = table_path(f"{folder}/model", model)
+    mark = f"{base}/corpora/{loading.fingerprint(chunks).first()['fingerprint']}"
+
+    def saved() -> DataFrame:
+        whole = [f"{base}/vectors/{n}" for n in _names(spark, f"{base}/vectors") if _exists(spark, f"{base}/vectors/{n}/_SUCCESS")]
+        rows = spark.read.schema("content_hash string, vector array<float>").parquet(*whole) if whole else spark.createDataFrame([], "content_hash string, vector array<float>")
+        return rows.groupBy("content_hash").agg(F.first("vector").alias("vector"))
+
+    if not _exists(spark, mark):
+        new = chunks.where("content_hash IS NOT NULL").join(saved().select("content_hash"), "content_hash", "left_anti").dropDuplicates(["content_hash"])
+        new = rewritten(new.select(*chunks.columns), "unembedded")
+        if not new.isEmpty():
+            embed(new).select("content_hash", F.col("vector").cast("array<float>").alias("vector")).write.parquet(f"{base}/vectors/{uuid.uuid4().hex}")
+        spark.createDataFrame([], "mark string").write.mode("overwrite").parquet(mark)
+    return chunks.join(saved(), "content_hash", "left").select(*chunks.columns, "vector")
 
 
 def write_scorecard(scorecard: DataFrame, folder: str) -> str:
