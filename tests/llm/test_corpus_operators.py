@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.compare import assert_same, connect
-from vademecum.llm import components, hilbert, impact_topk, near_duplicates, queries, warc
+from vademecum.llm import bin_packing, components, hilbert, impact_topk, near_duplicates, queries, warc
 from vademecum.llm.shared import new_folder
 
 
@@ -70,7 +70,9 @@ def test_groups_edges(spark):
     assert near_duplicates.groups(spark.createDataFrame([], schema)).count() == 0
     rows = [("a b c d e f", 1, "en", 0), ("a b c d e f", 1, "en", 0), ("a b c d e f", None, "en", 0), (None, None, None, None)]
     got = near_duplicates.groups(spark.createDataFrame(rows, schema)).collect()
-    assert len(got) == 4 and all(r.kept for r in got if r.doc_id is not None or r.n_shingles == 0)
+    assert len(got) == 4 and all(r.kept for r in got)
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(1, 1), (1, 1)]
+    assert [r.component_id for r in got if r.doc_id is None] == [None, None]
 
 
 def test_sketches_estimate_similarity():
@@ -334,3 +336,41 @@ def test_pipeline(spark, sf_dir):
     empty = docs.limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_top_k_beyond_64_bits_raises(spark):
+    """Entries and scores that don't fit are errors; large ones that fit are exact."""
+    frame = lambda rows: impact_topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    fits = frame([(0, [2.0**30, 1.0]), (1, [2.0**15, 3.0]), (2, [2.0**15, 2.0]), (3, [-(2.0**16), 0.0])])
+    got = [(r["vec_id"], r["score"]) for r in impact_topk.top_k(fits, fits.where("id = 0"), 5).orderBy("rank").collect()]
+    big = 2**38
+    assert got == [(1, big * 2**23 + 256 * 768), (2, big * 2**23 + 256 * 512), (3, -big * 2**24)]
+    for rows in ([(0, [1e300]), (1, [1.0])], [(0, [7.7e17 / 256]), (1, [1.0e18 / 256])]):
+        with pytest.raises(Exception, match="64 bits"):
+            table = frame(rows)
+            impact_topk.top_k(table, table.where("id = 0"), 5).collect()
+
+
+def test_pack_keeps_columns_of_any_name(spark):
+    rows = [(i % 7 + 1, i, "a", "b", "c", "d", 5, 6) for i in range(60)]
+    pieces = spark.createDataFrame(rows, "length long, id long, _unit string, _rank string, _n string, _k0 string, offset int, sequence_id int")
+    got = bin_packing.pack(pieces, 8).collect()
+    assert {r["_unit"] + r["_rank"] + r["_n"] + r["_k0"] for r in got} == {"abcd"} and len(got[0]) == 8
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in by.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 8
+    assert sorted(r["id"] for r in got) == list(range(60))
+
+
+def test_large_records_dont_wait_for_the_dictionary(spark, monkeypatch):
+    """What waits for the dictionary is bounded by bytes, and the round trip stays whole."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5000)
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"{i} " * 700) for i in range(30)], "page_id long, url string, html string").coalesce(1)
+    rows = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.round_trip(pages).collect()}
+    assert rows == {i: f"{i} " * 700 for i in range(30)}

@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -416,3 +418,88 @@ def test_op1_query(spark, sf_dir):
         ids = library.encode(text[r.doc_id])
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest(",".join(map(str, ids))), digest(library.decode(ids)))
+
+
+def plain_quality(docs, labels):
+    """Per row of (doc_id, text): the counts, base_failed, log ratio and kept of the quality rules, one step after the other
+    over whole numbers and plain loops. Labels: (doc_id, quality), none of them left out."""
+    import xxhash
+
+    mask, cells = (1 << 64) - 1, 1 << 16
+
+    def mix(x):
+        x ^= x >> 31
+        x = x * 0x9E3779B97F4A7C15 & mask
+        x ^= x >> 29
+        x = x * 0xD6E8FEB86659FD93 & mask
+        return x ^ x >> 32
+
+    def grams(words):
+        hashes = [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+        pairs = [mix((a * 0x9FB21C651E98DF25 + b + 2) & mask) for a, b in zip(hashes, hashes[1:], strict=False)]
+        return [mix(h) % cells for h in hashes] + [p % cells for p in pairs]
+
+    rows, good = [], {i for i, q in labels if q == 1}
+    raw, target = collections.Counter(), collections.Counter()
+    for doc_id, text in docs:
+        text = text or ""
+        words = [w for w in re.split("[ \\t\\n\\x0b\\x0c\\r]+", text) if w]
+        own = grams(words)
+        raw.update(own)
+        if doc_id in good:
+            target.update(own)
+        windows = collections.defaultdict(list)
+        for k in range(len(words) - 7):
+            windows[tuple(words[k : k + 8])].append(k)
+        repeated = {i for at in windows.values() if len(at) > 1 for k in at for i in range(k, k + 8)}
+        seen, again = set(), 0
+        for line in text.split("\n"):
+            if line.strip(" \t\n\x0b\x0c\r"):
+                again += line in seen
+                seen.add(line)
+        n = len(words)
+        rows.append([doc_id, n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), again, len(repeated), n < 20 or 100 * len(repeated) > 30 * n, own])
+    all_raw, all_target = sum(raw.values()) + cells, sum(target.values()) + cells
+    weight = {c: math.log((target[c] + 1) / all_target) - math.log((raw[c] + 1) / all_raw) for c in raw}
+    for row in rows:
+        own = row.pop()
+        row.append(sum(map(weight.get, own)) / max(1, len(own)))
+    quality, bins = dict(labels), collections.defaultdict(collections.Counter)
+    for row in rows:
+        if row[0] in quality and not row[6]:
+            bins[quality[row[0]]][max(-8 * 256, min(8 * 256, math.floor(row[7] * 256)))] += 1
+    losses = {}
+    for cut in range(-8 * 256, 8 * 256 + 2):
+        below = sum(n for b, n in bins[1].items() if b <= cut) / sum(bins[1].values())
+        above = sum(n for b, n in bins[0].items() if b > cut) / sum(bins[0].values())
+        losses[cut] = 5 * below + above
+    least = min(losses.values())
+    run = [min(c for c, x in losses.items() if math.isclose(x, least, rel_tol=1e-9, abs_tol=1e-12))]
+    while run[-1] + 1 in losses and math.isclose(losses[run[-1] + 1], least, rel_tol=1e-9, abs_tol=1e-12):
+        run.append(run[-1] + 1)
+    cut = (float(np.median(run)) + 1) / 256
+    return {row[0]: (*row[1:7], not row[6] and row[7] >= cut, row[7]) for row in rows}
+
+
+def test_quality_query_equals_plain_rules(spark, sf_dir):
+    """op7 and the pipeline's first stage, whole: counts, ratio, threshold and verdicts."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    labels = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").collect()]
+    want = plain_quality(docs, labels)
+    got = queries.queries()["op7_quality_rules"](spark, sf_dir).collect()
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert {r["doc_id"]: tuple(r[c] for c in columns) for r in got} == {i: w[:7] for i, w in want.items()} and len(got) == len(docs)
+    assert all(r["log_ratio"] == pytest.approx(want[r["doc_id"]][7]) for r in got)
+    assert 0 < sum(w[6] for w in want.values()) < len(want)
+    pipeline = pytest.importorskip("corpus_pipeline")
+    kept = pipeline.quality_rules(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if w[6]}
+
+
+def test_toxicity_stage_equals_plain_scores(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    docs = docs.where("length(text) < 3000")
+    field = toxicity.fit(docs, labels)
+    left = {r["doc_id"] for r in pipeline.drop_toxic(spark, docs, sf_dir).collect()}
+    assert left == {r["doc_id"] for r in docs.collect() if plain_score(field, r["text"] or "") < toxicity.THRESHOLD}

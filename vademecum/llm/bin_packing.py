@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vademecum.llm.shared import column_of, ranked_by_unit, slices, written
+from vademecum.llm.shared import column_of, free_prefix, ranked_by_unit, slices, written
 from vademecum.llm.tokenize import TokenIds, with_end
 
 UNITS = 256
@@ -112,7 +112,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | N
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Adds sequence_id and offset to pieces with a ``length`` of 1 to ``capacity``.
+    """Adds sequence_id and offset to pieces with a ``length`` of 1 to ``capacity``; columns of these names are replaced,
+    all others stay, whatever their names.
 
     Offsets in a sequence are gapless from 0. Rows of one length that are alike in all columns are told apart by
     their number only. An empty frame stays empty.
@@ -121,13 +122,17 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     if any(not 1 <= k <= capacity for k in counts):
         raise ValueError("a piece's length is not between 1 and the capacity")
     table = pieces.sparkSession.sparkContext.broadcast(placements(plan(counts, capacity)))
-    spread = pieces.withColumn("_unit", F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "length"]), F.lit(UNITS)).cast("int"))
-    ranked = ranked_by_unit(spread, ["length"], "_unit", [F.col(c) for c in pieces.columns], "_rank").drop("_unit")
+    pieces = pieces.drop("sequence_id", "offset")
+    p = free_prefix(pieces.columns)
+    unit, rank_name = f"{p}unit", f"{p}rank"
+    others = [F.col(f"`{c}`") for c in pieces.columns if c != "length"]
+    spread = pieces.withColumn(unit, F.pmod(F.xxhash64(*others) if others else F.lit(0), F.lit(UNITS)).cast("int"))
+    ranked = ranked_by_unit(spread, ["length"], unit, [F.col(f"`{c}`") for c in pieces.columns], rank_name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column(batch.schema.get_field_index("length")).to_numpy()
-            rank = batch.column(batch.schema.get_field_index("_rank")).to_numpy()
+            rank = batch.column(batch.schema.get_field_index(rank_name)).to_numpy()
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for size in np.unique(length):
                 rows = np.flatnonzero(length == size)
@@ -136,11 +141,11 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
                 inside = rank[rows] - first[k]
                 sequence[rows] = bins[k] + inside // each[k]
                 offset[rows] = begin[k] + inside % each[k] * size
-            kept = [(f.name, batch.column(i)) for i, f in enumerate(batch.schema) if f.name != "_rank"]
+            kept = [(f.name, batch.column(i)) for i, f in enumerate(batch.schema) if f.name != rank_name]
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(sequence), pa.array(offset)], [n for n, _ in kept] + ["sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.select(*pieces.columns, "_rank").mapInArrow(run, schema)
+    return ranked.select(*[f"`{c}`" for c in pieces.columns], rank_name).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int | None = 0) -> DataFrame:

@@ -53,11 +53,25 @@ class ImpactIndex:
 
     def top(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
         """Ids and scores of the k best rows whose id isn't ``query_id``; postings processed and rows rescored."""
+        q = query.astype(np.float64)
+        if np.sqrt(float(q @ q) * max(float(self.norms.max()), 1.0)) >= 2.0**62:
+            return self.checked(query, query_id, k)
         left, postings = self.possible(query, query_id, k)
         scores = self.vectors[left] @ query
         best = np.lexsort((self.ids[left], -scores))[:k]
         return self.ids[left][best], scores[best], postings, len(left)
 
+    def checked(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """``top`` where the lengths of the vectors don't prove that scores fit 64 bits: all scores as whole numbers of any
+        size. One that doesn't fit is an error."""
+        open_ = np.flatnonzero(self.ids != query_id)
+        scores = self.vectors[open_].astype(object) @ query.astype(object)
+        if any(not -(2**63) <= s < 2**63 for s in scores):
+            raise OverflowError("a score doesn't fit 64 bits")
+        scores = scores.astype(np.int64)
+        best = np.lexsort((self.ids[open_], -scores.astype(object)))[:k] if len(open_) else np.zeros(0, np.int64)
+        return self.ids[open_][best], scores[best], 0, len(open_)
+
     def possible(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, int]:
         """The rows other than ``query_id`` that the bounds can't prove out of the k best, and the postings processed."""
         n, dims = len(self.ids), len(self.falling)
@@ -94,10 +108,12 @@ class ImpactIndex:
 
 
 def quantised(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """id and v (floor(256 * x) as array<long>) of the rows that take part."""
+    """id and v (floor(256 * x) as array<long>) of the rows that take part; an entry beyond 64 bits is an error."""
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = df.where(F.col(vec_id).isNotNull() & (F.size(embedding) > 0) & ~bad)
-    whole = F.transform(embedding, lambda x: F.floor(x.cast("double") * 256).cast("long"))
+    scaled = lambda x: x.cast("double") * 256
+    too_large = F.raise_error(F.lit("an entry doesn't fit 64 bits")).cast("long")
+    whole = F.transform(embedding, lambda x: F.when(F.abs(scaled(x)) >= F.lit(2.0**63), too_large).otherwise(F.floor(scaled(x)).cast("long")))
     return usable.select(F.col(vec_id).cast("long").alias("id"), whole.alias("v"))
 
 

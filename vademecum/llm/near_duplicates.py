@@ -317,6 +317,7 @@ def groups(docs: DataFrame) -> DataFrame:
     stars = label.where("component <> id").select(F.col("component").alias("a"), F.col("id").alias("b"))
     final = components(stars.union(_block_links(written(parted, "open"), sets)))
     by_set = reps.select("set_key", "id").join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("_component"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")
+    out = rows.select("doc_id", "n_shingles", own).join(by_set, "set_key", "left")
     component = F.coalesce("_component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -93,15 +93,17 @@ def ranked_by_unit(df: DataFrame, group: list[str], unit: str, order: list, rank
     """
     from pyspark.sql import Window
 
-    counts = df.groupBy(*group, unit).agg(F.count(F.lit(1)).alias("_n"))
+    p = free_prefix([*df.columns, rank])
+    n, start, inside = p + "n", p + "start", p + "in"
+    counts = df.groupBy(*group, unit).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(*group).orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    starts = counts.withColumn(start, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
     names = [*group, unit]
-    right = starts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(names)], "_start")
-    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(names)]
+    right = starts.select(*[F.col(c).alias(f"{p}k{i}") for i, c in enumerate(names)], start)
+    on = [F.col(c).eqNullSafe(F.col(f"{p}k{i}")) for i, c in enumerate(names)]
     within = Window.partitionBy(*names).orderBy(*order)
-    placed = df.withColumn("_in", F.row_number().over(within) - 1)
-    return placed.join(right, on, "left").withColumn(rank, F.col("_start") + F.col("_in")).drop("_in", "_start", *right.columns)
+    placed = df.withColumn(inside, F.row_number().over(within) - 1)
+    return placed.join(right, on, "left").withColumn(rank, F.col(start) + F.col(inside)).drop(inside, start, *right.columns)
 
 
 def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 512) -> Callable:

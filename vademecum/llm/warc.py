@@ -210,6 +210,7 @@ def write_archives(pages: DataFrame, folder: str, min_dedup_bytes: int = 0) -> D
 
         def records():
             nonlocal ready, dictionary
+            held = 0
             for batch in slices(batches, 128):
                 columns = [column_of(batch, n) for n in ("page_id", "url", "payload", "sha1", "first")]
                 for row in zip(*columns, strict=True):
@@ -218,7 +219,8 @@ def write_archives(pages: DataFrame, folder: str, min_dedup_bytes: int = 0) -> D
                         yield record
                         continue
                     waiting.append(record)
-                    if len(waiting) >= TRAINED or sum(map(len, waiting[-1:])) > ARCHIVE_BYTES:
+                    held += len(record)
+                    if len(waiting) >= TRAINED or held > ARCHIVE_BYTES:
                         dictionary, ready = _trained(waiting), True
                         yield from waiting
                         waiting.clear()
