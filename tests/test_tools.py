@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vademecum import vocabulary as V
 from vademecum.jobs import run
-from vademecum.operators import dosing, evaluation, loading, names, reports, retrieval
+from vademecum.operators import block_search, dosing, evaluation, loading, names, reports, retrieval
 from vademecum.operators.ranges import numbered
 from vademecum.plans import registry
 from vademecum.sources import tables
@@ -384,3 +384,54 @@ def test_round_robin_sends_few_rows_on(spark):
         by.setdefault(f"s{i % 7}", []).append((hashlib.md5(f"d{i}".encode()).hexdigest(), f"d{i}"))
     plain = sorted((turn, s, drug) for s, own in by.items() for turn, (_, drug) in enumerate(sorted(own)))[:20]
     assert [(r.signature, r.drug) for r in got.orderBy("pick").collect()] == [(s, d) for _, s, d in plain]
+
+
+def clustered(spark, n=6000):
+    """Rows in thirty clusters with sections and species, some of them equal, and queries with all kinds of filters."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(30, 12)) * 3
+    vectors = centres[rng.integers(0, 30, n)] + rng.normal(size=(n, 12)) * 0.1
+    vectors[100:140] = vectors[100]
+    species = [["dog"], ["cat", "dog"], ["all"], None, []]
+    rows = [(f"k{i * 7919 % n:05d}", v.tolist(), ["doses", "uses", None][i % 3], species[i % 5]) for i, v in enumerate(vectors)]
+    wants = [(None, None), ("doses", None), (None, "dog"), ("uses", "cat"), ("none", None), (None, "unicorn")]
+    asked = [(q, (vectors[q * 97] + rng.normal(size=12) * 0.1).tolist(), *wants[q % 6]) for q in range(24)] + [(24, vectors[100].tolist(), None, None), (25, [0.0] * 12, None, None)]
+    corpus = spark.createDataFrame(rows, "logical_key string, vector array<double>, section_type string, species array<string>").repartition(4)
+    queries = spark.createDataFrame(asked, "query_id bigint, query_vector array<double>, want_section string, want_species string")
+    plain = {}
+    for q, v, section, kind in asked:
+        score = np.round(vectors @ np.array(v), 6)
+        fits = [i for i, r in enumerate(rows) if section in (None, r[2]) and (kind is None or kind in (r[3] or []))]
+        plain[q] = [rows[i][0] for i in sorted(fits, key=lambda i: (-score[i], rows[i][0]))[:5]]
+    return corpus, queries, plain
+
+
+def test_clusters_that_are_proven_out_are_left_out(spark, monkeypatch):
+    corpus, queries, plain = clustered(spark)
+    monkeypatch.setattr(block_search, "BLOCK_ROWS", 150)
+    index = block_search.ClusterIndex(corpus)
+    hits, visited = index.search(queries, 5)
+    found = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.logical_key)
+    assert {q: found.get(q, []) for q in plain} == plain
+    counts = {r.query_id: r["count"] for r in visited.groupBy("query_id").count().collect()}
+    cells = int((index.sizes > 0).sum())
+    free = [counts[q] for q in range(0, 24, 6)]
+    print("clusters", cells, "visited without filters", free, "all", sum(counts.values()), "of", cells * len(plain))
+    assert cells >= 30 and max(free) <= cells // 3
+    assert counts[4] == counts[5] == counts[25] == cells  # too few rows, or no direction: nothing can be left out
+
+
+def test_filtered_search_in_few_and_in_many_blocks(spark, monkeypatch):
+    corpus, queries, plain = clustered(spark, 3000)
+    for block, indexed in ((8192, 8), (400, 100), (400, 2)):
+        monkeypatch.setattr(block_search, "BLOCK_ROWS", block)
+        monkeypatch.setattr(block_search, "INDEXED_BLOCKS", indexed)
+        found = {}
+        for r in block_search.filtered_top_k(queries, corpus, 5).orderBy("query_id", "rank").collect():
+            found.setdefault(r.query_id, []).append(r.logical_key)
+        assert {q: found.get(q, []) for q in plain} == plain
+    empty = corpus.limit(0)
+    assert block_search.filtered_top_k(queries, empty, 5).count() == 0
+    assert block_search.ClusterIndex(empty).search(queries, 5)[0].count() == 0

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from vademecum import vocabulary as V
 from vademecum.functions import text, vectors
 from vademecum.operators import names as N
+from vademecum.operators.block_search import QUERY_ROWS, filtered_top_k
+from vademecum.operators.block_search import matrix as _matrix
 from vademecum.operators.ranges import numbered
 from vademecum.sources.tables import rewritten
 
@@ -66,36 +68,23 @@ def ranked(pairs: DataFrame, by: list[str], most: int | Column | None = None, di
     return rows if most is None else rows.where(F.col("rank") <= most)
 
 
-def block_top_k(queries: DataFrame, corpus: DataFrame, k: int, part: str | None = None, digits: int = 6) -> DataFrame:
-    """query_id, logical_key, score and rank of the k best rows per query without forming pairs of rows in Spark.
-
-    Every query is sent to every block of the corpus; a task multiplies blocks and queries as matrices and sends k rows
-    per query and block on, of which a window takes the final k. With ``part``, a column of both sides, a query meets only
-    the rows of its own part: hard filters as equi-keys.
-    """
-
-    def top(ids, asked, keys, vectors, _):
-        place = np.argsort(np.argsort(keys, kind="stable"))
-        score = np.round(asked @ vectors.T, digits)
-        order = np.lexsort((np.broadcast_to(place, score.shape), -score), axis=1)[:, :k]
-        found = [np.repeat(ids, order.shape[1]), keys[order.ravel()], np.take_along_axis(score, order, 1).ravel()]
-        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1], pa.string()), pa.array(found[2])], ["query_id", "logical_key", "score"])
-
-    found = _met(queries, corpus, part, None, top, "query_id bigint, logical_key string, score double")
-    return ranked(found, ["query_id"], k)
+def block_top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """query_id, logical_key, score and rank of the k best rows per query, without filters."""
+    asked, rows = queries.select("query_id", "query_vector"), corpus.select("logical_key", "vector")
+    return filtered_top_k(asked, rows, k, digits)
 
 
 def block_scores(queries: DataFrame, corpus: DataFrame, digits: int = 6) -> DataFrame:
     """query_id, logical_key and score of every pair: products of blocks in place of a join of rows."""
 
-    def pairs(ids, asked, keys, vectors, _):
+    def pairs(ids, asked, keys, vectors):
         names = pa.array(keys, pa.string())
         for start in range(0, len(ids), PAIR_QUERIES):
             score = np.round(asked[start : start + PAIR_QUERIES] @ vectors.T, digits)
             row, column = np.divmod(np.arange(score.size), len(keys))
             yield pa.RecordBatch.from_arrays([pa.array(ids[start + row]), names.take(pa.array(column)), pa.array(score.ravel())], ["query_id", "logical_key", "score"])
 
-    return _met(queries, corpus, None, None, pairs, "query_id bigint, logical_key string, score double")
+    return _met(queries, corpus, pairs, "query_id bigint, logical_key string, score double")
 
 
 def full_ranking(queries: DataFrame, corpus: DataFrame, digits: int = 6, own: str | None = None) -> DataFrame:
@@ -220,55 +209,47 @@ def _places(queries: DataFrame, corpus: DataFrame, wanted: DataFrame, digits: in
     return counted.groupBy("query_id", "logical_key").agg((F.sum("before") + 1).cast("int").alias("rank"))
 
 
-#: Rows of a block of the corpus, about, queries that meet it at once, and queries whose pairs make one Arrow batch.
-CORPUS_ROWS, QUERY_ROWS, PAIR_QUERIES = 8192, 256, 8
+#: Rows of a block of the corpus, about, and queries whose pairs make one Arrow batch.
+CORPUS_ROWS, PAIR_QUERIES = 8192, 8
 
 
-def _met(queries: DataFrame, corpus: DataFrame, part: str | None, extra: list[str] | None, function, schema: str) -> DataFrame:
-    """``function`` (ids, query vectors, keys, vectors, rows of the extra columns) over every query batch and block.
+def _met(queries: DataFrame, corpus: DataFrame, function, schema: str) -> DataFrame:
+    """``function`` (ids, query vectors, keys, vectors) over every query batch and block.
 
     Corpus rows go to hashed blocks and queries to every block in one exchange; within a task the rows of a block come
     before its queries, so that one block and one batch of queries are held.
     """
     blocks = max(1, -(-corpus.count() // CORPUS_ROWS))
-    own = F.col(part).cast("string") if part else F.lit("")
-    none = [F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in extra or []]
     place = F.pmod(F.xxhash64("logical_key", "vector"), F.lit(blocks)).cast("int").alias("_block")
     as_doubles = lambda c: F.col(c).cast("array<double>").alias("_vector")
-    left = corpus.select(own.alias("_part"), place, F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_id"), F.col("logical_key").alias("_key"), as_doubles("vector"), *none)
+    left = corpus.select(place, F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_id"), F.col("logical_key").alias("_key"), as_doubles("vector"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")
-    right = queries.select(own.alias("_part"), every, F.lit(1).alias("_kind"), F.col("query_id").cast("bigint").alias("_id"), F.lit(None).cast("string").alias("_key"), as_doubles("query_vector"), *(extra or []))
-    rows = left.unionByName(right).repartition("_part", "_block").sortWithinPartitions("_part", "_block", "_kind")
+    right = queries.select(every, F.lit(1).alias("_kind"), F.col("query_id").cast("bigint").alias("_id"), F.lit(None).cast("string").alias("_key"), as_doubles("query_vector"))
+    rows = left.unionByName(right).repartition("_block").sortWithinPartitions("_block", "_kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, keys, held, block = None, [], [], None
         for batch in batches:
-            start = 0
-            marks = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            while start < len(marks):
-                end = start
-                while end < len(marks) and marks[end] == marks[start] and end - start < QUERY_ROWS:
-                    end += 1
-                rows = batch.slice(start, end - start)
-                if marks[start][:2] != at:
-                    at, keys, held, block = marks[start][:2], [], [], None
-                if marks[start][2] == 0:
-                    keys += rows.column(4).to_pylist()
-                    held.append(_matrix(rows.column(5)))
+            marks = np.stack([batch.column(i).to_numpy() for i in range(2)])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == end:
+                    continue
+                (own, kind), rows = marks[:, start].tolist(), batch.slice(start, end - start)
+                if own != at:
+                    at, keys, held, block = own, [], [], None
+                if kind == 0:
+                    keys += rows.column(3).to_pylist()
+                    held.append(_matrix(rows.column(4)))
                 elif held:
-                    if block is None:
-                        block = (np.array(keys, object), np.concatenate(held))
-                    rest = list(zip(*(rows.column(i).to_pylist() for i in range(6, rows.num_columns)), strict=True))
-                    yield from function(rows.column(3).to_numpy(), _matrix(rows.column(5)), *block, rest)
-                start = end
+                    block = block or (np.array(keys, object), np.concatenate(held))
+                    for first in range(0, rows.num_rows, QUERY_ROWS):
+                        part = rows.slice(first, QUERY_ROWS)
+                        yield from function(part.column(2).to_numpy(), _matrix(part.column(4)), *block)
 
     return rows.mapInArrow(run, schema)
 
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
-    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
-
-
 def rerank(hits: DataFrame, by: list[str], most: int | Column) -> DataFrame:
     """Orders candidates (rank, rerank_score) anew: best rerank_score first, the first rank on ties."""
     order = Window.partitionBy(*by).orderBy(F.col("rerank_score").desc(), "rank")
@@ -299,23 +280,11 @@ def section_order(key: Column) -> list[Column]:
     return [key.substr(F.lit(1), F.length(key) - F.length(tail) - 1), tail.try_cast("int")]
 
 
-def _without_drug(asked: DataFrame, corpus: DataFrame) -> DataFrame:
-    """request_id, logical_key, score and rank of the best rows for requests that name no drug. Their section and
-    species filters are parts: a row is in the part of every pair of filters it meets that some request has."""
-    part = lambda section, species: F.concat_ws("|", F.coalesce(section, F.lit("*")), F.coalesce(species, F.lit("*")))
-    queries = asked.select(F.col("request_id").alias("query_id"), "query_vector", part(F.col("want_section"), F.col("want_species")).alias("part"))
-    sections, species = F.array(F.col("section_type"), F.lit("*")), F.array_union(F.col("species"), F.array(F.lit("*")))
-    parts = corpus.select("logical_key", "vector", F.explode(sections).alias("_section"), species.alias("_all")).select("logical_key", "vector", "_section", F.explode("_all").alias("_species"))
-    wanted = queries.select("part").distinct()  # at most the sections times the species asked for
-    rows = parts.select("logical_key", "vector", part(F.col("_section"), F.col("_species")).alias("part")).join(wanted, "part", "left_semi")
-    return block_top_k(queries, rows, V.MAX_TOP_K, "part", 12).withColumnRenamed("query_id", "request_id")
-
-
 def retrieve(requests: DataFrame, corpus: DataFrame, name_rows: DataFrame, rescore: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(hits, empty, rejects) of requests (request_id, query, query_vector, drug, section, species, top_k).
 
     Names are resolved first; requests for unknown drugs are rejects with their reason. A request with a drug is joined
-    by drug, the others are compared with the corpus in blocks. With ``rescore`` (of query and text), the best MAX_TOP_K
+    by drug, the others search the corpus in blocks, with their filters as masks. With ``rescore`` (of query and text), the best MAX_TOP_K
     rows are ordered anew before the cut. ``resolved_from`` keeps the request's name if it was a near
     match.
     """
@@ -329,7 +298,8 @@ def retrieve(requests: DataFrame, corpus: DataFrame, name_rows: DataFrame, resco
     rest = metadata_filter(F.lit(None), F.col("want_section"), F.col("want_species"))
     by_drug = scored(asked.where("want_drug IS NOT NULL"), corpus, (F.col("want_drug") == F.col("drug_name")) & rest)
     by_drug = ranked(by_drug, ["request_id"], V.MAX_TOP_K)
-    found = _without_drug(asked.where("want_drug IS NULL"), corpus)
+    found = filtered_top_k(asked.where("want_drug IS NULL").withColumnRenamed("request_id", "query_id"), corpus, V.MAX_TOP_K, 12)
+    found = found.withColumnRenamed("query_id", "request_id")
     others = asked.join(found, "request_id").join(corpus, "logical_key")
     hits = by_drug.unionByName(others.select(*by_drug.columns)).where(F.col("rank") <= F.col("top_k"))
     if rescore is not None:

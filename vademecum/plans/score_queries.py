@@ -97,8 +97,7 @@ def p12_metadata_filter(spark, sf_dir):
 @query(f"{_T1} SELECT query_id, rank, logical_key, score FROM rk WHERE rank <= 5")
 def t1_filtered_topk(spark, sf_dir):
     rows = corpus(spark, sf_dir)
-    parts = rows.where("section_type = 'doses'").select("logical_key", "vector", F.explode(F.array_distinct("species")).alias("part"))
-    return R.block_top_k(queries(rows).withColumn("part", F.col("want_species")), parts, 5, "part").select("query_id", "rank", "logical_key", "score")
+    return R.filtered_top_k(queries(rows).withColumn("want_section", F.lit("doses")), rows, 5).select("query_id", "rank", "logical_key", "score")
 
 
 @query(f"{_WITH} SELECT query_id, rank, printf('[%.3f] %s / %s / p.%d', score, drug_name, section_type, vec_id) AS citation FROM rk WHERE rank <= 3")
