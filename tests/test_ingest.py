@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from vademecum.operators import ingest as I
@@ -124,3 +127,35 @@ def test_splitting_equals_the_plain_rule_on_all_documents(spark, sf_dir):
                 assert "".join("".join(pieces).split()) == "".join(text.split())
     for text in sorted(texts, key=len)[-3:]:
         assert split_text(text, 1200) == plain_split(text, 1200, 0)
+
+
+def plain_heading(pages, anchor, name, interpolated):
+    """The line number of a title by searching the text of its window, as the rule is worded."""
+    shown = [p for p in range(anchor, anchor + 3) if p < len(pages)]
+    window = "\n".join(pages[p] for p in shown)
+    bare = r"[\s-]+".join(re.escape(x) for x in re.split(r"[\s-]+", name.strip()) if x)
+    found = [re.search(p, window, re.M | re.A) for p in (rf"^{bare}\s*$", rf"^\d+\s+{bare}\s*$", rf"^{bare}\s+\d+\s*$")]
+    at = found[0] or min((f for f in found[1:] if f), key=lambda f: f.start(), default=None)
+    if at is None and interpolated:
+        return None
+    return sum(pages[p].count("\n") + 1 for p in range(anchor)) + (window[: at.start()].count("\n") if at else 0)
+
+
+def test_headings_equal_the_plain_search(spark):
+    """Titles on one line, over several lines, over page ends, beside numbers, beside lines that only look alike."""
+    rng = random.Random(12)
+    names = ["L-Theanine", "Vitamin B 12", "5-Fluorouracil", "Co-trimoxazole DS", "A", "77", "Ace + Plus", "Metronidazole"]
+    words = ["L", "Theanine", "L-Theanine", "L -", "-", "", "Vitamin", "B", "12", "Vitamin B", "B 12", "5", "Fluorouracil", "5-Fluorouracil 874", "874 A", "A", "77", "9 77", "Ace", "+ Plus", "Ace + Plus 3", "Metronidazole", "12 Metronidazole", "metronidazole", "Co-trimoxazole", "DS", "a long line of text that is no title at all", "874"]
+    books, entries, want = [], [], {}
+    for b in range(60):
+        pages = ["\n".join(rng.choice(words) for _ in range(rng.choice([1, 1, 2, 3, 7]))) for _ in range(6)]
+        books += [(f"b{b}", i, p) for i, p in enumerate(pages)]
+        for o, name in enumerate(names):
+            anchor, interpolated = rng.randrange(6), rng.random() < 0.5
+            entries.append((f"b{b}", o, name, anchor, interpolated))
+            want[f"b{b}", o] = plain_heading(pages, anchor, name, interpolated)
+    anchored = spark.createDataFrame(entries, "book_id string, toc_ord bigint, drug_name string, anchor int, interpolated boolean")
+    pages = I.numbered_pages(spark.createDataFrame(books, "book_id string, page_idx int, text string"))
+    got = {(r.book_id, r.toc_ord): r.start_line for r in I.locate(anchored, pages).collect()}
+    assert [(k, got[k], want[k]) for k in want if got[k] != want[k]] == [] and len(got) == len(want)
+    assert sum(v is not None for v in want.values()) > 200

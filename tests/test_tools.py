@@ -435,3 +435,14 @@ def test_filtered_search_in_few_and_in_many_blocks(spark, monkeypatch):
     empty = corpus.limit(0)
     assert block_search.filtered_top_k(queries, empty, 5).count() == 0
     assert block_search.ClusterIndex(empty).search(queries, 5)[0].count() == 0
+
+
+def test_mentions_equal_plain_search(spark, monkeypatch):
+    monkeypatch.setattr(reports, "GROUP_NAMES", 3)
+    names_ = ["Aspirin", "ASPIRIN", "Beta", "beta blocker", "Zinc", "eta", "Ünlü", ""]
+    texts = ["aspirin and BETA BLOCKERS", "nothing", "zinc, ünlü", None, "", "theta"]
+    passages = [(r, f"k{i}", i, t) for r in (1, 2, 3) for i, t in enumerate(texts)]
+    others = [(1, n) for n in names_] + [(2, "Zinc"), (2, None), (2, "Zinc")]
+    got = reports.mentions(spark.createDataFrame([(1,), (2,), (3,)], "request_id int"), spark.createDataFrame(passages, "request_id int, logical_key string, place int, text string"), spark.createDataFrame(others, "request_id int, canonical string"))
+    want = sorted((r, n, f"k{i}", i) for r, i, t in [(p[0], p[2], p[3]) for p in passages] if t is not None for n in {n for q, n in others if q == r and n is not None} if n.lower() in t.lower())
+    assert sorted(map(tuple, got.collect())) == want

@@ -84,38 +84,85 @@ def numbered_pages(body: DataFrame) -> DataFrame:
     return counted.join(places, ["book_id", "page_idx"])
 
 
-def heading_position(window: Column, name: Column) -> Column:
-    """1-based place of an entry's title in a text: the bare name on a line, else the earliest line of name and
-    number, else null."""
+def signature(value: Column) -> Column:
+    """What is left of a name or of lines without spaces, hyphens and digits."""
+    return F.regexp_replace(value, "[\\s\\d-]+", "")
+
+
+def heading_form(lines: Column, name: Column) -> tuple[Column, Column]:
+    """Whether some lines, joined by line ends, are an entry's title: alone, or with a number before or after it."""
     bare = text.name_pattern(name)
-    at = lambda p: F.nullif(F.regexp_instr(window, p), F.lit(0))
-    alone = at(F.concat(F.lit("(?md)^"), bare, F.lit("\\s*$")))
-    first = at(F.concat(F.lit("(?md)^\\d+\\s+"), bare, F.lit("\\s*$")))
-    last = at(F.concat(F.lit("(?md)^"), bare, F.lit("\\s+\\d+\\s*$")))
-    return F.coalesce(alone, F.least(first, last))
+    whole = lambda *p: F.rlike(lines, F.concat(F.lit("^(?:"), *p, F.lit(")$")))
+    return whole(bare), whole(F.lit("\\d+\\s+"), bare) | whole(bare, F.lit("\\s+\\d+"))
+
+
+def line_groups(pages: DataFrame, lines: str, keep: list[str]) -> DataFrame:
+    """Runs of neighbouring lines whose signature is no longer than ``most``, a column: ``keep``, the place ``first`` of
+    the run's first line in the array ``lines`` and of its ``last`` one, ``joined`` and its ``sig``. Long lines, which most
+    lines of a book are, are in no run, and only the lines of runs go on."""
+    short = pages.withColumn("_short", F.transform(lines, lambda x: F.length(signature(x))))
+    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (F.get("_short", i) <= F.col("most")) & (F.length(F.get(lines, i)) > 0))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"))
+
+    def step(state: Column, x: Column) -> Column:
+        """Counts lines until their sum passes ``most``; then the sum stays beyond it."""
+        total = state["sum"] + x
+        return F.struct(F.when(total <= F.col("most"), state["n"] + 1).otherwise(state["n"]).alias("n"), total.alias("sum"))
+
+    run = lambda i: F.aggregate(F.slice("_short", i + 1, F.size("_short")), start, step)["n"]
+    found = F.transform(starts, lambda i: F.struct(i.alias("first"), F.slice(lines, i + 1, run(i)).alias("run")))
+    rows = short.where(F.size(lines) > 0).select(*keep, F.explode(found).alias("f")).select(*keep, "f.first", "f.run")
+    rows = rows.select(*keep, "first", F.explode(F.transform(F.sequence(F.lit(1), F.size("run")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("run", F.lit(1), n), "\n").alias("joined")))).alias("g"))
+    return rows.select(*keep, "first", (F.col("first") + F.col("g.n") - 1).alias("last"), F.col("g.joined").alias("joined"), signature(F.col("g.joined")).alias("sig"))
+
+
+def heading_candidates(names: DataFrame, pages: DataFrame) -> DataFrame:
+    """book_id, page_idx, start_line, end_page, joined and sig of the runs of lines that may be a title: in one page, and
+    from a page's end into the next ones. ``names`` has book_id and sig."""
+    most = names.groupBy("book_id").agg(F.max(F.length("sig")).alias("most"))
+    rows = pages.join(most, "book_id").select("book_id", "page_idx", "first_line", "most", F.split("text", "\n").alias("lines"))
+    inside = line_groups(rows, "lines", ["book_id", "page_idx", "first_line"])
+    inside = inside.select("book_id", "page_idx", (F.col("first_line") + F.col("first")).alias("start_line"), F.col("page_idx").alias("end_page"), "joined", "sig")
+    # the first and last lines of a page whose sum is short enough to be part of a run over its edge
+    fits = lambda c: F.aggregate(F.transform(c, lambda x: F.length(signature(x))), F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum")), lambda a, x: F.struct(F.when(a["sum"] + x <= F.col("most"), a["n"] + 1).otherwise(a["n"]).alias("n"), (a["sum"] + x).alias("sum")))["n"]
+    edges = rows.select("book_id", "page_idx", "first_line", "most", F.size("lines").alias("size"), F.slice("lines", F.lit(1), fits(F.col("lines"))).alias("head"), F.reverse(F.slice(F.reverse("lines"), F.lit(1), fits(F.reverse("lines")))).alias("tail"))
+    after = lambda k: edges.select("book_id", (F.col("page_idx") - k).alias("page_idx"), F.col("head").alias(f"h{k}"), (F.size("head") == F.col("size")).alias(f"open{k}"))
+    over = edges.where(F.size("tail") > 0).select("book_id", "page_idx", "first_line", "most", "size", "tail")
+    none = F.array().cast("array<string>")
+    for k in range(1, V.HEADING_PAGES + 1):
+        over = over.join(after(k), ["book_id", "page_idx"], "left")
+    goes_on, lines, bounds = F.lit(True), F.col("tail"), [F.size("tail")]
+    for k in range(1, V.HEADING_PAGES + 1):
+        lines = F.concat(lines, F.when(goes_on, F.coalesce(f"h{k}", none)).otherwise(none))
+        bounds.append(F.size(lines))
+        goes_on = goes_on & F.coalesce(f"open{k}", F.lit(True))
+    over = over.select("book_id", "page_idx", "most", (F.col("first_line") + F.col("size") - F.size("tail")).alias("first_line"), F.array(*bounds).alias("bounds"), lines.alias("lines"))
+    crossing = line_groups(over, "lines", ["book_id", "page_idx", "first_line", "bounds"]).where("first < bounds[0] AND last >= bounds[0]")
+    pages_on = F.size(F.filter("bounds", lambda b: b <= F.col("last")))
+    crossing = crossing.select("book_id", "page_idx", (F.col("first_line") + F.col("first")).alias("start_line"), (F.col("page_idx") + pages_on).alias("end_page"), "joined", "sig")
+    return inside.unionByName(crossing)
 
 
 def locate(anchored: DataFrame, pages: DataFrame) -> DataFrame:
     """Adds start_line and start_page of each entry's heading; null where it is missing.
 
-    The heading is searched from the anchor page to HEADING_PAGES pages on. Without one, an entry starts at its anchor
-    page if that carries its number, and is missing if the anchor was estimated.
+    The heading is searched from the anchor page to HEADING_PAGES pages on: its title alone on its lines, else the first
+    place with its title and a number. Without one, an entry starts at its anchor page if that carries its number, and
+    is missing if the anchor was estimated. Entries meet short runs of lines by their signatures; page texts are read
+    once, and only runs with the signature of an entry of the book are held against its pattern.
     """
-    offsets = F.explode(F.sequence(F.lit(0), F.lit(V.HEADING_PAGES))).alias("_k")
-    wanted = anchored.where("anchor IS NOT NULL").select("book_id", "toc_ord", "drug_name", "anchor", "interpolated", offsets)
-    wanted = wanted.withColumn("page_idx", F.col("anchor") + F.col("_k"))
-    parts = wanted.join(pages.select("book_id", "page_idx", "text", "first_line"), ["book_id", "page_idx"])
-    keys = ["book_id", "toc_ord", "drug_name", "anchor", "interpolated"]
-    windows = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("page_idx", "first_line", "text"))).alias("p"))
-    joined = F.array_join(F.transform("p", lambda x: x["text"]), "\n")
-    at = windows.withColumn("_w", joined).withColumn("_at", heading_position(F.col("_w"), F.col("drug_name")))
-    at = at.withColumn("_at", F.coalesce("_at", F.when(~F.col("interpolated"), 1)))
-    head = F.col("_w").substr(F.lit(1), F.col("_at") - 1)
-    line = F.col("p")[0]["first_line"] + F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
-    at = at.where("_at IS NOT NULL").withColumn("start_line", line)
-    page = F.expr("try_element_at(filter(p, x -> x.first_line <= start_line), -1).page_idx")
-    starts = at.select("book_id", "toc_ord", "start_line", page.alias("start_page"))
-    return anchored.join(starts, ["book_id", "toc_ord"], "left")
+    names = anchored.where("anchor IS NOT NULL").select("book_id", "toc_ord", "drug_name", "anchor", signature(F.col("drug_name")).alias("sig"))
+    near = (F.col("page_idx") >= F.col("anchor")) & (F.col("end_page") <= F.col("anchor") + V.HEADING_PAGES)
+    met = heading_candidates(names, pages).join(names, ["book_id", "sig"]).where(near)
+    alone, numbered = heading_form(F.col("joined"), F.col("drug_name"))
+    place = F.struct("start_line", F.col("page_idx").alias("start_page"))
+    found = met.groupBy("book_id", "toc_ord").agg(F.min(F.when(alone, place)).alias("alone"), F.min(F.when(numbered, place)).alias("numbered"))
+    found = found.select("book_id", "toc_ord", F.coalesce("alone", "numbered").alias("at")).where("at IS NOT NULL")
+    first = pages.select("book_id", F.col("page_idx").alias("anchor"), F.col("first_line").alias("_first"))
+    rows = anchored.join(found, ["book_id", "toc_ord"], "left").join(first, ["book_id", "anchor"], "left")
+    at_page = F.when(F.col("at").isNull() & ~F.col("interpolated"), F.struct(F.col("_first").alias("start_line"), F.col("anchor").alias("start_page")))
+    at = F.coalesce("at", at_page)
+    return rows.select(*anchored.columns, at["start_line"].alias("start_line"), at["start_page"].alias("start_page"))
 
 
 def monograph_spans(located: DataFrame) -> DataFrame:
