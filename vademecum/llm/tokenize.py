@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import numpy as np
 
@@ -52,15 +53,21 @@ class TokenIds:
         self.cuts, self.front = None, 0
         if self.separator and byte_level and "Replace" in normalizer and "\\\\s+" in normalizer and config["model"].get("end_of_word_suffix"):
             self.cuts = self._words
-            self.memo = CutMemo(self._encoded)
+            self.ends = self._marked(lambda t: t.endswith(config["model"]["end_of_word_suffix"]))
+            self.memo = CutMemo(self._of_letters)
         elif self.separator and byte_level and '"Split"' not in splitter and config.get("normalizer") is None:
             self.cuts = self._spaced
             self.front = len(self._whole(["\n"])[0])
-            vocabulary = self.tokenizer.get_vocab()
-            self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+            self.begins = self._marked(lambda t: t.startswith("Ġ"))
             self.memo = CutMemo(self._after_white)
 
+    def _marked(self, is_marked: Callable[[str], bool]) -> np.ndarray:
+        """Of every id whether its token is marked."""
+        vocabulary = self.tokenizer.get_vocab()
+        out = np.zeros(max(vocabulary.values()) + 1, bool)
+        out[[i for t, i in vocabulary.items() if is_marked(t)]] = True
+        return out
+
     @staticmethod
     def _words(text: str) -> list[str] | None:
         """The cuts of a tokenizer that drops white space."""
@@ -95,6 +102,33 @@ class TokenIds:
         ends = np.flatnonzero(ids == self.separator_id)
         return ids[ids != self.separator_id], np.diff(ends, prepend=-1) - 1
 
+    def _of_letters(self, cuts: list[str]) -> Runs:
+        """The same where a cut of letters alone is one word of the tokenizer, with one token that ends it: such cuts need
+        no separators. Every cut has such a token at least, so as many ends as cuts are one for each."""
+        letters = np.array([c.isalpha() for c in cuts], bool)
+        words = [cuts[k] for k in np.flatnonzero(letters).tolist()]
+        found, numbers = [], []
+        for start in range(0, len(words), JOINED):
+            part = words[start : start + JOINED]
+            ids = self._whole([" ".join(part)])[0]
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == len(part) and ends[-1] == len(ids) - 1:
+                sizes = np.diff(ends, prepend=-1)
+            else:
+                ids, sizes = self._encoded(part)
+            found.append(ids), numbers.append(sizes)
+        return self._both(letters, found, numbers, self._encoded([cuts[k] for k in np.flatnonzero(~letters).tolist()]))
+
+    @staticmethod
+    def _both(first: np.ndarray, found: list[np.ndarray], numbers: list[np.ndarray], others: Runs) -> Runs:
+        """The runs of cuts in their order, from those of the ``first`` kind, in parts, and of the others."""
+        sizes = np.zeros(len(first), np.int64)
+        sizes[first], sizes[~first] = np.concatenate([*numbers, np.zeros(0, np.int64)]), others[1]
+        ids = np.zeros(int(sizes.sum()), np.int32)
+        own = np.repeat(first, sizes)
+        ids[own], ids[~own] = np.concatenate([*found, np.zeros(0, np.int32)]), others[0]
+        return ids, sizes
+
     def _after_white(self, cuts: list[str]) -> Runs:
         """The same for cuts with their white space: those that begin with a line break, and words after a space. Of
         these every one begins with a token for its space, the only one, so that a text of many needs no separators."""
@@ -110,13 +144,7 @@ class TokenIds:
             else:
                 ids, sizes = self._encoded([" " + w for w in part])
             found.append(ids), numbers.append(sizes)
-        heads = self._encoded([cuts[k] for k in np.flatnonzero(lines).tolist()])
-        sizes = np.zeros(len(cuts), np.int64)
-        sizes[lines], sizes[~lines] = heads[1], np.concatenate([*numbers, np.zeros(0, np.int64)])
-        ids = np.zeros(int(sizes.sum()), np.int32)
-        own = np.repeat(lines, sizes)
-        ids[own], ids[~own] = heads[0], np.concatenate([*found, np.zeros(0, np.int32)])
-        return ids, sizes
+        return self._both(~lines, found, numbers, self._encoded([cuts[k] for k in np.flatnonzero(lines).tolist()]))
 
     def encode(self, texts: list[str | None]) -> Runs:
         """All ids of the texts end to end, without special tokens, and the offsets of the texts."""
