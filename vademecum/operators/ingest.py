@@ -97,46 +97,53 @@ def heading_form(lines: Column, name: Column) -> tuple[Column, Column]:
 
 
 def line_groups(pages: DataFrame, lines: str, keep: list[str]) -> DataFrame:
-    """Runs of neighbouring lines whose signature is no longer than ``most``, a column: ``keep``, the place ``first`` of
-    the run's first line in the array ``lines`` and of its ``last`` one, ``joined`` and its ``sig``. Long lines, which most
-    lines of a book are, are in no run, and only the lines of runs go on."""
-    short = pages.withColumn("_short", F.transform(lines, lambda x: F.length(signature(x))))
-    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (F.get("_short", i) <= F.col("most")) & (F.length(F.get(lines, i)) > 0))
+    """Runs of neighbouring lines that may be a title: ``keep``, the place ``first`` of the run's first line in the array
+    ``lines`` and of its ``last`` one, ``joined`` and its ``sig``. A run starts with a line whose signature begins one of
+    the page's ``names``, a column of signatures, and is no longer than the longest of them. Few lines of a book do."""
+    own = pages.withColumn("_sigs", F.transform(lines, signature)).withColumn("_most", F.array_max(F.transform("names", F.length)))
+    begins = lambda i: F.exists("names", lambda n: n.startswith(F.get("_sigs", i)))
+    starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (F.length(F.get(lines, i)) > 0) & begins(i))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"))
 
     def step(state: Column, x: Column) -> Column:
-        """Counts lines until their sum passes ``most``; then the sum stays beyond it."""
-        total = state["sum"] + x
-        return F.struct(F.when(total <= F.col("most"), state["n"] + 1).otherwise(state["n"]).alias("n"), total.alias("sum"))
+        """Counts lines until their sum passes the longest name; then the sum stays beyond it."""
+        total = state["sum"] + F.length(x)
+        return F.struct(F.when(total <= F.col("_most"), state["n"] + 1).otherwise(state["n"]).alias("n"), total.alias("sum"))
 
-    run = lambda i: F.aggregate(F.slice("_short", i + 1, F.size("_short")), start, step)["n"]
+    run = lambda i: F.aggregate(F.slice("_sigs", i + 1, F.size("_sigs")), start, step)["n"]
     found = F.transform(starts, lambda i: F.struct(i.alias("first"), F.slice(lines, i + 1, run(i)).alias("run")))
-    rows = short.where(F.size(lines) > 0).select(*keep, F.explode(found).alias("f")).select(*keep, "f.first", "f.run")
-    rows = rows.select(*keep, "first", F.explode(F.transform(F.sequence(F.lit(1), F.size("run")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("run", F.lit(1), n), "\n").alias("joined")))).alias("g"))
-    return rows.select(*keep, "first", (F.col("first") + F.col("g.n") - 1).alias("last"), F.col("g.joined").alias("joined"), signature(F.col("g.joined")).alias("sig"))
+    rows = own.where(F.size(lines) > 0).select(*keep, "names", F.explode(found).alias("f")).select(*keep, "names", "f.first", "f.run")
+    rows = rows.select(*keep, "names", "first", F.explode(F.transform(F.sequence(F.lit(1), F.size("run")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("run", F.lit(1), n), "\n").alias("joined")))).alias("g"))
+    rows = rows.select(*keep, "names", "first", (F.col("first") + F.col("g.n") - 1).alias("last"), F.col("g.joined").alias("joined"), signature(F.col("g.joined")).alias("sig"))
+    return rows.where(F.array_contains("names", F.col("sig"))).drop("names")
 
 
 def heading_candidates(names: DataFrame, pages: DataFrame) -> DataFrame:
     """book_id, page_idx, start_line, end_page, joined and sig of the runs of lines that may be a title: in one page, and
-    from a page's end into the next ones. ``names`` has book_id and sig."""
-    most = names.groupBy("book_id").agg(F.max(F.length("sig")).alias("most"))
-    rows = pages.join(most, "book_id").select("book_id", "page_idx", "first_line", "most", F.split("text", "\n").alias("lines"))
+    from a page's end into the next ones. ``names`` has book_id, anchor and sig; a page meets the names that are looked
+    for on it as one array, so its text goes on once, and not at all if no name is."""
+    wanted = names.select("book_id", F.explode(F.sequence("anchor", F.col("anchor") + V.HEADING_PAGES)).alias("page_idx"), "sig")
+    wanted = wanted.groupBy("book_id", "page_idx").agg(F.collect_set("sig").alias("names"))
+    lines = F.split("text", "\n").alias("lines")
+    rows = pages.select("book_id", "page_idx", "first_line", lines).join(wanted, ["book_id", "page_idx"])
     inside = line_groups(rows, "lines", ["book_id", "page_idx", "first_line"])
     inside = inside.select("book_id", "page_idx", (F.col("first_line") + F.col("first")).alias("start_line"), F.col("page_idx").alias("end_page"), "joined", "sig")
     # the first and last lines of a page whose sum is short enough to be part of a run over its edge
-    fits = lambda c: F.aggregate(F.transform(c, lambda x: F.length(signature(x))), F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum")), lambda a, x: F.struct(F.when(a["sum"] + x <= F.col("most"), a["n"] + 1).otherwise(a["n"]).alias("n"), (a["sum"] + x).alias("sum")))["n"]
-    edges = rows.select("book_id", "page_idx", "first_line", "most", F.size("lines").alias("size"), F.slice("lines", F.lit(1), fits(F.col("lines"))).alias("head"), F.reverse(F.slice(F.reverse("lines"), F.lit(1), fits(F.reverse("lines")))).alias("tail"))
+    most = names.groupBy("book_id").agg(F.max(F.length("sig")).alias("most"))
+    edges = pages.join(most, "book_id").select("book_id", "page_idx", "first_line", "most", lines)
+    fits = lambda c: F.aggregate(c, F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum")), lambda a, x: F.struct(F.when(a["sum"] > F.col("most"), a["n"]).when(a["sum"] + F.length(signature(x)) <= F.col("most"), a["n"] + 1).otherwise(a["n"]).alias("n"), F.when(a["sum"] > F.col("most"), a["sum"]).otherwise(a["sum"] + F.length(signature(x))).alias("sum")))["n"]
+    edges = edges.select("book_id", "page_idx", "first_line", F.size("lines").alias("size"), F.slice("lines", F.lit(1), fits(F.col("lines"))).alias("head"), F.reverse(F.slice(F.reverse("lines"), F.lit(1), fits(F.reverse("lines")))).alias("tail"))
     after = lambda k: edges.select("book_id", (F.col("page_idx") - k).alias("page_idx"), F.col("head").alias(f"h{k}"), (F.size("head") == F.col("size")).alias(f"open{k}"))
-    over = edges.where(F.size("tail") > 0).select("book_id", "page_idx", "first_line", "most", "size", "tail")
+    over = edges.where(F.size("tail") > 0).select("book_id", "page_idx", "first_line", "size", "tail").join(wanted, ["book_id", "page_idx"])
     none = F.array().cast("array<string>")
     for k in range(1, V.HEADING_PAGES + 1):
         over = over.join(after(k), ["book_id", "page_idx"], "left")
-    goes_on, lines, bounds = F.lit(True), F.col("tail"), [F.size("tail")]
+    goes_on, longer, bounds = F.lit(True), F.col("tail"), [F.size("tail")]
     for k in range(1, V.HEADING_PAGES + 1):
-        lines = F.concat(lines, F.when(goes_on, F.coalesce(f"h{k}", none)).otherwise(none))
-        bounds.append(F.size(lines))
+        longer = F.concat(longer, F.when(goes_on, F.coalesce(f"h{k}", none)).otherwise(none))
+        bounds.append(F.size(longer))
         goes_on = goes_on & F.coalesce(f"open{k}", F.lit(True))
-    over = over.select("book_id", "page_idx", "most", (F.col("first_line") + F.col("size") - F.size("tail")).alias("first_line"), F.array(*bounds).alias("bounds"), lines.alias("lines"))
+    over = over.select("book_id", "page_idx", "names", (F.col("first_line") + F.col("size") - F.size("tail")).alias("first_line"), F.array(*bounds).alias("bounds"), longer.alias("lines"))
     crossing = line_groups(over, "lines", ["book_id", "page_idx", "first_line", "bounds"]).where("first < bounds[0] AND last >= bounds[0]")
     pages_on = F.size(F.filter("bounds", lambda b: b <= F.col("last")))
     crossing = crossing.select("book_id", "page_idx", (F.col("first_line") + F.col("first")).alias("start_line"), (F.col("page_idx") + pages_on).alias("end_page"), "joined", "sig")
@@ -148,8 +155,8 @@ def locate(anchored: DataFrame, pages: DataFrame) -> DataFrame:
 
     The heading is searched from the anchor page to HEADING_PAGES pages on: its title alone on its lines, else the first
     place with its title and a number. Without one, an entry starts at its anchor page if that carries its number, and
-    is missing if the anchor was estimated. Entries meet short runs of lines by their signatures; page texts are read
-    once, and only runs with the signature of an entry of the book are held against its pattern.
+    is missing if the anchor was estimated. Entries meet runs of lines by their signatures; page texts go on once,
+    and only runs with the signature of an entry are held against its pattern.
     """
     names = anchored.where("anchor IS NOT NULL").select("book_id", "toc_ord", "drug_name", "anchor", signature(F.col("drug_name")).alias("sig"))
     near = (F.col("page_idx") >= F.col("anchor")) & (F.col("end_page") <= F.col("anchor") + V.HEADING_PAGES)
