@@ -446,3 +446,26 @@ def test_mentions_equal_plain_search(spark, monkeypatch):
     got = reports.mentions(spark.createDataFrame([(1,), (2,), (3,)], "request_id int"), spark.createDataFrame(passages, "request_id int, logical_key string, place int, text string"), spark.createDataFrame(others, "request_id int, canonical string"))
     want = sorted((r, n, f"k{i}", i) for r, i, t in [(p[0], p[2], p[3]) for p in passages] if t is not None for n in {n for q, n in others if q == r and n is not None} if n.lower() in t.lower())
     assert sorted(map(tuple, got.collect())) == want
+
+
+def last_letters(query, passage):
+    """A pair scorer for the job's option: passages that end in a later letter first."""
+    return F.ascii(F.substring(passage, -1, 1)).cast("double")
+
+
+def letter_vectors(rows):
+    """An embedder for the job's option: how many letters a and b a text has."""
+    count = lambda c: (F.length("text") - F.length(F.replace("text", F.lit(c)))).cast("float")
+    return rows.withColumn("vector", F.array(count("a"), count("b")))
+
+
+def test_jobs_take_named_embedders_and_scorers(spark, tmp_path):
+    chunks(spark, "aaa x", "bb y", "ab z").withColumn("book_id", F.lit("b")).write.parquet(str(tmp_path / "chunks"))
+    spark.createDataFrame([(1, "bbbb", 2)], "request_id bigint, query string, top_k int").write.json(str(tmp_path / "requests"))
+    own = ["--embedder", "tests.test_tools:letter_vectors"]
+    run.main(["load", "--chunks", str(tmp_path / "chunks"), "--out", str(tmp_path / "table"), *own])
+    common = ["retrieve", "--requests", str(tmp_path / "requests"), "--table", str(tmp_path / "table"), *own]
+    run.main([*common, "--out", str(tmp_path / "plain")])
+    run.main([*common, "--out", str(tmp_path / "scored"), "--scorer", "tests.test_tools:last_letters"])
+    shown = lambda n: [r.text for r in spark.read.parquet(str(tmp_path / n / "hits")).orderBy("rank").collect()]
+    assert shown("plain") == ["bb y", "ab z"] and shown("scored") == ["ab z", "bb y"]

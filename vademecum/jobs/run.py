@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vademecum import vocabulary as V
@@ -16,8 +18,17 @@ from vademecum.sources import tables
 from vademecum.sources.vector_table import VectorTable
 
 
+def named(spec: str | None, default: Callable) -> Callable:
+    """The function that an option names as module:function, or the default."""
+    if not spec:
+        return default
+    module, _, name = spec.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def embed(rows: DataFrame) -> DataFrame:
-    """Adds vector by the deterministic stand-in; put a model's iterator pandas UDF here."""
+    """Adds vector by the deterministic stand-in; --embedder names another function of such rows, say of a model's
+    iterator pandas UDF."""
     return rows.withColumn("vector", vectors.hash_vector(F.col("text")).cast("array<float>"))
 
 
@@ -33,24 +44,33 @@ def job_ingest(spark: SparkSession, a: argparse.Namespace) -> None:
 def job_embed(spark: SparkSession, a: argparse.Namespace) -> None:
     from vademecum.operators.loading import keyed
 
-    tables.cached_embeddings(keyed(tables.read_chunks(spark, a.chunks, a.form)), a.model, a.out, embed)
+    tables.cached_embeddings(keyed(tables.read_chunks(spark, a.chunks, a.form)), a.model, a.out, named(a.embedder, embed))
 
 
 def job_load(spark: SparkSession, a: argparse.Namespace) -> None:
     table = VectorTable(spark, tables.table_path(a.out, a.model))
-    table.load(tables.read_chunks(spark, a.chunks, a.form), embed, not a.no_prune).show()
+    table.load(tables.read_chunks(spark, a.chunks, a.form), named(a.embedder, embed), not a.no_prune).show()
 
 
 def _corpus(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return VectorTable(spark, tables.table_path(a.table, a.model)).read()
 
 
+def query_vectors(rows: DataFrame, asked: Column, a: argparse.Namespace) -> DataFrame:
+    """Adds query_vector: the questions, with their prefix, by the embedder of the corpus."""
+    if not a.embedder:
+        return rows.withColumn("query_vector", vectors.hash_vector(asked))
+    embedded = named(a.embedder, embed)(rows.withColumn("text", asked))
+    return embedded.withColumnRenamed("vector", "query_vector").drop("text")
+
+
 def job_retrieve(spark: SparkSession, a: argparse.Namespace) -> None:
     corpus = _corpus(spark, a)
     requests = spark.read.json(a.requests, schema="request_id bigint, query string, drug string, section string, species string, top_k int")
     asked = F.concat(F.lit(a.query_prefix), F.col("query"))
-    requests = requests.withColumn("query_vector", vectors.hash_vector(asked))
-    hits, empty, rejects = retrieval.retrieve(requests, corpus, names.canonical(corpus), retrieval.shared_words if a.rerank else None)
+    requests = query_vectors(requests, asked, a)
+    rescore = named(a.scorer, retrieval.shared_words) if a.rerank or a.scorer else None
+    hits, empty, rejects = retrieval.retrieve(requests, corpus, names.canonical(corpus), rescore)
     for name, rows in (("hits", retrieval.citation(hits)), ("empty", empty), ("rejects", rejects)):
         rows.write.mode("overwrite").parquet(f"{a.out}/{name}")
 
@@ -91,7 +111,7 @@ def job_benchmark(spark: SparkSession, a: argparse.Namespace) -> None:
     """Scores the vector tables of the models (--model, comma-separated) over a frozen query set."""
     cases = tables.read_eval_set(spark, a.requests)
     relevant = cases.select("query_id", F.explode("relevant_logical_keys").alias("logical_key"))
-    asked = cases.select("query_id", vectors.hash_vector(F.concat(F.lit(a.query_prefix), F.col("query"))).alias("query_vector"))
+    asked = query_vectors(cases.select("query_id", "query"), F.concat(F.lit(a.query_prefix), F.col("query")), a).select("query_id", "query_vector")
     models = {m: (asked, VectorTable(spark, tables.table_path(a.table, m)).read()) for m in a.model.split(",")}
     print(tables.write_scorecard(benchmark(models, relevant), a.out))
 
@@ -125,6 +145,8 @@ def main(arguments: list[str]) -> None:
     parser.add_argument("--toc-last", type=int, default=0)
     parser.add_argument("--max-missing", type=int, default=0)
     parser.add_argument("--query-prefix", default="")
+    parser.add_argument("--embedder", help="module:function that adds vector to rows with text")
+    parser.add_argument("--scorer", help="module:function of (query, text) columns; orders the best candidates anew")
     parser.add_argument("--rerank", action="store_true")
     parser.add_argument("--no-prune", action="store_true")
     parser.add_argument("--per-flow", type=int, default=25)
