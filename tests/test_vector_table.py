@@ -151,3 +151,15 @@ def test_a_repeated_batch_reads_no_rows(spark, store):
     assert store.state().streams == {"s": 1} and len(store.state().segments) == 1
     assert tuple(store.load(chunks(spark, {0: "z"}), embed, prune=False, batch=("other", 0)).first()) == (1, 0, 0)
     assert texts(store) == {0: "z", 1: "b"}
+
+
+def test_tidy_job(spark, store, capsys):
+    from vademecum.jobs import run
+
+    for i in range(3):
+        store.load(chunks(spark, {0: f"text {i}", i: "x"}), embed, prune=False)
+    os.rename(local(store.path), local(store.path) + "__hash")
+    run.main(["tidy", "--table", store.path, "--everything", "--keep", "1"])
+    tidy = VectorTable(spark, store.path + "__hash")
+    assert len(tidy.state().segments) == 1 and tidy.versions() == [4] and texts(tidy)[0] == "text 2"
+    assert "removed 0" in capsys.readouterr().out  # a day old at least

@@ -52,6 +52,13 @@ def job_load(spark: SparkSession, a: argparse.Namespace) -> None:
     table.load(tables.read_chunks(spark, a.chunks, a.form), named(a.embedder, embed), not a.no_prune).show()
 
 
+def job_tidy(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Merges a vector table's segments and removes what none of its --keep newest versions names."""
+    table = VectorTable(spark, tables.table_path(a.table, a.model))
+    table.compact(everything=a.everything)
+    print(f"removed {len(table.vacuum(a.keep))} segments")
+
+
 def _corpus(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return VectorTable(spark, tables.table_path(a.table, a.model)).read()
 
@@ -149,6 +156,8 @@ def main(arguments: list[str]) -> None:
     parser.add_argument("--scorer", help="module:function of (query, text) columns; orders the best candidates anew")
     parser.add_argument("--rerank", action="store_true")
     parser.add_argument("--no-prune", action="store_true")
+    parser.add_argument("--everything", action="store_true")
+    parser.add_argument("--keep", type=int, default=2)
     parser.add_argument("--per-flow", type=int, default=25)
     parser.add_argument("--seed", type=int, default=0)
     parser.add_argument("--other-fraction", type=float, default=0.2)
