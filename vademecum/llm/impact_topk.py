@@ -63,14 +63,13 @@ class ImpactIndex:
 
     def checked(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
         """``top`` where the lengths of the vectors don't prove that scores fit 64 bits: all scores as whole numbers of any
-        size. One that doesn't fit is an error."""
+        size. One of the best that doesn't fit is an error."""
         open_ = np.flatnonzero(self.ids != query_id)
-        scores = self.vectors[open_].astype(object) @ query.astype(object)
-        if any(not -(2**63) <= s < 2**63 for s in scores):
+        scores = (self.vectors[open_].astype(object) @ query.astype(object)).tolist()
+        best = sorted(range(len(open_)), key=lambda i: (-scores[i], self.ids[open_[i]]))[:k]
+        if any(not -(2**63) <= scores[i] < 2**63 for i in best):
             raise OverflowError("a score doesn't fit 64 bits")
-        scores = scores.astype(np.int64)
-        best = np.lexsort((self.ids[open_], -scores.astype(object)))[:k] if len(open_) else np.zeros(0, np.int64)
-        return self.ids[open_][best], scores[best], 0, len(open_)
+        return self.ids[open_[best]], np.array([scores[i] for i in best], np.int64), 0, len(open_)
 
     def possible(self, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, int]:
         """The rows other than ``query_id`` that the bounds can't prove out of the k best, and the postings processed."""
