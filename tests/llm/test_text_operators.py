@@ -107,6 +107,24 @@ def test_token_bytes_equal_the_library(name):
             assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_with_tails_of_symbols_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    library, model = Tokenizer.from_file(path), TokenIds(path)
+    model.memo.most = 60
+    rng = random.Random(8)
+    words = ["dog", "Ünder", "a'", "it's", "x1", "12", "日本", "\u01c5", "ɐ", "e\u0301", "a_b", "\u0345", "word", "\u200b"]
+    tails = ["", ".", ",", ".&&&", "!!!!!", "'", "'t.", "…", "\x00", "\x7f", "<|", "<|endoftext|>"]
+    gaps = [" "] * 8 + ["\n"] * 3 + ["  ", " \n", "\n\n", "\t", "\x1c", ""]
+    for _ in range(60):
+        texts = ["".join(rng.choice(words) + rng.choice(tails) + rng.choice(gaps) for _ in range(rng.randrange(9))) for _ in range(20)]
+        texts = [None, "", *(t.strip() if k % 4 else t for k, t in enumerate(texts))]
+        ids, offsets = model.encode(texts)
+        for k, text in enumerate(texts):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     for trial in range(200):

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Cuts that a worker remembers.
 MEMO_ENTRIES = 350_000
@@ -26,10 +28,17 @@ def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
 
 class CutMemo:
     """Runs of 32-bit ids (or other numbers) by cut. ``make`` encodes a list of new cuts: all ids end to end, and the run
-    lengths."""
-
-    def __init__(self, make: Callable[[list[str]], Runs], most: int = MEMO_ENTRIES, dtype: type = np.int32) -> None:
-        self.make, self.most, self.batch, self.dtype = make, most, 0, dtype
+    lengths. ``part`` names two cuts whose runs make up that of a new cut, or gives None where there are none; these are
+    looked up, and go to ``make``, in its place."""
+
+    def __init__(
+        self,
+        make: Callable[[list[str]], Runs],
+        most: int = MEMO_ENTRIES,
+        dtype: type = np.int32,
+        part: Callable[[str], tuple[str, str] | None] | None = None,
+    ) -> None:
+        self.make, self.most, self.batch, self.dtype, self.part = make, most, 0, dtype, part
         self.index: dict[str, int] = {}
         self.ids, self.starts, self.sizes, self.used = np.zeros(0, dtype), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
@@ -42,17 +51,35 @@ class CutMemo:
         missing = np.flatnonzero(at < 0).tolist()
         if missing:
             new = list(dict.fromkeys(map(cuts.__getitem__, missing)))
-            ids, sizes = self.make(new)
-            first = len(self.starts)
-            self.index.update(zip(new, range(first, first + len(new)), strict=True))
-            self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
-            self.sizes = np.append(self.sizes, sizes.astype(np.int32))
-            self.ids = np.append(self.ids, ids.astype(self.dtype))
-            self.used = np.append(self.used, np.zeros(len(new), np.int32))
+            if self.part is None:
+                self._add(new, *self.make(new))
+            else:
+                self._add_parted(new)
             at[missing] = [self.index[cuts[i]] for i in missing]
         self.used[at] = self.batch
         return at
 
+    def _add(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.starts)
+        self.index.update(zip(new, range(first, first + len(new)), strict=True))
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes.astype(np.int32))
+        self.ids = np.append(self.ids, ids.astype(self.dtype))
+        self.used = np.append(self.used, np.zeros(len(new), np.int32))
+
+    def _add_parted(self, new: list[str]) -> None:
+        pairs = list(map(self.part, new))
+        pieces = list(chain.from_iterable(filter(None, pairs)))
+        whole = [cut for cut, pair in zip(new, pairs, strict=True) if pair is None]
+        fresh = list(dict.fromkeys(chain(whole, (piece for piece in pieces if piece not in self.index))))
+        self._add(fresh, *self.make(fresh))
+        if pieces:
+            at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+            self.used[at] = self.batch
+            sizes = self.sizes[at]
+            composed = [cut for cut, pair in zip(new, pairs, strict=True) if pair is not None]
+            self._add(composed, gathered(self.ids, self.starts[at], sizes), sizes.reshape(-1, 2).sum(axis=1))
+
     def _forget(self) -> None:
         kept = np.flatnonzero(self.used > np.median(self.used))[-self.most // 2 :]
         place = np.full(len(self.used), -1, np.int64)
@@ -64,10 +91,20 @@ class CutMemo:
 
     def encode(self, cuts: list[list[str]]) -> Runs:
         """Of the cuts of some texts: all ids end to end, and the offsets of the texts."""
-        at = self.places(list(chain.from_iterable(cuts)))
+        return self._of_places(self.places(list(chain.from_iterable(cuts))), np.array([len(own) for own in cuts], np.int64))
+
+    def encode_spaced(self, texts: list[str | None]) -> Runs:
+        """The same of texts whose cuts are parted by one space each; null: none. Arrow parts the texts, and each
+        different cut of theirs is looked up once."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        values = lists.flatten().dictionary_encode()
+        at = self.places(values.dictionary.to_pylist())[values.indices.to_numpy()]
+        return self._of_places(at, lists.value_lengths().fill_null(0).to_numpy())
+
+    def _of_places(self, at: np.ndarray, numbers: np.ndarray) -> Runs:
         sizes = self.sizes[at]
         ends = np.append(0, np.cumsum(sizes))
-        bounds = np.append(0, np.cumsum([len(own) for own in cuts])).astype(np.int64)
+        bounds = np.append(0, np.cumsum(numbers)).astype(np.int64)
         return gathered(self.ids, self.starts[at], sizes), ends[bounds]
 
 

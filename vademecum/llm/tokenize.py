@@ -2,7 +2,8 @@
 
 Byte-level and word-end BPE tokenizers part a text at white space before they merge anything, so the ids of a text are
 those of its cuts one after the other: words, with the white space before them where the tokenizer keeps it. Each
-different cut is encoded by the library once per worker and then looked up. New cuts are encoded many at a time, as one
+different cut is encoded by the library once per worker and then looked up. Where the tokenizer keeps white space, the
+symbols at the end of a word are a cut of their own. New cuts are encoded many at a time, as one
 text in which the tokenizer's own special token parts them; its id parts their ids again.
 
 Texts that hold the string of an added token (these become its id, as in the library) and texts with uneven white
@@ -23,8 +24,12 @@ from vademecum.llm.cuts import CutMemo, Runs, joined
 JOINED, JOINED_CHARS = 500, 20_000
 #: The characters at which str.split() parts but regular expressions of the tokenizers don't.
 ONLY_SPLIT = re.compile("[\x1c-\x1f]")
+#: Letters, after a line break or not, and a short tail of symbols: two pieces of every byte-level tokenizer. Only Latin
+#: letters and ASCII symbols, of which all versions of Unicode tell the same.
+TAILED = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]{1,4})")
 #: White space other than a space and a line break.
 OTHER_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+UNEVEN = ["  ", " \n", "\n ", "\n\n"]
 
 
 class TokenIds:
@@ -50,16 +55,16 @@ class TokenIds:
         self.separator, self.separator_id = (plain[0]["content"], plain[0]["id"]) if plain else (None, -1)
         normalizer, splitter = json.dumps(config.get("normalizer")), json.dumps(config.get("pre_tokenizer"))
         byte_level = '"ByteLevel"' in splitter and '"add_prefix_space": true' not in splitter
-        self.cuts, self.front = None, 0
+        self.cuts, self.spaced, self.front = None, False, 0
         if self.separator and byte_level and "Replace" in normalizer and "\\\\s+" in normalizer and config["model"].get("end_of_word_suffix"):
             self.cuts = self._words
             self.ends = self._marked(lambda t: t.endswith(config["model"]["end_of_word_suffix"]))
             self.memo = CutMemo(self._of_letters)
-        elif self.separator and byte_level and '"Split"' not in splitter and config.get("normalizer") is None:
-            self.cuts = self._spaced
+        elif self.separator and byte_level and '"Split"' not in splitter and '"use_regex": false' not in splitter and config.get("normalizer") is None:
+            self.spaced = True
             self.front = len(self._whole(["\n"])[0])
             self.begins = self._marked(lambda t: t.startswith("Ġ"))
-            self.memo = CutMemo(self._after_white)
+            self.memo = CutMemo(self._after_white, part=self._tailed)
 
     def _marked(self, is_marked: Callable[[str], bool]) -> np.ndarray:
         """Of every id whether its token is marked."""
@@ -74,15 +79,19 @@ class TokenIds:
         return None if ONLY_SPLIT.search(text) else text.split()
 
     @staticmethod
-    def _spaced(text: str) -> list[str] | None:
-        """The cuts of a tokenizer that keeps white space, for a text whose words are parted by one space or line break
-        each: words, of which those that begin a line (the first too) have the line break before them."""
-        if not text:
-            return []
+    def _even(text: str) -> bool:
+        """Whether a text's words are parted by one space or line break each."""
         if any(map(text.__contains__, OTHER_WHITE)):
+            return False
+        return not text or not (text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, UNEVEN)))
+
+    @staticmethod
+    def _tailed(cut: str) -> tuple[str, str] | None:
+        """A word and the symbols at its end. The symbols have a space before them, which no cut of a text has."""
+        if cut[-1].isalnum():
             return None
-        cuts = ("\n" + text.replace("\n", " \n")).split(" ")
-        return cuts if len(text.split()) == len(cuts) and "\n" not in cuts else None
+        found = TAILED.fullmatch(cut)
+        return found and (found[1], " " + found[2])
 
     def _whole(self, texts: list[str]) -> Runs:
         found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -130,9 +139,10 @@ class TokenIds:
         return ids, sizes
 
     def _after_white(self, cuts: list[str]) -> Runs:
-        """The same for cuts with their white space: those that begin with a line break, and words after a space. Of
-        these every one begins with a token for its space, the only one, so that a text of many needs no separators."""
-        lines = np.array([c[:1] == "\n" for c in cuts])
+        """The same for cuts with their white space: those that begin with a line break, words after a space, and tails
+        of words, which follow without one. Of the words every one begins with a token for its space, the only one, so
+        that a text of many needs no separators."""
+        lines = np.array([c[0] in "\n " for c in cuts], bool)
         words = [cuts[k] for k in np.flatnonzero(~lines).tolist()]
         found, numbers = [], []
         for start in range(0, len(words), JOINED):
@@ -144,16 +154,24 @@ class TokenIds:
             else:
                 ids, sizes = self._encoded([" " + w for w in part])
             found.append(ids), numbers.append(sizes)
-        return self._both(~lines, found, numbers, self._encoded([cuts[k] for k in np.flatnonzero(lines).tolist()]))
+        return self._both(~lines, found, numbers, self._encoded([cuts[k].removeprefix(" ") for k in np.flatnonzero(lines).tolist()]))
 
     def encode(self, texts: list[str | None]) -> Runs:
         """All ids of the texts end to end, without special tokens, and the offsets of the texts."""
         known = [t or "" for t in texts]
-        cuts = [None if self.cuts is None or any(map(t.__contains__, self.added)) else self.cuts(t) for t in known]
-        odd = [k for k, own in enumerate(cuts) if own is None]
-        if len(odd) == len(cuts):
+        plain = [not any(map(t.__contains__, self.added)) for t in known]
+        if self.spaced:
+            odd = [k for k, t in enumerate(known) if not (plain[k] and self._even(t))]
+            other = set(odd)
+            # words, of which those that begin a line (the first too) have the line break before them
+            lined = ["\n" + t.replace("\n", " \n") if t and k not in other else None for k, t in enumerate(known)]
+            ids, offsets = self.memo.encode_spaced(lined)
+        elif self.cuts:
+            cuts = [self.cuts(t) if fine else None for fine, t in zip(plain, known, strict=True)]
+            odd = [k for k, own in enumerate(cuts) if own is None]
+            ids, offsets = self.memo.encode([own or [] for own in cuts])
+        else:
             return self._whole(known)
-        ids, offsets = self.memo.encode([own or [] for own in cuts])
         if self.front:  # the line break in front of each text isn't its own
             begin = offsets[:-1][np.diff(offsets) > 0]
             mask = np.ones(len(ids), bool)
