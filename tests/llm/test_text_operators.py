@@ -514,6 +514,17 @@ def test_quality_query_equals_plain_rules(spark, sf_dir):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if w[6]}
 
 
+def test_quality_rules_use_every_label(spark):
+    """More labels than a driver should hold: none of them is left out of the ratios and of the threshold."""
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice("abcdefgh" if i % 3 else "efghijkl") + str(rng.randrange(9)) for _ in range(60))) for i in range(60)]
+    labels = spark.range(300_000).selectExpr("id AS doc_id", "CAST(id % 3 > 0 AS INT) AS quality")
+    rows = quality.judge(spark.createDataFrame(docs, "doc_id long, text string"), labels, ["doc_id"]).collect()
+    want = plain_quality(docs, [(i, int(i % 3 > 0)) for i, _ in docs])
+    assert {r["doc_id"]: r["kept"] for r in rows} == {i: w[6] for i, w in want.items()} and 0 < sum(r["kept"] for r in rows) < 60
+    assert all(r["log_ratio"] == pytest.approx(want[r["doc_id"]][7]) for r in rows)
+
+
 def test_toxicity_stage_equals_plain_scores(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))

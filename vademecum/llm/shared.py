@@ -116,6 +116,11 @@ def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int =
     return run
 
 
+def label_of_ids(labels: DataFrame, column: str) -> DataFrame:
+    """doc_id and label of every labelled id. Null ids and labels are left out; of several labels the lowest holds."""
+    return labels.where(f"doc_id IS NOT NULL AND {column} IS NOT NULL").groupBy("doc_id").agg(F.min(column).alias("label"))
+
+
 def sampled_labels(labels: DataFrame, column: str, most: int, where: str = "true") -> tuple[np.ndarray, np.ndarray]:
     """Sorted ids and their labels from about ``most`` labelled rows at most, chosen by a hash of the id.
 
