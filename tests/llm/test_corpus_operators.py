@@ -65,6 +65,40 @@ def test_groups_equal_brute_force(spark, monkeypatch, crowd):
     assert got == brute_groups(rows)
 
 
+@pytest.mark.parametrize("crowd", [5, 4096])
+def test_crowded_bucket_loses_no_link(spark, monkeypatch, crowd):
+    """Linked texts that share one crowded bucket and no other band are linked all the same."""
+
+    def keys(samples):
+        own = int(samples.sum() >> np.uint64(8))
+        return np.array([7, *(own + k for k in range(1, near_duplicates.BANDS))], np.int64)
+
+    monkeypatch.setattr(near_duplicates, "band_keys", keys)
+    monkeypatch.setattr(near_duplicates, "CHUNK", 16)
+    monkeypatch.setattr(near_duplicates, "CROWD", crowd)
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(i, passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(60))) for i in range(30)]
+    for k in range(12):  # pairs at and around the threshold
+        words = [f"r{k}x{j}" for j in range(104)]
+        rows += [(100 + 2 * k, " ".join(words)), (101 + 2 * k, " ".join(words[: 76 + k]) + f" y{k} z{k}")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    want = brute_groups(rows)
+    assert got == want and 6 < sum(c != i for i, (_, c) in want.items()) < 12
+
+
+def test_rarest_shingles_of_linked_sets_meet():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 9, near_duplicates.CELLS)
+    for _ in range(3000):
+        pool = rng.integers(0, 1 << 63, 2 * rng.integers(2, 60), dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool[: max(2, int(len(pool) * rng.uniform(0.5, 1)))], len(pool))) for _ in range(2))
+        if near_duplicates.linked(a, b):
+            (x, early_x), (y, early_y) = near_duplicates.rarest(a, counts), near_duplicates.rarest(b, counts)
+            both = np.intersect1d(x, y)
+            assert len(both) and (np.isin(both, x[early_x]) | np.isin(both, y[early_y])).any()
+
+
 def test_groups_edges(spark):
     schema = "text string, doc_id long, lang string, component_id int"
     assert near_duplicates.groups(spark.createDataFrame([], schema)).count() == 0

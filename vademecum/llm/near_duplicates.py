@@ -18,15 +18,15 @@ component is what links join, and one document of each stays.
 
 A group of copies is thus never expanded into pairs, and no bucket is collected whole: members are dealt to chunks of
 bounded numbers and sizes, and each task holds two chunks. Where more than ``CROWD`` members of a bucket are unlike its
-hub (they share a passage, not their texts), the bucket is parted by a second band, which a pair at 0.75 that shares the
-first one misses with probability 8e-6.
+hub (they share a passage, not their texts), its members meet by their rarest shingles instead: two sets at 0.75 or more
+always share one of the rarest quarter of either, so no link of the bucket is lost.
 
 Nulls, empty texts, repeated rows and rows without an id: see ``groups``. Columns other than doc_id and text don't matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ SKETCH_BITS = 512
 NEAR = 0.5
 #: Members of a chunk, shingles of its sets, and members unlike their hub from which a bucket is parted.
 CHUNK, CHUNK_SHINGLES, CROWD = 512, 2_000_000, 4096
+#: Cells in which the shingles of crowded buckets are counted to tell rare ones. Any counts lose no link.
+CELLS = 1 << 17
 #: Ids up to which they are sent to all tasks, 8 bytes each, so that texts stay where they are.
 FEW_IDS = 500_000
 _random = np.random.default_rng(20)
@@ -212,13 +214,60 @@ def _partners(unlike: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long").distinct()
 
 
-def _parted(marked: DataFrame, reps: DataFrame) -> DataFrame:
-    """The buckets (key, id, rest) with at most CROWD members that are unlike their hub, and the others parted by the
-    members' other bands."""
+def rarest(own: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a set by which it meets all sets linked with it, the rarest by ``counts`` of cells, and which of
+    these are ``early``.
+
+    Linked sets share 75 of 100 shingles of the larger and 6 of 7 of the smaller one, at least. So the first shingle that
+    both have, in an order that is the same for all, is among the first 25 of 100 of either and the first 7th, early, of
+    the smaller one (and one more each).
+    """
+    n = len(own)
+    order = np.argsort(counts[(own % np.uint64(CELLS)).astype(np.int64)], kind="stable")  # ties by the shingle: sets are sorted
+    first = own[order[: n - -(-75 * n // 100) + 1]]
+    return first, np.arange(len(first)) < n - -(-6 * n // 7) + 1
+
+
+def _rarest_keys(sets: DataFrame) -> DataFrame:
+    """key, id and early of the rarest shingles of each set (id, shingles)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, np.int64)
+        for batch in slices(batches):
+            for own in column_of(batch, "shingles"):
+                n += np.bincount((np.frombuffer(own, np.uint64) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n[met])], ["cell", "n"])
+
+    found = sets.select("shingles").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most CELLS rows
+    counts = np.zeros(CELLS, np.int64)
+    counts[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys, early = zip(*[rarest(np.frombuffer(own, np.uint64), shared.value) for own in column_of(batch, "shingles")], strict=True)
+            ids = np.repeat(np.array(column_of(batch, "id"), np.int64), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(ids), pa.array(np.concatenate(early))], ["key", "id", "early"])
+
+    return sets.select("id", "shingles").mapInArrow(run, "key long, id long, early boolean")
+
+
+def _parted(marked: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The buckets (key, id, rest) with at most CROWD members that are unlike their hub, and in place of the others their
+    members by their rarest shingles. ``sets_of`` gives the sets of some ids.
+
+    Members that are alike in all crowded buckets they share have met already, so one with ``rest`` in any of them keeps
+    it. A shingle that isn't early in any set makes no link.
+    """
     crowded = marked.groupBy("key").agg(F.count_if("rest").alias("f")).where(F.col("f") > CROWD).select("key")
+    if crowded.isEmpty():
+        return marked
     small = marked.join(crowded, "key", "left_anti")
-    large = marked.join(crowded, "key").join(reps.select("id", "bands"), "id").select("key", "id", "rest", F.explode("bands").alias("band")).where("band <> key")
-    return small.unionByName(large.select(F.xxhash64("key", "band").alias("key"), "id", "rest"))
+    members = written(marked.join(crowded, "key", "left_semi").groupBy("id").agg(F.max("rest").alias("rest")), "crowd")
+    rows = written(_rarest_keys(written(sets_of(members.select("id")), "crowd-sets")).join(members, "id"), "rarest")
+    met = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("rest").alias("any_rest"), F.max("early").alias("any_early"))
+    return small.unionByName(rows.join(met.where("n > 1 AND any_rest AND any_early").select("key"), "key", "left_semi").select("key", "id", "rest"))
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -304,7 +353,8 @@ def groups(docs: DataFrame) -> DataFrame:
     # members unlike their hub meet the rest of their bucket; the only pair of a bucket of two is done
     unlike = starred.where("NOT near AND n > 2").select("key", "hub").distinct()
     marked = starred.join(unlike.select("key"), "key", "left_semi").select("key", "id", (~F.col("near")).alias("rest"))
-    marked = _parted(marked.unionByName(unlike.select("key", F.col("hub").alias("id"), F.lit(False).alias("rest"))), reps)
+    marked = marked.unionByName(unlike.select("key", F.col("hub").alias("id"), F.lit(False).alias("rest")))
+    marked = _parted(marked, lambda ids: _sets(docs, ids).dropDuplicates(["id"]))
     involved = _partners(marked.join(sized, "id")).union(near.select("id")).union(near.select("hub")).distinct()
     involved = written(involved, "involved")
     sets = written(_sets(docs, involved).dropDuplicates(["id"]), "sets")
@@ -313,7 +363,8 @@ def groups(docs: DataFrame) -> DataFrame:
     links = written(_star_links(near, sets), "links")
     label = components(links)
     marked = _still_open(members, label)
-    parted = _parted(marked.select("key", "id", "rest"), reps).join(sized, "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    marked = _parted(marked.select("key", "id", "rest"), lambda ids: sets.join(ids, "id", "left_semi"))
+    parted = marked.join(sized, "id").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     stars = label.where("component <> id").select(F.col("component").alias("a"), F.col("id").alias("b"))
     final = components(stars.union(_block_links(written(parted, "open"), sets)))
     by_set = reps.select("set_key", "id").join(final, "id", "left").select("set_key", F.coalesce("component", "id").alias("_component"))
