@@ -125,6 +125,28 @@ def test_words_with_tails_of_symbols_equal_the_library():
             assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_forms_of_a_word_are_encoded_once():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    library, model = Tokenizer.from_file(path), TokenIds(path)
+    asked, make = [], model.memo.make
+    model.memo.make = lambda cuts: asked.extend(cuts) or make(cuts)
+    forms = "Quoneth quoneth, QUONETH. quoneth quoneth.\nQuoneth,"
+    assert model.encode([forms])[0].tolist() == library.encode(forms, add_special_tokens=False).ids
+    assert sorted(asked) == [",", ".", "quoneth"]
+    model.memo.most = 60
+    rng = random.Random(8)
+    words = ["dog", "Dog", "DOG", "Ünder", "İ", "a'", "I'M", "x1", "日本", "\u01c5", "J\u030c", "ŉ", "a_b", "\u0345", "\u200b", "<|STARTOFTEXT|>"]
+    tails = ["", ".", ",", ".&&&", "!!!!!", "'", "'T.", "…", "\u030c", "\x00", "<|", "<|endoftext|>"]
+    gaps = [" "] * 8 + ["\n"] * 3 + ["  ", " \n", "\t", "\x1c", "\x85", ""]
+    for _ in range(60):
+        texts = [None, "", *("".join(rng.choice(words) + rng.choice(tails) + rng.choice(gaps) for _ in range(rng.randrange(9))) for _ in range(20))]
+        ids, offsets = model.encode(texts)
+        for k, text in enumerate(texts):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     for trial in range(200):

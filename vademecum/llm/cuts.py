@@ -28,15 +28,15 @@ def gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
 
 class CutMemo:
     """Runs of 32-bit ids (or other numbers) by cut. ``make`` encodes a list of new cuts: all ids end to end, and the run
-    lengths. ``part`` names two cuts whose runs make up that of a new cut, or gives None where there are none; these are
-    looked up, and go to ``make``, in its place."""
+    lengths. ``part`` names the cuts, one or two, whose runs make up that of a new cut, or gives None where there are none;
+    these are looked up, and go to ``make``, in its place."""
 
     def __init__(
         self,
         make: Callable[[list[str]], Runs],
         most: int = MEMO_ENTRIES,
         dtype: type = np.int32,
-        part: Callable[[str], tuple[str, str] | None] | None = None,
+        part: Callable[[str], tuple[str, ...] | None] | None = None,
     ) -> None:
         self.make, self.most, self.batch, self.dtype, self.part = make, most, 0, dtype, part
         self.index: dict[str, int] = {}
@@ -68,17 +68,17 @@ class CutMemo:
         self.used = np.append(self.used, np.zeros(len(new), np.int32))
 
     def _add_parted(self, new: list[str]) -> None:
-        pairs = list(map(self.part, new))
-        pieces = list(chain.from_iterable(filter(None, pairs)))
-        whole = [cut for cut, pair in zip(new, pairs, strict=True) if pair is None]
+        parts = list(map(self.part, new))
+        pieces = list(chain.from_iterable(filter(None, parts)))
+        whole = [cut for cut, own in zip(new, parts, strict=True) if own is None]
         fresh = list(dict.fromkeys(chain(whole, (piece for piece in pieces if piece not in self.index))))
         self._add(fresh, *self.make(fresh))
-        if pieces:
+        composed = [(cut, len(own)) for cut, own in zip(new, parts, strict=True) if own is not None]
+        if composed:
             at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
             self.used[at] = self.batch
-            sizes = self.sizes[at]
-            composed = [cut for cut, pair in zip(new, pairs, strict=True) if pair is not None]
-            self._add(composed, gathered(self.ids, self.starts[at], sizes), sizes.reshape(-1, 2).sum(axis=1))
+            sizes, numbers = self.sizes[at], np.array([n for _, n in composed], np.int64)
+            self._add([cut for cut, _ in composed], gathered(self.ids, self.starts[at], sizes), np.add.reduceat(sizes, np.cumsum(numbers) - numbers))
 
     def _forget(self) -> None:
         kept = np.flatnonzero(self.used > np.median(self.used))[-self.most // 2 :]

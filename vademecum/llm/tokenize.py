@@ -2,8 +2,8 @@
 
 Byte-level and word-end BPE tokenizers part a text at white space before they merge anything, so the ids of a text are
 those of its cuts one after the other: words, with the white space before them where the tokenizer keeps it. Each
-different cut is encoded by the library once per worker and then looked up. Where the tokenizer keeps white space, the
-symbols at the end of a word are a cut of their own. New cuts are encoded many at a time, as one
+different cut is encoded by the library once per worker and then looked up. The symbols at the end of a word are a cut of
+their own, and where the tokenizer lower-cases, so are ASCII letters beforehand. New cuts are encoded many at a time, as one
 text in which the tokenizer's own special token parts them; its id parts their ids again.
 
 Texts that hold the string of an added token (these become its id, as in the library) and texts with uneven white
@@ -29,6 +29,8 @@ ONLY_SPLIT = re.compile("[\x1c-\x1f]")
 TAILED = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]{1,4})")
 #: White space other than a space and a line break.
 OTHER_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+#: The marks that make one character with some lower-case ASCII letter, but not with its upper case (as in U+01F0).
+LOWER_MARKS = ["\u0308", "\u030a", "\u030c", "\u0331", "\u0344"]
 UNEVEN = ["  ", " \n", "\n ", "\n\n"]
 
 
@@ -55,11 +57,12 @@ class TokenIds:
         self.separator, self.separator_id = (plain[0]["content"], plain[0]["id"]) if plain else (None, -1)
         normalizer, splitter = json.dumps(config.get("normalizer")), json.dumps(config.get("pre_tokenizer"))
         byte_level = '"ByteLevel"' in splitter and '"add_prefix_space": true' not in splitter
-        self.cuts, self.spaced, self.front = None, False, 0
+        self.words, self.spaced, self.front = False, False, 0
         if self.separator and byte_level and "Replace" in normalizer and "\\\\s+" in normalizer and config["model"].get("end_of_word_suffix"):
-            self.cuts = self._words
+            self.words = True
             self.ends = self._marked(lambda t: t.endswith(config["model"]["end_of_word_suffix"]))
-            self.memo = CutMemo(self._of_letters)
+            self.lowers = '"Lowercase"' in normalizer
+            self.memo = CutMemo(self._of_letters, part=self._ended)
         elif self.separator and byte_level and '"Split"' not in splitter and '"use_regex": false' not in splitter and config.get("normalizer") is None:
             self.spaced = True
             self.front = len(self._whole(["\n"])[0])
@@ -73,10 +76,16 @@ class TokenIds:
         out[[i for t, i in vocabulary.items() if is_marked(t)]] = True
         return out
 
-    @staticmethod
-    def _words(text: str) -> list[str] | None:
-        """The cuts of a tokenizer that drops white space."""
-        return None if ONLY_SPLIT.search(text) else text.split()
+    def _spaced_words(self, text: str) -> str | None:
+        """The cuts of a tokenizer that drops white space, with one space between them; null where they aren't known.
+        ASCII letters are lower-cased beforehand where the tokenizer does so, but not where that could join a mark."""
+        if self.lowers and not any(map(text.__contains__, LOWER_MARKS)):
+            text = text.lower() if text.isascii() else text.encode().lower().decode()
+            if any(map(text.__contains__, self.added)):
+                return None
+        if self._even(text):
+            return text.replace("\n", " ")
+        return None if ONLY_SPLIT.search(text) else " ".join(text.split())
 
     @staticmethod
     def _even(text: str) -> bool:
@@ -93,6 +102,14 @@ class TokenIds:
         found = TAILED.fullmatch(cut)
         return found and (found[1], " " + found[2])
 
+    @staticmethod
+    def _ended(cut: str) -> tuple[str, ...] | None:
+        """A word and the symbols at its end, for a tokenizer that drops white space."""
+        if cut[-1].isalnum() or "İ" in cut:  # the only letter here whose lower case ends with a mark, which joins the symbols
+            return None
+        found = TAILED.fullmatch(cut)
+        return found and found.groups()
+
     def _whole(self, texts: list[str]) -> Runs:
         found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([*found, np.zeros(0, np.int32)]), np.append(0, np.cumsum([len(x) for x in found])).astype(np.int64)
@@ -166,10 +183,10 @@ class TokenIds:
             # words, of which those that begin a line (the first too) have the line break before them
             lined = ["\n" + t.replace("\n", " \n") if t and k not in other else None for k, t in enumerate(known)]
             ids, offsets = self.memo.encode_spaced(lined)
-        elif self.cuts:
-            cuts = [self.cuts(t) if fine else None for fine, t in zip(plain, known, strict=True)]
+        elif self.words:
+            cuts = [self._spaced_words(t) if fine else None for fine, t in zip(plain, known, strict=True)]
             odd = [k for k, own in enumerate(cuts) if own is None]
-            ids, offsets = self.memo.encode([own or [] for own in cuts])
+            ids, offsets = self.memo.encode_spaced([own or None for own in cuts])
         else:
             return self._whole(known)
         if self.front:  # the line break in front of each text isn't its own
