@@ -147,6 +147,66 @@ def test_forms_of_a_word_are_encoded_once():
             assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
 
 
+def test_a_worker_encodes_each_of_many_words_once():
+    from string import ascii_lowercase as az
+
+    model, asked = TokenIds(queries.tokenizer_path("byte_bpe_50k.json")), 0
+
+    def make(cuts):
+        nonlocal asked
+        asked += len(cuts)
+        return np.zeros(len(cuts), np.int32), np.ones(len(cuts), np.int64)
+
+    model.memo.make = make
+    model.front = 0
+    texts = [" ".join(f"{a}{b}{c}{d}{e}" for c in az for d in az for e in az) for a in "ab" for b in az[:11]]
+    for _ in range(2):
+        for text in texts:
+            assert len(model.encode([text, "aaaaa."])[0]) == 26**3 + 2
+    assert asked == 22 * 26**3 + 1  # the words, and a full stop at the end of one
+
+
+def test_spaced_memo_compares_whole_cuts(monkeypatch):
+    from vademecum.llm import spaced
+
+    def make(cuts):
+        return np.array([ord(x) for c in cuts for x in c], np.int32), np.array([len(c) for c in cuts], np.int64)
+
+    rng = random.Random(5)
+    pieces = ["a", "b", "\x00", "é", "×", "÷", "İ", "ɏ", "ɐ", "日", "😀", "x" * 7, "y" * 8, "z" * 15, "ab" * 16, "\n"]
+    for factors in (spaced.FACTORS, spaced.FACTORS * np.uint64(0)):  # without factors all cuts have one hash
+        monkeypatch.setattr(spaced, "FACTORS", factors)
+        for most in (20, 1000):
+            memo = spaced.SpacedMemo(make, most=most)
+            for _ in range(60):
+                words = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 6))) + rng.choice(["", ".", "?!", "#####", "(a)."]) for _ in range(60)]
+                texts = [None, "", " ".join(words[:20]), words[20], " ".join(words[21:])]
+                ids, offsets = memo.encode(texts)
+                assert ["".join(map(chr, ids[offsets[k] : offsets[k + 1]])) for k in range(5)] == [(t or "").replace(" ", "") for t in texts]
+            assert memo.entries <= most + 200
+    assert memo.encode([None, ""])[1].tolist() == [0, 0, 0]
+
+
+def test_simple8b_words_hold_the_most_ids_in_any_parts():
+    rng = np.random.default_rng(6)
+    for trial in range(60):
+        sizes = rng.integers(0, 150, 9)
+        bounds = np.append(0, np.cumsum(sizes))
+        ids = rng.integers(0, 1 << 63, bounds[-1], dtype=np.uint64) * np.uint64(2) >> rng.integers(trial % 50, 64, bounds[-1]).astype(np.uint64)
+        packed = simple8b.pack(ids, bounds)
+        for most in (1, 100, 10_000):
+            parts = simple8b.pack_parts(ids, bounds, most)
+            assert all((a == b).all() for a, b in zip(packed, parts, strict=True))
+            assert (simple8b.unpack_parts(*packed[:2], packed[2][:-1], packed[3][:-1], sizes, most) == ids).all()
+        selectors = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            while a < b:
+                fitting = [s for s in range(15) if all(int(x).bit_length() <= simple8b.WIDTHS[s] for x in ids[a : min(b, a + simple8b.COUNTS[s])])]
+                selectors.append(fitting[0] + 1 if fitting else 0)
+                a += simple8b.COUNTS[fitting[0]] if fitting else 1
+        assert (packed[0] >> np.uint64(60)).tolist() == selectors
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     for trial in range(200):

@@ -45,24 +45,24 @@ def pack(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     place = np.arange(len(ids)) + np.repeat(begins[:-1] - bounds[:-1], sizes)
     padded[place] = ids
     need = _bits(padded)
-    selector = np.zeros(len(padded), np.uint8)  # 0: escape
+    fits = np.zeros(len(padded), np.uint8)  # the selectors that can begin at each id
     widest = {1: need}  # the most bits that any of the next 1, 2, 4, ... ids needs
     while 2 * (k := max(widest)) <= gap:
         widest[2 * k] = np.maximum(widest[k], np.append(widest[k][k:], np.zeros(k, np.uint8))[: len(need)])
-    for s in range(len(WIDTHS), 0, -1):  # wide first, so that the selector with most ids wins
-        width, count = WIDTHS[s - 1], COUNTS[s - 1]
+    for width, count in zip(WIDTHS, COUNTS, strict=True):
         k = 1 << count.bit_length() - 1
         later = np.append(widest[k][count - k :], np.zeros(count - k, np.uint8))[: len(need)]
-        np.copyto(selector, s, where=(widest[k] <= width) & (later <= width))
-    steps = np.array([1, *COUNTS], np.int64)[selector].tolist()
-    starts, first_word = [], [0]
+        fits += np.maximum(widest[k], later) <= width
+    # Where one fits, so do all wider ones, which hold fewer ids: the first that fits holds the most. 0: escape, none fits.
+    selector = np.where(fits > 0, len(WIDTHS) + 1 - fits, 0).astype(np.uint8)
+    steps, begun = np.array([1, *COUNTS], np.uint8)[selector].tobytes(), bytearray(len(padded))
     for begin, size in zip(begins[:-1].tolist(), sizes.tolist(), strict=True):
         end = begin + size
         while begin < end:
-            starts.append(begin)
+            begun[begin] = 1
             begin += steps[begin]
-        first_word.append(len(starts))
-    starts, first_word = np.array(starts, np.int64), np.array(first_word, np.int64)
+    starts = np.flatnonzero(np.frombuffer(begun, np.uint8))
+    first_word = np.searchsorted(starts, begins)
     chosen = selector[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in range(1, len(WIDTHS) + 1):
@@ -81,10 +81,14 @@ def pack(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return words, padded[starts[escaped]], first_word, first_escape
 
 
+def _parts(bounds: np.ndarray, most: int) -> np.ndarray:
+    """The bounds of runs of blocks of about ``most`` ids."""
+    return np.unique(np.concatenate([[0], np.searchsorted(bounds, np.arange(0, bounds[-1] + 1, most), side="left"), [len(bounds) - 1]]))
+
+
 def pack_parts(ids: np.ndarray, bounds: np.ndarray, most: int = PART_IDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The same as ``pack``, over runs of blocks of about ``most`` ids, so that the arrays stay in the processor's cache."""
-    cuts = np.unique(np.append(np.searchsorted(bounds, np.arange(0, bounds[-1] + 1, most), side="left"), len(bounds) - 1))
-    cuts = np.unique(np.append(cuts, 0))
+    cuts = _parts(bounds, most)
     parts, words, escapes = [], 0, 0
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         w, e, first_word, first_escape = pack(ids[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
@@ -132,6 +136,17 @@ def unpack(words: np.ndarray, escapes: np.ndarray, first_word: np.ndarray, first
     return values[inside]
 
 
+def unpack_parts(words: np.ndarray, escapes: np.ndarray, first_word: np.ndarray, first_escape: np.ndarray, sizes: np.ndarray, most: int = PART_IDS) -> np.ndarray:
+    """The same as ``unpack``, over runs of blocks of about ``most`` ids."""
+    bounds = np.append(0, np.cumsum(sizes))
+    ends, escape_ends = np.append(first_word, len(words)), np.append(first_escape, len(escapes))
+    parts, cuts = [np.zeros(0, np.uint64)], _parts(bounds, most)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own, escaped = slice(ends[a], ends[b]), slice(escape_ends[a], escape_ends[b])
+        parts.append(unpack(words[own], escapes[escaped], first_word[a:b] - ends[a], first_escape[a:b] - escape_ends[a], sizes[a:b]))
+    return np.concatenate(parts)
+
+
 def file_bytes(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
     bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     words, escapes, first_word, first_escape = pack_parts(ids, bounds)
@@ -156,7 +171,7 @@ def parse_file(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     words = np.frombuffer(body, "<u8", n_words, docs * BLOCK.itemsize)
     escapes = np.frombuffer(body, "<u8", n_escapes, docs * BLOCK.itemsize + 8 * n_words)
     sizes = table["ids"].astype(np.int64)
-    return table, unpack(words, escapes, table["word"].astype(np.int64), table["escape"].astype(np.int64), sizes)
+    return table, unpack_parts(words, escapes, table["word"].astype(np.int64), table["escape"].astype(np.int64), sizes)
 
 
 def write_id_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = None, partitions: int | None = None) -> DataFrame:

@@ -18,15 +18,13 @@ from collections.abc import Callable
 
 import numpy as np
 
-from vademecum.llm.cuts import CutMemo, Runs, joined
+from vademecum.llm.cuts import Runs, joined
+from vademecum.llm.spaced import SpacedMemo
 
 #: Cuts that are encoded as one text, and characters up to which they are.
-JOINED, JOINED_CHARS = 500, 20_000
+JOINED, JOINED_CHARS = 200, 20_000
 #: The characters at which str.split() parts but regular expressions of the tokenizers don't.
 ONLY_SPLIT = re.compile("[\x1c-\x1f]")
-#: Letters, after a line break or not, and a short tail of symbols: two pieces of every byte-level tokenizer. Only Latin
-#: letters and ASCII symbols, of which all versions of Unicode tell the same.
-TAILED = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]{1,4})")
 #: White space other than a space and a line break.
 OTHER_WHITE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
 #: The marks that make one character with some lower-case ASCII letter, but not with its upper case (as in U+01F0).
@@ -62,12 +60,12 @@ class TokenIds:
             self.words = True
             self.ends = self._marked(lambda t: t.endswith(config["model"]["end_of_word_suffix"]))
             self.lowers = '"Lowercase"' in normalizer
-            self.memo = CutMemo(self._of_letters, part=self._ended)
+            self.memo = SpacedMemo(self._of_letters)
         elif self.separator and byte_level and '"Split"' not in splitter and '"use_regex": false' not in splitter and config.get("normalizer") is None:
             self.spaced = True
             self.front = len(self._whole(["\n"])[0])
             self.begins = self._marked(lambda t: t.startswith("Ġ"))
-            self.memo = CutMemo(self._after_white, part=self._tailed)
+            self.memo = SpacedMemo(self._after_white, mark=" ")
 
     def _marked(self, is_marked: Callable[[str], bool]) -> np.ndarray:
         """Of every id whether its token is marked."""
@@ -94,22 +92,6 @@ class TokenIds:
             return False
         return not text or not (text[0] in " \n" or text[-1] in " \n" or any(map(text.__contains__, UNEVEN)))
 
-    @staticmethod
-    def _tailed(cut: str) -> tuple[str, str] | None:
-        """A word and the symbols at its end. The symbols have a space before them, which no cut of a text has."""
-        if cut[-1].isalnum():
-            return None
-        found = TAILED.fullmatch(cut)
-        return found and (found[1], " " + found[2])
-
-    @staticmethod
-    def _ended(cut: str) -> tuple[str, ...] | None:
-        """A word and the symbols at its end, for a tokenizer that drops white space."""
-        if cut[-1].isalnum() or "İ" in cut:  # the only letter here whose lower case ends with a mark, which joins the symbols
-            return None
-        found = TAILED.fullmatch(cut)
-        return found and found.groups()
-
     def _whole(self, texts: list[str]) -> Runs:
         found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([*found, np.zeros(0, np.int32)]), np.append(0, np.cumsum([len(x) for x in found])).astype(np.int64)
@@ -182,11 +164,11 @@ class TokenIds:
             other = set(odd)
             # words, of which those that begin a line (the first too) have the line break before them
             lined = ["\n" + t.replace("\n", " \n") if t and k not in other else None for k, t in enumerate(known)]
-            ids, offsets = self.memo.encode_spaced(lined)
+            ids, offsets = self.memo.encode(lined)
         elif self.words:
             cuts = [self._spaced_words(t) if fine else None for fine, t in zip(plain, known, strict=True)]
             odd = [k for k, own in enumerate(cuts) if own is None]
-            ids, offsets = self.memo.encode_spaced([own or None for own in cuts])
+            ids, offsets = self.memo.encode([own or None for own in cuts])
         else:
             return self._whole(known)
         if self.front:  # the line break in front of each text isn't its own
