@@ -166,6 +166,24 @@ def test_a_worker_encodes_each_of_many_words_once():
     assert asked == 22 * 26**3 + 1  # the words, and a full stop at the end of one
 
 
+def test_a_worker_encodes_each_of_many_words_once_whatever_their_case():
+    from string import ascii_lowercase as az
+
+    model, asked = TokenIds(queries.tokenizer_path("word_bpe_49k.json")), []
+
+    def make(cuts):
+        asked.extend(cuts)
+        return np.zeros(len(cuts), np.int32), np.ones(len(cuts), np.int64)
+
+    model.memo.make = make
+    words = [f"{a}{b}{c}{d}{e}" for a in "ab" for b in az[:11] for c in az for d in az for e in az]
+    for own in (words, [w.capitalize() + "," for w in words]):
+        assert len(model.encode([" ".join(own[k : k + 20_000]) for k in range(0, len(own), 20_000)])[0]) == len(words) * (1 + own[0].endswith(","))
+    for k in range(0, len(words), 20_000):
+        model.encode([" ".join(words[k : k + 20_000]).upper()])
+    assert sorted(asked) == [",", *words]
+
+
 def test_spaced_memo_compares_whole_cuts(monkeypatch):
     from vademecum.llm import spaced
 
