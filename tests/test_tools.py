@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from vademecum import vocabulary as V
 from vademecum.jobs import run
-from vademecum.operators import block_search, dosing, evaluation, loading, names, reports, retrieval
+from vademecum.operators import block_search, class_ranks, dosing, evaluation, loading, names, reports, retrieval
 from vademecum.operators.ranges import numbered
-from vademecum.plans import registry
+from vademecum.plans import registry, score_queries
 from vademecum.sources import tables
 from vademecum.sources.vector_table import VectorTable
 from vademecum.streaming.upserts import stream_into
@@ -356,6 +356,48 @@ def test_citations_round_the_exact_score(spark):
     assert got == {i: f"[{'null' if s is None else '%.3f' % s}] d / s / p.1" for i, s in enumerate(scores)}
 
 
+def test_ranks_by_class_equal_sorting(spark, monkeypatch):
+    """Many blocks, ties over them, a class of one row far down its query's order, a query without a class and one whose
+    class has no row; short lists that are cut before the first relevant row."""
+    n, most = 6000, 3
+    corpus, asked, keys, plain = ranking_case(spark, n)
+    far = plain[1][-1]
+    classes = {keys[i]: "rare" if i == far else None if i % 11 == 0 else f"c{i % 5}" for i in range(n)}
+    frame = spark.createDataFrame(list(classes.items()), "logical_key string, class string")
+    corpus = corpus.join(frame, "logical_key")
+    extra = [(3, "none"), (4, None)]
+    vectors = {r.query_id: (r.query_vector, r.own) for r in asked.collect()}
+    wanted = {0: "c1", 1: "rare", 2: "c3"} | dict(extra)
+    rows = [(q, *vectors.get(q, vectors[0]), w) for q, w in wanted.items()]
+    asked = spark.createDataFrame(rows, "query_id bigint, query_vector array<double>, own string, wanted string")
+    for wide, listed, counted in ((40_000, 64, False), (900, 4, True), (900, 4, False)):
+        monkeypatch.setattr(class_ranks, "WIDE_ROWS", wide)
+        monkeypatch.setattr(class_ranks, "LISTED", listed)
+        whole, hits, sizes = {}, {}, {}
+        for q, _, own, w in rows:
+            order = [i for i in plain.get(q, plain[0]) if counted or keys[i] != own]
+            rank = {keys[i]: r for r, i in enumerate(order, 1) if keys[i] != own and w is not None and classes[keys[i]] == w}
+            whole |= {(q, k): r for k, r in rank.items()}
+            hits |= {(q, r): True for r in rank.values() if r <= most or r == min(rank.values())}
+            sizes[q] = len(rank)
+        assert {(r.query_id, r.logical_key): r["rank"] for r in class_ranks.class_ranks(asked, corpus, own="own", counted=counted).collect()} == whole
+        assert sorted((r.query_id, r["rank"]) for r in class_ranks.leading_ranks(asked, corpus, most, own="own", counted=counted).collect()) == sorted(hits)
+        assert {r.query_id: r.n_relevant for r in class_ranks.class_sizes(asked, corpus, "own").collect()} == sizes
+    every = class_ranks.class_ranks(asked, corpus, every=True).where("query_id = 2").orderBy("rank").collect()
+    assert [r.logical_key for r in every] == [keys[i] for i in plain[2]] and [r["rank"] for r in every] == list(range(1, n + 1))
+
+
+def test_metrics_make_no_pairs(spark, sf_dir, monkeypatch):
+    """Neither the metrics nor the first ranks nor the rankings make the pairs of queries and relevant keys as rows."""
+    def none(*_, **__):
+        raise AssertionError("pairs")
+
+    for module, name in ((score_queries, "relevant"), (retrieval, "block_ranks"), (retrieval, "block_scores")):
+        monkeypatch.setattr(module, name, none)
+    for name in ("a10_query_metrics", "a13_scorecard"):
+        assert registry.QUERIES[name](spark, sf_dir).columns
+
+
 def test_numbered_groups_with_nulls_and_clashing_names(spark):
     rows = spark.createDataFrame([(g, i * 37 % 100, "x") for g in ("a", None, "b") for i in range(100)] + [("c", 1, "x"), ("c", 1, "x")], "g string, v int, _row string")
     got = numbered(rows, ["g"], ["v"], "place", 0).collect()
