@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vademecum import vocabulary as V
 from vademecum.functions import vectors
-from vademecum.operators import dosing, evaluation, ingest, names, reports, retrieval
+from vademecum.operators import class_ranks, dosing, evaluation, ingest, names, reports, retrieval
 from vademecum.sources import tables
 from vademecum.sources.vector_table import VectorTable
 
@@ -101,14 +101,16 @@ def job_indications(spark: SparkSession, a: argparse.Namespace) -> None:
     indication_reports(asked, _corpus(spark, a)).write.mode("overwrite").parquet(a.out)
 
 
-def benchmark(models: dict[str, tuple[DataFrame, DataFrame]], relevant: DataFrame, own: str | None = None) -> DataFrame:
+def benchmark(models: dict[str, tuple[DataFrame, DataFrame]], relevant: DataFrame | None = None, own: str | None = None) -> DataFrame:
     """The scorecard of models, each with its queries (query_id, query_vector) and corpus (logical_key, vector), over the
-    relevant pairs (query_id, logical_key). Queries without relevant keys score 0."""
-    counts = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
+    relevant pairs (query_id, logical_key). Without pairs, a row is relevant whose class is the one that a query wants
+    (columns class and wanted); no pair is made then. Queries without relevant keys score 0."""
     rows = []
     for name, (asked, corpus) in models.items():
+        counts = class_ranks.class_sizes(asked, corpus, own) if relevant is None else relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
         cases = asked.select("query_id", F.lit(name).alias("model")).join(counts, "query_id", "left").fillna(0, "n_relevant")
-        ranks = retrieval.block_ranks(asked, corpus, relevant, own=own).withColumn("model", F.lit(name))
+        ranks = class_ranks.leading_ranks(asked, corpus, max(evaluation.KS), own=own) if relevant is None else retrieval.block_ranks(asked, corpus, relevant, own=own)
+        ranks = ranks.withColumn("model", F.lit(name))
         rows.append(evaluation.query_metrics(cases, ranks, ["model", "query_id"]))
     means = evaluation.mean_metrics(reduce(DataFrame.unionByName, rows), ["model"])
     return evaluation.scorecard(evaluation.long_form(means, ["model"]))
