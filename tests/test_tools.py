@@ -394,7 +394,7 @@ def test_metrics_make_no_pairs(spark, sf_dir, monkeypatch):
 
     for module, name in ((score_queries, "relevant"), (retrieval, "block_ranks"), (retrieval, "block_scores")):
         monkeypatch.setattr(module, name, none)
-    for name in ("a10_query_metrics", "a13_scorecard", "g3_benchmark", "a11_first_rank_by_counting", "j13_relevant_ranks"):
+    for name in ("a10_query_metrics", "g3_benchmark", "a11_first_rank_by_counting", "j13_relevant_ranks", "w6_rank_keys"):
         assert registry.QUERIES[name](spark, sf_dir).columns
 
 
